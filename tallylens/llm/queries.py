@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .embedding_dedup import link_vectors
 from .packing import pack
 from .token_files import encode_corpus
 
@@ -17,5 +18,9 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op8_token_files)}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op8_token_files, op10_embedding_dedup)}
 ORACLE_SQL: dict[str, str] = {}
