@@ -6,21 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .embedding_dedup import link_vectors
+from .language import identify
 from .packing import pack
 from .token_files import encode_corpus
+from .toxicity import score_toxicity
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op8_token_files, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op2_packing, op7_toxicity, op8_token_files, op9_language, op10_embedding_dedup)}
 ORACLE_SQL: dict[str, str] = {}
