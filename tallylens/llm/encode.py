@@ -13,7 +13,7 @@ import numpy as np
 from .common import quiet_tokenizers
 
 #: Entries of a worker's memo (about 250 bytes each); a full memo is emptied.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 1_200_000
 #: Chunks of more characters are encoded without the memo.
 MEMO_CHARS = 48
 
