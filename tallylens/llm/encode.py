@@ -58,23 +58,25 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
-        memo, chunks, wanted = self.memo, [], set()
+        memo, chunks, heads, wanted = self.memo, [], [], set()
         for t in texts:
             parts = _CHUNK.split(t) if _ODD_SPACE.search(t) else t.split(" ")
+            heads.append(parts.pop(0))
             chunks.append(parts)
-            wanted.update(parts[1:])
-        new = [p for p in wanted if p not in memo]
+            wanted.update(parts)
+        new = wanted.difference(memo)
         short = [p for p in new if len(p) <= MEMO_CHARS]
         once = {}
         for parts, into in ((short, memo), ([p for p in new if len(p) > MEMO_CHARS], once)):
             for k in range(0, len(parts), 512):
                 into.update(zip(parts[k : k + 512], self._ids([" " + p for p in parts[k : k + 512]]), strict=True))
-        heads, out = [self._one(parts[0]) for parts in chunks], []
+        out, get = [], memo.__getitem__
         for head, parts in zip(heads, chunks, strict=True):
+            first = self._one(head) if head else b""
             if once:
-                out.append(head + b"".join([memo[p] if p in memo else once[p] for p in parts[1:]]))
+                out.append(first + b"".join([memo[p] if p in memo else once[p] for p in parts]))
             else:
-                out.append(head + b"".join(map(memo.__getitem__, parts[1:])))
+                out.append(first + b"".join(map(get, parts)))
         return out
 
 

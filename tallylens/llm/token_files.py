@@ -33,7 +33,7 @@ from .common import scratch, settle
 from .encode import default_tokenizer, encoder, text_slices
 
 END_ID = 2
-LEVEL = 3
+LEVEL = 1
 #: Ids of a frame at most; a longer document takes several frames.
 FRAME_IDS = 1 << 20
 #: Bytes of text that one file is planned for.
@@ -83,7 +83,9 @@ class FileReader:
     """Reads the tables at a file's end, then single documents."""
 
     def __init__(self, source):
-        self.source, size = source, source.size()
+        import zstandard
+
+        self.source, size, self.zstd = source, source.size(), zstandard.ZstdDecompressor()
         n, descriptor, magic = _FOOTER.unpack(self._at(size - _FOOTER.size, _FOOTER.size))
         if magic != _FOOTER_MAGIC or descriptor != 0x80:
             raise ValueError("not a token-id file: no seek table")
@@ -105,11 +107,10 @@ class FileReader:
     def read(self, doc: tuple) -> bytes:
         """The ids of one entry of docs; raises ValueError where a checksum differs."""
         import xxhash
-        import zstandard
 
         raw, at, out = self._at(doc[3], sum(f[0] for f in doc[4])), 0, []
         for packed, size, check in doc[4]:
-            part = zstandard.ZstdDecompressor().decompress(raw[at : at + packed], max_output_size=size) if size else b""
+            part = self.zstd.decompress(raw[at : at + packed], max_output_size=size) if size else b""
             if len(part) != size or xxhash.xxh64_intdigest(part) & 0xFFFFFFFF != check:
                 raise ValueError(f"checksum of a frame of document {doc[0]} differs")
             out.append(part)
