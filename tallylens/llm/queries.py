@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import contaminated
 from .embedding_dedup import link_vectors
 from .jaccard_join import jaccard_classes
 from .language import identify
@@ -21,6 +22,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), width=3, percent=90).drop("cid")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,5 +42,5 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_jaccard_join, op7_toxicity, op8_token_files, op9_language, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op2_packing, op4_jaccard_join, op6_decontamination, op7_toxicity, op8_token_files, op9_language, op10_embedding_dedup)}
 ORACLE_SQL: dict[str, str] = {}
