@@ -10,6 +10,7 @@ from .embedding_dedup import link_vectors
 from .jaccard_join import jaccard_classes
 from .language import identify
 from .packing import pack
+from .pii import digest, find_pii
 from .token_files import encode_corpus
 from .toxicity import score_toxicity
 
@@ -22,6 +23,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), width=3, percent=90).drop("cid")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_pii(table(spark, sf_dir, "documents")))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,5 +47,5 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_jaccard_join, op6_decontamination, op7_toxicity, op8_token_files, op9_language, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op2_packing, op4_jaccard_join, op5_pii, op6_decontamination, op7_toxicity, op8_token_files, op9_language, op10_embedding_dedup)}
 ORACLE_SQL: dict[str, str] = {}
