@@ -9,16 +9,26 @@ from .decontaminate import contaminated
 from .embedding_dedup import link_vectors
 from .jaccard_join import jaccard_classes
 from .language import identify
+from .lm_score import score_documents
 from .packing import pack
 from .pii import digest, find_pii
+from .token_counts import count_tokens
 from .token_files import encode_corpus
 from .toxicity import score_toxicity
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), width=3, percent=90).drop("cid")
 
@@ -47,5 +57,5 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op4_jaccard_join, op5_pii, op6_decontamination, op7_toxicity, op8_token_files, op9_language, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_lm_score, op4_jaccard_join, op5_pii, op6_decontamination, op7_toxicity, op8_token_files, op9_language, op10_embedding_dedup)}
 ORACLE_SQL: dict[str, str] = {}
