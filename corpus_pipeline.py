@@ -1,12 +1,74 @@
-"""The corpus pipeline: stages that each apply one corpus operator to what the stage before kept."""
+"""The corpus pipeline: five stages that each apply one corpus operator to what the stage before kept.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of documents; the
+last returns the packed pieces. Between stages the rows are written as Parquet to the shared folder and read again.
+No stage has a SQL form (ORACLE_SQL is None); the tests hold the stages against brute-force versions.
+
+Defined results: rows without a doc_id pass the stages that decide by id; null and empty texts have no language
+and go in the first stage; extra columns of the input are kept up to the last stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from tallylens.llm.common import settle, table
+from tallylens.llm.decontaminate import contaminated
+from tallylens.llm.jaccard_join import jaccard_classes
+from tallylens.llm.language import UNKNOWN, fit, predict, training_counts
+from tallylens.llm.packing import pack
+from tallylens.llm.pii import redact
+
+#: Ids of removed documents that may be broadcast (about 8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but those of ids(doc_id)."""
+    ids = settle(ids.where("doc_id is not null").distinct(), "removed")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language is found; the model learns from the documents' own labels."""
+    model = fit(training_counts(docs))
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    found = predict(docs.toDF(*names), *model, keep=tuple(names), text=names[docs.columns.index("text")])
+    return found.where(F.col("lang_pred") != UNKNOWN).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates (shingles of 5 words, Jaccard 0.8), that of the smallest id.
+    Rows that share doc_id and text count once."""
+    classes = settle(jaccard_classes(docs, width=5, percent=80).select("doc_id", "component_id"), "classes")
+    kept = _without(docs, classes.where("doc_id <> component_id").select("doc_id"))
+    repeated = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark, as it stands or with other values."""
+    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind and n_chars counted anew."""
+    clean = redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows."""
+    return pack(docs)
+
 
-STAGES: list = []
+STAGES = [("language", languages), ("near_duplicates", near_duplicates), ("decontamination", benchmark), ("pii", personal_data), ("packing", packing)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on documents; returns what the last stage makes."""
+    rows = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        rows = settle(stage(spark, rows, sf_dir), f"stage-{name}")
+    return rows

@@ -113,11 +113,9 @@ def _judged(spans: Column, order: int, kind: str, base: bool) -> Column:
     return F.transform(spans, one)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, base and loose: arrays of (k, s, e, kind, v1, v2, v3)."""
-    text = F.col("t")
+def with_candidates(rows: DataFrame, text: Column) -> DataFrame:
+    """rows with _base and _loose: arrays of (k, s, e, kind, v1, v2, v3)."""
     none = F.array().cast(f"array<{_SPAN}>")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
     digit = text.rlike("[0-9]")
     gate = {"email": F.contains(text, F.lit("@")), "ip": digit, "card": digit, "phone": F.contains(text, F.lit("+"))}
     base, loose = [], []
@@ -129,9 +127,15 @@ def candidates(docs: DataFrame) -> DataFrame:
             need = need | F.contains(text, F.lit(part))
         more = F.when(need if _NEEDS[kind] else digit, spans_of(text, LOOSE[kind])).otherwise(none)
         loose.append(_judged(more, k, kind, False))
-    rows = rows.select("doc_id", F.concat(*base).alias("base"), F.concat(*loose).alias("loose"))
-    free = lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-    return rows.select("doc_id", "base", F.filter("loose", free).alias("loose"))
+    rows = rows.withColumns({"_base": F.concat(*base), "_loose": F.concat(*loose)})
+    free = lambda c: ~F.exists("_base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
+    return rows.withColumn("_loose", F.filter("_loose", free))
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """doc_id, base and loose of every document."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
+    return with_candidates(rows, F.col("t")).select("doc_id", F.col("_base").alias("base"), F.col("_loose").alias("loose"))
 
 
 def reliabilities(counts: list[tuple[str, bool, tuple[int, int, int], int]], rounds: int = ROUNDS) -> dict[tuple, float]:
@@ -180,19 +184,48 @@ def classifier(counts: list, post: dict[tuple, float], steps: int = 400) -> dict
     return {(k, (a, b, c)): 1 / (1 + math.exp(-sum(x * y for x, y in zip(w, features(k, (a, b, c)), strict=True)))) for k in KINDS for a in votes for b in votes for c in votes}
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
-    """doc_id, base (checked spans) and spans (with the accepted further ones): arrays of (k, s, e, kind, ...) in order."""
-    rows = settle(candidates(docs), "pii-candidates")
+def accepted(rows: DataFrame) -> list[str]:
+    """Kind and votes of the patterns that the fitted classifier accepts; rows has base and loose."""
     each = rows.select(F.explode("base").alias("c"), F.lit(True).alias("base")).union(rows.select(F.explode("loose"), F.lit(False)))
     seen = each.groupBy("c.kind", "base", "c.v1", "c.v2", "c.v3").count().collect()  # at most 4 x 2 x 27 rows
     counts = [(r["kind"], r["base"], (r["v1"], r["v2"], r["v3"]), r["count"]) for r in seen]
     chance = classifier(counts, reliabilities(counts))
-    good = [f"{k}{v[0]}{v[1]}{v[2]}" for (k, v), p in chance.items() if p >= KEEP]
+    return [f"{k}{v[0]}{v[1]}{v[2]}" for (k, v), p in chance.items() if p >= KEEP]
+
+
+def _kept(loose: str, good: list[str]) -> Column:
     name = lambda c: F.concat(c["kind"], c["v1"].cast("string"), c["v2"].cast("string"), c["v3"].cast("string"))
-    kept = F.filter("loose", lambda c: name(c).isin(good)) if good else F.filter("loose", lambda c: F.lit(False))
+    return F.filter(loose, lambda c: name(c).isin(good) if good else F.lit(False))
+
+
+def find_pii(docs: DataFrame) -> DataFrame:
+    """doc_id, base (checked spans) and spans (with the accepted further ones): arrays of (k, s, e, kind, ...) in order."""
+    rows = settle(candidates(docs), "pii-candidates")
+    kept = _kept("loose", accepted(rows))
     return rows.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", kept)).alias("spans"))
 
 
+def redact(docs: DataFrame) -> DataFrame:
+    """docs with every span of `text` replaced by its kind in brackets, such as [EMAIL]; other columns stay.
+    Overlapping spans are replaced together, by the kind of the first. A null text stays null."""
+    good = accepted(settle(candidates(docs), "pii-candidates"))
+    text = F.coalesce("_row.text", F.lit(""))
+    rows = with_candidates(docs.select(F.struct("*").alias("_row")), text)
+    place = F.transform(F.concat("_base", _kept("_loose", good)), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind")))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, c: Column) -> Column:
+        fresh = c["s"] >= acc["at"]
+        gap = F.substring(text, acc["at"] + 1, c["s"] - acc["at"])
+        out = F.when(fresh, F.concat(acc["out"], gap, F.lit("["), F.upper(c["kind"]), F.lit("]"))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], c["e"]).alias("at"), out.alias("out"))
+
+    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    clean = F.aggregate(F.array_sort(place), start, step, rest)
+    new = F.when(F.col("_row.text").isNull() | (F.size(place) == 0), F.col("_row.text")).otherwise(clean)
+    return rows.select(*[new.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The counts and strings of find_pii's spans."""
     line = lambda a: F.array_join(F.transform(a, lambda c: F.concat_ws(":", c["kind"], c["s"].cast("string"), c["e"].cast("string"))), ",")
