@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +34,17 @@ from .common import WHITE, blocks, lowered, mixed, row_ends, run_hashes, runs, s
 from .components import connected_components
 
 CELLS = 1 << 19
+#: Bits of a sketch: bit k is the parity of the shingles that hash to k, so sketches differ in at most as many bits
+#: as sets differ in shingles.
+BITS = 512
 SMALL = 48
+#: Pairs for each class up to which the rest of all lists is compared at once.
+REST = 16
 PIVOTS = 8
 #: Bits of the filter that says which documents are read again for their sets; false hits are joined away.
 BLOOM_BITS = 1 << 27
+#: Class keys that may be broadcast (8 bytes each).
+BROADCAST = 1_000_000
 _CHUNK = 1 << 13
 
 
@@ -113,67 +121,93 @@ def _sets(raw: np.ndarray, offs: np.ndarray, width: int) -> Iterator[tuple[int,
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, cid, n and the sorted prefix of every document; cid is null without shingles."""
+    """doc_id, cid, n, the prefix in order and the bit sketch of every document; cid is null without shingles."""
     levels = docs.sparkSession.sparkContext.broadcast(cell_levels(docs, width))  # CELLS bytes
-    kinds = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    kinds = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         for batch in batches:
             for a, b, raw, offs in blocks(*texts(batch.column(1))):
-                cid, n, prefix = [None] * (b - a), [0] * (b - a), [None] * (b - a)
+                cid, n, prefix, bits = [None] * (b - a), [0] * (b - a), [None] * (b - a), [None] * (b - a)
                 with np.errstate(over="ignore"):
                     for r, u, key, size in _sets(lowered(raw), offs, width):
                         p = size - (percent * size + 99) // 100 + 1
                         token = level[(u >> np.uint64(45)).astype(np.int64)].astype(np.uint64) << np.uint64(55) | u >> np.uint64(9)
                         cid[r], n[r], prefix[r] = key, size, np.sort(np.partition(token, p - 1)[:p]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(cid, pa.int64()), pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], schema=kinds)
+                        odd = np.bincount((u & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+                        bits[r] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(cid, pa.int64()), pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], schema=kinds)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, cid long, n long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, cid long, n long, prefix array<long>, bits array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets reach the threshold."""
+def _bitmap(ids: DataFrame) -> tuple[int, np.ndarray]:
+    """A bitmap of BLOOM_BITS bits at most over the hashes of ids(x)."""
+    bits = max(min(1 << (16 * ids.count()).bit_length(), BLOOM_BITS), 1 << 15)
+    hashed = F.pmod(F.xxhash64("x"), F.lit(bits))
+    rows = ids.select(F.floor(hashed / 32768).alias("at"), (hashed % 32768).alias("bit")).groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bitmap = np.zeros((bits // 32768, 4096), np.uint8)
+    for r in rows.collect():
+        bitmap[r["at"]] = np.frombuffer(r["bits"], np.uint8)
+    return bits, bitmap.reshape(-1)
+
+
+def _passes(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return (bitmap[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """pairs(a, b) whose sketches allow the threshold, with the ids of a document of each; settled."""
+    one = classes.select(F.col("cid").alias("a"), F.col("bits").alias("bits1"), F.col("n").alias("n1"))
+    two = classes.select(F.col("cid").alias("b"), F.col("bits").alias("bits2"), F.col("n").alias("n2"))
+    differ = F.aggregate(F.zip_with("bits1", "bits2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    total = F.col("n1") + F.col("n2")
+    most = total - 2 * F.ceil(total * percent / (100 + percent) - 1e-6)
+    return settle(pairs.join(one, "a").join(two, "b").where(differ <= most).select("a", "b"), "join-pairs")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, wide: bool = False) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets reach the threshold. Sets are compared by the upper 32 bits of
+    their hashes; pairs within three shingles of the threshold are compared again by all 64 (wide)."""
     wanted = pairs.select("a").union(pairs.select(F.col("b"))).distinct().withColumnRenamed("a", "cid")
     wanted = settle(wanted.join(classes.select("cid", "doc"), "cid").select("cid", "doc"), "join-wanted")
     kinds = pa.schema([("cid", pa.int64()), ("words", pa.binary())])
+    kind = np.dtype("<u8" if wide else "<u4")
+    bits, bitmap = _bitmap(wanted.select(F.col("doc").alias("x")))
+    filter_ = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = np.asarray(batch.column(1))
-            passed = filter_.value[h >> 3] >> (h & 7).astype(np.uint8) & 1
-            batch = batch.filter(pa.array(passed.astype(bool)))
+            batch = batch.filter(pa.array(_passes(filter_.value, np.asarray(batch.column(1)))))
             for _, _, raw, offs in blocks(*texts(batch.column(0))):
                 with np.errstate(over="ignore"):
-                    found = [(key, u.tobytes()) for _, u, key, _ in _sets(lowered(raw), offs, width)]
+                    found = [(key, (u if wide else u >> np.uint64(32)).astype(kind).tobytes()) for _, u, key, _ in _sets(lowered(raw), offs, width)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds.types, strict=True)], schema=kinds)
 
-    bits = max(min(1 << (16 * wanted.count()).bit_length(), BLOOM_BITS), 1 << 15)
-    hashed = F.pmod(F.xxhash64("doc"), F.lit(bits))
-    words = wanted.select(F.floor(hashed / 32768).alias("at"), (hashed % 32768).alias("bit")).groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    bitmap = np.zeros((bits // 32768, 4096), np.uint8)
-    for r in words.collect():  # BLOOM_BITS bits at most
-        bitmap[r["at"]] = np.frombuffer(r["bits"], np.uint8)
-    filter_ = docs.sparkSession.sparkContext.broadcast(bitmap.reshape(-1))
     rows = docs.select("text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits)).alias("h"))
-    sets = rows.mapInArrow(run, "cid long, words binary").join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
-    sets = settle(sets, "join-sets")
+    few = F.broadcast(wanted.select("cid")) if wanted.count() <= BROADCAST else wanted.select("cid")
+    sets = settle(rows.mapInArrow(run, "cid long, words binary").join(few, "cid", "left_semi"), "join-sets")
     both = pairs.select("a", "b").join(sets.select(F.col("cid").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("words").alias("y")), "b").select("a", "b", "x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                p, q = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
                 z = np.concatenate([p, q])
                 z.sort(kind="stable")
                 shared = int((z[1:] == z[:-1]).sum())
-                ok.append(100 * shared >= percent * (len(p) + len(q) - shared))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+                over = 100 * shared - percent * (len(p) + len(q) - shared)
+                ok.append(1 if over >= (0 if wide else 3 * (100 + percent)) else 0 if wide or over < -3 * (100 + percent) else 2)
+            keep = pa.array([k > 0 for k in ok])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(ok, pa.int32()).filter(keep)], names=["a", "b", "ok"])
 
-    return settle(both.mapInArrow(compare, "a long, b long"), "join-verified")
+    result = settle(both.mapInArrow(compare, "a long, b long, ok int").distinct(), "join-verified")
+    sure = result.where("ok = 1").select("a", "b")
+    unsure = result.where("ok = 2").select("a", "b")
+    return sure.union(_verified(unsure, docs, classes, width, percent, True)) if not wide and unsure.limit(1).count() else sure
 
 
 def _possible(percent: int):
@@ -186,20 +220,33 @@ def _possible(percent: int):
 def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id and cid (the class of equal sets) of every document."""
     signed = settle(signatures(docs, width, percent), "join-signatures")
-    classes = signed.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = signed.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     classes = settle(classes.withColumn("same", F.xxhash64("n", "prefix")), "join-classes")
     groups = classes.groupBy("same").agg(F.min("cid").alias("gid"), F.first("n").alias("n"), F.count("*").alias("size"))
     # members of groups with one member are their group; only the others are kept as a table
     grouped = settle(classes.select("cid", "same").join(groups.where("size > 1").select("same", "gid"), "same").select("cid", "gid"), "join-groups")
     heads = classes.join(grouped.where("cid <> gid").select("cid"), "cid", "left_anti") if grouped.limit(1).count() else classes
-    entries = heads.select(F.col("cid").alias("id"), F.col("n"), F.posexplode("prefix").alias("p", "token"))
-    lists = entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    entries = settle(entries.join(lists, "token").select("token", "id", "n", "p"), "join-lists")
+    lists = settle(heads.select(F.explode("prefix").alias("x")).groupBy("x").count().where("count > 1").select("x"), "join-tokens")
+    bits, bitmap = _bitmap(lists)
+    filter_ = docs.sparkSession.sparkContext.broadcast(bitmap)  # lets few entries of single tokens into the exact join
+    spread = heads.select("cid", "n", "prefix", F.transform("prefix", lambda t: F.pmod(F.xxhash64(t), F.lit(bits))).alias("h"))
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.asarray(pa.compute.list_value_length(batch.column(2))).astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), size)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            hit = np.flatnonzero(_passes(filter_.value, np.asarray(batch.column(3).flatten())))
+            at = pa.array(row[hit])
+            yield pa.RecordBatch.from_arrays([batch.column(2).flatten().take(pa.array(hit)), batch.column(0).take(at), batch.column(1).take(at), pa.array(place[hit])], names=["token", "id", "n", "p"])
+
+    entries = spread.mapInArrow(enter, "token long, id long, n long, p long")
+    entries = settle(entries.join(lists.withColumnRenamed("x", "token"), "token", "left_semi"), "join-lists")
     first = entries.groupBy("token").agg(F.min(F.struct("id", "n", "p")).alias("head"))
 
     star = entries.join(first, "token").where("id <> head.id").select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.n").alias("n1"), F.col("n").alias("n2"), F.col("head.p").alias("p1"), F.col("p").alias("p2"))
     pairs = star.where(_possible(percent)).select("a", "b").union(grouped.where("cid <> gid").select(F.col("gid"), F.col("cid")))
-    checked = settle(pairs.distinct(), "join-pairs")
+    checked = _sketched(pairs.distinct(), classes, percent)
     links = _verified(checked, docs, classes, width, percent)
     components = connected_components(links)
 
@@ -212,19 +259,21 @@ def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
         inner = inner.union(classes.select("cid", "n", "prefix").join(alone.select("g").distinct().select(F.col("g").alias("cid")), "cid").select("cid", "n", "prefix", F.col("cid").alias("g")))
         # a group's own list: its members share every shingle of the prefix, the first stands for all
         whole = whole.union(more).union(inner.select(F.col("prefix")[0].alias("token"), "cid", "n", F.lit(0))).distinct()
-    turn = 0
+    turn, total = 0, max(classes.count(), 1)
     while True:
         turn += 1
         state = whole.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
         spread = state.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token", "c")
         state = settle(state.join(spread, "token"), "join-rest")
-        left = F.col("c") <= SMALL
+        cost = state.agg(F.sum("c")).first()[0] or 0
+        left = F.lit(cost <= REST * total) | (F.col("c") <= SMALL)
         lead = F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest(F.ceil(F.col("c") / PIVOTS), F.lit(1)).cast("long")) == 0
         one = state.where(left | lead).select("token", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("p").alias("p1"), F.col("component").alias("c1"))
         two = state.select("token", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("component").alias("c2"), left.alias("small"))
         pairs = one.join(two, "token").where((F.col("c1") != F.col("c2")) & (~F.col("small") | (F.col("a") < F.col("b")))).where(_possible(percent))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = settle(pairs.join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "join-pairs")
+        pairs = pairs.join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        pairs = _sketched(pairs, classes, percent)
         if pairs.limit(1).count():
             found = _verified(pairs, docs, classes, width, percent)
             checked = checked.union(pairs)

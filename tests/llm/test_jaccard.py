@@ -67,10 +67,11 @@ def test_equals_brute_force(spark, width, percent):
     assert result(J.jaccard_classes(docs, width, percent)) == brute(rows, width, percent)
 
 
-@pytest.mark.parametrize("small", [2, 48])
-def test_chains_groups_and_shared_passages(spark, monkeypatch, small):
+@pytest.mark.parametrize(("small", "rest"), [(2, 0), (48, 16)])
+def test_chains_groups_and_shared_passages(spark, monkeypatch, small, rest):
     """Chains that drift word by word, groups of copies, and unlike texts around one passage."""
     monkeypatch.setattr(J, "SMALL", small)
+    monkeypatch.setattr(J, "REST", rest)
     monkeypatch.setattr(J, "PIVOTS", 2)
     random.seed(5)
     words = [f"w{k}" for k in range(400)]
