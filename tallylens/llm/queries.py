@@ -58,4 +58,16 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_packing, op3_lm_score, op4_jaccard_join, op5_pii, op6_decontamination, op7_toxicity, op8_token_files, op9_language, op10_embedding_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id a, b.vec_id b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+        r(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.c = l.a),
+        m AS (SELECT vec_id, min(c) component_id FROM r GROUP BY vec_id),
+        n AS (SELECT a, count(*) n_links FROM l GROUP BY a)
+        SELECT m.vec_id, coalesce(n_links, 0) n_links, component_id, m.vec_id = component_id kept FROM m LEFT JOIN n ON n.a = m.vec_id
+    """,
+}

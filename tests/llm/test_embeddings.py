@@ -75,3 +75,14 @@ def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (10, 9), (9, 8), (20, 20), (30, None), (4, 1)] + [(100, k) for k in range(101, 140)]
     got = {(r.id, r.component) for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {(k, 1) for k in (1, 2, 3, 4)} | {(k, 8) for k in (8, 9, 10)} | {(k, 100) for k in range(100, 140)}
+
+
+def test_oracle(spark):
+    import duckdb
+    from tallylens.llm.queries import ORACLE_SQL, QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    want = {(r[0], r[1], r[2], r[3]) for r in duckdb.sql(ORACLE_SQL["op10_embedding_dedup"]).fetchall()}
+    got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in QUERIES["op10_embedding_dedup"](spark, sf).collect()}
+    assert got == want
