@@ -601,3 +601,103 @@ def img_ink_features(s, d):
 @query()
 def img_capa1_scores(s, d):
     return vision.scored_cells(_pixel_cells(s, d), F.col("pixels")).select("vec_id", "score_ink", "score_density", "score_thickness", "score")
+
+
+@query()
+def img_double_stroke(s, d):
+    """Additive score of ink, thickness and spread, up to 1; flagged from 0.5 on."""
+    f = _pixel_cells(s, d).select("vec_id", vision.ink_features("pixels").alias("f"))
+    score = F.when(F.col("f.ink") > 0.4, 0.3).otherwise(0.0) + F.when(F.col("f.thickness") > 3, 0.3).otherwise(0.0) + F.when(F.col("f.density_std") > 50, 0.4).otherwise(0.0)
+    return f.select("vec_id", F.least(score, F.lit(1.0)).alias("score"), (score >= 0.5).alias("flag"))
+
+
+@query()
+def img_otsu(s, d):
+    return _pixel_cells(s, d).select("vec_id", vision.ink_features("pixels").alias("f")).select("vec_id", "f.otsu", "f.otsu_ink")
+
+
+# --- universe, pages, batches, rates: further operators
+
+
+@query("SELECT lpad(CAST(s_nationkey AS VARCHAR),2,'0') dep, lpad(CAST(s_suppkey%400 AS VARCHAR),3,'0') muni, s_name expected_name FROM supplier WHERE s_suppkey%5<>0")
+def universe_flatten(s, d):
+    from tallylens.sources.universe import flatten_universe
+
+    node = F.struct(F.col("s_nationkey").cast("string").alias("idDepartmentCode"), (F.col("s_suppkey") % 400).cast("string").alias("municipalityCode"), F.when(F.col("s_suppkey") % 5 != 0, F.col("s_name")).otherwise("").alias("expectedName"))
+    block = F.struct(F.array(node).alias("nodes"))
+    raw = V.load(s, d, "supplier").select(F.to_json(F.struct(F.struct(block.alias("b")).alias("data"))).alias("value"))
+    return flatten_universe(raw).select("dep", "muni", "expected_name")
+
+
+@query("SELECT user_id acta, CAST(sum(event_id%3) AS BIGINT) codes, min(CASE WHEN event_id%4=0 THEN event_id END) first_qr, bool_or(event_id%5=1) mismatch FROM events GROUP BY user_id")
+def qr_pages(s, d):
+    k = F.col("event_id")
+    return V.load(s, d, "events").groupBy(F.col("user_id").alias("acta")).agg(F.sum(k % 3).alias("codes"), F.min(F.when(k % 4 == 0, k)).alias("first_qr"), F.bool_or(k % 5 == 1).alias("mismatch"))
+
+
+@query("SELECT page, id, CASE WHEN r<=5 AND conf>20 THEN true ELSE false END sent FROM (SELECT page, id, conf, row_number() OVER (PARTITION BY page ORDER BY conf DESC, id) r FROM det)")
+def vlm_top_then_filter(s, d):
+    from pyspark.sql import Window as W
+
+    rank = F.row_number().over(W.partitionBy("page").orderBy(F.desc("conf"), "id"))
+    return V.det(s, d).withColumn("r", rank).select("page", "id", ((F.col("r") <= 5) & (F.col("conf") > 20)).alias("sent"))
+
+
+@query("SELECT vec_id, label, CASE WHEN label=0 THEN 'header' WHEN label=1 THEN 'table' WHEN label=2 THEN 'signatures' ELSE 'other' END region, CAST(floor(label*0.125*3609) AS INTEGER) x FROM embeddings")
+def layout_regions(s, d):
+    k = F.col("label")
+    name = F.when(k == 0, "header").when(k == 1, "table").when(k == 2, "signatures").otherwise("other")
+    return V.load(s, d, "embeddings").select("vec_id", "label", name.alias("region"), F.floor(k * 0.125 * 3609).cast("int").alias("x"))
+
+
+@query("SELECT dep, list_aggregate(list_sort(list(DISTINCT estado)),'string_agg',',') estados FROM actas GROUP BY dep")
+def distinct_states(s, d):
+    return V.actas(s, d).groupBy("dep").agg(F.array_join(F.array_sort(F.collect_set("estado")), ",").alias("estados"))
+
+
+@query("SELECT id, votos FROM (SELECT id, CAST(c1 AS VARCHAR)||','||CAST(c2 AS VARCHAR) votos FROM actas) WHERE votos IS NOT NULL")
+def merged_page_votes(s, d):
+    """Maps of two pages merged, the later page winning on a shared key."""
+    one = F.create_map(F.lit("a"), F.col("c1"), F.lit("b"), F.lit(0).cast("long"))
+    two = F.create_map(F.lit("b"), F.col("c2"))
+    merged = F.map_from_entries(F.concat(F.filter(F.map_entries(one), lambda e: ~F.map_contains_key(two, e["key"])), F.map_entries(two)))
+    return V.actas(s, d).select("id", F.concat_ws(",", merged["a"].cast("string"), merged["b"].cast("string")).alias("votos"))
+
+
+@query("SELECT id, CASE WHEN id%7=3 THEN 409 WHEN id%7=4 THEN 404 WHEN id%7=5 THEN 500 ELSE 200 END code FROM actas")
+def vote_error_codes(s, d):
+    k = F.col("id") % 7
+    text = F.when(k == 3, "Esta discrepancia ya fue votada").when(k == 4, "Discrepancia no encontrada").when(k == 5, "fallo interno")
+    code = F.when(text.isNull(), 200).when(F.contains(F.lower(text), F.lit("ya")) | F.contains(F.lower(text), F.lit("congelada")), 409).when(F.contains(F.lower(text), F.lit("no encontrada")), 404).otherwise(500)
+    return V.actas(s, d).select("id", code.alias("code"))
+
+
+@query("SELECT id, CASE WHEN id%3=0 THEN NULL ELSE '{\"estado\":\"'||estado||'\"}' END doc, CASE WHEN id%3=0 THEN NULL ELSE estado END parsed FROM actas")
+def acta_detail_json(s, d):
+    doc = F.when(F.col("id") % 3 != 0, F.to_json(F.struct("estado")))
+    return V.actas(s, d).select("id", doc.alias("doc"), F.from_json(doc, "estado string")["estado"].alias("parsed"))
+
+
+@query("SELECT a.id, coalesce(len(f.rules),0) n, coalesce(array_to_string(list_sort(f.rules),','),'') rules FROM actas a LEFT JOIN (SELECT acta_id, list(rule) rules FROM found GROUP BY acta_id) f ON f.acta_id=a.id")
+def acta_children(s, d):
+    kids = V.found(s, d).groupBy("acta_id").agg(F.collect_list("rule").alias("rules"))
+    rows = V.actas(s, d).select("id").join(kids.withColumnRenamed("acta_id", "id"), "id", "left")
+    return rows.select("id", F.coalesce(F.size("rules").cast("long"), F.lit(0)).alias("n"), F.coalesce(F.array_join(F.array_sort("rules"), ","), F.lit("")).alias("rules"))
+
+
+@query("SELECT coalesce(h.id,c.id) id, CASE WHEN h.id IS NOT NULL THEN 'hot' ELSE 'cold' END place FROM (SELECT id FROM tables WHERE id%3=0) h FULL JOIN (SELECT id FROM tables WHERE id%2=0) c ON c.id=h.id")
+def object_lookup(s, d):
+    t = V.tables(s, d)
+    hot, cold = t.where("id % 3 = 0").select("id", F.lit("hot").alias("h")), t.where("id % 2 = 0").select("id", F.lit("cold").alias("c"))
+    return hot.join(cold, "id", "full").select("id", F.coalesce("h", "c").alias("place"))
+
+
+@query("SELECT count(*) n, count(CASE WHEN status<>'error' THEN 1 END) done, count(CASE WHEN status='error' THEN 1 END) errors, least(count(*),3) workers FROM tables")
+def batch_outcome(s, d):
+    return V.tables(s, d).agg(F.count("*").alias("n"), F.count_if(F.col("status") != "error").alias("done"), F.count_if(F.col("status") == "error").alias("errors"), F.least(F.count("*"), F.lit(3)).alias("workers"))
+
+
+@query("SELECT id, e11<>urna AND abs(e11-urna)>10 AS invalid, CASE WHEN firmas BETWEEN 0 AND 6 THEN 'ok' ELSE 'range' END checked FROM actas")
+def range_checks(s, d):
+    gap = F.abs(F.col("e11") - F.col("urna"))
+    return V.actas(s, d).select("id", ((F.col("e11") != F.col("urna")) & (gap > 10)).alias("invalid"), F.when(F.col("firmas").between(0, 6), "ok").otherwise("range").alias("checked"))
