@@ -1,8 +1,9 @@
 """N-gram Jaccard self-join of documents by a grouped prefix join, and its connected classes.
 
-1. Order. Shingles are hashed to 64 bits; a count of all shingles in CELLS cells gives each a level (how far its
-   cell is above the mean), and shingles are ordered by (level, hash). Any fixed order is correct; this one puts
-   passages that many documents share behind a document's own words, so they hardly enter a prefix.
+1. Order. Shingles are hashed to 64 bits. A count of all shingles in CELLS cells gives each a level (how far its
+   cell is above the mean), a count of all words in CELLS cells gives each word a cost (the logarithm of its share),
+   and shingles are ordered by level, then rarest words first, then hash. Any fixed order is correct; this one puts
+   shared passages and runs of common words behind a document's own words, so they hardly enter a prefix.
 2. Classes. Documents with the same set of shingles are one class (a 64-bit key of its size and two set hashes).
 3. Groups. Two sets with Jaccard >= t share one of their first n - ceil(t n) + 1 shingles. Classes with the same
    prefix and size are one group with one entry in the inverted lists.
@@ -48,14 +49,15 @@ BROADCAST = 1_000_000
 _CHUNK = 1 << 13
 
 
-def shingles(raw: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles of lower-cased rows, and where each row's begin (n + 1 positions)."""
+def shingles(raw: np.ndarray, offs: np.ndarray, width: int, costs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all shingles of lower-cased rows, where each row's begin (n + 1 positions), and the hashes of all
+    words, or with `costs` (by cell) the summed costs of each shingle's words."""
     n = len(offs) - 1
     starts, ends, rows = runs(~WHITE[raw], offs)
     first = row_ends(rows, n)
     words = np.diff(first)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64), np.zeros(0, np.uint64)
     h = run_hashes(raw, starts, ends)
     room = max(len(h) - width + 1, 0)
     joined = np.zeros(len(h), np.uint64)
@@ -74,22 +76,29 @@ def shingles(raw: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray,
         keep[first[r]] = True
     out = np.zeros(n + 1, np.int64)
     np.cumsum(size, out=out[1:])
-    return joined[keep], out
+    if costs is None:
+        return joined[keep], out, h
+    own = costs[(h >> np.uint64(45)).astype(np.int64)].astype(np.int64)
+    total = np.zeros(len(h), np.int64)
+    for k in range(width):
+        total[:room] += own[k : k + room]
+    return joined[keep], out, total[keep]
 
 
-def cell_levels(docs: DataFrame, width: int) -> np.ndarray:
-    """Level of each cell: 0 up to 1.3 times the mean count, then four to each doubling."""
+def cell_levels(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """By cell: the level of shingles (0 up to 1.3 times the mean count, then four to each doubling), and the cost of
+    words (four to each halving of their share, 255 / width at most)."""
     kinds = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros(2 * CELLS, np.int64)
         for batch in batches:
             for _, _, raw, offs in blocks(*texts(batch.column(0))):
-                h, _ = shingles(lowered(raw), offs, width)
-                total += np.bincount((h >> np.uint64(45)).astype(np.int64), minlength=CELLS)
+                h, _, words = shingles(lowered(raw), offs, width)
+                total[:CELLS] += np.bincount((h >> np.uint64(45)).astype(np.int64), minlength=CELLS)
+                total[CELLS:] += np.bincount((words >> np.uint64(45)).astype(np.int64), minlength=CELLS)
         if total.any():
-            small = total.astype("<u4") if total.max() < 1 << 32 else total
-            parts = [small[k : k + _CHUNK].astype("<i8").tobytes() for k in range(0, CELLS, _CHUNK)]
+            parts = [total[k : k + _CHUNK].astype("<i8").tobytes() for k in range(0, 2 * CELLS, _CHUNK)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], schema=kinds)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,38 +111,45 @@ def cell_levels(docs: DataFrame, width: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], schema=kinds)
 
     schema = "chunk int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition(CELLS // _CHUNK, "chunk").mapInArrow(add, schema).collect()  # CELLS counts
-    total = np.zeros(CELLS, np.int64)
+    rows = docs.select("text").mapInArrow(count, schema).repartition(CELLS // _CHUNK, "chunk").mapInArrow(add, schema).collect()  # 2 x CELLS counts
+    total = np.zeros(2 * CELLS, np.int64)
     for r in rows:
         total[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.counts, "<i8")
-    ratio = total / max(total.mean(), 1.0)
-    return np.where(ratio < 1.3, 0, np.minimum(1 + np.floor(4 * np.log2(np.maximum(ratio, 1))), 255)).astype(np.uint8)
+    ratio = total[:CELLS] / max(total[:CELLS].mean(), 1.0)
+    levels = np.where(ratio < 1.3, 0, np.minimum(1 + np.floor(4 * np.log2(np.maximum(ratio, 1))), 127)).astype(np.uint8)
+    share = np.maximum(total[CELLS:], 1) / max(total[CELLS:].sum(), 1)
+    return levels, np.minimum(np.floor(-4 * np.log2(share)), 255 // width).astype(np.uint8)
 
 
-def _sets(raw: np.ndarray, offs: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, int, int]]:
-    """(row, sorted distinct shingles, class key, size) of rows with shingles."""
-    h, first = shingles(raw, offs, width)
+def _sets(raw: np.ndarray, offs: np.ndarray, width: int, costs: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, int, int, np.ndarray | None]]:
+    """(row, sorted distinct shingles, class key, size, costs of the shingles) of rows with shingles."""
+    h, first, cost = shingles(raw, offs, width, costs)
     for r in np.flatnonzero(np.diff(first)).tolist():
-        u = np.unique(h[first[r] : first[r + 1]])
+        own = None
+        if costs is None:
+            u = np.unique(h[first[r] : first[r + 1]])
+        else:
+            u, at = np.unique(h[first[r] : first[r + 1]], return_index=True)
+            own = cost[first[r] + at]
         s1, s2 = np.add.reduce(u), np.add.reduce(mixed(u ^ np.uint64(0x5851F42D4C957F2D)))
         key = mixed(np.array([s1 ^ np.uint64(len(u)), s2], np.uint64))
-        yield r, u, int((key[0] + key[1] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)), len(u)
+        yield r, u, int((key[0] + key[1] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)), len(u), own
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, cid, n, the prefix in order and the bit sketch of every document; cid is null without shingles."""
-    levels = docs.sparkSession.sparkContext.broadcast(cell_levels(docs, width))  # CELLS bytes
+    levels = docs.sparkSession.sparkContext.broadcast(cell_levels(docs, width))  # 2 x CELLS bytes
     kinds = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = levels.value
+        level, costs = levels.value
         for batch in batches:
             for a, b, raw, offs in blocks(*texts(batch.column(1))):
                 cid, n, prefix, bits = [None] * (b - a), [0] * (b - a), [None] * (b - a), [None] * (b - a)
                 with np.errstate(over="ignore"):
-                    for r, u, key, size in _sets(lowered(raw), offs, width):
+                    for r, u, key, size, cost in _sets(lowered(raw), offs, width, costs):
                         p = size - (percent * size + 99) // 100 + 1
-                        token = level[(u >> np.uint64(45)).astype(np.int64)].astype(np.uint64) << np.uint64(55) | u >> np.uint64(9)
+                        token = level[(u >> np.uint64(45)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | (255 - cost).astype(np.uint64) << np.uint64(48) | u >> np.uint64(16)
                         cid[r], n[r], prefix[r] = key, size, np.sort(np.partition(token, p - 1)[:p]).view(np.int64)
                         odd = np.bincount((u & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
                         bits[r] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
@@ -182,7 +198,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
             batch = batch.filter(pa.array(_passes(filter_.value, np.asarray(batch.column(1)))))
             for _, _, raw, offs in blocks(*texts(batch.column(0))):
                 with np.errstate(over="ignore"):
-                    found = [(key, (u if wide else u >> np.uint64(32)).astype(kind).tobytes()) for _, u, key, _ in _sets(lowered(raw), offs, width)]
+                    found = [(key, (u if wide else u >> np.uint64(32)).astype(kind).tobytes()) for _, u, key, _, _ in _sets(lowered(raw), offs, width)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds.types, strict=True)], schema=kinds)
 

@@ -53,7 +53,7 @@ def test_shingles_equal_plain_sets():
     raw = np.frombuffer("".join(texts_).encode(), np.uint8)
     offs = np.cumsum([0] + [len(t.encode()) for t in texts_])
     for width in (1, 2, 3, 5):
-        h, first = J.shingles(J.lowered(raw), offs, width)
+        h, first, _ = J.shingles(J.lowered(raw), offs, width)
         sizes = [len(np.unique(h[a:b])) for a, b in zip(first[:-1], first[1:])]
         assert sizes == [len(plain_set(t, width)) for t in texts_]
         same = {t: np.unique(h[a:b]).tobytes() for t, a, b in zip(texts_, first[:-1], first[1:])}
