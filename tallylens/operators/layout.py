@@ -67,3 +67,16 @@ def neighbour_overlaps(rows: DataFrame, page: str) -> DataFrame:
 def padded_box(x: Column, y: Column, w: Column, h: Column, pad: int, width: Column, height: Column) -> Column:
     x0, y0 = F.greatest(x - pad, F.lit(0)), F.greatest(y - pad, F.lit(0))
     return F.struct(x0.alias("x0"), y0.alias("y0"), F.least(x + w + pad, width).alias("x1"), F.least(y + h + pad, height).alias("y1"))
+
+
+def rotation(lines: DataFrame, page: str) -> DataFrame:
+    """Median angle in degrees of the near-horizontal lines (dx, dy) of each page, to two places; 0 under five lines."""
+    angle = F.degrees(F.atan2("dy", "dx"))
+    near = lines.withColumn("angle", F.when(F.abs(angle) < 3, angle))
+    middle = F.when(F.count("angle") < 5, 0.0).otherwise(F.round(F.median("angle"), 2))
+    return near.groupBy(page).agg(middle.alias("angle"), F.count("angle").alias("lines"))
+
+
+def crop(pixels: Column, y0: Column, y1: Column, x0: Column, x1: Column) -> Column:
+    """Part of a 2-D pixel array, ends exclusive."""
+    return F.transform(F.slice(pixels, y0 + 1, y1 - y0), lambda row: F.slice(row, x0 + 1, x1 - x0))

@@ -65,3 +65,22 @@ def scored_cells(cells: DataFrame, pixels: Column) -> DataFrame:
     thick = F.when(F.col("f.thickness") < 2, (2 - F.col("f.thickness")) / 4).when(F.col("f.thickness") > 8, F.least((F.col("f.thickness") - 8) / 8, F.lit(1.0))).otherwise(0.0)
     rows = rows.select("*", thickness_band(F.col("f.ink")).alias("score_ink"), spread.alias("score_density"), thick.alias("score_thickness"))
     return rows.withColumn("score", (F.col("score_ink") + F.col("score_density") + F.col("score_thickness")) / 3)
+
+
+def resize(side: int):
+    """A pandas UDF that resizes square gray cells to side x side by the nearest pixel."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def run(pixels: pd.Series) -> pd.Series:
+        out = []
+        for flat in pixels:
+            a = np.asarray(flat if flat is not None else [], np.int64)
+            n = int(np.sqrt(len(a)))
+            if not n:
+                out.append([0] * side * side)
+                continue
+            at = (np.arange(side) * n) // side
+            out.append(a[: n * n].reshape(n, n)[np.ix_(at, at)].reshape(-1).tolist())
+        return pd.Series(out)
+
+    return run

@@ -701,3 +701,32 @@ def batch_outcome(s, d):
 def range_checks(s, d):
     gap = F.abs(F.col("e11") - F.col("urna"))
     return V.actas(s, d).select("id", ((F.col("e11") != F.col("urna")) & (gap > 10)).alias("invalid"), F.when(F.col("firmas").between(0, 6), "ok").otherwise("range").alias("checked"))
+
+
+# --- compositions and page geometry
+
+
+@query(f"SELECT r.id, CAST(risk AS BIGINT) risk, {_LEVEL} level, coalesce(n,0) findings FROM ({_RISK}) r LEFT JOIN (SELECT acta_id, count(*) n FROM found GROUP BY acta_id) f ON f.acta_id=r.id")
+def document_analysis(s, d):
+    """The whole analysis of a sheet: rules, mathematics, signatures, risk and its findings, in one row."""
+    n = rules.findings(V.actas(s, d)).groupBy(F.col("acta_id").alias("id")).agg(F.count("*").alias("findings"))
+    return _risk(s, d).select("id", "risk", "level").join(n, "id", "left").withColumn("findings", F.coalesce("findings", F.lit(0)))
+
+
+@query()
+def page_rotation(s, d):
+    lines = V.det(s, d).select("page", (F.col("w") * 20).alias("dx"), (F.col("y") % 41 - 20).alias("dy"))
+    return layout.rotation(lines, "page")
+
+
+@query()
+def img_resized(s, d):
+    return _pixel_cells(s, d).select("vec_id", F.array_join(vision.resize(4)("pixels").cast("array<string>"), " ").alias("pixels"))
+
+
+@query("SELECT vec_id, CAST(embedding[10]>0 AS INTEGER) a, CAST(embedding[20]>0 AS INTEGER) b FROM embeddings")
+def img_region(s, d):
+    """Rows 1-2 and columns 1-3 of the 8 x 8 cell; its first and last pixel."""
+    grid = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.transform(F.slice("embedding", y * 8 + 1, F.lit(8)), lambda x: (x > 0).cast("int")))
+    part = layout.crop(grid, F.lit(1), F.lit(3), F.lit(1), F.lit(4))
+    return V.load(s, d, "embeddings").select("vec_id", part.alias("p")).select("vec_id", F.col("p")[0][0].alias("a"), F.col("p")[1][2].alias("b"))
