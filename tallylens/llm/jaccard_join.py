@@ -7,13 +7,15 @@
 2. Classes. Documents with the same set of shingles are one class (a 64-bit key of its size and two set hashes).
 3. Groups. Two sets with Jaccard >= t share one of their first n - ceil(t n) + 1 shingles. Classes with the same
    prefix and size are one group with one entry in the inverted lists.
-4. Pairs. In a group, each member pairs with the first; in each list, each group pairs with the list's first,
-   if their sizes and the places of the shingle allow the threshold. Pairs are verified on whole sets, which are
-   read again for the classes in pairs only. So each list makes as many pairs as it has entries, however large.
+4. Pairs. Lists are cut into bands of sizes that can reach the threshold together. In a group, each member pairs
+   with the first; in each list, each group pairs with the list's first, if their sizes, the places of the shingle
+   and their short sketches allow the threshold, which the join tests before it makes a row. Pairs are verified on
+   whole sets, which are read again for the classes in pairs only.
 5. Rest. Lists whose members, expanded to classes, are not yet in one component go on: lists up to SMALL classes
-   with all pairs of different components, larger ones with about PIVOTS members against all, which then leave
-   the list. This ends when every list is in one component or all its pairs were compared: no link between two
-   components is missed, while members of one component need not meet.
+   (or all, if they cost at most REST tests a class) are tested for all pairs of different components, larger ones
+   with some members against all, which then leave the list: as many as REST tests a class allow, PIVOTS at least.
+   This ends when every list is in one component or all its pairs were tested: no link between two components is
+   missed, while members of one component need not meet.
 
 Defined results: null and empty texts and texts without words have no shingles, link with nothing and are their
 own component; texts with fewer words than a shingle have their whole sequence as one; repeated rows and rows
@@ -23,6 +25,7 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +42,8 @@ CELLS = 1 << 19
 #: as sets differ in shingles.
 BITS = 512
 SMALL = 48
-#: Pairs for each class up to which the rest of all lists is compared at once.
-REST = 16
+#: Tests for each class in one round over the rest of all lists, and members of a large list that each round takes at least.
+REST = 256
 PIVOTS = 8
 #: Bits of the filter that says which documents are read again for their sets; false hits are joined away.
 BLOOM_BITS = 1 << 27
@@ -227,25 +230,43 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
 
 
 def _possible(percent: int):
-    """Sizes n1, n2 and places p1, p2 of a common shingle leave room for the threshold."""
+    """Sizes n1, n2, places p1, p2 of a common shingle and folded sketches f, g leave room for the threshold."""
     n1, n2, p1, p2 = (F.col(c) for c in ("n1", "n2", "p1", "p2"))
     need = (n1 + n2) * percent / (100 + percent)
-    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) + F.least(p1, p2) >= need - 1e-6)
+    differ = F.bit_count(F.col("f1").bitwiseXOR(F.col("f2"))) + F.bit_count(F.col("g1").bitwiseXOR(F.col("g2")))
+    near = differ <= n1 + n2 - 2 * F.ceil(need - 1e-6)
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) + F.least(p1, p2) >= need - 1e-6) & near
+
+
+def _folded(bits: str, first: int):
+    """Every second word of a sketch in one: with both halves, a sketch of 128 bits."""
+    out = F.col(bits)[first]
+    for k in range(first + 2, BITS // 64, 2):
+        out = out.bitwiseXOR(F.col(bits)[k])
+    return out
+
+
+def _banded(entries: DataFrame, percent: int) -> DataFrame:
+    """entries with their lists cut by size: sizes that allow the threshold are in one band or in neighbours, and each
+    entry is in the lists of its own and the next band."""
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9)
+    both = entries.withColumn("band", F.explode(F.array(band, band + 1)))
+    return both.withColumn("token", F.xxhash64("token", "band")).drop("band")
 
 
 def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id and cid (the class of equal sets) of every document."""
     signed = settle(signatures(docs, width, percent), "join-signatures")
     classes = signed.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-    classes = settle(classes.withColumn("same", F.xxhash64("n", "prefix")), "join-classes")
+    classes = settle(classes.withColumns({"same": F.xxhash64("n", "prefix"), "f": _folded("bits", 0), "g": _folded("bits", 1)}), "join-classes")
     groups = classes.groupBy("same").agg(F.min("cid").alias("gid"), F.first("n").alias("n"), F.count("*").alias("size"))
     # members of groups with one member are their group; only the others are kept as a table
-    grouped = settle(classes.select("cid", "same").join(groups.where("size > 1").select("same", "gid"), "same").select("cid", "gid"), "join-groups")
+    grouped = settle(classes.select("cid", "same", "f", "g").join(groups.where("size > 1").select("same", "gid"), "same").select("cid", "gid", "f", "g"), "join-groups")
     heads = classes.join(grouped.where("cid <> gid").select("cid"), "cid", "left_anti") if grouped.limit(1).count() else classes
     lists = settle(heads.select(F.explode("prefix").alias("x")).groupBy("x").count().where("count > 1").select("x"), "join-tokens")
     bits, bitmap = _bitmap(lists)
     filter_ = docs.sparkSession.sparkContext.broadcast(bitmap)  # lets few entries of single tokens into the exact join
-    spread = heads.select("cid", "n", "prefix", F.transform("prefix", lambda t: F.pmod(F.xxhash64(t), F.lit(bits))).alias("h"))
+    spread = heads.select("cid", "n", "prefix", F.transform("prefix", lambda t: F.pmod(F.xxhash64(t), F.lit(bits))).alias("h"), "f", "g")
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,38 +275,40 @@ def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
             place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
             hit = np.flatnonzero(_passes(filter_.value, np.asarray(batch.column(3).flatten())))
             at = pa.array(row[hit])
-            yield pa.RecordBatch.from_arrays([batch.column(2).flatten().take(pa.array(hit)), batch.column(0).take(at), batch.column(1).take(at), pa.array(place[hit])], names=["token", "id", "n", "p"])
+            yield pa.RecordBatch.from_arrays([batch.column(2).flatten().take(pa.array(hit)), batch.column(0).take(at), batch.column(1).take(at), pa.array(place[hit]), batch.column(4).take(at), batch.column(5).take(at)], names=["token", "id", "n", "p", "f", "g"])
 
-    entries = spread.mapInArrow(enter, "token long, id long, n long, p long")
+    entries = spread.mapInArrow(enter, "token long, id long, n long, p long, f long, g long")
     entries = settle(entries.join(lists.withColumnRenamed("x", "token"), "token", "left_semi"), "join-lists")
-    first = entries.groupBy("token").agg(F.min(F.struct("id", "n", "p")).alias("head"))
+    banded = _banded(entries, percent)
+    first = banded.groupBy("token").agg(F.min(F.struct("id", "n", "p", "f", "g")).alias("head"))
 
-    star = entries.join(first, "token").where("id <> head.id").select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.n").alias("n1"), F.col("n").alias("n2"), F.col("head.p").alias("p1"), F.col("p").alias("p2"))
+    star = banded.join(first, "token").where("id <> head.id").select(F.col("head.id").alias("a"), F.col("id").alias("b"), *[F.col(f"head.{c}").alias(f"{c}1") for c in "npfg"], *[F.col(c).alias(f"{c}2") for c in "npfg"])
     pairs = star.where(_possible(percent)).select("a", "b").union(grouped.where("cid <> gid").select(F.col("gid"), F.col("cid")))
     checked = _sketched(pairs.distinct(), classes, percent)
     links = _verified(checked, docs, classes, width, percent)
     components = connected_components(links)
 
     # lists of classes, for those lists that are not in one component
-    whole = entries.select("token", "id", "n", "p")
+    whole = entries.select("token", "id", "n", "p", "f", "g")
     if grouped.limit(1).count():
-        more = whole.join(grouped.where("cid <> gid").select(F.col("gid").alias("id"), "cid"), "id").select("token", F.col("cid").alias("id"), "n", "p")
-        alone = grouped.where("cid <> gid").select(F.col("gid").alias("g"), F.col("cid"))
-        inner = classes.select("cid", "n", "prefix").join(alone, "cid")
-        inner = inner.union(classes.select("cid", "n", "prefix").join(alone.select("g").distinct().select(F.col("g").alias("cid")), "cid").select("cid", "n", "prefix", F.col("cid").alias("g")))
+        rest = grouped.where("cid <> gid")
+        more = whole.drop("f", "g").join(rest.withColumnRenamed("gid", "id"), "id").select("token", F.col("cid").alias("id"), "n", "p", "f", "g")
         # a group's own list: its members share every shingle of the prefix, the first stands for all
-        whole = whole.union(more).union(inner.select(F.col("prefix")[0].alias("token"), "cid", "n", F.lit(0))).distinct()
+        inner = classes.join(grouped.select("cid"), "cid").select(F.col("prefix")[0].alias("token"), F.col("cid").alias("id"), "n", F.lit(0).cast("long").alias("p"), "f", "g")
+        whole = whole.union(more).union(inner).distinct()
+    whole = _banded(whole, percent)
     turn, total = 0, max(classes.count(), 1)
     while True:
         turn += 1
         state = whole.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
         spread = state.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token", "c")
         state = settle(state.join(spread, "token"), "join-rest")
-        cost = state.agg(F.sum("c")).first()[0] or 0
+        cost, large = state.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > SMALL, 1))).first()
         left = F.lit(cost <= REST * total) | (F.col("c") <= SMALL)
-        lead = F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest(F.ceil(F.col("c") / PIVOTS), F.lit(1)).cast("long")) == 0
-        one = state.where(left | lead).select("token", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("p").alias("p1"), F.col("component").alias("c1"))
-        two = state.select("token", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("component").alias("c2"), left.alias("small"))
+        pivots = max(PIVOTS, REST * total // max(large, 1))
+        lead = F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest(F.ceil(F.col("c") / pivots), F.lit(1)).cast("long")) == 0
+        one = state.where(left | lead).select("token", F.col("id").alias("a"), *[F.col(c).alias(f"{c}1") for c in "npfg"], F.col("component").alias("c1"))
+        two = state.select("token", F.col("id").alias("b"), *[F.col(c).alias(f"{c}2") for c in "npfg"], F.col("component").alias("c2"), left.alias("small"))
         pairs = one.join(two, "token").where((F.col("c1") != F.col("c2")) & (~F.col("small") | (F.col("a") < F.col("b")))).where(_possible(percent))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = pairs.join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
@@ -296,7 +319,7 @@ def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
             links = links.union(found)
             if found.limit(1).count():
                 components = connected_components(links)
-        whole = state.where(~left & ~lead).select("token", "id", "n", "p")
+        whole = state.where(~left & ~lead).select("token", "id", "n", "p", "f", "g")
         if not whole.limit(1).count():
             break
     named = classes.select("cid", "doc").join(components.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
