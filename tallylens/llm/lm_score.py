@@ -2,9 +2,10 @@
 
 Model. A trie of byte contexts up to ORDER bytes over the lower-cased training texts, each between marks of byte
 0xFF (which no UTF-8 text holds). Spark counts the (ORDER + 1)-grams of all training documents; counts are added
-up by partition and shuffled in packed chunks, so what is gathered grows with the corpus. If more than NODES grams
-remain, those of the least counts go, which bounds the broadcast (12 bytes a gram); shorter contexts are sums of
-longer ones. In a context with N occurrences of d symbols, a symbol seen n times has (2n - 1) / 2N and the escape
+up by partition and shuffled in packed chunks, one for each group of contexts by their last two bytes. No gram is
+dropped: a chunk holds all grams of its contexts of two bytes or more, of which shorter contexts are sums, and the
+counts of byte pairs (65,536 at most) are broadcast for the orders below. A slab of documents sends its distinct grams
+to the chunks, which answer with a probability for each, and the slab's text is scored from these. In a context with N occurrences of d symbols, a symbol seen n times has (2n - 1) / 2N and the escape
 d / 2N; after an escape the shorter context leaves out the symbols of the longer one; below the empty
 context the bytes never seen are equally likely. The score is the base-10 logarithm of the product over all bytes
 of a text and its end mark: its adaptive code length under the pretrained trie.
@@ -21,8 +22,8 @@ and the model's bytes are equally likely; an empty table gives no rows; other co
 
 from __future__ import annotations
 
+import itertools
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +35,11 @@ from pyspark.sql import functions as F
 from .common import WHITE, blocks, fold, lowered, mixed, run_hashes, runs, settle, texts
 
 ORDER = 5
-#: Grams of the trie that is broadcast, at most.
+#: Grams that pruned() keeps unless told otherwise; the scores use all grams.
 NODES = 4_000_000
 MARK = 0xFF
-CHUNKS = 64
+#: Groups of contexts, and the grams that a task holds before it sends their counts.
+CHUNKS, HELD = 256, 3_000_000
 #: Bytes and documents of a slab.
 SLAB_BYTES, SLAB_DOCS = 8 << 20, 60_000
 
@@ -63,6 +65,18 @@ def gram_keys(text: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
     return key[places]
 
 
+def chunks_of(keys: np.ndarray) -> np.ndarray:
+    """The chunk of each gram, by the last two bytes of its context."""
+    return (mixed((keys >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(CHUNKS)).astype(np.int64)
+
+
+def by_chunk(keys: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """An order of the sorted keys by chunk and key, and where in it each chunk begins and ends."""
+    chunk = chunks_of(keys)
+    order = np.argsort(chunk, kind="stable")
+    return order, np.searchsorted(chunk[order], np.arange(CHUNKS + 1)).tolist()
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
     """(chunk, keys, counts) of all (ORDER + 1)-grams of docs(text), packed; settled."""
     kinds = pa.schema([("chunk", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -76,19 +90,26 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1].astype("<u8").tobytes() for p in parts], pa.binary()), pa.array([p[2].astype("<i8").tobytes() for p in parts], pa.binary())], schema=kinds)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [], []
+        def sent() -> pa.RecordBatch:
+            k, n = merged(keys, counts)
+            order, cuts = by_chunk(k)
+            k, n = k[order], n[order]
+            return batch_of([(c, k[a:b], n[a:b]) for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
+
+        keys, counts, least = [], [], 0
         for batch in batches:
             for _, _, raw, offs in blocks(*texts(batch.column(0))):
                 k, n = np.unique(gram_keys(*marked(lowered(raw), offs), ORDER + 1), return_counts=True)
                 keys.append(k)
                 counts.append(n)
-                if sum(map(len, keys)) > 1_500_000:
+                if sum(map(len, keys)) > 1_500_000 + 2 * least:
                     k, n = merged(keys, counts)
-                    keys, counts = [k], [n]
+                    keys, counts, least = [k], [n], len(k)
+                    if least > HELD:
+                        yield sent()
+                        keys, counts, least = [], [], 0
         if keys:
-            k, n = merged(keys, counts)
-            chunk = (mixed(k.copy()) % np.uint64(CHUNKS)).astype(np.int64)
-            yield batch_of([(c, k[chunk == c], n[chunk == c]) for c in range(CHUNKS)])
+            yield sent()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
@@ -102,11 +123,11 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield batch_of([(c, *merged(*kn)) for c, kn in held.items()])
 
-    return settle(docs.select("text").mapInArrow(count, schema).repartition(CHUNKS, "chunk").mapInArrow(add, schema), "lm-grams")
+    return settle(docs.select("text").mapInArrow(count, schema).repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "chunk").mapInArrow(add, schema), "lm-grams")
 
 
 def pruned(grams: DataFrame, nodes: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of the most frequent grams, at most `nodes`."""
+    """Sorted keys and counts of the most frequent grams, at most `nodes`: a small model to hand on. No score uses it."""
     nodes = nodes or NODES
     levels = 1 << 16
 
@@ -141,6 +162,21 @@ def pruned(grams: DataFrame, nodes: int | None = None) -> tuple[np.ndarray, np.n
     return keys[order], np.minimum(counts[order], (1 << 40))
 
 
+def pair_counts(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted pairs of bytes and their counts, 65,536 at most."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total += np.bincount((np.frombuffer(k, "<u8") & np.uint64(0xFFFF)).astype(np.int64), np.frombuffer(n, "<i8"), 1 << 16).astype(np.int64)
+        hit = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["pair", "n"])
+
+    rows = sorted(grams.select("keys", "counts").mapInArrow(add, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect())  # 65,536 rows at most
+    return np.array([r["pair"] for r in rows], np.uint64), np.array([r["n"] for r in rows], np.int64)
+
+
 class _Table:
     """Open addressing: the index of each of the distinct keys."""
 
@@ -177,17 +213,20 @@ class _Table:
 
 
 class Trie:
-    """Contexts of all orders with their log10 probabilities."""
+    """Contexts of all orders with their log10 probabilities. Where keys are those of one chunk, pairs are the counts
+    of byte pairs of all chunks."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray] | None = None):
         self.orders = []
         for k in range(ORDER, -1, -1):
             if k < ORDER:
                 short = keys & np.uint64((1 << (8 * (k + 1))) - 1)
                 keys, at = np.unique(short, return_inverse=True)
                 counts = np.bincount(at, counts, len(keys)).astype(np.int64)
+            if k == 1 and pairs is not None:
+                keys, counts = pairs
             context, first = np.unique(keys >> np.uint64(8), return_index=True)
-            of = np.repeat(np.arange(len(context)), np.diff([*first, len(keys)]))
+            of = np.repeat(np.arange(len(context)), np.diff(np.append(first, len(keys))))
             total = np.bincount(of, counts, len(context)) if len(keys) else np.zeros(0)
             kinds = np.bincount(of, minlength=len(context)) if len(keys) else np.zeros(0)
             self.orders.insert(0, {"keys": keys, "n": counts, "context": context, "of": of, "N": total, "d": kinds})
@@ -210,8 +249,10 @@ class Trie:
 
     def log10(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """log10 probability of each byte and end mark, text by text."""
-        text, places = marked(raw, offs)
-        keys = gram_keys(text, places, ORDER + 1)
+        return self.of_grams(gram_keys(*marked(raw, offs), ORDER + 1))
+
+    def of_grams(self, keys: np.ndarray) -> np.ndarray:
+        """log10 probability of the last byte of each gram after the others."""
         out = np.zeros(len(keys))
         open_, child = np.arange(len(keys)), np.full(len(keys), -1, np.int64)
         for k in range(ORDER, -1, -1):
@@ -238,28 +279,6 @@ class Trie:
         return out
 
 
-_tries: dict[str, Trie] = {}
-
-
-def _trie(model) -> Trie:
-    if model.id not in _tries:
-        _tries.clear()
-        _tries[model.id] = Trie(*model.value)
-    return _tries[model.id]
-
-
-class _Model:
-    """A broadcast of the grams, by a number that a worker knows its trie by."""
-
-    def __init__(self, spark, keys, counts):
-        self.sent = spark.sparkContext.broadcast((keys, counts))  # NODES grams at most
-        self.id = uuid.uuid4().hex
-
-    @property
-    def value(self):
-        return self.sent.value
-
-
 _PART = "range int, slab long, kind int, a binary, b binary, c binary, d binary, e binary"
 _PART_KINDS = pa.schema([("range", pa.int32()), ("slab", pa.int64()), ("kind", pa.int32())] + [(x, pa.binary()) for x in "abcde"])
 
@@ -268,12 +287,17 @@ def _parts(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PART_KINDS.types, strict=True)], schema=_PART_KINDS)
 
 
-def _slab_rows(slab: int, ids: list, train: np.ndarray, h: np.ndarray, rows: np.ndarray, score: np.ndarray, ranges: int) -> list:
-    """The slab's documents (kind 0), and per hash range its words with training counts and its pairs (kind 1)."""
+def _slab_rows(slab: int, ids: list, train: np.ndarray, h: np.ndarray, rows: np.ndarray, text: np.ndarray, sizes: np.ndarray, grams: list, ranges: int) -> list:
+    """The slab's documents (kind 0), per hash range its words with training counts and its pairs (kind 1), and per
+    chunk, as a range after those of the words, its distinct grams (kind 4)."""
     n = len(ids)
     words = np.bincount(rows, minlength=n)
     null = np.array([i is None for i in ids])
-    out = [(slab % ranges, slab, 0, np.array([i or 0 for i in ids], "<i8").tobytes(), null.tobytes(), words.astype("<i8").tobytes(), score.astype("<f8").tobytes(), train.tobytes())]
+    out = [(slab % ranges, slab, 0, np.array([i or 0 for i in ids], "<i8").tobytes(), null.tobytes(), words.astype("<i8").tobytes(), pa.compress(text.tobytes(), "zstd", asbytes=True), sizes.astype("<i8").tobytes())]
+    keys = np.unique(np.concatenate(grams))
+    order, cuts = by_chunk(keys)
+    keys = keys[order].astype("<u8")
+    out += [(ranges + c, slab, 4, keys[a:b].tobytes(), b"", b"", b"", b"") for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
     order = np.argsort(h, kind="stable")
     h, rows = h[order], rows[order]
     new = np.ones(len(h), bool)
@@ -297,6 +321,13 @@ def _slab_rows(slab: int, ids: list, train: np.ndarray, h: np.ndarray, rows: np.
     return out
 
 
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one, of which few are held at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 16):
+            yield from batch.slice(k, 16).to_pylist()
+
+
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
     """Rows of each key of a partition that is sorted by it."""
     held: list[dict] = []
@@ -314,13 +345,18 @@ def score_documents(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
     fold_ = fold("doc_id", parts)
-    model = _Model(spark, *pruned(gram_counts(docs.where(fold_ != held))))
+    grams = gram_counts(docs.where(fold_ != held))
+    pairs = spark.sparkContext.broadcast(pair_counts(grams))  # 65,536 pairs at most
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold_ != held).alias("train"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, slab = _trie(model), TaskContext.get().partitionId() << 24
-        ids, train, h, at, score, size = [], [], [], [], [], 0
+        slab = TaskContext.get().partitionId() << 24
+        ids, train, h, at, text, sizes, grams, size = [], [], [], [], [], [], [], 0
+
+        def packed() -> pa.RecordBatch:
+            return _parts(_slab_rows(slab, ids, np.concatenate(train), np.concatenate(h), np.concatenate(at), np.concatenate(text), np.concatenate(sizes), grams, ranges))
+
         for batch in batches:
             doc_ids, marks = batch.column(0).to_pylist(), np.asarray(batch.column(2).cast(pa.uint8())).astype(bool)
             for a, b, raw, offs in blocks(*texts(batch.column(1))):
@@ -328,22 +364,41 @@ def score_documents(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame
                     d = min(b, c + SLAB_DOCS)
                     part, own = raw[offs[c - a] : offs[d - a]], offs[c - a : d - a + 1] - offs[c - a]
                     if ids and (size + len(part) > SLAB_BYTES or len(ids) + d - c > SLAB_DOCS):
-                        yield _parts(_slab_rows(slab, ids, np.concatenate(train), np.concatenate(h), np.concatenate(at), np.concatenate(score), ranges))
+                        yield packed()
                         slab += 1
-                        ids, train, h, at, score, size = [], [], [], [], [], 0
+                        ids, train, h, at, text, sizes, grams, size = [], [], [], [], [], [], [], 0
                     low = lowered(part)
                     starts, ends, row = runs(~WHITE[low], own)
                     h.append(run_hashes(low, starts, ends))
                     at.append(row + len(ids))
-                    score.append(np.add.reduceat(trie.log10(low, own), own[:-1] + np.arange(d - c)))
+                    text.append(low)
+                    sizes.append(np.diff(own))
+                    grams.append(np.unique(gram_keys(*marked(low, own), ORDER + 1)))
                     ids += doc_ids[c:d]
                     train.append(marks[c:d])
                     size += len(part)
         if ids:
-            yield _parts(_slab_rows(slab, ids, np.concatenate(train), np.concatenate(h), np.concatenate(at), np.concatenate(score), ranges))
+            yield packed()
+
+    def answers(rows: Iterator[dict]) -> Iterator[tuple]:
+        """A chunk's model (kind 3, first) meets the grams of the slabs, one slab at a time."""
+        trie = None
+        for r in rows:
+            if r["kind"] == 3:
+                trie = Trie(np.frombuffer(r["a"], "<u8"), np.frombuffer(r["b"], "<i8"), pairs.value)
+            else:
+                if trie is None:  # no training text has such a context
+                    trie = Trie(np.zeros(0, np.uint64), np.zeros(0, np.int64), pairs.value)
+                yield r["range"], r["slab"], 5, b"", b"", b"", trie.of_grams(np.frombuffer(r["a"], "<u8")).astype("<f8").tobytes(), b""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, "range"):
+        for range_, rows in itertools.groupby(_single(batches), lambda r: r["range"]):
+            if range_ >= ranges:
+                found = answers(rows)
+                while out := list(itertools.islice(found, 64)):
+                    yield _parts(out)
+                continue
+            group = list(rows)
             out = [(r["range"], r["slab"], 0, r["a"], r["b"], r["c"], r["d"], r["e"]) for r in group if r["kind"] == 0]
             group = [r for r in group if r["kind"] == 1]
             if group:
@@ -364,13 +419,28 @@ def score_documents(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame
             for k in range(0, len(out), 64):
                 yield _parts(out[k : k + 64])
 
-    found = rows.mapInArrow(read, _PART).repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(meet, _PART)
+    empty = [F.lit(b"").alias(x) for x in "cde"]
+    model = grams.select((F.col("chunk") + ranges).alias("range"), F.lit(-1).cast("long").alias("slab"), F.lit(3).alias("kind"), F.col("keys").alias("a"), F.col("counts").alias("b"), *empty)
+    found = rows.mapInArrow(read, _PART).union(model).repartition(ranges, "range").sortWithinPartitions("range", "kind").mapInArrow(meet, _PART)
     found = settle(found, "lm-sums")
     seen = [np.frombuffer(r["a"], "<i8") for r in found.where("kind = 2").select("a").collect()]  # one row per range
     trained = docs.where(fold_ != held).count()
     total = int(sum(x[1] for x in seen)) + trained
     kinds = int(sum(x[0] for x in seen)) + (trained > 0)
 
+    def scored(head: dict, answers: list[dict]) -> np.ndarray:
+        """Scores of a slab's documents by the answers to its grams, chunk by chunk."""
+        offs = np.concatenate([[0], np.cumsum(np.frombuffer(head["e"], "<i8"))])
+        text = np.frombuffer(pa.decompress(head["d"], int(offs[-1]), "zstd", asbytes=True), np.uint8)
+        places = []
+        for _, _, low, own in blocks(text, offs):
+            keys, where = np.unique(gram_keys(*marked(low, own), ORDER + 1), return_inverse=True)
+            places.append((keys, where.astype(np.uint32), own))
+        keys = np.unique(np.concatenate([p[0] for p in places]))
+        value = np.zeros(len(keys))
+        value[by_chunk(keys)[0]] = np.concatenate([np.frombuffer(r["d"], "<f8") for r in answers])
+        return np.concatenate([np.add.reduceat(value[np.searchsorted(keys, k)][w], own[:-1] + np.arange(len(own) - 1)) for k, w, own in places])
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, "slab"):
             head = next(r for r in group if r["kind"] == 0)
@@ -380,8 +450,8 @@ def score_documents(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame
                 at = np.frombuffer(r["a"], "<u2")
                 sums[at] += np.frombuffer(r["b"], "<f8")
                 known[at] += np.frombuffer(r["c"], "<u4")
-            words, score = np.frombuffer(head["c"], "<i8"), np.frombuffer(head["d"], "<f8")
+            words, score = np.frombuffer(head["c"], "<i8"), scored(head, sorted((r for r in group if r["kind"] == 5), key=lambda r: r["range"]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null), pa.array(words + 1), pa.array(known + (trained > 0)), pa.array(sums + math.log10(trained + 1) - (words + 1) * math.log10(total + kinds + 1)), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    sums = found.where("kind < 2").repartition(ranges, "slab").sortWithinPartitions("slab").mapInArrow(add, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    sums = found.where("kind <> 2").repartition(ranges, "slab").sortWithinPartitions("slab").mapInArrow(add, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return sums.select("doc_id", (fold_ == held).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

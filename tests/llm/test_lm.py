@@ -103,3 +103,12 @@ def test_odd(spark, odd, empty, monkeypatch):
     assert L.score_documents(empty).count() == 0
     alone = spark.createDataFrame([(k, "some text") for k in range(60)], "doc_id long, text string").where(L.fold("doc_id", 7) == 2)
     assert {(r.base_score, r.train_tokens, round(r.score, 6)) for r in L.score_documents(alone).collect()} == {(0.0, 0, round(-10 * math.log10(256), 6))}
+
+
+def test_rare_grams_count_in_any_number(spark, monkeypatch):
+    monkeypatch.setattr(L, "NODES", 6)
+    monkeypatch.setattr(L, "HELD", 20)
+    rows = [(k, f"w{k} the {k * 7919 % 1000} house é{k}" if k % 5 else "the house") for k in range(40)]
+    got = {r.doc_id: r.score for r in L.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert all(close(got[i], ppm(train, t)) for i, t in rows)
