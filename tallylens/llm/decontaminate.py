@@ -3,13 +3,18 @@
 Words (letters, digits and bytes from 0x80) become typed placeholders where they are numbers (any digit in them),
 units (a fixed list) or names (capitalised and not first in a sentence); the others are lower-cased. Windows of
 WINDOW words of every item, with at least LITERAL literal words, are hashed; shorter items of MIN_WORDS words or
-more are one window of their own length. A bitmap of at most BITS bits over the window hashes is broadcast and
+more are one window of their own length, and so are longer items none of whose windows has LITERAL literal words,
+if the whole has them. A capitalised first word of an item is tried as a literal and as a name. Windows of the plain
+lower-cased words, with no condition, are hashed in the same pass, as an exact copy may stand in other letter case or
+hold few literal words. A bitmap of at most BITS bits over the window hashes is broadcast and
 the documents' windows are tested against it where they are read, so that only hits with their slot values are
 shuffled to the exact hash join with the items' windows.
 
 A run is what one document and one item share at one distance between their places. It counts if it has RUN
-windows, or all of a shorter item, and if its slots are consistent: within the run, equal values of the item stand for equal values
-of the document. A run with other values is a re-parameterised question, one with equal values an exact passage.
+windows, or all of a shorter item; of templates only stretches of adjacent windows count whose slots are consistent: within the
+stretch, equal values of the item stand for equal values of the document. A run with other values is a
+re-parameterised question, one with equal values an exact passage; so are plain words, if they are the whole item or
+no template run counts.
 
 Defined results: one row per contaminated document and item; null and empty texts and items, and items under
 MIN_WORDS words, match nothing; repeated documents or items are reported for each distinct (doc_id, item_id);
@@ -22,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, lowered, mixed, row_ends, run_hashes, runs, settle, texts
@@ -48,12 +53,12 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(run_hashes(raw, np.concatenate([[0], ends[:-1]]), ends))
 
 
-def canonical(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template hash, slot value or 0, row) of each word."""
+def canonical(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template hash, slot value or 0, row, hash of the word, whether it is capitalised where all words are) of each word."""
     low = lowered(raw)
     starts, ends, rows = runs(_WORD[raw], offs)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), rows
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), rows, np.zeros(0, np.uint64), np.zeros(0, bool)
     value = run_hashes(low, starts, ends)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[raw])])
     stops = np.concatenate([[0], np.cumsum(_STOP[raw])])
@@ -67,7 +72,7 @@ def canonical(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first[1:] = (rows[1:] != rows[:-1]) | (stops[starts[1:]] > stops[ends[:-1]])
     name = capital & ~first & ~number & ~unit
     template = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, value)))
-    return template, np.where(number | unit | name, value | np.uint64(1), np.uint64(0)), rows
+    return template, np.where(number | unit | name, value | np.uint64(1), np.uint64(0)), rows, value, capital & first & ~number & ~unit
 
 
 def windows(template: np.ndarray, slot: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,29 +94,47 @@ _SCHEMA = "id long, at int, h long, size int, words int, slots array<long>"
 _KINDS = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("h", pa.int64()), ("size", pa.int32()), ("words", pa.int32()), ("slots", pa.list_(pa.int64()))])
 
 
-def _rows(ids, template, slot, rows, at, h, size, n) -> pa.RecordBatch:
-    first = row_ends(rows, n)
-    slots = np.stack([slot[at + k] for k in range(size)], 1).view(np.int64) if len(at) else np.zeros((0, size), np.int64)
+def _rows(ids, slot, rows, at, h, size, n) -> pa.RecordBatch:
+    """Windows with their slots; plain ones (slot is None) have none and a size below 0."""
+    first, width = row_ends(rows, n), size
+    if slot is None:
+        size, width = -size, 0
+    slots = np.stack([slot[at + k] for k in range(width)], 1).view(np.int64) if len(at) and width else np.zeros((len(at), width), np.int64)
     flat = pa.array(slots.reshape(-1))
     return pa.RecordBatch.from_arrays(
-        [ids.take(pa.array(rows[at])), pa.array((at - first[rows[at]]).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(np.full(len(at), size, np.int32)), pa.array(np.diff(first)[rows[at]].astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, size, dtype=np.int32)), flat)],
+        [ids.take(pa.array(rows[at])), pa.array((at - first[rows[at]]).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(np.full(len(at), size, np.int32)), pa.array(np.diff(first)[rows[at]].astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * np.int32(width)), flat)],
         schema=_KINDS,
     )
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """Windows of all items: id, at, h, size, words, slots."""
+    """Windows of all items: id, at, h, size (below 0 for plain words), words, slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, raw, offs in blocks(*texts(batch.column(1))):
-                template, slot, rows = canonical(raw, offs)
-                words = np.bincount(rows, minlength=b - a)
+                template, slot, rows, value, maybe = canonical(raw, offs)
+                words, ids = np.bincount(rows, minlength=b - a), batch.column(0).slice(a, b - a)
+                head = row_ends(rows, b - a)[:-1]
+                maybe[np.setdiff1d(np.arange(len(rows)), head)] = False  # an item's first word alone
+                named, held = np.where(maybe, _NAME, template), np.where(maybe, value | np.uint64(1), slot)
+                found = np.zeros(b - a, bool)
                 for size in range(MIN_WORDS, WINDOW + 1):
-                    at, h = windows(template, slot, rows, size)
-                    own = words[rows[at]]
-                    fit = own >= WINDOW if size == WINDOW else own == size
-                    yield _rows(batch.column(0).slice(a, b - a), template, slot, rows, at[fit], h[fit], size, b - a)
+                    for t, v in ((template, slot), (named, held), (value, None)):
+                        at, h = windows(t, np.zeros_like(slot) if v is None else v, rows, size)
+                        own = words[rows[at]]
+                        fit = own >= WINDOW if size == WINDOW else own == size
+                        if t is named:
+                            fit &= maybe[at]
+                        elif v is not None:
+                            found[rows[at[fit]]] = True
+                        yield _rows(ids, v, rows, at[fit], h[fit], size, b - a)
+                bare = ~found & (words > WINDOW)
+                for size in np.unique(words[bare]).tolist():
+                    for t, v in ((template, slot), (named, held)):
+                        at, h = windows(t, v, rows, size)
+                        fit = bare[rows[at]] & (words[rows[at]] == size) & (maybe[at] | (t is template))
+                        yield _rows(ids, v, rows, at[fit], h[fit], size, b - a)
 
     return items.selectExpr("cast(item_id as long) id", "text").mapInArrow(run, _SCHEMA)
 
@@ -120,8 +143,9 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, item_windows, kind of every contaminated document and its items."""
     spark = docs.sparkSession
     wanted = settle(item_windows(items), "bench-windows")
-    total = wanted.groupBy("id").agg(F.countDistinct("at").alias("item_windows"))
-    sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect())  # at most WINDOW values
+    plain = F.col("size") < 0
+    total = wanted.groupBy("id", plain.alias("of_plain")).agg(F.countDistinct("at").alias("item_windows"))
+    sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect())  # a few, and the lengths of items without templates
     count = wanted.count()
     bits = max(min(1 << (64 * count).bit_length(), BITS), 1 << 15)
     hashed = F.col("h").bitwiseAND(bits - 1)
@@ -135,22 +159,27 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         bitmap = filter_.value
         for batch in batches:
             for a, b, raw, offs in blocks(*texts(batch.column(1))):
-                template, slot, rows = canonical(raw, offs)
+                template, slot, rows, value, _ = canonical(raw, offs)
+                none = np.zeros_like(slot)
                 for size in sizes:
-                    at, h = windows(template, slot, rows, size)
+                    at, h = windows(template, slot, rows, size) if size > 0 else windows(value, none, rows, -size)
                     low = h & np.uint64(bits - 1)
                     hit = (bitmap[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                     if hit.any():
-                        yield _rows(batch.column(0).slice(a, b - a), template, slot, rows, at[hit], h[hit], size, b - a)
+                        yield _rows(batch.column(0).slice(a, b - a), slot if size > 0 else None, rows, at[hit], h[hit], abs(size), b - a)
 
     hits = docs.selectExpr("cast(doc_id as long) id", "text").mapInArrow(run, _SCHEMA)
     d = hits.select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "h", "size", F.col("slots").alias("doc_slots"))
-    b = wanted.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "h", "size", F.col("slots").alias("item_slots"))
+    rank = F.dense_rank().over(Window.partitionBy("id", plain).orderBy("at"))  # adjacent windows differ by 1
+    b = wanted.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "h", "size", F.col("slots").alias("item_slots"), rank.alias("rank"))
     pairs = F.filter(F.arrays_zip("item_slots", "doc_slots"), lambda p: p["item_slots"] != 0)
-    met = d.join(b, ["h", "size"]).select("doc_id", "item_id", "item_at", (F.col("doc_at") - F.col("item_at")).alias("shift"), pairs.alias("pairs"))
-    run_ = met.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("item_at").alias("n"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    met = d.join(b, ["h", "size"]).select("doc_id", "item_id", plain.alias("plain"), "rank", (F.col("doc_at") - F.col("item_at")).alias("shift"), pairs.alias("pairs"))
+    key = ["doc_id", "item_id", "plain", "shift"]
+    stretch = F.col("rank") - F.dense_rank().over(Window.partitionBy(*key).orderBy("rank"))
+    runs_ = met.withColumn("stretch", stretch).groupBy(*key, "stretch").agg(F.countDistinct("rank").alias("n"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"])))
     equal = F.forall("pairs", lambda p: p["item_slots"] == p["doc_slots"])
-    runs_ = run_.join(total, F.col("item_id").eqNullSafe(F.col("id")))
-    good = runs_.where(consistent & (F.col("n") >= F.least(F.lit(RUN), "item_windows"))).withColumn("equal", equal)
-    return good.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.when(F.max("equal"), "exact").otherwise("reparameterised").alias("kind"))
+    kept = runs_.where(consistent).groupBy(*key).agg(F.sum("n").alias("n"), F.min(equal).alias("equal"))
+    good = kept.join(total, F.col("item_id").eqNullSafe(F.col("id")) & (F.col("plain") == F.col("of_plain"))).where(F.col("n") >= F.least(F.lit(RUN), "item_windows"))
+    exact = F.when(F.col("plain"), F.col("n") == F.col("item_windows")).otherwise(F.col("equal"))  # plain words, unless only a part beside other values
+    return good.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.when(F.max(exact) | F.min("plain"), "exact").otherwise("reparameterised").alias("kind"))

@@ -44,3 +44,16 @@ def test_whole_items_in_documents_are_found_and_nothing_else(spark, sf):
     want = {(r.doc_id, i.item_id) for r in docs.collect() for i in items.collect() if plain(i.text) in plain(r.text)}
     got = Counter((r.doc_id, r.item_id) for r in D.contaminated(docs, items).collect())
     assert set(got) == want and max(got.values()) == 1
+
+
+def test_copies_in_any_case_and_with_few_literal_words(spark):
+    short, numbers = "Name the largest river of the whole continent", "3 5 8 13 21 34 55 89 144 233"
+    sparse = "add 11 12 13 14 to 15 16 17 18 then 19 20 21 22 halve 23 24 25 26"
+    docs = [(1, "they said Name the largest river of the whole continent again"), (2, "we have 3 5 8 13 21 34 55 89 144 233 there"), (3, "see ADD" + sparse[3:].upper()), (4, "so " + sparse.replace("1", "7")), (5, "1 2 3 4 5 6 7 8 9 10 11 12")]
+    assert found(spark, docs, [(1, short), (2, numbers), (3, sparse)]) == {(1, 1, "exact"), (2, 2, "exact"), (3, 3, "exact"), (4, 3, "reparameterised")}
+
+
+def test_an_edit_in_the_middle_does_not_hide_a_consistent_stretch(spark):
+    item = "pour 5 cups then wait and stir it very slowly until the water boils over and then add the other 5 bells"
+    doc = item.replace("pour 5", "pour 7").replace("very slowly", "rather well").replace("other 5", "other 9")
+    assert found(spark, [(1, doc)], [(9, item)]) == {(1, 9, "reparameterised")}
