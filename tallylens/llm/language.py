@@ -2,14 +2,15 @@
 
 Training: for every language of the labelled training documents, counts of byte trigrams within words (letters
 and bytes from 0x80, ASCII lower-cased, a space at either side), folded into BUCKETS cells; counts are grouped
-and summed by Spark over all training rows. The model is one matrix of at most LANGUAGES x BUCKETS log
-probabilities (the most frequent labels if there are more), which bounds what is broadcast.
+and summed by Spark over all training rows. The model is one matrix of log probabilities, a row of BUCKETS for every label
+(256 KB each), which is broadcast; texts are scored in blocks that shrink as labels grow.
 
 Prediction: each word of a document comes from one language, with a likelihood from its n-grams. Expectation-
 maximisation estimates the proportions of all languages; then the sets of the k largest, k = 1, 2, ..., are
 compared by the log likelihood of their own proportions less a penalty of log(words) for each further language
 (an unsupported language costs more than it explains). The prediction is the language of the largest proportion
-in the chosen set; its proportion, times how far its words beat an even guess, is the score.
+in the chosen set; its proportion is the score (1 where one language is chosen). Sets of up to four languages are all
+tried, larger ones as long as the penalised likelihood of a document grows.
 
 Defined results: `und` with score 0 for null texts and texts without a letter, and where no language was learned;
 ties go to the language first in order; an empty table gives no rows; other columns are never inputs.
@@ -24,11 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, fold, lowered, runs, settle, texts
+from .common import BLOCK_BYTES, blocks, fold, lowered, runs, settle, texts
 
 BUCKETS = 1 << 16
-#: Languages of the model, at most.
-LANGUAGES = 256
 ROUNDS = 12
 #: Log likelihood that a further language of the set must add, for each log(words).
 PENALTY = 2.0
@@ -83,13 +82,14 @@ def training_counts(docs: DataFrame, parts: int = 4, held: int = 2) -> DataFrame
 def fit(counts: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order and their log probabilities (languages x BUCKETS, float32)."""
     counts = settle(counts, "language-counts")
-    langs = sorted(r.lang for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
-    table = counts.where(F.col("lang").isin(langs)).toArrow()  # at most LANGUAGES x BUCKETS rows
-    n = np.zeros((len(langs), BUCKETS))
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())  # one row per label
+    table = counts.toArrow()  # at most BUCKETS rows per label
+    n = np.zeros((len(langs), BUCKETS), np.float32)
     place = {lang: k for k, lang in enumerate(langs)}
     n[[place[x] for x in table["lang"].to_pylist()], np.asarray(table["cell"])] = np.asarray(table["n"])
     n += 0.5
-    return langs, np.log(n / n.sum(1, keepdims=True)).astype(np.float32)
+    total = n.sum(1, keepdims=True, dtype=np.float64)
+    return langs, np.log(n) - np.log(total).astype(np.float32)
 
 
 def infer(words: np.ndarray, rows: np.ndarray, n: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,13 +119,15 @@ def infer(words: np.ndarray, rows: np.ndarray, n: int, rounds: int = ROUNDS) ->
     weight, _ = em(weight, rounds)
     order = np.argsort(-weight, axis=1, kind="stable")
     best, gain, size = np.zeros((n, k)), np.full(n, -np.inf), np.zeros(n, np.int64)
-    for s in range(1, min(k, 4) + 1 if k > 4 else k + 1):
+    for s in range(1, k + 1):
         chosen = np.zeros((n, k))
         np.put_along_axis(chosen, order[:, :s], np.maximum(np.take_along_axis(weight, order[:, :s], 1), 1e-9), 1)
         chosen /= chosen.sum(1, keepdims=True)
         chosen, value = em(chosen, 3 if s > 1 else 0)
         value = value - PENALTY * (s - 1) * np.log(np.maximum(m, 2))
-        better = value > gain
+        better = value > gain if s <= 4 else (value > gain) & (size == s - 1)
+        if s > 4 and not better.any():
+            break
         best[better], gain[better], size[better] = chosen[better], value[better], s
     return best, size, best.argmax(1)
 
@@ -133,7 +135,7 @@ def infer(words: np.ndarray, rows: np.ndarray, n: int, rounds: int = ROUNDS) ->
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """keep columns, lang_pred, score and langs (the chosen set, in order of proportion) of every document."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast((langs, table))  # at most LANGUAGES x BUCKETS float32
+    model = spark.sparkContext.broadcast((langs, table))  # BUCKETS float32 per label
     source = docs.select(*dict.fromkeys((*keep, text)))
     kept = [f for f in source.schema.fields if f.name in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double, langs string"
@@ -145,7 +147,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, keep: tuple[st
             n = batch.num_rows
             pred, score, sets = [UNKNOWN] * n, np.zeros(n), [""] * n
             column = batch.column(batch.schema.get_field_index(text))
-            for a, b, raw, offs in blocks(*texts(column)) if langs else ():
+            for a, b, raw, offs in blocks(*texts(column), limit=BLOCK_BYTES * 16 // max(len(langs), 16)) if langs else ():
                 cell, first, rows, sizes = grams(raw, offs)
                 if not len(rows):
                     continue

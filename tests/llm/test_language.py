@@ -40,3 +40,12 @@ def test_odd(spark, odd, empty):
     assert {r.lang_pred for r in rows if r.doc_id in (1, 2)} == {"und"}
     assert L.identify(empty).count() == 0
     assert {r.lang_pred for r in L.identify(odd.selectExpr("doc_id", "text", "cast(null as string) lang")).collect()} == {"und"}
+
+
+def test_all_labels_are_learned_and_large_sets_are_found(spark):
+    model = L.fit(spark.createDataFrame([(f"l{k:03d}", k, 9) for k in range(300)], "lang string, cell int, n long"))
+    assert len(model[0]) == len(model[1]) == 300
+    like = np.full((600, 6), -12.0)
+    like[np.arange(600), np.arange(600) % 6] = 0.0
+    mix, size, _ = L.infer(like, np.zeros(600, np.int64), 1)
+    assert size[0] == 6 and np.allclose(mix, 1 / 6)
