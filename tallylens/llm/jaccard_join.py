@@ -1,19 +1,20 @@
 """N-gram Jaccard self-join of documents by a grouped prefix join, and its connected classes.
 
-1. Order. Shingles are hashed to 64 bits. A count of all shingles in CELLS cells gives each a level (how far its
-   cell is above the mean), a count of all words in CELLS cells gives each word a cost (the logarithm of its share),
-   and shingles are ordered by level, then rarest words first, then hash. Any fixed order is correct; this one puts
-   shared passages and runs of common words behind a document's own words, so they hardly enter a prefix.
-2. Classes. Documents with the same set of shingles are one class (a 64-bit key of its size and two set hashes).
+1. Scan. Shingles are hashed to 64 bits. Every document gets the key of its set (a class is all documents with one
+   set), and each task counts its shingles and words in CELLS cells.
+2. Order. A shingle's level is how far its cell is above the mean, its cost how rare its words are; shingles are
+   ordered by level, then rarest words first, then hash. Any fixed order is correct; this one puts shared passages
+   and runs of common words behind a document's own words, so they hardly enter a prefix.
 3. Groups. Two sets with Jaccard >= t share one of their first n - ceil(t n) + 1 shingles. Classes with the same
-   prefix and size are one group with one entry in the inverted lists.
-4. Pairs. Lists are cut into bands of sizes that can reach the threshold together. In a group, each member pairs
-   with the first; in each list, each group pairs with the list's first, if their sizes, the places of the shingle
-   and their short sketches allow the threshold, which the join tests before it makes a row. Pairs are verified on
-   whole sets, which are read again for the classes in pairs only.
+   prefix and size are one group with one entry in the inverted lists. Only prefix tokens that occur twice are kept.
+4. Pairs. In a group, each member pairs with the first; in each list, each group pairs with the list's first. The
+   join makes a row only if sizes, the places of the token and the sketches allow the threshold, and if none of the
+   first PREVIOUS kept tokens before it is known to both, as then the pair meets in that token's list. Pairs are
+   verified on whole sets, which are read again for the classes in pairs only.
 5. Rest. Lists whose members, expanded to classes, are not yet in one component go on: lists up to SMALL classes
    (or all, if they cost at most REST tests a class) are tested for all pairs of different components, larger ones
    with some members against all, which then leave the list: as many as REST tests a class allow, PIVOTS at least.
+   A pair whose entries both know one of their first PREVIOUS tokens before it is left to that token's list.
    This ends when every list is in one component or all its pairs were tested: no link between two components is
    missed, while members of one component need not meet.
 
@@ -25,7 +26,6 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,15 +38,19 @@ from .common import WHITE, blocks, lowered, mixed, row_ends, run_hashes, runs, s
 from .components import connected_components
 
 CELLS = 1 << 19
-#: Bits of a sketch: bit k is the parity of the shingles that hash to k, so sketches differ in at most as many bits
-#: as sets differ in shingles.
-BITS = 512
+#: Bytes of text that one NumPy block works on here.
+BLOCK = 1 << 19
+#: 64-bit words of a sketch: bit k is the parity of the shingles that hash to k, so sketches differ in at most as many
+#: bits as sets differ in shingles.
+SKETCH = 4
+#: Earlier tokens that an entry knows.
+PREVIOUS = 4
 SMALL = 48
 #: Tests for each class in one round over the rest of all lists, and members of a large list that each round takes at least.
 REST = 256
 PIVOTS = 8
-#: Bits of the filter that says which documents are read again for their sets; false hits are joined away.
-BLOOM_BITS = 1 << 27
+#: Bits of the bitmaps that say which documents are read again and which tokens are kept; false hits are joined away.
+BITMAP = 1 << 27
 #: Class keys that may be broadcast (8 bytes each).
 BROADCAST = 1_000_000
 _CHUNK = 1 << 13
@@ -88,35 +92,63 @@ def shingles(raw: np.ndarray, offs: np.ndarray, width: int, costs: np.ndarray |
     return joined[keep], out, total[keep]
 
 
-def cell_levels(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """By cell: the level of shingles (0 up to 1.3 times the mean count, then four to each doubling), and the cost of
-    words (four to each halving of their share, 255 / width at most)."""
-    kinds = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
+def _sets(raw: np.ndarray, offs: np.ndarray, width: int, costs: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, int, int, np.ndarray | None]]:
+    """(row, sorted distinct shingles, class key, size, costs of the shingles) of rows with shingles."""
+    h, first, cost = shingles(raw, offs, width, costs)
+    for r in np.flatnonzero(np.diff(first)).tolist():
+        own = None
+        if costs is None:
+            u = np.unique(h[first[r] : first[r + 1]])
+        else:
+            u, at = np.unique(h[first[r] : first[r + 1]], return_index=True)
+            own = cost[first[r] + at]
+        s1, s2 = np.add.reduce(u), np.add.reduce(mixed(u ^ np.uint64(0x5851F42D4C957F2D)))
+        key = mixed(np.array([s1 ^ np.uint64(len(u)), s2], np.uint64))
+        yield r, u, int((key[0] + key[1] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)), len(u), own
+
+
+def _scanned(rows: DataFrame, width: int) -> DataFrame:
+    """doc_id, cid and n of every document (cid is null without shingles), and at the end of each task the counts of
+    its shingles and words by cell, packed in chunks; settled."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * CELLS, np.int64)
         for batch in batches:
-            for _, _, raw, offs in blocks(*texts(batch.column(0))):
-                h, _, words = shingles(lowered(raw), offs, width)
+            for a, b, raw, offs in blocks(*texts(batch.column(1)), limit=BLOCK):
+                low = lowered(raw)
+                h, _, words = shingles(low, offs, width)
                 total[:CELLS] += np.bincount((h >> np.uint64(45)).astype(np.int64), minlength=CELLS)
                 total[CELLS:] += np.bincount((words >> np.uint64(45)).astype(np.int64), minlength=CELLS)
+                cid, n = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64)
+                with np.errstate(over="ignore"):
+                    for r, _, key, size, _ in _sets(low, offs, width):
+                        cid[r], n[r] = key, size
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(cid, mask=n == 0), pa.array(n), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], schema=kinds)
         if total.any():
-            parts = [total[k : k + _CHUNK].astype("<i8").tobytes() for k in range(0, 2 * CELLS, _CHUNK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], schema=kinds)
+            parts = [pa.compress(total[k : k + _CHUNK].astype("<i8").tobytes(), "zstd", asbytes=True) for k in range(0, 2 * CELLS, _CHUNK)]
+            none = pa.nulls(len(parts), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], schema=kinds)
+
+    return settle(rows.mapInArrow(run, "doc_id long, cid long, n long, chunk int, counts binary"), "join-ids")
+
+
+def cell_levels(scanned: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """By cell: the level of shingles (0 up to 1.3 times the mean count, then four to each doubling), and the cost of
+    words (four to each halving of their share, 255 / width at most)."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(raw, "<i8")
+            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(pa.decompress(raw.as_buffer(), 8 * _CHUNK, "zstd"), "<i8")
                 sums[chunk] = sums[chunk] + x if chunk in sums else x
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], schema=kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
 
-    schema = "chunk int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition(CELLS // _CHUNK, "chunk").mapInArrow(add, schema).collect()  # 2 x CELLS counts
+    parts = scanned.where("chunk is not null").select("chunk", "counts").repartition(2 * CELLS // _CHUNK, "chunk")
     total = np.zeros(2 * CELLS, np.int64)
-    for r in rows:
+    for r in parts.mapInArrow(add, "chunk int, counts binary").collect():  # 2 x CELLS counts
         total[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] = np.frombuffer(r.counts, "<i8")
     ratio = total[:CELLS] / max(total[:CELLS].mean(), 1.0)
     levels = np.where(ratio < 1.3, 0, np.minimum(1 + np.floor(4 * np.log2(np.maximum(ratio, 1))), 127)).astype(np.uint8)
@@ -124,206 +156,193 @@ def cell_levels(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return levels, np.minimum(np.floor(-4 * np.log2(share)), 255 // width).astype(np.uint8)
 
 
-def _sets(raw: np.ndarray, offs: np.ndarray, width: int, costs: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, int, int, np.ndarray | None]]:
-    """(row, sorted distinct shingles, class key, size, costs of the shingles) of rows with shingles."""
-    h, first, cost = shingles(raw, offs, width, costs)
-    for r in np.flatnonzero(np.diff(first)).tolist():
-        own = None
-        if costs is None:
-            u = np.unique(h[first[r] : first[r + 1]])
-        else:
-            u, at = np.unique(h[first[r] : first[r + 1]], return_index=True)
-            own = cost[first[r] + at]
-        s1, s2 = np.add.reduce(u), np.add.reduce(mixed(u ^ np.uint64(0x5851F42D4C957F2D)))
-        key = mixed(np.array([s1 ^ np.uint64(len(u)), s2], np.uint64))
-        yield r, u, int((key[0] + key[1] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)), len(u), own
+def prefixes(raw: np.ndarray, offs: np.ndarray, width: int, percent: int, model: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, int, int]]:
+    """(row, prefix in order, sorted distinct shingles, class key, size) of rows with shingles."""
+    level, costs = model
+    for r, u, key, size, cost in _sets(raw, offs, width, costs):
+        p = size - (percent * size + 99) // 100 + 1
+        token = level[(u >> np.uint64(45)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | (255 - cost).astype(np.uint64) << np.uint64(48) | u >> np.uint64(16)
+        yield r, np.sort(np.partition(token, p - 1)[:p]).view(np.int64), u, key, size
 
 
-def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, cid, n, the prefix in order and the bit sketch of every document; cid is null without shingles."""
-    levels = docs.sparkSession.sparkContext.broadcast(cell_levels(docs, width))  # 2 x CELLS bytes
-    kinds = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+class Bitmap:
+    """A broadcast bitmap of 16 bits for each of the distinct values of one column, BITMAP bits at most; a value that is
+    not among them passes with the share of bits that are set, so whoever uses it joins exactly afterwards."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, costs = levels.value
+    def __init__(self, values: DataFrame, hashed: bool):
+        spark, self.hashed = values.sparkSession, hashed
+        self.bits = max(min(1 << (16 * values.count()).bit_length(), BITMAP), 1 << 15)
+        place = self.place(F.col(values.columns[0]))
+        marks = values.select(F.floor(place / 32768).alias("at"), (place % 32768).alias("bit")).groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits"))
+        bitmap = np.zeros((self.bits // 32768, 4096), np.uint8)
+        for r in marks.collect():  # BITMAP bits at most
+            bitmap[r["at"]] = np.frombuffer(r["bits"], np.uint8)
+        self.shared = spark.sparkContext.broadcast(bitmap.reshape(-1))
+
+    def place(self, value):
+        return F.pmod(F.xxhash64(value), F.lit(self.bits)) if self.hashed else value.bitwiseAND(self.bits - 1)
+
+
+def _passes(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _classes(rows: DataFrame, firsts: DataFrame, width: int, percent: int, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """One row per class: cid, doc, n, same (key of prefix and size), the tokens of its prefix that other classes may
+    hold, in order, their places in it, and a sketch in SKETCH words; settled.
+
+    Texts are read for the first document of each class: once to count the tokens of all prefixes, and once more to keep
+    only those that occur twice, so single tokens (most of a prefix) are shuffled as bare counts and never stored."""
+    spark = rows.sparkSession
+    known, first = spark.sparkContext.broadcast(model), Bitmap(firsts.select("doc"), True)  # model: 2 x CELLS bytes
+    rows = rows.withColumn("place", first.place(F.col("doc_id")))
+    wanted = first.shared
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for a, b, raw, offs in blocks(*texts(batch.column(1))):
-                cid, n, prefix, bits = [None] * (b - a), [0] * (b - a), [None] * (b - a), [None] * (b - a)
+            batch = batch.filter(pa.array(_passes(wanted.value, np.asarray(batch.column(2)))))
+            for a, b, raw, offs in blocks(*texts(batch.column(1)), limit=BLOCK):
                 with np.errstate(over="ignore"):
-                    for r, u, key, size, cost in _sets(lowered(raw), offs, width, costs):
-                        p = size - (percent * size + 99) // 100 + 1
-                        token = level[(u >> np.uint64(45)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | (255 - cost).astype(np.uint64) << np.uint64(48) | u >> np.uint64(16)
-                        cid[r], n[r], prefix[r] = key, size, np.sort(np.partition(token, p - 1)[:p]).view(np.int64)
-                        odd = np.bincount((u & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-                        bits[r] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(cid, pa.int64()), pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], schema=kinds)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, cid long, n long, prefix array<long>, bits array<long>")
-
-
-def _bitmap(ids: DataFrame) -> tuple[int, np.ndarray]:
-    """A bitmap of BLOOM_BITS bits at most over the hashes of ids(x)."""
-    bits = max(min(1 << (16 * ids.count()).bit_length(), BLOOM_BITS), 1 << 15)
-    hashed = F.pmod(F.xxhash64("x"), F.lit(bits))
-    rows = ids.select(F.floor(hashed / 32768).alias("at"), (hashed % 32768).alias("bit")).groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    bitmap = np.zeros((bits // 32768, 4096), np.uint8)
-    for r in rows.collect():
-        bitmap[r["at"]] = np.frombuffer(r["bits"], np.uint8)
-    return bits, bitmap.reshape(-1)
-
-
-def _passes(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return (bitmap[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool)
-
-
-def _sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b) whose sketches allow the threshold, with the ids of a document of each; settled."""
-    one = classes.select(F.col("cid").alias("a"), F.col("bits").alias("bits1"), F.col("n").alias("n1"))
-    two = classes.select(F.col("cid").alias("b"), F.col("bits").alias("bits2"), F.col("n").alias("n2"))
-    differ = F.aggregate(F.zip_with("bits1", "bits2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    total = F.col("n1") + F.col("n2")
-    most = total - 2 * F.ceil(total * percent / (100 + percent) - 1e-6)
-    return settle(pairs.join(one, "a").join(two, "b").where(differ <= most).select("a", "b"), "join-pairs")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, wide: bool = False) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets reach the threshold. Sets are compared by the upper 32 bits of
-    their hashes; pairs within three shingles of the threshold are compared again by all 64 (wide)."""
-    wanted = pairs.select("a").union(pairs.select(F.col("b"))).distinct().withColumnRenamed("a", "cid")
-    wanted = settle(wanted.join(classes.select("cid", "doc"), "cid").select("cid", "doc"), "join-wanted")
-    kinds = pa.schema([("cid", pa.int64()), ("words", pa.binary())])
-    kind = np.dtype("<u8" if wide else "<u4")
-    bits, bitmap = _bitmap(wanted.select(F.col("doc").alias("x")))
-    filter_ = docs.sparkSession.sparkContext.broadcast(bitmap)
+                    yield batch.column(0).slice(a, b - a), list(prefixes(lowered(raw), offs, width, percent, known.value))
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in chosen(batches):
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[1] for f in found]))], names=["token"])
+
+    lists = settle(rows.mapInArrow(tokens, "token long").groupBy("token").count().where("count > 1").select("token"), "join-tokens")
+    twice = Bitmap(lists, False)
+    shared, bits = twice.shared, twice.bits
+    schema = "doc_id long, cid long, n long, same long, tokens array<long>, places array<int>, " + ", ".join(f"f{k} long" for k in range(SKETCH))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, found in chosen(batches):
+            kept = [np.flatnonzero(_passes(shared.value, f[1] & (bits - 1))) for f in found]
+            ends = pa.array(np.cumsum([0, *map(len, kept)]), pa.int32())
+            flat = np.concatenate([f[1][k] for f, k in zip(found, kept, strict=True)]) if found else np.zeros(0, np.int64)
+            where = np.concatenate(kept).astype(np.int32) if found else np.zeros(0, np.int32)
+            with np.errstate(over="ignore"):
+                same = [int(np.add.reduce(mixed(f[1].view(np.uint64) ^ np.uint64(f[4]))).view(np.int64)) for f in found]
+            odd = [np.bincount((f[2] & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1 for f in found]
+            sketch = np.packbits(np.array(odd, np.uint8).reshape(-1, 64 * SKETCH), axis=1, bitorder="little").view("<i8").reshape(-1, SKETCH)
+            columns = [ids.take(pa.array([f[0] for f in found], pa.int64())), *(pa.array(x, pa.int64()) for x in ([f[3] for f in found], [f[4] for f in found], same))]
+            columns += [pa.ListArray.from_arrays(ends, pa.array(flat)), pa.ListArray.from_arrays(ends, pa.array(where))]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(sketch[:, k].copy()) for k in range(SKETCH)], names=[x.split()[0] for x in schema.split(", ")])
+
+    signed = rows.mapInArrow(sign, schema)
+    rest = [F.first(c).alias(c) for c in signed.columns if c not in ("doc_id", "cid")]
+    return settle(signed.groupBy("cid").agg(F.min("doc_id").alias("doc"), *rest), "join-classes")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets, read again and compared by all 64 bits, reach the threshold."""
+    wanted = settle(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(classes.select("cid", "doc"), "cid"), "join-wanted")
+    bitmap = Bitmap(wanted.select("doc"), True)
+    shared = bitmap.shared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # repeated rows of a class give one set in each task
         for batch in batches:
-            batch = batch.filter(pa.array(_passes(filter_.value, np.asarray(batch.column(1)))))
-            for _, _, raw, offs in blocks(*texts(batch.column(0))):
+            batch = batch.filter(pa.array(_passes(shared.value, np.asarray(batch.column(2)))))
+            for a, b, raw, offs in blocks(*texts(batch.column(1)), limit=BLOCK):
                 with np.errstate(over="ignore"):
-                    found = [(key, (u if wide else u >> np.uint64(32)).astype(kind).tobytes()) for _, u, key, _, _ in _sets(lowered(raw), offs, width)]
+                    found = [(r, key, u) for r, u, key, _, _ in _sets(lowered(raw), offs, width) if key not in seen]
+                seen.update(f[1] for f in found)
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds.types, strict=True)], schema=kinds)
+                    ends = pa.array(np.cumsum([0, *(len(f[2]) for f in found)]), pa.int32())
+                    words = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([f[2] for f in found]).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array([f[1] for f in found], pa.int64()), words], names=["cid", "words"])
 
-    rows = docs.select("text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits)).alias("h"))
-    few = F.broadcast(wanted.select("cid")) if wanted.count() <= BROADCAST else wanted.select("cid")
-    sets = settle(rows.mapInArrow(run, "cid long, words binary").join(few, "cid", "left_semi"), "join-sets")
-    both = pairs.select("a", "b").join(sets.select(F.col("cid").alias("a"), F.col("words").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("words").alias("y")), "b").select("a", "b", "x", "y")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
-                z = np.concatenate([p, q])
-                z.sort(kind="stable")
-                shared = int((z[1:] == z[:-1]).sum())
-                over = 100 * shared - percent * (len(p) + len(q) - shared)
-                ok.append(1 if over >= (0 if wide else 3 * (100 + percent)) else 0 if wide or over < -3 * (100 + percent) else 2)
-            keep = pa.array([k > 0 for k in ok])
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(ok, pa.int32()).filter(keep)], names=["a", "b", "ok"])
-
-    result = settle(both.mapInArrow(compare, "a long, b long, ok int").distinct(), "join-verified")
-    sure = result.where("ok = 1").select("a", "b")
-    unsure = result.where("ok = 2").select("a", "b")
-    return sure.union(_verified(unsure, docs, classes, width, percent, True)) if not wide and unsure.limit(1).count() else sure
+    read = rows.withColumn("place", bitmap.place(F.col("doc_id"))).mapInArrow(run, "cid long, words array<long>")
+    few, count = wanted.select("cid"), wanted.count()
+    sets = settle(read.join(F.broadcast(few) if count <= BROADCAST else few, "cid", "left_semi"), "join-sets")
+    if sets.count() > count:
+        sets = settle(sets.groupBy("cid").agg(F.first("words").alias("words")), "join-sets")
+    one, two = (sets.select(F.col("cid").alias(c), F.col("words").alias(w)) for c, w in (("a", "x"), ("b", "y")))
+    both = pairs.join(one, "a").join(two, "b")
+    enough = F.size(F.array_intersect("x", "y")) * F.lit(100 + percent) >= (F.size("x") + F.size("y")) * F.lit(percent)
+    return settle(both.where(enough).select("a", "b"), "join-links")
 
 
 def _possible(percent: int):
-    """Sizes n1, n2, places p1, p2 of a common shingle and folded sketches f, g leave room for the threshold."""
+    """Sizes n1, n2, places p1, p2 of a common token and the sketches leave room for the threshold."""
     n1, n2, p1, p2 = (F.col(c) for c in ("n1", "n2", "p1", "p2"))
     need = (n1 + n2) * percent / (100 + percent)
-    differ = F.bit_count(F.col("f1").bitwiseXOR(F.col("f2"))) + F.bit_count(F.col("g1").bitwiseXOR(F.col("g2")))
-    near = differ <= n1 + n2 - 2 * F.ceil(need - 1e-6)
-    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) + F.least(p1, p2) >= need - 1e-6) & near
+    differ = sum((F.bit_count(F.col(f"f{k}1").bitwiseXOR(F.col(f"f{k}2"))) for k in range(1, SKETCH)), F.bit_count(F.col("f01").bitwiseXOR(F.col("f02"))))
+    sizes = (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) + F.least(p1, p2) >= need - 1e-6)
+    return sizes & (differ <= n1 + n2 - 2 * F.ceil(need - 1e-6))
+
+
+_COLUMNS = ["n", "p", "prev", *(f"f{k}" for k in range(SKETCH))]
 
 
-def _folded(bits: str, first: int):
-    """Every second word of a sketch in one: with both halves, a sketch of 128 bits."""
-    out = F.col(bits)[first]
-    for k in range(first + 2, BITS // 64, 2):
-        out = out.bitwiseXOR(F.col(bits)[k])
-    return out
+def _entries(classes: DataFrame, components: DataFrame | None) -> DataFrame:
+    """A row for each kept token of each class: token, id, component, the place p and the first tokens before it."""
+    named = classes.withColumn("component", F.col("cid")) if components is None else classes.join(components.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    each = named.select("*", F.posexplode("tokens").alias("k", "token"))
+    return each.select("token", F.col("cid").alias("id"), "component", "n", F.col("places")[F.col("k")].alias("p"), F.slice("tokens", 1, F.least("k", F.lit(PREVIOUS))).alias("prev"), *_COLUMNS[3:])
 
 
-def _banded(entries: DataFrame, percent: int) -> DataFrame:
-    """entries with their lists cut by size: sizes that allow the threshold are in one band or in neighbours, and each
-    entry is in the lists of its own and the next band."""
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9)
-    both = entries.withColumn("band", F.explode(F.array(band, band + 1)))
-    return both.withColumn("token", F.xxhash64("token", "band")).drop("band")
+def _open(entries: DataFrame) -> DataFrame:
+    """token, number of classes and least component of the lists that are not in one component."""
+    return entries.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token", "c", "lo")
+
+
+def _met(one: DataFrame, two: DataFrame, condition, percent: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of entries in one list and in different components that may reach the threshold."""
+    first = one.select("token", F.col("id").alias("a"), F.col("component").alias("c1"), *[F.col(c).alias(f"{c}1") for c in _COLUMNS], *[c for c in ("left", "lead") if c in one.columns])
+    second = two.select("token", F.col("id").alias("b"), F.col("component").alias("c2"), *[F.col(c).alias(f"{c}2") for c in _COLUMNS])
+    pairs = first.join(second, "token").where((F.col("c1") != F.col("c2")) & condition).where(_possible(percent))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id and cid (the class of equal sets) of every document."""
-    signed = settle(signatures(docs, width, percent), "join-signatures")
-    classes = signed.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-    classes = settle(classes.withColumns({"same": F.xxhash64("n", "prefix"), "f": _folded("bits", 0), "g": _folded("bits", 1)}), "join-classes")
-    groups = classes.groupBy("same").agg(F.min("cid").alias("gid"), F.first("n").alias("n"), F.count("*").alias("size"))
-    # members of groups with one member are their group; only the others are kept as a table
-    grouped = settle(classes.select("cid", "same", "f", "g").join(groups.where("size > 1").select("same", "gid"), "same").select("cid", "gid", "f", "g"), "join-groups")
-    heads = classes.join(grouped.where("cid <> gid").select("cid"), "cid", "left_anti") if grouped.limit(1).count() else classes
-    lists = settle(heads.select(F.explode("prefix").alias("x")).groupBy("x").count().where("count > 1").select("x"), "join-tokens")
-    bits, bitmap = _bitmap(lists)
-    filter_ = docs.sparkSession.sparkContext.broadcast(bitmap)  # lets few entries of single tokens into the exact join
-    spread = heads.select("cid", "n", "prefix", F.transform("prefix", lambda t: F.pmod(F.xxhash64(t), F.lit(bits))).alias("h"), "f", "g")
-
-    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = np.asarray(pa.compute.list_value_length(batch.column(2))).astype(np.int64)
-            row = np.repeat(np.arange(batch.num_rows), size)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            hit = np.flatnonzero(_passes(filter_.value, np.asarray(batch.column(3).flatten())))
-            at = pa.array(row[hit])
-            yield pa.RecordBatch.from_arrays([batch.column(2).flatten().take(pa.array(hit)), batch.column(0).take(at), batch.column(1).take(at), pa.array(place[hit]), batch.column(4).take(at), batch.column(5).take(at)], names=["token", "id", "n", "p", "f", "g"])
-
-    entries = spread.mapInArrow(enter, "token long, id long, n long, p long, f long, g long")
-    entries = settle(entries.join(lists.withColumnRenamed("x", "token"), "token", "left_semi"), "join-lists")
-    banded = _banded(entries, percent)
-    first = banded.groupBy("token").agg(F.min(F.struct("id", "n", "p", "f", "g")).alias("head"))
-
-    star = banded.join(first, "token").where("id <> head.id").select(F.col("head.id").alias("a"), F.col("id").alias("b"), *[F.col(f"head.{c}").alias(f"{c}1") for c in "npfg"], *[F.col(c).alias(f"{c}2") for c in "npfg"])
-    pairs = star.where(_possible(percent)).select("a", "b").union(grouped.where("cid <> gid").select(F.col("gid"), F.col("cid")))
-    checked = _sketched(pairs.distinct(), classes, percent)
-    links = _verified(checked, docs, classes, width, percent)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scanned = _scanned(rows, width)
+    ids = scanned.where("chunk is null").select("doc_id", "cid", "n")
+    firsts = settle(ids.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc")), "join-firsts")
+    classes = _classes(rows, firsts, width, percent, cell_levels(scanned, width))
+    total = max(classes.count(), 1)
+
+    # groups of one prefix and size: their first members stand for them in the lists, the others meet the first
+    groups = classes.groupBy("same", "n").agg(F.min("cid").alias("gid"), F.count("*").alias("size")).where("size > 1").select("same", "n", "gid")
+    members = settle(classes.select("cid", "same", "n").join(groups, ["same", "n"]).where("cid <> gid").select("cid", "gid"), "join-members")
+    heads = classes.join(members.select("cid"), "cid", "left_anti") if members.limit(1).count() else classes
+    state = _entries(heads, None)
+    state = settle(state.join(_open(state), "token"), "join-lists")
+    star = _met(state.where("id = lo"), state, F.lit(True), percent)
+    checked = settle(star.union(members.select(F.least("gid", "cid"), F.greatest("gid", "cid"))).distinct(), "join-pairs")
+    links = _verified(checked, rows, classes, width, percent)
     components = connected_components(links)
 
-    # lists of classes, for those lists that are not in one component
-    whole = entries.select("token", "id", "n", "p", "f", "g")
-    if grouped.limit(1).count():
-        rest = grouped.where("cid <> gid")
-        more = whole.drop("f", "g").join(rest.withColumnRenamed("gid", "id"), "id").select("token", F.col("cid").alias("id"), "n", "p", "f", "g")
-        # a group's own list: its members share every shingle of the prefix, the first stands for all
-        inner = classes.join(grouped.select("cid"), "cid").select(F.col("prefix")[0].alias("token"), F.col("cid").alias("id"), "n", F.lit(0).cast("long").alias("p"), "f", "g")
-        whole = whole.union(more).union(inner).distinct()
-    whole = _banded(whole, percent)
-    turn, total = 0, max(classes.count(), 1)
+    # the rest: lists of all classes that are not in one component
+    turn, whole = 0, None
     while True:
         turn += 1
-        state = whole.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        spread = state.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token", "c")
-        state = settle(state.join(spread, "token"), "join-rest")
+        state = _entries(classes, components)
+        if whole is not None:
+            state = state.join(whole, ["token", "id"], "left_semi")
+        state = settle(state.join(_open(state), "token"), "join-rest")
         cost, large = state.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > SMALL, 1))).first()
-        left = F.lit(cost <= REST * total) | (F.col("c") <= SMALL)
         pivots = max(PIVOTS, REST * total // max(large, 1))
         lead = F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest(F.ceil(F.col("c") / pivots), F.lit(1)).cast("long")) == 0
-        one = state.where(left | lead).select("token", F.col("id").alias("a"), *[F.col(c).alias(f"{c}1") for c in "npfg"], F.col("component").alias("c1"))
-        two = state.select("token", F.col("id").alias("b"), *[F.col(c).alias(f"{c}2") for c in "npfg"], F.col("component").alias("c2"), left.alias("small"))
-        pairs = one.join(two, "token").where((F.col("c1") != F.col("c2")) & (~F.col("small") | (F.col("a") < F.col("b")))).where(_possible(percent))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs.join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        pairs = _sketched(pairs, classes, percent)
+        state = state.withColumns({"left": F.lit(cost <= REST * total) | (F.col("c") <= SMALL), "lead": lead})
+        # pairs that share an earlier known token meet in its list
+        once = ((F.col("a") < F.col("b")) | ~F.col("left")) & ~F.arrays_overlap("prev1", "prev2")
+        pairs = _met(state.where("left or lead"), state, once, percent)
+        pairs = settle(pairs.join(checked, ["a", "b"], "left_anti"), "join-pairs")
         if pairs.limit(1).count():
-            found = _verified(pairs, docs, classes, width, percent)
+            found = _verified(pairs, rows, classes, width, percent)
             checked = checked.union(pairs)
             links = links.union(found)
             if found.limit(1).count():
                 components = connected_components(links)
-        whole = state.where(~left & ~lead).select("token", "id", "n", "p", "f", "g")
+        whole = settle(state.where("not (left or lead)").select("token", "id"), "join-left")
         if not whole.limit(1).count():
             break
     named = classes.select("cid", "doc").join(components.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
     named = named.select("cid", "component").join(least, "component").select("cid", "component_id")
-    out = signed.select("doc_id", "n", "cid").join(named, "cid", "left")
+    out = ids.join(named, "cid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "cid")

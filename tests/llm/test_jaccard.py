@@ -102,3 +102,34 @@ def test_odd(spark, odd, empty):
     assert len(rows) == len(ODD_ROWS)
     assert {(r.doc_id, r.component_id) for r in rows if r.doc_id != 5} == {(3, 3), (1, 1), (2, 2), (6, 6), (None, None)}
     assert J.jaccard_classes(empty).count() == 0
+
+
+def test_long_texts_at_the_threshold(spark):
+    """Sets of 120,000 shingles just under and at the threshold: every shingle counts, and texts are beyond one block."""
+    random.seed(11)
+    base = [f"{random.getrandbits(40):x}" for _ in range(120_002)]
+
+    def changed(k):  # replaces the last words: k shingles fewer in common
+        return base[: len(base) - k] + [f"z{j}" for j in range(k)]
+
+    need = -(-180 * 120_000 // 190)  # 100 s >= 90 (2 n - s)
+    rows = [(1, base), (2, changed(120_000 - need)), (3, changed(120_000 - need + 1))]
+    rows = [(k, " ".join(w)) for k, w in rows]
+    docs = spark.createDataFrame(rows[:1] + rows[2:], "doc_id long, text string")
+    assert {i: c for i, (_, c) in result(J.jaccard_classes(docs, 3, 90)).items()} == {1: 1, 3: 3}
+    docs = spark.createDataFrame(rows[:2], "doc_id long, text string")
+    assert {i: c for i, (_, c) in result(J.jaccard_classes(docs, 3, 90)).items()} == {1: 1, 2: 1}
+
+
+def test_oracle(spark):
+    """The registered SQL gives the same rows."""
+    import duckdb
+
+    from tallylens.llm.queries import ORACLE_SQL, QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = sorted(con.execute(ORACLE_SQL["op4_jaccard_join"]).fetchall())
+    got = QUERIES["op4_jaccard_join"](spark, sf)
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == want
