@@ -8,9 +8,8 @@
 3. Groups. Two sets with Jaccard >= t share one of their first n - ceil(t n) + 1 shingles. Classes with the same
    prefix and size are one group with one entry in the inverted lists. Only prefix tokens that occur twice are kept.
 4. Pairs. In a group, each member pairs with the first; in each list, each group pairs with the list's first. The
-   join makes a row only if sizes, the places of the token and the sketches allow the threshold, and if none of the
-   first PREVIOUS kept tokens before it is known to both, as then the pair meets in that token's list. Pairs are
-   verified on whole sets, which are read again for the classes in pairs only.
+   join makes a row only if sizes, the places of the token and short sketches allow the threshold. Pairs whose long
+   sketches allow it too are verified on whole sets, which are read again for the classes in pairs only.
 5. Rest. Lists whose members, expanded to classes, are not yet in one component go on: lists up to SMALL classes
    (or all, if they cost at most REST tests a class) are tested for all pairs of different components, larger ones
    with some members against all, which then leave the list: as many as REST tests a class allow, PIVOTS at least.
@@ -40,8 +39,8 @@ from .components import connected_components
 CELLS = 1 << 19
 #: Bytes of text that one NumPy block works on here.
 BLOCK = 1 << 19
-#: 64-bit words of a sketch: bit k is the parity of the shingles that hash to k, so sketches differ in at most as many
-#: bits as sets differ in shingles.
+#: 64-bit words of the short sketch in the lists. Bit k of a sketch is the parity of the shingles that hash to k, so
+#: sketches differ in at most as many bits as sets differ in shingles; a class's long sketch has over two bits a shingle.
 SKETCH = 4
 #: Earlier tokens that an entry knows.
 PREVIOUS = 4
@@ -76,10 +75,10 @@ def shingles(raw: np.ndarray, offs: np.ndarray, width: int, costs: np.ndarray |
         at = first[1:] - 1 - k
         keep[at[(words > k)]] = False
     for r in np.flatnonzero((words > 0) & (words < width)).tolist():
-        value = np.uint64(words[r])
+        value = np.array([words[r]], np.uint64)
         for x in h[first[r] : first[r + 1]]:
-            value = mixed(value * np.uint64(0xA0761D6478BD642F) + np.array([x], np.uint64))[0]
-        joined[first[r]] = value
+            value = mixed(value * np.uint64(0xA0761D6478BD642F) + x)
+        joined[first[r]] = value[0]
         keep[first[r]] = True
     out = np.zeros(n + 1, np.int64)
     np.cumsum(size, out=out[1:])
@@ -165,6 +164,13 @@ def prefixes(raw: np.ndarray, offs: np.ndarray, width: int, percent: int, model:
         yield r, np.sort(np.partition(token, p - 1)[:p]).view(np.int64), u, key, size
 
 
+def sketched(u: np.ndarray) -> np.ndarray:
+    """The long sketch of a set: 512 bits, or the power of two from two bits a shingle on."""
+    bits = max(512, 1 << (2 * len(u) - 1).bit_length())
+    odd = np.bincount((u & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 class Bitmap:
     """A broadcast bitmap of 16 bits for each of the distinct values of one column, BITMAP bits at most; a value that is
     not among them passes with the share of bits that are set, so whoever uses it joins exactly afterwards."""
@@ -189,7 +195,7 @@ def _passes(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 def _classes(rows: DataFrame, firsts: DataFrame, width: int, percent: int, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """One row per class: cid, doc, n, same (key of prefix and size), the tokens of its prefix that other classes may
-    hold, in order, their places in it, and a sketch in SKETCH words; settled.
+    hold, in order, their places in it, the long and the short sketch; settled.
 
     Texts are read for the first document of each class: once to count the tokens of all prefixes, and once more to keep
     only those that occur twice, so single tokens (most of a prefix) are shuffled as bare counts and never stored."""
@@ -213,7 +219,7 @@ def _classes(rows: DataFrame, firsts: DataFrame, width: int, percent: int, model
     lists = settle(rows.mapInArrow(tokens, "token long").groupBy("token").count().where("count > 1").select("token"), "join-tokens")
     twice = Bitmap(lists, False)
     shared, bits = twice.shared, twice.bits
-    schema = "doc_id long, cid long, n long, same long, tokens array<long>, places array<int>, " + ", ".join(f"f{k} long" for k in range(SKETCH))
+    schema = "doc_id long, cid long, n long, same long, tokens array<long>, places array<int>, sketch array<long>, " + ", ".join(f"f{k} long" for k in range(SKETCH))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, found in chosen(batches):
@@ -223,19 +229,33 @@ def _classes(rows: DataFrame, firsts: DataFrame, width: int, percent: int, model
             where = np.concatenate(kept).astype(np.int32) if found else np.zeros(0, np.int32)
             with np.errstate(over="ignore"):
                 same = [int(np.add.reduce(mixed(f[1].view(np.uint64) ^ np.uint64(f[4]))).view(np.int64)) for f in found]
-            odd = [np.bincount((f[2] & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1 for f in found]
-            sketch = np.packbits(np.array(odd, np.uint8).reshape(-1, 64 * SKETCH), axis=1, bitorder="little").view("<i8").reshape(-1, SKETCH)
+            long = [sketched(f[2]) for f in found]
+            short = np.array([np.bitwise_xor.reduce(x.reshape(-1, SKETCH), axis=0) for x in long], np.int64).reshape(-1, SKETCH)
+            size = pa.array(np.cumsum([0, *map(len, long)]), pa.int32())
             columns = [ids.take(pa.array([f[0] for f in found], pa.int64())), *(pa.array(x, pa.int64()) for x in ([f[3] for f in found], [f[4] for f in found], same))]
-            columns += [pa.ListArray.from_arrays(ends, pa.array(flat)), pa.ListArray.from_arrays(ends, pa.array(where))]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(sketch[:, k].copy()) for k in range(SKETCH)], names=[x.split()[0] for x in schema.split(", ")])
+            columns += [pa.ListArray.from_arrays(ends, pa.array(flat)), pa.ListArray.from_arrays(ends, pa.array(where)), pa.ListArray.from_arrays(size, pa.array(np.concatenate(long) if long else np.zeros(0, np.int64)))]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(short[:, k].copy()) for k in range(SKETCH)], names=[x.split()[0] for x in schema.split(", ")])
 
     signed = rows.mapInArrow(sign, schema)
     rest = [F.first(c).alias(c) for c in signed.columns if c not in ("doc_id", "cid")]
     return settle(signed.groupBy("cid").agg(F.min("doc_id").alias("doc"), *rest), "join-classes")
 
 
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose long sketches, folded to one length, allow the threshold; settled."""
+    one, two = (classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for c, k in (("a", 1), ("b", 2)))
+    h = lambda s: (F.size(s) / 2).cast("int")
+    half = lambda s: F.zip_with(F.slice(s, 1, h(s)), F.slice(s, h(s) + 1, h(s)), lambda x, y: x.bitwiseXOR(y))
+    fold = lambda s, t: F.when(F.size(s) > F.size(t), half(s)).otherwise(F.col(s))
+    differ = F.aggregate(F.zip_with(fold("s1", "s2"), fold("s2", "s1"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    most = F.col("n1") + F.col("n2") - 2 * F.ceil((F.col("n1") + F.col("n2")) * percent / (100 + percent) - 1e-6)
+    far = F.greatest(F.size("s1"), F.size("s2")) > 2 * F.least(F.size("s1"), F.size("s2"))  # only thresholds under 50 meet such
+    return settle(pairs.join(one, "a").join(two, "b").where(far | (differ <= most)).select("a", "b"), "join-near")
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets, read again and compared by all 64 bits, reach the threshold."""
+    pairs = _near(pairs, classes, percent)
     wanted = settle(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct().join(classes.select("cid", "doc"), "cid"), "join-wanted")
     bitmap = Bitmap(wanted.select("doc"), True)
     shared = bitmap.shared
@@ -279,7 +299,7 @@ _COLUMNS = ["n", "p", "prev", *(f"f{k}" for k in range(SKETCH))]
 def _entries(classes: DataFrame, components: DataFrame | None) -> DataFrame:
     """A row for each kept token of each class: token, id, component, the place p and the first tokens before it."""
     named = classes.withColumn("component", F.col("cid")) if components is None else classes.join(components.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    each = named.select("*", F.posexplode("tokens").alias("k", "token"))
+    each = named.drop("sketch").select("*", F.posexplode("tokens").alias("k", "token"))
     return each.select("token", F.col("cid").alias("id"), "component", "n", F.col("places")[F.col("k")].alias("p"), F.slice("tokens", 1, F.least("k", F.lit(PREVIOUS))).alias("prev"), *_COLUMNS[3:])
 
 
