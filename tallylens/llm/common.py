@@ -30,13 +30,20 @@ def fold(key: str, parts: int) -> Column:
     return (F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % parts).cast("int")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary folder of our own on a
+    local master, as in tests; a cluster has no such folder, so there the setting is required."""
+    context = spark.sparkContext
+    where = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tallylens-")
-        spark.conf.set("spark.checkpoint.dir", where)
-        spark.sparkContext.setCheckpointDir(where)
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tallylens-")
+        where = _own[context.applicationId]
     return where.rstrip("/")
 
 

@@ -107,9 +107,9 @@ def _sets(raw: np.ndarray, offs: np.ndarray, width: int, costs: np.ndarray | Non
 
 
 def _scanned(rows: DataFrame, width: int) -> DataFrame:
-    """doc_id, cid and n of every document (cid is null without shingles), and at the end of each task the counts of
+    """doc_id, mark, cid and n of every document (cid is null without shingles), and at the end of each task the counts of
     its shingles and words by cell, packed in chunks; settled."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+    kinds = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * CELLS, np.int64)
@@ -123,13 +123,13 @@ def _scanned(rows: DataFrame, width: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     for r, _, key, size, _ in _sets(low, offs, width):
                         cid[r], n[r] = key, size
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(cid, mask=n == 0), pa.array(n), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], schema=kinds)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(cid, mask=n == 0), pa.array(n), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary())], schema=kinds)
         if total.any():
             parts = [pa.compress(total[k : k + _CHUNK].astype("<i8").tobytes(), "zstd", asbytes=True) for k in range(0, 2 * CELLS, _CHUNK)]
             none = pa.nulls(len(parts), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], schema=kinds)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], schema=kinds)
 
-    return settle(rows.mapInArrow(run, "doc_id long, cid long, n long, chunk int, counts binary"), "join-ids")
+    return settle(rows.mapInArrow(run, "doc_id long, mark long, cid long, n long, chunk int, counts binary"), "join-ids")
 
 
 def cell_levels(scanned: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -317,10 +317,11 @@ def _met(one: DataFrame, two: DataFrame, condition, percent: int) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id and cid (the class of equal sets) of every document."""
+    """doc_id, n_shingles, component_id, cid (the class of equal sets), component (its key) and mark (the hash of the text)
+    of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scanned = _scanned(rows, width)
-    ids = scanned.where("chunk is null").select("doc_id", "cid", "n")
+    scanned = _scanned(rows.withColumn("mark", F.xxhash64("text")), width)
+    ids = scanned.where("chunk is null").select("doc_id", "mark", "cid", "n")
     firsts = settle(ids.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc")), "join-firsts")
     classes = _classes(rows, firsts, width, percent, cell_levels(scanned, width))
     total = max(classes.count(), 1)
@@ -363,6 +364,6 @@ def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
             break
     named = classes.select("cid", "doc").join(components.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
-    named = named.select("cid", "component").join(least, "component").select("cid", "component_id")
+    named = named.select("cid", "component").join(least, "component").select("cid", "component", "component_id")
     out = ids.join(named, "cid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "cid")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "cid", "component", "mark")

@@ -30,7 +30,7 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents"), width=3, percent=90).drop("cid")
+    return jaccard_classes(table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,3 +51,15 @@ def test_odd(spark, odd, empty):
         rows = C.settle(stage(spark, rows, sf), "t")
     assert rows.count() == 0
     assert len(ODD_ROWS) == 7
+
+
+def test_rows_that_share_an_id(spark):
+    """Rows are judged by their own texts: only the copies go, and only the contaminated row."""
+    sf = "/root/testdata/sf0.001"
+    a, b = "one text that nobody else has in this table at all", "another text that stands here twice in the same words"
+    docs = spark.createDataFrame([(7, a), (7, b), (3, b), (None, b), (None, a + " more words behind it"), (7, a)], "doc_id long, text string")
+    left = sorted((r.doc_id or 0, r.text) for r in C.near_duplicates(spark, docs, sf).collect())
+    assert left == sorted([(7, a), (3, b), (0, a + " more words behind it")])
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    docs = spark.createDataFrame([(7, a), (7, item), (None, item), (None, b)], "doc_id long, text string")
+    assert {r.text for r in C.benchmark(spark, docs, sf).collect()} == {a, b}
