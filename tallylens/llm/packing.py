@@ -1,12 +1,14 @@
 """Packing of tokenised documents into training windows by the sum-of-squares rule.
 
-Each partition packs its own documents as they stream by, so nothing is shuffled and a lost partition is
-packed again in the same way. A document longer than a window first fills whole windows; what remains is one
-item. For an item of s ids, a level array holds how many open windows have each fill; of the levels h (0 is a
-new window) with h + s <= window, the one is taken after which the sum of the squared counts of partially
-filled windows is least, ties going to the fullest. A window that is full is written at once. At the end of
-the partition, or when more than OPEN windows are open, the pieces of the open windows are cut anew, end to
-end, into full windows; the last, shorter remainder is cut at powers of two, which need no padding.
+Each partition packs its own documents as they stream by, so nothing is shuffled and a lost partition is packed again in
+the same way. A document longer than a window first fills whole windows; what remains is one item. A level array counts
+the partially filled windows of each fill (in steps of 1/LEVELS of a window). For an item, three kinds of places are
+weighed by how much the sum of the squared counts grows: an open window that takes all of it, a new window, and an open
+window that takes as much as fits and is then full, the rest going on as an item of its own; this costs CUT more, as it
+cuts the document. The least growth wins; ties go to whole items, then to the fullest window. A window that is full is
+written at once. As soon as several windows share a level, cutting into them is cheaper than opening another, so about
+LEVELS * CUT / 2 windows are open at most, whatever the input. At the end of the partition the fullest windows are
+filled from the emptiest ones, and the last, shorter remainder is cut at powers of two, which need no padding.
 
 Defined results: a null text is empty and has its end id alone; repeated rows are packed each; an empty table
 gives no rows; other columns of the input are ignored; a null doc_id stays null.
@@ -26,8 +28,8 @@ from .encode import default_tokenizer, encoder, text_slices
 
 WINDOW = 2048
 END_ID = 1
-#: Open windows that a partition holds (8 KB each); beyond it they are cut anew early.
-OPEN = 4096
+#: Fill levels of a window, and the growth of the sum of squares that a cut must save.
+LEVELS, CUT = 32, 8
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -37,9 +39,10 @@ class Packer:
 
     def __init__(self, window: int, base: int, keep_ids: bool = False):
         self.window, self.next_id, self.keep_ids = window, base, keep_ids
-        self.level = np.zeros(window + 1, np.int64)
-        self.open: list[list[tuple[int, list]]] = [[] for _ in range(window + 1)]  # by fill: (sequence, pieces)
-        self.opened, self.rows = 0, []
+        self.step = max(window // LEVELS, 1)
+        self.level = np.zeros(window // self.step + 1, np.int64)
+        self.open: list[list] = []  # [fill, sequence, pieces]
+        self.rows, self.moved = [], 0
 
     def _new(self) -> int:
         self.next_id += 1
@@ -54,57 +57,70 @@ class Packer:
             at += n
 
     def place(self, s: int) -> int:
-        """The fill level that takes an item of s ids: least growth of the sum of squares, then the fullest."""
-        n, top = self.level, self.window - s
-        # n[h]**2 becomes (n[h] - 1)**2, and n[h + s]**2 becomes (n[h + s] + 1)**2 unless the window is full
-        growth = 2 * (n[s:] - n[: top + 1]) + 2
-        growth[0] = 2 * n[s] + 1
-        growth[top] = 1 - 2 * n[top] if top else 0
-        growth[1:][n[1 : top + 1] == 0] = np.iinfo(np.int64).max
-        return top - int(np.argmin(growth[::-1]))
+        """The open window that takes an item of s ids, whole or cut, or -1 for a new one."""
+        fresh = int(2 * self.level[s // self.step] + 1)
+        if not self.open:
+            return -1
+        fill, n = np.array([w[0] for w in self.open]), self.level
+        old, new, over = fill // self.step, (fill + s) // self.step, fill + s - self.window
+        close, rest = 1 - 2 * n[old], np.maximum(over, 0) // self.step
+        whole = np.where(over == 0, close, np.where(old == new, 0, 2 * (n[np.minimum(new, len(n) - 1)] - n[old]) + 2))
+        cut = close + 2 * (n[rest] - (rest == old)) + 1 + CUT
+        growth = np.where(over <= 0, whole, cut)
+        rank = np.lexsort((-fill, over > 0, growth))[0]
+        least = int(growth[rank])
+        return -1 if fresh < least or fresh == least and over[rank] > 0 else int(rank)
 
     def add(self, doc_id, ids: bytes) -> None:
         total, step = len(ids) // 4, self.window * 4
         whole = len(ids) - len(ids) % step
         for k in range(0, whole, step):
             self._write(self._new(), [(doc_id, k // 4, ids[k : k + step], total)])
-        if whole == len(ids):
-            return
-        piece, s = (doc_id, whole // 4, ids[whole:], total), (len(ids) - whole) // 4
-        h = self.place(s)
-        if h:
-            sequence, pieces = self.open[h].pop()
-            self.level[h] -= 1
-        else:
-            sequence, pieces = self._new(), []
-            self.opened += 1
-        pieces.append(piece)
-        if h + s == self.window:
-            self._write(sequence, pieces)
-            self.opened -= 1
-        else:
-            self.open[h + s].append((sequence, pieces))
-            self.level[h + s] += 1
-        if self.opened > OPEN:
-            self.finish()
+        start, ids = whole // 4, ids[whole:]
+        while ids:
+            at = self.place(len(ids) // 4)
+            window = self.open.pop(at) if at >= 0 else [0, self._new(), []]
+            if at >= 0:
+                self.level[window[0] // self.step] -= 1
+            n = min(self.window - window[0], len(ids) // 4)
+            window[0] += n
+            window[2].append((doc_id, start, ids[: 4 * n], total))
+            start, ids = start + n, ids[4 * n :]
+            if window[0] == self.window:
+                self._write(*window[1:])
+            else:
+                self.level[window[0] // self.step] += 1
+                self.open.append(window)
 
     def finish(self) -> None:
-        """Cut what the open windows hold into full windows, and the remainder at powers of two."""
-        pieces = [p for h in range(self.window, 0, -1) for _, held in self.open[h] for p in held]
-        left = sum(len(p[2]) for p in pieces) // 4
-        self.level[:] = 0
-        self.open, self.opened = [[] for _ in range(self.window + 1)], 0
-        at, room, held = 0, 0, []
-        for doc_id, start, ids, total in pieces:
-            while ids:
-                if not room:
-                    room = self.window if left >= self.window else 1 << (left.bit_length() - 1)
-                n = min(room, len(ids) // 4)
-                held.append((doc_id, start, ids[: 4 * n], total))
-                ids, start, room, left = ids[4 * n :], start + n, room - n, left - n
-                if not room:
-                    self._write(self._new(), held)
-                    held = []
+        """Fill the fullest open windows from the emptiest, and cut the last one at powers of two."""
+        left = sorted(self.open, key=lambda w: (-w[0], w[1]))
+        self.open, self.level[:] = [], 0
+        while left:
+            fill, sequence, pieces = left.pop(0)
+            while fill < self.window and left:
+                doc_id, start, ids, total = left[-1][2].pop()
+                n = min(self.window - fill, len(ids) // 4)
+                pieces.append((doc_id, start, ids[: 4 * n], total))
+                fill, self.moved = fill + n, self.moved + n
+                if 4 * n < len(ids):
+                    left[-1][2].append((doc_id, start + n, ids[4 * n :], total))
+                left[-1][0] -= n
+                if not left[-1][2]:
+                    left.pop()
+            if fill == self.window:
+                self._write(sequence, pieces)
+                continue
+            while pieces:  # the last window, shorter than all others
+                room, held = 1 << (sum(len(p[2]) // 4 for p in pieces).bit_length() - 1), []
+                while room:
+                    doc_id, start, ids, total = pieces.pop(0)
+                    n = min(room, len(ids) // 4)
+                    held.append((doc_id, start, ids[: 4 * n], total))
+                    room -= n
+                    if 4 * n < len(ids):
+                        pieces.insert(0, (doc_id, start + n, ids[4 * n :], total))
+                self._write(self._new(), held)
 
     def take(self) -> list:
         rows, self.rows = self.rows, []

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 from tallylens.llm.encode import default_tokenizer, encoder
-from tallylens.llm.packing import Packer, pack
+from tallylens.llm.packing import CUT, Packer, pack
 from tallylens.llm.token_files import FileReader, encode_corpus, read_documents, write_files
 
 from .conftest import ODD_ROWS
@@ -31,23 +31,44 @@ def test_chunks_equal_whole_texts(spark, sf_dir):
 
 
 def test_place_is_least_sum_of_squares():
+    """Against all places tried out on a copy of the level counts."""
     random.seed(1)
-    p = Packer(16, 0)
-    for k in range(300):
-        s = random.randint(1, 15)
-        n = p.level.copy()
-
-        def cost(h):
-            m = n.copy()
-            if h:
-                m[h] -= 1
-            if h + s < 16:
-                m[h + s] += 1
-            return int((m[1:16] ** 2).sum())
-
-        best = min((cost(h), -h) for h in range(17 - s) if h == 0 or n[h])
-        assert p.place(s) == -best[1]
+    window, step = 64, 2
+    p = Packer(window, 0)
+    assert p.step == step
+    for k in range(400):
+        s = random.randint(1, window - 1)
+        fills = [w[0] for w in p.open]
+
+        def squares(left):
+            n = [0] * (window // step + 1)
+            for f in left:
+                n[f // step] += 1
+            return sum(x * x for x in n)
+
+        tried = [(squares(fills + [s]), 1, 0, -1)]
+        for i, f in enumerate(fills):
+            left = fills[:i] + fills[i + 1 :]
+            if f + s <= window:
+                tried.append((squares(left + [f + s] * (f + s < window)), 0, -f, i))
+            else:
+                tried.append((squares(left + [f + s - window]) + CUT, 2, -f, i))
+        got = p.place(s)
+        assert next(t[:3] for t in tried if t[3] == got) == min(t[:3] for t in tried)
         p.add(k, b"\0\0\0\0" * s)
+    assert len(p.open) <= window // step * (CUT // 2 + 1)
+
+
+def test_few_ids_move_at_the_end():
+    random.seed(2)
+    p, total = Packer(2048, 0), 0
+    for k in range(5000):
+        n = random.choice([30, 200, 700, 1500, 5000])
+        n, total = n + random.randrange(n), total + n
+        p.add(k, b"\0\0\0\0" * n)
+    assert len(p.open) <= 32 * (CUT // 2 + 1)
+    p.finish()
+    assert p.moved < 0.02 * total
 
 
 def check_pieces(rows, texts, window=2048):
