@@ -1,14 +1,16 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
 Candidates are found by Java regular expressions: the text is split by a pattern and the pieces between matches
-give the places (code points). Base candidates are fixed kinds with fixed checks and always stay. Further
-candidates of the same kinds have looser forms (written-out e-mail addresses, local telephone numbers, IPv6,
-grouped card numbers) and must not overlap a base span. Three labelers vote on every candidate of either sort,
-each for (+1), against (-1) or not at all (0): the form, gazetteers of fixed values (domain endings, card issuers,
-reserved networks, service codes), and words in the CONTEXT characters before it. Spark counts the vote patterns,
-at most 4 x 27 x 2; on them expectation-maximisation estimates each labeler's reliability by kind, without labels,
-and a logistic classifier over kind and votes is fitted to the posteriors. Its probabilities decide the further
-candidates.
+give the places (code points). Base candidates are fixed kinds with fixed checks; they vote and always stay. Near
+misses are matches of the base patterns that fail their checks; they vote, so that both classes are seen, and are never
+reported. Loose candidates of the same kinds have other forms (written-out e-mail addresses, local telephone numbers,
+IPv6, grouped card numbers) and must not overlap a base span. Three labelers vote on every candidate of any sort, each
+for (+1), against (-1) or not at all (0): the form, gazetteers of fixed values (domain endings, card issuers, reserved
+networks, service codes), and words in the CONTEXT characters before it. Spark counts the patterns of votes and
+features, a few thousand at most. On the votes expectation-maximisation estimates each labeler's reliability by kind,
+without labels. A logistic classifier of each kind, over the votes, the span's length, the variety of its digits and
+the character before it, is fitted to the posteriors, starting from and drawn to PRIOR, which decides where a kind was
+hardly seen. It accepts or rejects the loose candidates.
 
 The patterns equal the plain ones (see the tests); possessive loops and a look-behind keep them linear on long
 texts. Defined results: null texts are empty; no span gives empty strings; repeated rows are judged each; other
@@ -28,6 +30,8 @@ KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 40
 ROUNDS = 60
 KEEP = 0.5
+#: Matches that one step's array holds before it is put away, so long lists of matches are not copied at every step.
+HELD = 256
 
 # The base patterns, written without backtracking.
 BASE = {
@@ -46,10 +50,18 @@ LOOSE = {
 # A loose pattern is only tried where these substrings are found.
 _NEEDS = {"email": ("at]", "at)"), "ip": (":",), "card": (), "phone": ()}
 # Gazetteers and context words.
-FOR = {"email": r"\.(com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$", "ip": r"^(?!0\.|127\.|22[4-9]\.|2[3-5][0-9]\.)", "card": r"^(4|5[1-5]|2[2-7]|3[47]|6011|65)", "phone": r"^\+?[1-9]|^\("}
-AGAINST = {"email": r"\.(invalid|test|localhost|png|jpg|js|css)$", "ip": r"^(0\.|127\.|255\.)", "card": r"^(0|1|9)", "phone": r"^0{3}|555 ?-?01[0-9]{2}$"}
+ENDINGS = "com org net edu gov mil int info biz io ai app dev co me tv uk us de fr es it nl be ch at se no fi dk pl cz pt ie gr ru ua tr in cn jp kr au nz br mx ar cl ca za eu"
+FOR = {"email": rf"(?i)(\.|dot[\])] ?)({ENDINGS.replace(' ', '|')})$", "ip": r"^(?!0\.|127\.|22[4-9]\.|2[3-5][0-9]\.)", "card": r"^(4|5[1-5]|2[2-7]|3[47]|6011|65)", "phone": r"^\+?[1-9]|^\([2-9]"}
+AGAINST = {"email": r"(?i)\.(invalid|test|localhost|png|jpg|gif|js|css|py|txt)$", "ip": r"^(0\.|127\.|255\.)|^2001:0?db8:|\.[0-9]{4,}|^[0-9]{4,}", "card": r"^(0|1|9)", "phone": r"^0{3}|555 ?[ .-]?01[0-9]{2}$|^\(?[01]"}
 WORDS = {"email": r"(?i)\b(e-?mail|contact|write|mailto|reach)\b", "ip": r"(?i)\b(ip|server|host|address|login|from)\b", "card": r"(?i)\b(card|visa|credit|debit|payment|paid)\b", "phone": r"(?i)\b(call|phone|tel|mobile|fax|text|dial)\b"}
 UNLIKE = {"email": r"(?i)\b(example of|regex|pattern)\b", "ip": r"(?i)\b(version|release|section|chapter)\b", "card": r"(?i)\b(isbn|order|serial|tracking|id)\b", "phone": r"(?i)\b(isbn|order|serial|version)\b"}
+# Forms of loose candidates that speak for and against them (a card's form is its check digit).
+LOOSE_FOR = {"email": r"(?i)[\[(]at[\])].*[\[(]dot[\])]", "ip": r"(?i)[a-f].*:.*[0-9]", "card": "", "phone": r"^\([2-9][0-9]{2}\)"}
+LOOSE_AGAINST = {"email": r"^[^A-Za-z]+[\[( ]", "ip": r"^[0-9:]+$", "card": "", "phone": r"([0-9])(?:[ ().-]*\1){6}"}
+#: Weights that every classifier starts from: of each vote for or against (form, list, context); the rest are 0.
+PRIOR = (1.0, 0.7, 1.2)
+#: Candidates that weigh as much as PRIOR.
+STRENGTH = 4.0
 
 _SPAN = "struct<s:int,e:int,x:string,b:string>"
 
@@ -57,16 +69,20 @@ _SPAN = "struct<s:int,e:int,x:string,b:string>"
 def spans_of(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as an array of (s, e, x: match, b: the characters before it)."""
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    none = F.array().cast(f"array<{_SPAN}>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"), F.array().cast(f"array<array<{_SPAN}>>").alias("full"))
 
     def step(acc: Column, z: Column) -> Column:
         gap, match = z["g"], z["m"]
         s = acc["at"] + F.length(gap)
         e = s + F.coalesce(F.length(match), F.lit(0))
-        span = F.struct(s.alias("s"), e.alias("e"), match.alias("x"), F.right(gap, F.lit(CONTEXT)).alias("b")).cast(_SPAN)
-        return F.struct(e.alias("at"), F.when(match.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
+        span = F.array(F.struct(s.alias("s"), e.alias("e"), match.alias("x"), F.right(gap, F.lit(CONTEXT)).alias("b")).cast(_SPAN))
+        many = F.size(acc["out"]) >= HELD
+        out = F.when(match.isNull(), acc["out"]).when(many, span).otherwise(F.concat(acc["out"], span))
+        full = F.when(many & match.isNotNull(), F.concat(acc["full"], F.array(acc["out"]))).otherwise(acc["full"])
+        return F.struct(e.alias("at"), out.alias("out"), full.alias("full"))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    return F.aggregate(pieces, start, step, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["out"]))))
 
 
 def _luhn(digits: Column) -> Column:
@@ -95,56 +111,74 @@ def _checked(kind: str):
     return lambda p: _valid(kind, p["x"])
 
 
+def _missed(kind: str):
+    """Matches that fail their check; short runs of digits are no near misses of a card."""
+    return lambda p: ~_valid(kind, p["x"]) & (F.length(p["x"]) >= (13 if kind == "card" else 0))
+
+
 def _vote(yes: Column, no: Column) -> Column:
     return F.when(no, -1).when(yes, 1).otherwise(0)
 
 
-def _judged(spans: Column, order: int, kind: str, base: bool) -> Column:
-    """Spans with their kind and the three votes."""
+def _judged(spans: Column, order: int, kind: str, sort: str) -> Column:
+    """Spans with their kind, the three votes and the features; sort is base, loose or miss."""
     strict = {"email": r"^[A-Za-z0-9]", "ip": r"^[0-9.]{7,15}$", "card": r"^[0-9]{15,16}$|^([0-9]{4}[ -]){3}[0-9]{4}$", "phone": r"[ ().-]"}[kind]
 
     def one(p: Column) -> Column:
         x, before = p["x"], p["b"]
-        form = F.when(x.rlike(strict) & F.lit(base), 1).when(x.rlike(strict), 0).otherwise(-1 if base else 0)
+        digits = F.regexp_replace(x, "[^0-9]", "")
+        if sort == "miss":
+            form = F.lit(-1)
+        elif sort == "base":
+            form = F.when(x.rlike(strict), 1).otherwise(0)
+        elif kind == "card":
+            form = F.when(_luhn(digits), 1).otherwise(-1)
+        else:
+            form = _vote(x.rlike(LOOSE_FOR[kind]), x.rlike(LOOSE_AGAINST[kind]))
         listed = _vote(x.rlike(FOR[kind]), x.rlike(AGAINST[kind]))
         near = _vote(before.rlike(WORDS[kind]), before.rlike(UNLIKE[kind]))
-        return F.struct(F.lit(order).alias("k"), p["s"].alias("s"), p["e"].alias("e"), F.lit(kind).alias("kind"), form.alias("v1"), listed.alias("v2"), near.alias("v3"))
+        size = F.when(F.length(x) < 12, 0).when(F.length(x) < 20, 1).otherwise(2)
+        varied = (F.size(F.array_distinct(F.split(digits, ""))) >= 4).cast("int")
+        inside = before.rlike(r"[\p{L}\p{N}_.-]$").cast("int")
+        return F.struct(F.lit(order).alias("k"), p["s"].alias("s"), p["e"].alias("e"), F.lit(kind).alias("kind"), form.alias("v1"), listed.alias("v2"), near.alias("v3"), size.alias("size"), varied.alias("varied"), inside.alias("inside"))
 
     return F.transform(spans, one)
 
 
 def with_candidates(rows: DataFrame, text: Column) -> DataFrame:
-    """rows with _base and _loose: arrays of (k, s, e, kind, v1, v2, v3)."""
+    """rows with _base, _loose and _miss: arrays of (k, s, e, kind, v1, v2, v3, size, varied, inside)."""
     none = F.array().cast(f"array<{_SPAN}>")
     digit = text.rlike("[0-9]")
     gate = {"email": F.contains(text, F.lit("@")), "ip": digit, "card": digit, "phone": F.contains(text, F.lit("+"))}
-    base, loose = [], []
+    base, loose, miss = [], [], []
     for k, kind in enumerate(KINDS):
-        found = F.filter(F.when(gate[kind], spans_of(text, BASE[kind])).otherwise(none), _checked(kind))
-        base.append(_judged(found, k, kind, True))
+        rows = rows.withColumn(f"_found{k}", F.when(gate[kind], spans_of(text, BASE[kind])).otherwise(none))
+        base.append(_judged(F.filter(f"_found{k}", _checked(kind)), k, kind, "base"))
+        if kind != "email":  # every match of it passes
+            miss.append(_judged(F.filter(f"_found{k}", _missed(kind)), k, kind, "miss"))
         need = F.lit(False)
         for part in _NEEDS[kind]:
             need = need | F.contains(text, F.lit(part))
         more = F.when(need if _NEEDS[kind] else digit, spans_of(text, LOOSE[kind])).otherwise(none)
-        loose.append(_judged(more, k, kind, False))
-    rows = rows.withColumns({"_base": F.concat(*base), "_loose": F.concat(*loose)})
+        loose.append(_judged(more, k, kind, "loose"))
+    rows = rows.withColumns({"_base": F.concat(*base), "_loose": F.concat(*loose), "_miss": F.concat(*miss)}).drop(*[f"_found{k}" for k in range(len(KINDS))])
     free = lambda c: ~F.exists("_base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
     return rows.withColumn("_loose", F.filter("_loose", free))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, base and loose of every document."""
+    """doc_id, base, loose and miss of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
-    return with_candidates(rows, F.col("t")).select("doc_id", F.col("_base").alias("base"), F.col("_loose").alias("loose"))
+    return with_candidates(rows, F.col("t")).select("doc_id", F.col("_base").alias("base"), F.col("_loose").alias("loose"), F.col("_miss").alias("miss"))
 
 
-def reliabilities(counts: list[tuple[str, bool, tuple[int, int, int], int]], rounds: int = ROUNDS) -> dict[tuple, float]:
-    """Posterior of each (kind, votes) pattern by expectation-maximisation over pattern counts: a hidden truth for
+def reliabilities(counts: list[tuple[str, tuple[int, int, int], int]], rounds: int = ROUNDS) -> dict[tuple, float]:
+    """Posterior of each (kind, votes) pattern by expectation-maximisation over (kind, votes, number): a hidden truth for
     each candidate, and per kind, labeler and truth the probabilities of its three votes."""
     post: dict[tuple, float] = {}
     for kind in KINDS:
         seen: dict[tuple, int] = {}
-        for k, _, votes, n in counts:
+        for k, votes, n in counts:
             if k == kind:
                 seen[votes] = seen.get(votes, 0) + n
         belief = {v: 1 / (1 + math.exp(-(0.5 + 1.5 * sum(v)))) for v in seen}
@@ -166,52 +200,70 @@ def reliabilities(counts: list[tuple[str, bool, tuple[int, int, int], int]], rou
     return post
 
 
-def classifier(counts: list, post: dict[tuple, float], steps: int = 400) -> dict[tuple, float]:
-    """Probability of each (kind, votes) from a logistic model over the kind and the votes, fitted to the posteriors
-    of all candidates by gradient descent; patterns that were not seen are scored too."""
-    features = lambda kind, v: [1.0, *(float(kind == k) for k in KINDS), *(float(x == y) for x in v for y in (-1, 1))]
-    rows = [(features(k, v), post[k, v], n) for k, _, v, n in counts]
-    total = sum(n for *_, n in rows) or 1
-    w = [0.0, 0.0, 0.0, 0.0, 0.0, *(1.0 if j % 2 else -1.0 for j in range(6))]
-    for _ in range(steps):
-        grad = [0.002 * x for x in w]
-        for f, y, n in rows:
-            p = 1 / (1 + math.exp(-max(-50.0, min(50.0, sum(a * b for a, b in zip(w, f, strict=True))))))
-            for j, x in enumerate(f):
-                grad[j] += (p - y) * x * n / total
-        w = [a - 2.0 * g for a, g in zip(w, grad, strict=True)]
-    votes = (-1, 0, 1)
-    return {(k, (a, b, c)): 1 / (1 + math.exp(-sum(x * y for x, y in zip(w, features(k, (a, b, c)), strict=True)))) for k in KINDS for a in votes for b in votes for c in votes}
+def _places(votes: tuple[int, int, int], size: int, varied: int, inside: int) -> list[int]:
+    """The weights, of WEIGHTS, that a candidate adds up."""
+    return [0, 2 + votes[0], 5 + votes[1], 8 + votes[2], 10 + size, 13 + varied, 15 + inside]
 
 
-def accepted(rows: DataFrame) -> list[str]:
-    """Kind and votes of the patterns that the fitted classifier accepts; rows has base and loose."""
-    each = rows.select(F.explode("base").alias("c"), F.lit(True).alias("base")).union(rows.select(F.explode("loose"), F.lit(False)))
-    seen = each.groupBy("c.kind", "base", "c.v1", "c.v2", "c.v3").count().collect()  # at most 4 x 2 x 27 rows
-    counts = [(r["kind"], r["base"], (r["v1"], r["v2"], r["v3"]), r["count"]) for r in seen]
-    chance = classifier(counts, reliabilities(counts))
-    return [f"{k}{v[0]}{v[1]}{v[2]}" for (k, v), p in chance.items() if p >= KEEP]
+WEIGHTS = 17
 
 
-def _kept(loose: str, good: list[str]) -> Column:
-    name = lambda c: F.concat(c["kind"], c["v1"].cast("string"), c["v2"].cast("string"), c["v3"].cast("string"))
-    return F.filter(loose, lambda c: name(c).isin(good) if good else F.lit(False))
+def classifier(counts: list[tuple], post: dict[tuple, float], steps: int = 600) -> dict[str, list[float]]:
+    """Weights of a logistic model for each kind, over (kind, votes, size, varied, inside, number), fitted to the
+    posteriors of all candidates by gradient descent and drawn to PRIOR."""
+    out = {}
+    for kind in KINDS:
+        first = [0.0] * WEIGHTS
+        for j, x in enumerate(PRIOR):
+            first[1 + 3 * j], first[3 + 3 * j] = -x, x
+        rows = [(_places(v, *rest), post[k, v], n) for k, v, *rest, n in counts if k == kind]
+        total = sum(r[2] for r in rows) + STRENGTH
+        w = first[:]
+        for _ in range(steps):
+            grad = [STRENGTH / total * (a - b) * 0.1 for a, b in zip(w, first, strict=True)]
+            for places, y, n in rows:
+                p = 1 / (1 + math.exp(-max(-50.0, min(50.0, sum(w[x] for x in places)))))
+                for x in places:
+                    grad[x] += (p - y) * n / total
+            w = [a - g for a, g in zip(w, grad, strict=True)]
+        out[kind] = w
+    return out
+
+
+def fitted(rows: DataFrame) -> dict[str, list[float]]:
+    """The classifiers' weights from all candidates of rows(base, loose, miss)."""
+    each = rows.select(F.explode(F.concat("base", "loose", "miss")).alias("c"))
+    names = ("kind", "v1", "v2", "v3", "size", "varied", "inside")
+    seen = each.groupBy(*[f"c.{x}" for x in names]).count().collect()  # at most 4 x 27 x 12 rows
+    counts = sorted((r["kind"], (r["v1"], r["v2"], r["v3"]), r["size"], r["varied"], r["inside"], r["count"]) for r in seen)
+    return classifier(counts, reliabilities([(c[0], c[1], c[-1]) for c in counts]))
+
+
+def _kept(loose: str, weights: dict[str, list[float]]) -> Column:
+    """The candidates whose probability is KEEP or more."""
+    table = F.create_map(*[x for k in KINDS for x in (F.lit(k), F.array(*[F.lit(float(w)) for w in weights[k]]))])
+
+    def good(c: Column) -> Column:
+        w = table[c["kind"]]
+        return w[0] + w[c["v1"] + 2] + w[c["v2"] + 5] + w[c["v3"] + 8] + w[c["size"] + 10] + w[c["varied"] + 13] + w[c["inside"] + 15] >= math.log(KEEP / (1 - KEEP))
+
+    return F.filter(loose, good)
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, base (checked spans) and spans (with the accepted further ones): arrays of (k, s, e, kind, ...) in order."""
     rows = settle(candidates(docs), "pii-candidates")
-    kept = _kept("loose", accepted(rows))
+    kept = _kept("loose", fitted(rows))
     return rows.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", kept)).alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of `text` replaced by its kind in brackets, such as [EMAIL]; other columns stay.
     Overlapping spans are replaced together, by the kind of the first. A null text stays null."""
-    good = accepted(settle(candidates(docs), "pii-candidates"))
+    weights = fitted(settle(candidates(docs), "pii-candidates"))
     text = F.coalesce("_row.text", F.lit(""))
     rows = with_candidates(docs.select(F.struct("*").alias("_row")), text)
-    place = F.transform(F.concat("_base", _kept("_loose", good)), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind")))
+    place = F.transform(F.concat("_base", _kept("_loose", weights)), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, c: Column) -> Column:

@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 from tallylens.llm import pii as P
@@ -73,11 +75,40 @@ def test_loose_spans_are_added(spark):
 def test_em_finds_the_unreliable_labeler():
     counts = []
     for votes, true, false in [((1, 1, 1), 400, 2), ((1, 1, -1), 380, 2), ((-1, -1, 1), 3, 300), ((-1, -1, -1), 3, 310), ((1, -1, 0), 30, 10)]:
-        counts.append(("email", True, votes, true + false))
-    post = P.reliabilities(counts)
+        counts.append(("email", votes, 1, 0, 0, true + false))
+    post = P.reliabilities([(c[0], c[1], c[-1]) for c in counts])
     assert post["email", (1, 1, -1)] > 0.9 > 0.1 > post["email", (-1, -1, 1)]
-    chance = P.classifier(counts, post)
-    assert chance["email", (1, 1, -1)] > 0.8 and chance["email", (-1, -1, 1)] < 0.2
+    weights = P.classifier(counts, post)["email"]
+    value = lambda v: sum(weights[x] for x in P._places(v, 1, 0, 0))
+    assert value((1, 1, -1)) > 1.5 and value((-1, -1, 1)) < -1.5
+
+
+def test_reliabilities_equal_plain_em():
+    """Against expectation-maximisation over single candidates instead of counted patterns."""
+    random.seed(3)
+    single = [tuple(random.choices((-1, 0, 1), (1, 2, 3) if t else (3, 2, 1))[0] for _ in range(3)) for t in (random.random() < 0.6 for _ in range(300))]
+    belief = [1 / (1 + math.exp(-(0.5 + 1.5 * sum(v)))) for v in single]
+    for _ in range(10):
+        share = [1 + sum(1 - b for b in belief), 1 + sum(belief)]
+        table = [[{x: 1.0 + (x == (1 if t else -1)) for x in (-1, 0, 1)} for _ in range(3)] for t in (0, 1)]
+        for v, b in zip(single, belief, strict=True):
+            for j, x in enumerate(v):
+                table[0][j][x] += 1 - b
+                table[1][j][x] += b
+        chance = lambda t, v: share[t] * math.prod(table[t][j][x] / sum(table[t][j].values()) for j, x in enumerate(v))
+        belief = [chance(1, v) / (chance(0, v) + chance(1, v)) for v in single]
+    post = P.reliabilities([("ip", v, single.count(v)) for v in set(single)], rounds=10)
+    assert all(abs(post["ip", v] - b) < 1e-9 for v, b in zip(single, belief, strict=True))
+
+
+def test_candidates_with_contrary_context_are_rejected(spark):
+    good = ["please call (212) 555-1234 today", "write to john.doe [at] mail [dot] com", "server ip 2a02:0db8:0000:0000:0000:ff00:0042:8329"]
+    bad = ["order serial 212.555.0123", "the regex pattern a1 [at] b.png", "release version 1111:2222:3333:4444:5555:6666:7777:8888", "order id 1234 5678 9012 3456"]
+    filler = [f"call +1 (212) 555-98{k:02d} or e-mail p{k}@mail.org from host 10.0.{k}.7, card 4111 1111 1111 1111; version 1.2.{k}.999 order +12 3, serial 4111 1111 1111 1112" for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(good + bad + filler)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in P.digest(P.find_pii(docs)).collect()}
+    assert all(rows[k].spans for k in range(len(good)))
+    assert not any(rows[len(good) + k].spans for k in range(len(bad)))
 
 
 def test_odd(spark, odd, empty):
