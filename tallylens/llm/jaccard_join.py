@@ -33,12 +33,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, blocks, lowered, mixed, row_ends, run_hashes, runs, settle, texts
+from .common import WHITE, batches_of, blocks, lowered, mixed, row_ends, run_hashes, runs, settle, texts
 from .components import connected_components
 
 CELLS = 1 << 19
 #: Bytes of text that one NumPy block works on here.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
+#: Rows of an Arrow batch, as texts may be long.
+BATCH = 2000
 #: 64-bit words of the short sketch in the lists. Bit k of a sketch is the parity of the shingles that hash to k, so
 #: sketches differ in at most as many bits as sets differ in shingles; a class's long sketch has over two bits a shingle.
 SKETCH = 4
@@ -319,6 +321,11 @@ def _met(one: DataFrame, two: DataFrame, condition, percent: int) -> DataFrame:
 def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id, cid (the class of equal sets), component (its key) and mark (the hash of the text)
     of every document."""
+    with batches_of(docs.sparkSession, BATCH):
+        return _joined(docs, width, percent)
+
+
+def _joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = _scanned(rows.withColumn("mark", F.xxhash64("text")), width)
     ids = scanned.where("chunk is null").select("doc_id", "mark", "cid", "n")

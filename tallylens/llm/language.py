@@ -66,7 +66,7 @@ def training_counts(docs: DataFrame, parts: int = 4, held: int = 2) -> DataFrame
         for batch in batches:
             names = batch.column(0).dictionary_encode()
             label, langs = np.asarray(names.indices), names.dictionary.to_pylist()
-            for a, b, raw, offs in blocks(*texts(batch.column(1))):
+            for a, b, raw, offs in blocks(*texts(batch.column(1)), limit=BLOCK_BYTES // 4):
                 cell, first, rows, sizes = grams(raw, offs)
                 of = np.repeat(label[a:b][rows], sizes)
                 for k in np.unique(label[a:b]).tolist():
@@ -147,7 +147,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, keep: tuple[st
             n = batch.num_rows
             pred, score, sets = [UNKNOWN] * n, np.zeros(n), [""] * n
             column = batch.column(batch.schema.get_field_index(text))
-            for a, b, raw, offs in blocks(*texts(column), limit=BLOCK_BYTES * 16 // max(len(langs), 16)) if langs else ():
+            for a, b, raw, offs in blocks(*texts(column), limit=BLOCK_BYTES * 4 // max(len(langs), 16)) if langs else ():
                 cell, first, rows, sizes = grams(raw, offs)
                 if not len(rows):
                     continue
