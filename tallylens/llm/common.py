@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +62,42 @@ def settle(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Functions that drop what a module keeps in a worker between tasks.
+KEPT: list[Callable[[], None]] = []
+_last = [""]
+
+
+def released() -> None:
+    """Give freed memory back to the system: Arrow's pool and, where the C library can, its own heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def begun(operator: str) -> None:
+    if _last[0] != operator:
+        for drop in KEPT:
+            drop()
+        released()
+        _last[0] = operator
+
+
+def task(operator: str) -> Callable:
+    """Marks a function over Arrow batches as a task of that operator. A worker that turns to another operator first
+    drops what it kept for the last one, and every task gives back freed memory at its end."""
+
+    def mark(function: Callable) -> Callable:
+        @functools.wraps(function)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            begun(operator)
+            yield from function(batches)
+            released()
+
+        return run
+
+    return mark
+
+
 @contextlib.contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Jobs that run inside hand Arrow batches of at most so many rows to Python, which bounds what a worker holds."""
@@ -113,6 +151,13 @@ def runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def _small() -> None:
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+KEPT.append(_small)
+
+
 def _grown(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
         inverse = np.uint64(pow(int(_ROOT), -1, 1 << 64))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, lowered, mixed, row_ends, run_hashes, runs, settle, texts
+from .common import blocks, lowered, mixed, row_ends, run_hashes, runs, settle, task, texts
 
 WINDOW, MIN_WORDS, LITERAL, RUN = 8, 5, 4, 4
 BITS = 1 << 27
@@ -110,6 +110,7 @@ def _rows(ids, slot, rows, at, h, size, n) -> pa.RecordBatch:
 def item_windows(items: DataFrame) -> DataFrame:
     """Windows of all items: id, at, h, size (below 0 for plain words), words, slots."""
 
+    @task("decontaminate")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, raw, offs in blocks(*texts(batch.column(1))):
@@ -155,6 +156,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         bitmap[r["block"]] = np.frombuffer(r["bits"], np.uint8)
     filter_ = spark.sparkContext.broadcast(bitmap.reshape(-1))
 
+    @task("decontaminate")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = filter_.value
         for batch in batches:

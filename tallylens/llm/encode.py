@@ -10,7 +10,7 @@ import re
 
 import numpy as np
 
-from .common import quiet_tokenizers
+from .common import KEPT, quiet_tokenizers
 
 #: Entries of a worker's memo (about 250 bytes each); a full memo is emptied.
 MEMO_ENTRIES = 1_200_000
@@ -83,6 +83,9 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+KEPT.append(_encoders.clear)
+
+
 def encoder(path: str) -> Encoder:
     """This worker's encoder of that vocabulary."""
     if path not in _encoders:

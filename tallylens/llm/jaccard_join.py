@@ -33,7 +33,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, batches_of, blocks, lowered, mixed, row_ends, run_hashes, runs, settle, texts
+from .common import WHITE, batches_of, blocks, lowered, mixed, row_ends, run_hashes, runs, settle, task, texts
 from .components import connected_components
 
 CELLS = 1 << 19
@@ -113,6 +113,7 @@ def _scanned(rows: DataFrame, width: int) -> DataFrame:
     its shingles and words by cell, packed in chunks; settled."""
     kinds = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("cid", pa.int64()), ("n", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
+    @task("join")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * CELLS, np.int64)
         for batch in batches:
@@ -138,6 +139,7 @@ def cell_levels(scanned: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]
     """By cell: the level of shingles (0 up to 1.3 times the mean count, then four to each doubling), and the cost of
     words (four to each halving of their share, 255 / width at most)."""
 
+    @task("join")
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -213,6 +215,7 @@ def _classes(rows: DataFrame, firsts: DataFrame, width: int, percent: int, model
                 with np.errstate(over="ignore"):
                     yield batch.column(0).slice(a, b - a), list(prefixes(lowered(raw), offs, width, percent, known.value))
 
+    @task("join")
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found in chosen(batches):
             if found:
@@ -223,6 +226,7 @@ def _classes(rows: DataFrame, firsts: DataFrame, width: int, percent: int, model
     shared, bits = twice.shared, twice.bits
     schema = "doc_id long, cid long, n long, same long, tokens array<long>, places array<int>, sketch array<long>, " + ", ".join(f"f{k} long" for k in range(SKETCH))
 
+    @task("join")
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, found in chosen(batches):
             kept = [np.flatnonzero(_passes(shared.value, f[1] & (bits - 1))) for f in found]
@@ -262,6 +266,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int,
     bitmap = Bitmap(wanted.select("doc"), True)
     shared = bitmap.shared
 
+    @task("join")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # repeated rows of a class give one set in each task
         for batch in batches:

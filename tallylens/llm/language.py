@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, blocks, fold, lowered, runs, settle, texts
+from .common import BLOCK_BYTES, blocks, fold, lowered, runs, settle, task, texts
 
 BUCKETS = 1 << 16
 ROUNDS = 12
@@ -61,6 +61,7 @@ def training_counts(docs: DataFrame, parts: int = 4, held: int = 2) -> DataFrame
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", parts) != held)).select("lang", "text")
     kinds = pa.schema([("lang", pa.string()), ("cell", pa.int32()), ("n", pa.int64())])
 
+    @task("language")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -140,6 +141,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, keep: tuple[st
     kept = [f for f in source.schema.fields if f.name in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double, langs string"
 
+    @task("language")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = model.value
         wide = np.ascontiguousarray(table.T)

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, blocks, fold, lowered, mixed, run_hashes, runs, settle, texts
+from .common import WHITE, blocks, fold, lowered, mixed, run_hashes, runs, settle, task, texts
 
 ORDER = 5
 #: Grams that pruned() keeps unless told otherwise; the scores use all grams.
@@ -89,6 +89,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     def batch_of(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1].astype("<u8").tobytes() for p in parts], pa.binary()), pa.array([p[2].astype("<i8").tobytes() for p in parts], pa.binary())], schema=kinds)
 
+    @task("lm")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent() -> pa.RecordBatch:
             k, n = merged(keys, counts)
@@ -111,6 +112,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         if keys:
             yield sent()
 
+    @task("lm")
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list, list]] = {}
         for batch in batches:
@@ -131,6 +133,7 @@ def pruned(grams: DataFrame, nodes: int | None = None) -> tuple[np.ndarray, np.n
     nodes = nodes or NODES
     levels = 1 << 16
 
+    @task("lm")
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(levels, np.int64)
         for batch in batches:
@@ -146,6 +149,7 @@ def pruned(grams: DataFrame, nodes: int | None = None) -> tuple[np.ndarray, np.n
             break
         kept, least = kept + r["n"], r["level"]
 
+    @task("lm")
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, counts = [], []
@@ -165,6 +169,7 @@ def pruned(grams: DataFrame, nodes: int | None = None) -> tuple[np.ndarray, np.n
 def pair_counts(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted pairs of bytes and their counts, 65,536 at most."""
 
+    @task("lm")
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
@@ -350,6 +355,7 @@ def score_documents(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold_ != held).alias("train"))
 
+    @task("lm")
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slab = TaskContext.get().partitionId() << 24
         ids, train, h, at, text, sizes, grams, size = [], [], [], [], [], [], [], 0
@@ -391,6 +397,7 @@ def score_documents(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame
                     trie = Trie(np.zeros(0, np.uint64), np.zeros(0, np.int64), pairs.value)
                 yield r["range"], r["slab"], 5, b"", b"", b"", trie.of_grams(np.frombuffer(r["a"], "<u8")).astype("<f8").tobytes(), b""
 
+    @task("lm")
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for range_, rows in itertools.groupby(_single(batches), lambda r: r["range"]):
             if range_ >= ranges:
@@ -441,6 +448,7 @@ def score_documents(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame
         value[by_chunk(keys)[0]] = np.concatenate([np.frombuffer(r["d"], "<f8") for r in answers])
         return np.concatenate([np.add.reduceat(value[np.searchsorted(keys, k)][w], own[:-1] + np.arange(len(own) - 1)) for k, w, own in places])
 
+    @task("lm")
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, "slab"):
             head = next(r for r in group if r["kind"] == 0)

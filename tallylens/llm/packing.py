@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import task
 from .encode import default_tokenizer, encoder, text_slices
 
 WINDOW = 2048
@@ -41,7 +42,8 @@ class Packer:
         self.window, self.next_id, self.keep_ids = window, base, keep_ids
         self.step = max(window // LEVELS, 1)
         self.level = np.zeros(window // self.step + 1, np.int64)
-        self.open: list[list] = []  # [fill, sequence, pieces]
+        self.open: list[list] = []  # [sequence, pieces]
+        self.fill = np.zeros(64, np.int64)  # of the open windows, in the same order
         self.rows, self.moved = [], 0
 
     def _new(self) -> int:
@@ -58,18 +60,18 @@ class Packer:
 
     def place(self, s: int) -> int:
         """The open window that takes an item of s ids, whole or cut, or -1 for a new one."""
-        fresh = int(2 * self.level[s // self.step] + 1)
+        fresh, n = int(2 * self.level[s // self.step] + 1), self.level
         if not self.open:
             return -1
-        fill, n = np.array([w[0] for w in self.open]), self.level
-        old, new, over = fill // self.step, (fill + s) // self.step, fill + s - self.window
-        close, rest = 1 - 2 * n[old], np.maximum(over, 0) // self.step
-        whole = np.where(over == 0, close, np.where(old == new, 0, 2 * (n[np.minimum(new, len(n) - 1)] - n[old]) + 2))
-        cut = close + 2 * (n[rest] - (rest == old)) + 1 + CUT
-        growth = np.where(over <= 0, whole, cut)
-        rank = np.lexsort((-fill, over > 0, growth))[0]
-        least = int(growth[rank])
-        return -1 if fresh < least or fresh == least and over[rank] > 0 else int(rank)
+        fill = self.fill[: len(self.open)]
+        old, end = fill // self.step, fill + s
+        over, close = end - self.window, 1 - 2 * n[old]
+        whole = np.where(over == 0, close, np.where(end // self.step == old, 0, 2 * (n[np.minimum(end // self.step, len(n) - 1)] - n[old]) + 2))
+        rest = np.maximum(over, 0) // self.step
+        growth = np.where(over <= 0, whole, close + 2 * (n[rest] - (rest == old)) + 1 + CUT)
+        best = int(np.argmin((growth * 2 + (over > 0)) * (self.window + 1) - fill))
+        least = int(growth[best])
+        return -1 if fresh < least or fresh == least and over[best] > 0 else best
 
     def add(self, doc_id, ids: bytes) -> None:
         total, step = len(ids) // 4, self.window * 4
@@ -79,22 +81,30 @@ class Packer:
         start, ids = whole // 4, ids[whole:]
         while ids:
             at = self.place(len(ids) // 4)
-            window = self.open.pop(at) if at >= 0 else [0, self._new(), []]
-            if at >= 0:
-                self.level[window[0] // self.step] -= 1
-            n = min(self.window - window[0], len(ids) // 4)
-            window[0] += n
-            window[2].append((doc_id, start, ids[: 4 * n], total))
+            last = len(self.open) - 1
+            if at < 0:
+                fill, window = 0, [self._new(), []]
+            else:  # the last open window takes its place
+                fill, window = int(self.fill[at]), self.open[at]
+                self.open[at], self.fill[at] = self.open[last], self.fill[last]
+                self.open.pop()
+                self.level[fill // self.step] -= 1
+            n = min(self.window - fill, len(ids) // 4)
+            fill += n
+            window[1].append((doc_id, start, ids[: 4 * n], total))
             start, ids = start + n, ids[4 * n :]
-            if window[0] == self.window:
-                self._write(*window[1:])
-            else:
-                self.level[window[0] // self.step] += 1
-                self.open.append(window)
+            if fill == self.window:
+                self._write(*window)
+                continue
+            self.level[fill // self.step] += 1
+            if len(self.open) == len(self.fill):
+                self.fill = np.concatenate([self.fill, np.zeros_like(self.fill)])
+            self.fill[len(self.open)] = fill
+            self.open.append(window)
 
     def finish(self) -> None:
         """Fill the fullest open windows from the emptiest, and cut the last one at powers of two."""
-        left = sorted(self.open, key=lambda w: (-w[0], w[1]))
+        left = sorted(([int(f), *w] for f, w in zip(self.fill, self.open)), key=lambda w: (-w[0], w[1]))
         self.open, self.level[:] = [], 0
         while left:
             fill, sequence, pieces = left.pop(0)
@@ -137,6 +147,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     schema = pa.schema([(n, pa.int64()) for n in names] + [("ids", pa.binary())] * with_ids)
 
+    @task("encode")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(window, TaskContext.get().partitionId() << 40, with_ids)
         for batch in batches:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WHITE, blocks, run_hashes, runs, texts
+from .common import WHITE, blocks, run_hashes, runs, task, texts
 
 SPACE = "▁".encode()
 FALLBACK = -25.0
@@ -95,6 +95,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_pretokens, n_tokens and score of every document."""
     path = vocabulary or default_vocabulary()
 
+    @task("counts")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _counters:
             _counters[path] = (TrieCounter(unigrams(path)), {})

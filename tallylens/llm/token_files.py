@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import scratch, settle
+from .common import scratch, settle, task
 from .encode import default_tokenizer, encoder, text_slices
 
 END_ID = 2
@@ -126,6 +126,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_
         parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     kinds = pa.schema([("part", pa.int32()), ("path", pa.string()), ("first_doc", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())])
 
+    @task("encode")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, writer = TaskContext.get().partitionId(), None
         filesystem, base = _fs(folder)
@@ -154,6 +155,7 @@ def read_documents(files: DataFrame, wanted: set[int] | None = None) -> DataFram
     part, doc_id, local_start (ids before it in its file), n_tokens, ids_crc32. Only wanted frames are decompressed."""
     kinds = pa.schema([("part", pa.int32())] + [(n, pa.int64()) for n in ("doc_id", "local_start", "n_tokens", "ids_crc32")])
 
+    @task("encode")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, uri in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, fold, lowered, mixed, runs, settle, texts
+from .common import blocks, fold, lowered, mixed, runs, settle, task, texts
 
 # The grammar's word lists.
 INSULTS = "idiot moron imbecile scum stupid pathetic worthless loser trash clown disgusting dumb vermin filth bastard jerk coward fool garbage".split()
@@ -93,6 +93,7 @@ def _stem_rows(rows: DataFrame) -> DataFrame:
     """(key, toxic documents, clean documents), summed in each task before the shuffle."""
     kinds = pa.schema([("key", pa.int64()), ("t", pa.int64()), ("c", pa.int64())])
 
+    @task("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, toxic = [], []
         for batch in batches:
@@ -125,6 +126,7 @@ def learn_stems(rows: DataFrame) -> np.ndarray:
     wanted = np.sort(np.asarray(pure["key"]).astype(np.int64).view(np.uint64))
     kinds = pa.schema([("doc", pa.int64()), ("key", pa.int64())])
 
+    @task("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column(0))
@@ -189,6 +191,7 @@ def patterns(docs: DataFrame, words: list[tuple[str, np.ndarray]], keep: list[st
     """keep columns (first column: the text) and the number of matched clauses of each pattern, as an array."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields) + ", found array<int>"
 
+    @task("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list = [[0] * len(GRADES) for _ in range(batch.num_rows)]
