@@ -7,10 +7,12 @@ its chunks (" word", " word,", ...) in order. Chunks repeat; a worker keeps thei
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-from .common import KEPT, quiet_tokenizers
+from .common import KEPT, blocks, quiet_tokenizers, texts
 
 #: Entries of a worker's memo (about 250 bytes each); a full memo is emptied.
 MEMO_ENTRIES = 1_200_000
@@ -93,13 +95,8 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def text_slices(values: list, limit: int = 2 << 20):
-    """Consecutive slices (first, end) of at most `limit` characters, or one longer text."""
-    at = size = 0
-    for k, v in enumerate(values):
-        if size and size + len(v) > limit:
-            yield at, k
-            at, size = k, 0
-        size += len(v)
-    if at < len(values):
-        yield at, len(values)
+def text_slices(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, list[str]]]:
+    """(first row, end row, texts) of consecutive rows of at most `limit` bytes, or of one longer text; nulls are empty.
+    Only these are Python strings at a time."""
+    for a, b, _, _ in blocks(*texts(column), limit=limit):
+        yield a, b, [t or "" for t in column.slice(a, b - a).to_pylist()]

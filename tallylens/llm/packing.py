@@ -151,9 +151,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(window, TaskContext.get().partitionId() << 40, with_ids)
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in text_slices(texts):
-                for doc_id, ids in zip(doc_ids[a:b], encoder(path).encode(texts[a:b]), strict=True):
+            doc_ids = batch.column(0).to_pylist()
+            for a, b, some in text_slices(batch.column(1)):
+                for doc_id, ids in zip(doc_ids[a:b], encoder(path).encode(some), strict=True):
                     packer.add(doc_id, ids + end)
                 if rows := packer.take():
                     yield _batch(rows, schema)

@@ -136,9 +136,9 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_
                 filesystem.create_dir(base, recursive=True)
                 out = filesystem.open_output_stream(temporary)
                 writer = FileWriter(out)
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_slices(texts):
-                for doc_id, ids in zip(doc_ids[a:b], encoder(path).encode(texts[a:b]), strict=True):
+            doc_ids = batch.column(0).to_pylist()
+            for a, b, some in text_slices(batch.column(1)):
+                for doc_id, ids in zip(doc_ids[a:b], encoder(path).encode(some), strict=True):
                     writer.add(doc_id, ids + end)
         if writer:
             writer.close()
