@@ -60,26 +60,23 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
-        memo, chunks, heads, wanted = self.memo, [], [], set()
+        memo, heads, found, lacking = self.memo, [], [], []
+        wanted: set[str] = set()
         for t in texts:
             parts = _CHUNK.split(t) if _ODD_SPACE.search(t) else t.split(" ")
             heads.append(parts.pop(0))
-            chunks.append(parts)
-            wanted.update(parts)
-        new = wanted.difference(memo)
-        short = [p for p in new if len(p) <= MEMO_CHARS]
-        once = {}
-        for parts, into in ((short, memo), ([p for p in new if len(p) > MEMO_CHARS], once)):
+            ids = list(map(memo.get, parts))  # one look-up for each chunk
+            found.append(ids)
+            if None in ids:
+                wanted.update([p for p, x in zip(parts, ids, strict=True) if x is None])
+                lacking.append((parts, ids))
+        once: dict[str, bytes] = {}
+        for parts, into in (([p for p in wanted if len(p) <= MEMO_CHARS], memo), ([p for p in wanted if len(p) > MEMO_CHARS], once)):
             for k in range(0, len(parts), 512):
                 into.update(zip(parts[k : k + 512], self._ids([" " + p for p in parts[k : k + 512]]), strict=True))
-        out, get = [], memo.__getitem__
-        for head, parts in zip(heads, chunks, strict=True):
-            first = self._one(head) if head else b""
-            if once:
-                out.append(first + b"".join([memo[p] if p in memo else once[p] for p in parts]))
-            else:
-                out.append(first + b"".join(map(get, parts)))
-        return out
+        for parts, ids in lacking:
+            ids[:] = [x if x is not None else once[p] if len(p) > MEMO_CHARS else memo[p] for p, x in zip(parts, ids, strict=True)]
+        return [(self._one(head) if head else b"") + b"".join(ids) for head, ids in zip(heads, found, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -30,7 +30,7 @@ from .encode import default_tokenizer, encoder, text_slices
 WINDOW = 2048
 END_ID = 1
 #: Fill levels of a window, and the growth of the sum of squares that a cut must save.
-LEVELS, CUT = 32, 8
+LEVELS, CUT = 32, 4
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -41,9 +41,9 @@ class Packer:
     def __init__(self, window: int, base: int, keep_ids: bool = False):
         self.window, self.next_id, self.keep_ids = window, base, keep_ids
         self.step = max(window // LEVELS, 1)
-        self.level = np.zeros(window // self.step + 1, np.int64)
+        self.level = [0] * (window // self.step + 1)
         self.open: list[list] = []  # [sequence, pieces]
-        self.fill = np.zeros(64, np.int64)  # of the open windows, in the same order
+        self.fill: list[int] = []  # of the open windows, in the same order
         self.rows, self.moved = [], 0
 
     def _new(self) -> int:
@@ -60,18 +60,21 @@ class Packer:
 
     def place(self, s: int) -> int:
         """The open window that takes an item of s ids, whole or cut, or -1 for a new one."""
-        fresh, n = int(2 * self.level[s // self.step] + 1), self.level
-        if not self.open:
-            return -1
-        fill = self.fill[: len(self.open)]
-        old, end = fill // self.step, fill + s
-        over, close = end - self.window, 1 - 2 * n[old]
-        whole = np.where(over == 0, close, np.where(end // self.step == old, 0, 2 * (n[np.minimum(end // self.step, len(n) - 1)] - n[old]) + 2))
-        rest = np.maximum(over, 0) // self.step
-        growth = np.where(over <= 0, whole, close + 2 * (n[rest] - (rest == old)) + 1 + CUT)
-        best = int(np.argmin((growth * 2 + (over > 0)) * (self.window + 1) - fill))
-        least = int(growth[best])
-        return -1 if fresh < least or fresh == least and over[best] > 0 else best
+        n, step, window = self.level, self.step, self.window
+        best, least = -1, (2 * n[s // step] + 1, 1, 0)  # a new window, after whole items and before cuts
+        for k, fill in enumerate(self.fill):
+            end, old = fill + s, fill // step
+            if end < window:
+                new = end // step
+                growth = (0 if new == old else 2 * (n[new] - n[old]) + 2, 0, -fill)
+            elif end == window:
+                growth = (1 - 2 * n[old], 0, -fill)
+            else:
+                rest = (end - window) // step
+                growth = (1 - 2 * n[old] + 2 * (n[rest] - (rest == old)) + 1 + CUT, 2, -fill)
+            if growth < least:
+                best, least = k, growth
+        return best
 
     def add(self, doc_id, ids: bytes) -> None:
         total, step = len(ids) // 4, self.window * 4
@@ -85,9 +88,10 @@ class Packer:
             if at < 0:
                 fill, window = 0, [self._new(), []]
             else:  # the last open window takes its place
-                fill, window = int(self.fill[at]), self.open[at]
+                fill, window = self.fill[at], self.open[at]
                 self.open[at], self.fill[at] = self.open[last], self.fill[last]
                 self.open.pop()
+                self.fill.pop()
                 self.level[fill // self.step] -= 1
             n = min(self.window - fill, len(ids) // 4)
             fill += n
@@ -97,15 +101,13 @@ class Packer:
                 self._write(*window)
                 continue
             self.level[fill // self.step] += 1
-            if len(self.open) == len(self.fill):
-                self.fill = np.concatenate([self.fill, np.zeros_like(self.fill)])
-            self.fill[len(self.open)] = fill
+            self.fill.append(fill)
             self.open.append(window)
 
     def finish(self) -> None:
         """Fill the fullest open windows from the emptiest, and cut the last one at powers of two."""
-        left = sorted(([int(f), *w] for f, w in zip(self.fill, self.open)), key=lambda w: (-w[0], w[1]))
-        self.open, self.level[:] = [], 0
+        left = sorted(([f, *w] for f, w in zip(self.fill, self.open, strict=True)), key=lambda w: (-w[0], w[1]))
+        self.open, self.fill, self.level = [], [], [0] * len(self.level)
         while left:
             fill, sequence, pieces = left.pop(0)
             while fill < self.window and left:

@@ -38,7 +38,7 @@ def test_place_is_least_sum_of_squares():
     assert p.step == step
     for k in range(400):
         s = random.randint(1, window - 1)
-        fills = p.fill[: len(p.open)].tolist()
+        fills = p.fill[:]
 
         def squares(left):
             n = [0] * (window // step + 1)
