@@ -27,20 +27,20 @@ def frozen(votes: DataFrame, least: int = 5, percent: int = 80) -> DataFrame:
     rows = judged(votes, least, percent).where("fate = 'accepted'")
     out = rows.groupBy("disc").agg(F.count("*").alias("n"), F.count_if("legit").alias("legitimos"), F.max(F.col("stop").isNotNull()).alias("congelada"))
     side = F.when(100 * F.col("legitimos") >= percent * F.col("n"), "legitima").otherwise("anomala")
-    return out.withColumn("resultado", F.when(F.col("congelada"), side).otherwise("abierta"))
+    return out.withColumn("resultado", F.when(F.col("congelada"), side).otherwise("por_verificar"))
 
 
 def snapshot(votes: DataFrame, least: int = 5, percent: int = 80) -> DataFrame:
     """Counts of all votes as they stand, and the decision on them."""
     out = votes.groupBy("disc").agg(F.count("*").alias("n"), F.count_if("legit").alias("legitimos"), F.countDistinct("voter").alias("votantes"))
     enough = F.col("n") >= least
-    state = F.when(enough & (100 * F.col("legitimos") >= percent * F.col("n")), "legitima").when(enough & (100 * (F.col("n") - F.col("legitimos")) >= percent * F.col("n")), "anomala").otherwise("abierta")
+    state = F.when(enough & (100 * F.col("legitimos") >= percent * F.col("n")), "legitima").when(enough & (100 * (F.col("n") - F.col("legitimos")) >= percent * F.col("n")), "anomala").otherwise("por_verificar")
     return out.withColumn("estado", state)
 
 
 def pending(found: DataFrame, limit: int, offset: int = 0, mesa_key: str | None = None) -> DataFrame:
     """Open findings: high priority first, then oldest, then id."""
-    rows = found.where("estado = 'abierta' and not congelada")
+    rows = found.where("estado = 'por_verificar' and not congelada")
     rows = rows.where(F.col("mesa_key") == mesa_key) if mesa_key else rows
     rank = F.when(F.col("prioridad") == "alta", 1).when(F.col("prioridad") == "media", 2).otherwise(3)
     return rows.orderBy(rank, "creado_en", "id").offset(offset).limit(limit)

@@ -34,20 +34,26 @@ def answer_fields(raw: Column) -> Column:
     return F.struct(F.coalesce(parsed["anomalies"], F.array().cast("array<string>")).alias("anomalies"), F.coalesce(parsed["confidence"], F.lit(0.0)).alias("confidence"), wrong.alias("parse_error"))
 
 
-def upload_problem(name: Column, size: Column, head: Column) -> Column:
-    """The first reason to refuse an upload, or null."""
+# Content types that uploads may have.
+TYPES = ["image/jpeg", "image/jpg", "image/png", "application/octet-stream"]
+
+
+def upload_problem(name: Column, size: Column, kind: Column, head: Column) -> Column:
+    """The first reason to refuse an upload, or null; kind is its content type, head its first 8 bytes in hexadecimal."""
     ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
-    magic = F.when(ext == "png", head == F.lit("89504E47")).when(ext == "pdf", head == F.lit("25504446")).otherwise(F.startswith(head, F.lit("FFD8FF")))
+    image = F.startswith(head, F.lit("FFD8FF")) | F.startswith(head, F.lit("89504E470D0A1A0A"))
     return (
         F.when(name.isNull() | (name == ""), "no_name")
-        .when(~ext.isin("jpg", "jpeg", "png", "pdf"), "extension")
+        .when(~ext.isin("jpg", "jpeg", "png"), "extension")
         .when(size <= 0, "empty")
         .when(size > 10 * 1024 * 1024, "too_large")
-        .when(~magic, "content")
+        .when(~F.lower(F.coalesce(kind, F.lit(""))).isin(TYPES), "content_type")
+        .when(~image & F.startswith(head, F.lit("25504446")), "pdf")
+        .when(~image, "content")
     )
 
 
 def image_issues(width: Column, height: Column, mean: Column) -> Column:
-    """Issues of an image, in order; aspect in hundredths (width / height)."""
-    aspect = F.floor(100 * width / F.greatest(height, F.lit(1)))
-    return F.array_compact(F.array(F.when(F.least(width, height) < 800, F.lit("small")), F.when((aspect < 55) | (aspect > 85), F.lit("aspect")), F.when(mean > 230, F.lit("bright")), F.when(mean < 40, F.lit("dark"))))
+    """Issues of an image, in order; width / height must be within 0.55 and 0.85."""
+    wide = (100 * width < 55 * height) | (100 * width > 85 * height) | (height == 0)
+    return F.array_compact(F.array(F.when(F.least(width, height) < 800, F.lit("small")), F.when(wide, F.lit("aspect")), F.when(mean > 230, F.lit("bright")), F.when(mean < 40, F.lit("dark"))))

@@ -14,20 +14,27 @@ def counts_by(df: DataFrame, column: str, values: dict[str, str], keys: list[str
     return df.groupBy(*(keys or [])).agg(*found)
 
 
-def department_summary(actas: DataFrame, geo: DataFrame, found: DataFrame) -> DataFrame:
-    """Per department: actas, mesas, findings, high ones, open ones, share of actas with findings in hundredths of a
-    per cent (rounded down). Each side is aggregated before the join, so nothing fans out."""
-    left = actas.groupBy("dep").agg(F.countDistinct("id").alias("actas"), F.countDistinct("mesa_key").alias("mesas"))
-    right = found.groupBy("dep").agg(F.countDistinct("id").alias("hallazgos"), F.countDistinct("acta_id").alias("actas_con"), F.count_if(F.col("prioridad") == "alta").alias("altas"), F.count_if(F.col("estado") == "abierta").alias("abiertas"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    rows = geo.join(left, "dep", "left").join(right, "dep", "left").select("dep", "dep_name", *[zero(c) for c in ("actas", "mesas", "hallazgos", "actas_con", "altas", "abiertas")])
-    return rows.withColumn("con_pct", F.floor(F.col("actas_con") * 10000 / F.greatest("actas", F.lit(1))).cast("long"))
+def department_summary(actas: DataFrame, geo: DataFrame, found: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Per department of the actas: mesas, those with evidence, discrepancies by state, and the shares verified and to
+    verify in per cent with two decimals. Findings and evidence join by mesa and are counted for each mesa first, so
+    nothing fans out."""
+    states = {"por_verificar": "por_verificar", "verificadas_legitimas": "verificado_legitimo", "verificadas_anomalas": "verificado_anomalo"}
+    mesas = actas.select("dep", "mesa_key").distinct()
+    of = found.groupBy("mesa_key").agg(F.count("*").alias("total"), *[F.count_if(F.col("estado") == v).alias(n) for n, v in states.items()])
+    seen = evidence.groupBy("mesa_key").agg(F.lit(1).alias("con"))
+    rows = mesas.join(of, "mesa_key", "left").join(seen, "mesa_key", "left").groupBy("dep").agg(
+        F.count("*").alias("total_mesas"), F.count("con").alias("mesas_con_evidencia"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", *states)]
+    )
+    per_cent = lambda part: F.expr(f"(20000 * ({part}) + greatest(total, 1)) div (2 * greatest(total, 1))") / 100
+    rows = rows.join(geo.select("dep", "dep_name"), "dep", "left")
+    return rows.select("dep", "dep_name", "total_mesas", "mesas_con_evidencia", F.col("total").alias("total_discrepancias"), *states, per_cent("total - por_verificar").alias("porcentaje_verificado"), per_cent("por_verificar").alias("porcentaje_por_verificar"))
 
 
 def clean_mesas(flagged: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows without flags whose mesa has no open or anomalous finding; a null flag is not false."""
-    ok = (F.col("excede") == False) & (F.col("no_coincide") == False) & (F.col("nivelacion") == False)  # noqa: E712
-    bad = found.where(F.col("estado").isin("abierta", "resuelta_anomala")).select("mesa_key")
+    """Rows without arithmetic or QR flags whose mesa has no finding that is to verify or anomalous; a null flag is not
+    false."""
+    ok = (F.col("excede") == False) & (F.col("no_coincide") == False) & (F.col("qr_malo") == False)  # noqa: E712
+    bad = found.where(F.col("estado").isin("por_verificar", "verificado_anomalo")).select("mesa_key")
     return flagged.where(ok).join(bad, "mesa_key", "left_anti")
 
 
@@ -37,8 +44,8 @@ def filtered(df: DataFrame, **equal) -> DataFrame:
 
 
 def searched(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
-    """Case-insensitive substring in any column."""
-    return df.where(reduce(lambda a, b: a | b, (F.col(c).ilike(f"%{text}%") for c in columns)))
+    """Case-insensitive substring in any column; % and _ are plain characters."""
+    return df.where(reduce(lambda a, b: a | b, (F.contains(F.lower(c), F.lit(text.lower())) for c in columns)))
 
 
 def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:

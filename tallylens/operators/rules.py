@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tallylens.functions.text import clamp
 
 VOTES = ("c1", "c2", "blanco", "nulos", "no_marcados")
-#: Weights of the mathematical rules in the risk score.
-WEIGHTS = {"SUM_MISMATCH": 40, "NEGATIVE_VOTES": 50, "NEGATIVE_SUMMARY": 50, "EXCEEDS_3_DIGITS": 30, "UNDERVOTE": 20, "OVERVOTE": 40, "LOW_OCR_CONFIDENCE": 10}
+# Weights of the mathematical rules in the risk score; other rules weigh 5.
+WEIGHTS = {"SUM_MISMATCH": 40, "NEGATIVE_VOTES": 40, "EXCEEDS_3_DIGITS": 15, "OVERVOTE": 35, "UNDERVOTE": 20, "LOW_OCR_CONFIDENCE": 15}
 
 
 def suma() -> Column:
@@ -31,14 +31,19 @@ def with_flags(actas: DataFrame) -> DataFrame:
     )
 
 
+def expected_qr(mesa_key: Column, suffix: str = "-PRE-2026") -> Column:
+    """What the QR code of a mesa's sheet should hold."""
+    return F.concat(mesa_key, F.lit(suffix))
+
+
 def findings(actas: DataFrame, priority_policy: str = "score") -> DataFrame:
-    """One row per violated rule: id, acta_id, mesa_key, rule, score2 (twice the score), oficial, ciudadano, prioridad.
+    """One row per violated rule: id, acta_id, mesa_key, rule, score2 (twice the score), oficial and ciudadano (as text), prioridad.
 
     priority_policy 'score' gives alta from score 1.0 on; 'excede' gives it to the excess rule alone."""
     rows = with_flags(actas)
 
     def one(k: int, name: str, flag: Column, score2: Column, official: Column, other: Column) -> Column:
-        return F.when(flag, F.struct(F.lit(k).alias("k"), F.lit(name).alias("rule"), score2.cast("int").alias("score2"), official.cast("long").alias("oficial"), other.cast("long").alias("ciudadano")))
+        return F.when(flag, F.struct(F.lit(k).alias("k"), F.lit(name).alias("rule"), score2.cast("int").alias("score2"), official.cast("string").alias("oficial"), other.cast("string").alias("ciudadano")))
 
     two = F.lit(2)
     rules = F.array_compact(
@@ -48,7 +53,7 @@ def findings(actas: DataFrame, priority_policy: str = "score") -> DataFrame:
             one(2, "nivelacion_inconsistente", F.col("nivelacion"), two, F.col("e11"), F.col("urna")),
             one(3, "paginas_incompletas", F.col("incompleta"), two, F.col("paginas_esperadas"), F.col("paginas_total")),
             one(4, "firmas_insuficientes", F.col("firmas_bajas"), F.when(F.col("firmas") >= 4, 1).otherwise(2), F.lit(6), F.col("firmas")),
-            one(5, "qr_no_coincide", F.col("qr_malo"), two, F.lit(1), F.lit(0)),
+            one(5, "qr_metadata_mismatch", F.col("qr_malo"), two, expected_qr(F.col("mesa_key")), F.col("qr_raw")),
         )
     )
     out = rows.select("id", "mesa_key", "dep", "creado_en", F.explode(rules).alias("f"))
@@ -78,26 +83,30 @@ def risk_level(risk: Column) -> Column:
     return F.when(risk >= 80, "CRITICAL").when(risk >= 50, "HIGH").when(risk >= 20, "MEDIUM").otherwise("LOW")
 
 
-def math_rules(total: Column, parts: Column, blank: Column, null: Column, unmarked: Column, largest: Column, ocr: Column, registered: Column | None = None, low_ocr: float = 0.6) -> Column:
-    """Names of the violated mathematical rules, in order; `parts` is the sum of the candidates' votes."""
-    whole = parts + blank + null + unmarked
+def math_rules(total: Column, candidates: Column, blank: Column, null: Column, unmarked: Column, ocr: Column, registered: Column | None = None, low_ocr: float = 0.6) -> Column:
+    """Names of the violated mathematical rules, in order, of an array of the candidates' votes; a candidate's rule is
+    named once for each candidate that violates it."""
+    zero = F.lit(0).cast("long")
+    parts = F.aggregate(candidates, zero, lambda acc, v: acc + v)
+    each = lambda name, bad: F.transform(F.filter(candidates, bad), lambda v: F.lit(name))
+    one = lambda name, bad: F.when(bad, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
     rules = [
-        F.when(whole != total, F.lit("SUM_MISMATCH")),
-        F.when(parts < 0, F.lit("NEGATIVE_VOTES")),
-        F.when(F.least(blank, null, unmarked, total) < 0, F.lit("NEGATIVE_SUMMARY")),
-        F.when(largest > 999, F.lit("EXCEEDS_3_DIGITS")),
-        F.when(whole > total, F.lit("UNDERVOTE")),
-        F.when(ocr < low_ocr, F.lit("LOW_OCR_CONFIDENCE")),
+        one("SUM_MISMATCH", parts + blank + null + unmarked != total),
+        each("NEGATIVE_VOTES", lambda v: v < 0),
+        one("NEGATIVE_SUMMARY", F.least(blank, null, unmarked) < 0),
+        each("EXCEEDS_3_DIGITS", lambda v: v > 999),
     ]
     if registered is not None:
-        rules.append(F.when(total > registered, F.lit("OVERVOTE")))
-    return F.array_compact(F.array(*rules))
+        rules.append(one("OVERVOTE", total > registered))
+    return F.concat(*rules, one("UNDERVOTE", (total > 0) & (parts > total)), one("LOW_OCR_CONFIDENCE", ocr < low_ocr))
 
 
-def risk_score(rules: Column, signature: Column, ocr: Column, low_ocr: float = 0.6, weights: dict[str, int] | None = None, default: int = 5) -> Column:
-    """Weights of the rules up to 40, the signature part, and 10 for a low OCR confidence; 100 at most."""
+def risk_score(rules: Column, signature: Column, ocr: Column, weights: dict[str, int] | None = None, default: int = 5) -> Column:
+    """Weights of the rules up to 40, the signature part, and up to 15 for what the OCR confidence lacks; 100 at most,
+    with two decimals."""
     table = F.create_map(*[F.lit(x) for kv in (weights or WEIGHTS).items() for x in kv])
-    return F.least(F.least(F.aggregate(rules, F.lit(0), lambda acc, r: acc + F.coalesce(table[r], F.lit(default))), F.lit(40)) + signature + F.when(ocr < low_ocr, 10).otherwise(0), F.lit(100))
+    whole = F.least(F.aggregate(rules, F.lit(0), lambda acc, r: acc + F.coalesce(table[r], F.lit(default))), F.lit(40))
+    return F.round(F.least(whole + signature + F.greatest(F.lit(0.0), (1 - ocr) * 15), F.lit(100.0)), 2)
 
 
 def ink_state(density: Column) -> Column:
@@ -114,11 +123,13 @@ def signature_summary(states: Column) -> Column:
 
 
 def consistency(votes: Column) -> Column:
-    """Under three numbers: few_data; else the largest is the total, and the sum of those under 90 % of it must be
-    within 10 % of it. Integers throughout."""
-    total = F.array_max(votes)
-    parts = F.aggregate(F.filter(votes, lambda n: 10 * n < 9 * total), F.lit(0).cast("long"), lambda acc, n: acc + n)
-    return F.when(F.size(votes) < 3, "few_data").when(10 * F.abs(parts - total) > total, "inconsistent").otherwise("ok")
+    """Nulls are no numbers. Under three numbers: few_data; else the largest is the total, and the sum of those under
+    90 % of it, if there are any, must be within 10 % of it. Integers throughout."""
+    numbers = F.filter(votes, lambda n: n.isNotNull())
+    total = F.array_max(numbers)
+    parts = F.filter(numbers, lambda n: 10 * n < 9 * total)
+    gap = F.abs(F.aggregate(parts, F.lit(0).cast("long"), lambda acc, n: acc + n) - total)
+    return F.when(F.size(numbers) < 3, "few_data").when((F.size(parts) > 0) & (10 * gap > total), "inconsistent").otherwise("ok")
 
 
 def thickness_band(ink: Column) -> Column:

@@ -51,15 +51,20 @@ def capa0_priority_alt(s, d):
     return rules.findings(V.actas(s, d), "excede").select("id", "prioridad")
 
 
-_SUMMARY = "SELECT g.dep, dep_name, coalesce(a.actas,0) actas, coalesce(mesas,0) mesas, coalesce(hallazgos,0) hallazgos, coalesce(actas_con,0) actas_con, coalesce(altas,0) altas, coalesce(abiertas,0) abiertas, CAST(floor(coalesce(actas_con,0)*10000/greatest(coalesce(a.actas,0),1)) AS BIGINT) con_pct FROM geo g LEFT JOIN (SELECT dep, count(DISTINCT id) actas, count(DISTINCT mesa_key) mesas FROM actas GROUP BY dep) a ON a.dep=g.dep LEFT JOIN (SELECT dep, count(DISTINCT id) hallazgos, count(DISTINCT acta_id) actas_con, count(CASE WHEN prioridad='alta' THEN 1 END) altas, count(CASE WHEN estado='abierta' THEN 1 END) abiertas FROM found GROUP BY dep) f ON f.dep=g.dep"
+_SUMMARY = """SELECT dep, dep_name, total_mesas, mesas_con_evidencia, total_discrepancias, por_verificar, verificadas_legitimas, verificadas_anomalas,
+    (20000*(total_discrepancias-por_verificar)+greatest(total_discrepancias,1))//(2*greatest(total_discrepancias,1))/100.0 porcentaje_verificado,
+    (20000*por_verificar+greatest(total_discrepancias,1))//(2*greatest(total_discrepancias,1))/100.0 porcentaje_por_verificar
+    FROM (SELECT a.dep, any_value(g.dep_name) dep_name, count(DISTINCT a.mesa_key) total_mesas, count(DISTINCT e.mesa_key) mesas_con_evidencia, count(DISTINCT f.id) total_discrepancias,
+        count(DISTINCT f.id) FILTER (WHERE f.estado='por_verificar') por_verificar, count(DISTINCT f.id) FILTER (WHERE f.estado='verificado_legitimo') verificadas_legitimas, count(DISTINCT f.id) FILTER (WHERE f.estado='verificado_anomalo') verificadas_anomalas
+        FROM actas a LEFT JOIN geo g ON g.dep=a.dep LEFT JOIN evidence e ON e.mesa_key=a.mesa_key LEFT JOIN found f ON f.mesa_key=a.mesa_key GROUP BY a.dep)"""
 
 
 @query(_SUMMARY)
 def resumen_departamento(s, d):
-    return rollups.department_summary(V.actas(s, d), V.geo(s, d), V.found(s, d))
+    return rollups.department_summary(V.actas(s, d), V.geo(s, d), V.found(s, d), V.evidence(s, d))
 
 
-@query("SELECT id, mesa_key, dep FROM flagged f WHERE NOT excede AND NOT no_coincide AND NOT nivelacion AND NOT EXISTS (SELECT 1 FROM found x WHERE x.mesa_key=f.mesa_key AND x.estado IN ('abierta','resuelta_anomala'))")
+@query("SELECT id, mesa_key, dep FROM flagged f WHERE NOT excede AND NOT no_coincide AND NOT qr_malo AND NOT EXISTS (SELECT 1 FROM found x WHERE x.mesa_key=f.mesa_key AND x.estado IN ('por_verificar','verificado_anomalo'))")
 def mesas_legitimas(s, d):
     return rollups.clean_mesas(rules.with_flags(V.actas(s, d)), V.found(s, d)).select("id", "mesa_key", "dep")
 
@@ -69,23 +74,26 @@ def divipola_join(s, d):
     return V.geo(s, d)
 
 
-@query("SELECT mesa_key, id, excede, no_coincide, nivelacion FROM flagged ORDER BY mesa_key, id LIMIT 200")
+@query("SELECT mesa_key, id, excede, no_coincide, nivelacion FROM flagged")
 def flags_listing(s, d):
-    return rules.with_flags(V.actas(s, d)).select("mesa_key", "id", "excede", "no_coincide", "nivelacion").orderBy("mesa_key", "id").limit(200)
+    return rules.with_flags(V.actas(s, d)).select("mesa_key", "id", "excede", "no_coincide", "nivelacion").orderBy("mesa_key", "id")
 
 
 # --- verdicts and risk, on integer cell scores (0-100)
 
 _CELLS = "SELECT acta_id, count(*) cells, max(score) top, CAST(sum(score) AS BIGINT) sum_score, count(CASE WHEN score>50 THEN 1 END) suspicious FROM cells GROUP BY acta_id"
-_POINTS = f"SELECT acta_id, 25*sum_score+20*top*cells+2500*suspicious points, cells FROM ({_CELLS})"
-_VERDICT = f"SELECT acta_id, CAST(points AS BIGINT) points, CASE WHEN points<2900*cells THEN 'LEGITIMA' WHEN points<6000*cells THEN 'SOSPECHOSA' ELSE 'ILEGITIMA' END veredicto FROM ({_POINTS})"
+_STRUCTURE = "least(CASE WHEN cells<4 THEN 30 WHEN cells>12 THEN 20 ELSE 0 END + CASE WHEN acta_id%3<2 THEN 50 ELSE 0 END, 100)"
+_POINTS = f"SELECT acta_id, (2*(30*{_STRUCTURE}*cells+25*sum_score+20*top*cells+2500*suspicious)+cells)//(2*cells) points FROM ({_CELLS})"
+_VERDICT = f"SELECT acta_id, CAST(points AS BIGINT) points, CASE WHEN points<2900 THEN 'LEGITIMA' WHEN points<6000 THEN 'SOSPECHOSA' ELSE 'ILEGITIMA' END veredicto FROM ({_POINTS})"
 
 
 def _verdicts(s, d):
     rows = rollups.cell_summary(V.cells(s, d))
-    points = 25 * F.col("sum_score") + 20 * F.col("top") * F.col("cells") + 2500 * F.col("suspicious")  # 10,000 times the points, times cells
-    band = F.when(points < 2900 * F.col("cells"), "LEGITIMA").when(points < 6000 * F.col("cells"), "SOSPECHOSA").otherwise("ILEGITIMA")
-    return rows.select("acta_id", points.cast("long").alias("points"), band.alias("veredicto"))
+    arith = rules.structure_score(F.col("cells"), F.col("acta_id") % 3)
+    # in hundredths, so four decimals of a score of 0 to 1 are whole numbers
+    points = rules.verdict_points(100 * arith, 100 * F.col("sum_score") / F.col("cells"), 100 * F.col("top"), 10000 * F.col("suspicious"), F.col("cells"))
+    points = F.floor(F.round(points, 6) + 0.5).cast("long")
+    return rows.select("acta_id", points.alias("points"), rules.verdict(points, 2900, 6000).alias("veredicto"))
 
 
 @query(_CELLS)
@@ -125,13 +133,14 @@ def arith_structure_check(s, d):
     return V.actas(s, d).select("id", F.least(F.when(F.col("firmas") < 4, 30).when(F.col("firmas") > 6, 20).otherwise(0) + F.when(F.col("paginas_total") < 2, 50).otherwise(0), F.lit(100)).alias("score"))
 
 
-_MATH = "SELECT id, concat_ws(',', CASE WHEN suma<>urna THEN 'SUM_MISMATCH' END, CASE WHEN least(blanco,nulos,no_marcados,urna)<0 THEN 'NEGATIVE_SUMMARY' END, CASE WHEN suma>urna THEN 'UNDERVOTE' END, CASE WHEN id%100<30 THEN 'LOW_OCR_CONFIDENCE' END, CASE WHEN urna>e11-2 THEN 'OVERVOTE' END) rules, suma<>urna a, suma>urna b, id%100<30 c, urna>e11-2 v, firmas FROM flagged"
+_MATH = "SELECT id, concat_ws(',', CASE WHEN suma<>urna THEN 'SUM_MISMATCH' END, CASE WHEN c1-12<0 THEN 'NEGATIVE_VOTES' END, CASE WHEN c2*20>999 THEN 'EXCEEDS_3_DIGITS' END, CASE WHEN urna>e11-2 THEN 'OVERVOTE' END, CASE WHEN urna>0 AND c1-12+c2*20>urna THEN 'UNDERVOTE' END, CASE WHEN id%100<60 THEN 'LOW_OCR_CONFIDENCE' END) rules, suma<>urna a, c1-12<0 n, c2*20>999 x, urna>e11-2 v, urna>0 AND c1-12+c2*20>urna u, id%100<60 c, id%100 ocr, firmas FROM (SELECT *, suma-c1-c2+c1-12+c2*20 mate FROM flagged)"
+_MATH = _MATH.replace("suma<>urna", "mate<>urna")
 
 
 def _math(s, d):
     rows = rules.with_flags(V.actas(s, d))
-    found = rules.math_rules(F.col("urna"), F.col("c1") + F.col("c2"), F.col("blanco"), F.col("nulos"), F.col("no_marcados"), F.lit(0), F.col("id") % 100, F.col("e11") - 2, low_ocr=30)
-    return rows.withColumn("rules", found)
+    votes = F.array(F.col("c1") - 12, F.col("c2") * 20)  # so that single candidates are negative or beyond three digits
+    return rows.withColumn("rules", rules.math_rules(F.col("urna"), votes, F.col("blanco"), F.col("nulos"), F.col("no_marcados"), F.col("id") % 100, F.col("e11") - 2, low_ocr=60))
 
 
 @query(f"SELECT id, rules FROM ({_MATH})")
@@ -144,19 +153,19 @@ def math_findings(s, d):
     return _math(s, d).select(F.explode("rules").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-_RISK = f"SELECT id, least(least(CASE WHEN a THEN 40 ELSE 0 END+CASE WHEN b THEN 20 ELSE 0 END+CASE WHEN c THEN 10 ELSE 0 END+CASE WHEN v THEN 40 ELSE 0 END,40)+(firmas-3)*10+CASE WHEN c THEN 10 ELSE 0 END,100) risk FROM ({_MATH})"
+_RISK = f"SELECT id, least(100*(least(CASE WHEN a THEN 40 ELSE 0 END+CASE WHEN n THEN 40 ELSE 0 END+CASE WHEN x THEN 15 ELSE 0 END+CASE WHEN v THEN 35 ELSE 0 END+CASE WHEN u THEN 20 ELSE 0 END+CASE WHEN c THEN 15 ELSE 0 END,40)+(firmas-3)*10)+15*(100-ocr),10000)/100.0 risk FROM ({_MATH})"
 _LEVEL = "CASE WHEN risk>=80 THEN 'CRITICAL' WHEN risk>=50 THEN 'HIGH' WHEN risk>=20 THEN 'MEDIUM' ELSE 'LOW' END"
 
 
 def _risk(s, d):
     rows = _math(s, d)
-    risk = rules.risk_score(F.col("rules"), (F.col("firmas") - 3) * 10, F.col("id") % 100, low_ocr=30)
-    return rows.select("id", "creado_en", "estado", risk.cast("long").alias("risk")).withColumn("level", rules.risk_level(F.col("risk")))
+    risk = rules.risk_score(F.col("rules"), (F.col("firmas") - 3) * 10, F.col("id") % 100 / 100)
+    return rows.select("id", "creado_en", "estado", risk.alias("risk")).withColumn("level", rules.risk_level(F.col("risk")))
 
 
-@query(f"SELECT id, CAST(risk AS BIGINT) risk, {_LEVEL} level FROM ({_RISK})")
+@query(f"SELECT id, CAST(round(risk*100) AS BIGINT) risk, {_LEVEL} level FROM ({_RISK})")
 def risk_score(s, d):
-    return _risk(s, d).select("id", "risk", "level")
+    return _risk(s, d).select("id", F.round(F.col("risk") * 100).cast("long").alias("risk"), "level")
 
 
 _BOX = "CASE WHEN {0}%4=0 THEN 'PRESENT' WHEN {0}%4=1 THEN 'PRESENT' WHEN {0}%4=2 THEN 'INDETERMINATE' ELSE 'EMPTY' END"
@@ -171,9 +180,10 @@ def signature_status(s, d):
     return V.actas(s, d).select("id", rules.signature_summary(states).alias("x")).select("id", "x.*")
 
 
-@query("SELECT id, CASE WHEN 10*abs(p-t)>t THEN 'inconsistent' ELSE 'ok' END state FROM (SELECT id, t, (CASE WHEN 10*c1<9*t THEN c1 ELSE 0 END)+(CASE WHEN 10*c2<9*t THEN c2 ELSE 0 END)+(CASE WHEN 10*blanco<9*t THEN blanco ELSE 0 END)+(CASE WHEN 10*urna<9*t THEN urna ELSE 0 END) p FROM (SELECT *, greatest(c1,c2,blanco,urna) t FROM actas))")
+@query("SELECT id, CASE WHEN len(v)<3 THEN 'few_data' WHEN len(p)>0 AND 10*abs(list_sum(p)-t)>t THEN 'inconsistent' ELSE 'ok' END state FROM (SELECT id, v, list_max(v) t, list_filter(v, lambda n: 10*n<9*list_max(v)) p FROM (SELECT id, list_filter([c1, c2, CASE WHEN id%3>0 THEN blanco END, CASE WHEN id%5>0 THEN urna END], lambda n: n IS NOT NULL) v FROM actas))")
 def consistency_check(s, d):
-    return V.actas(s, d).select("id", rules.consistency(F.array("c1", "c2", "blanco", "urna")).alias("state"))
+    k = F.col("id")
+    return V.actas(s, d).select("id", rules.consistency(F.array("c1", "c2", F.when(k % 3 > 0, F.col("blanco")), F.when(k % 5 > 0, F.col("urna")))).alias("state"))
 
 
 # --- official rows against evidence
@@ -232,12 +242,12 @@ _STOP = f"SELECT *, min(CASE WHEN NOT dup AND n>=5 AND 100*greatest(yes,n-yes)>=
 _FATE = f"SELECT *, CASE WHEN stop IS NOT NULL AND seq>stop THEN 'frozen' WHEN dup THEN 'duplicate' ELSE 'accepted' END fate FROM ({_STOP})"
 
 
-@query("SELECT disc, n, legitimos, votantes, CASE WHEN n>=5 AND 100*legitimos>=80*n THEN 'legitima' WHEN n>=5 AND 100*(n-legitimos)>=80*n THEN 'anomala' ELSE 'abierta' END estado FROM (SELECT disc, count(*) n, count(CASE WHEN legit THEN 1 END) legitimos, count(DISTINCT voter) votantes FROM votes GROUP BY disc)")
+@query("SELECT disc, n, legitimos, votantes, CASE WHEN n>=5 AND 100*legitimos>=80*n THEN 'legitima' WHEN n>=5 AND 100*(n-legitimos)>=80*n THEN 'anomala' ELSE 'por_verificar' END estado FROM (SELECT disc, count(*) n, count(CASE WHEN legit THEN 1 END) legitimos, count(DISTINCT voter) votantes FROM votes GROUP BY disc)")
 def consensus_snapshot(s, d):
     return consensus.snapshot(V.votes(s, d))
 
 
-@query(f"SELECT disc, n, legitimos, c congelada, CASE WHEN NOT c THEN 'abierta' WHEN 100*legitimos>=80*n THEN 'legitima' ELSE 'anomala' END resultado FROM (SELECT disc, count(*) n, count(CASE WHEN legit THEN 1 END) legitimos, bool_or(stop IS NOT NULL) c FROM ({_FATE}) WHERE fate='accepted' GROUP BY disc)")
+@query(f"SELECT disc, n, legitimos, c congelada, CASE WHEN NOT c THEN 'por_verificar' WHEN 100*legitimos>=80*n THEN 'legitima' ELSE 'anomala' END resultado FROM (SELECT disc, count(*) n, count(CASE WHEN legit THEN 1 END) legitimos, bool_or(stop IS NOT NULL) c FROM ({_FATE}) WHERE fate='accepted' GROUP BY disc)")
 def consensus_freeze(s, d):
     return consensus.frozen(V.votes(s, d)).select("disc", "n", "legitimos", "congelada", "resultado")
 
@@ -253,12 +263,12 @@ def consensus_summary(s, d):
     return one.join(V.votes(s, d).agg(F.count("*").alias("votos"), F.countDistinct("voter").alias("votantes")), F.lit(True))
 
 
-@query("SELECT vote_id, legit FROM votes WHERE disc=3 ORDER BY ts DESC, vote_id DESC LIMIT 100")
+@query("SELECT vote_id, legit FROM votes WHERE disc=3")
 def discrepancy_status(s, d):
-    return V.votes(s, d).where("disc = 3").orderBy(F.desc("ts"), F.desc("vote_id")).limit(100).select("vote_id", "legit")
+    return V.votes(s, d).where("disc = 3").orderBy(F.desc("ts"), F.desc("vote_id")).select("vote_id", "legit")
 
 
-@query("SELECT id, mesa_key, prioridad FROM found WHERE estado='abierta' AND NOT congelada ORDER BY CASE WHEN prioridad='alta' THEN 1 WHEN prioridad='media' THEN 2 ELSE 3 END, creado_en, id LIMIT 50 OFFSET 10")
+@query("SELECT id, mesa_key, prioridad FROM found WHERE estado='por_verificar' AND NOT congelada ORDER BY CASE WHEN prioridad='alta' THEN 1 WHEN prioridad='media' THEN 2 ELSE 3 END, creado_en, id LIMIT 50 OFFSET 10")
 def pending_queue(s, d):
     return consensus.pending(V.found(s, d), 50, 10).select("id", "mesa_key", "prioridad")
 
@@ -312,11 +322,9 @@ def tables_filter(s, d):
     return rollups.page(rollups.filtered(V.tables(s, d), dep=None, muni="003", status="pending"), ["id"], 1, 25).select("id", "dep", "muni", "status")
 
 
-@query("SELECT id FROM tables WHERE p_name ILIKE '%1%' OR p_brand ILIKE '%brand#1%' OR p_type ILIKE '%PROMO%'")
+@query("SELECT id FROM tables WHERE contains(lower(p_name),'#1') OR contains(lower(p_brand),'#1') OR contains(lower(p_type),'#1')")
 def tables_search(s, d):
-    t = V.tables(s, d)
-    hit = F.col("p_name").ilike("%1%") | F.col("p_brand").ilike("%brand#1%") | F.col("p_type").ilike("%PROMO%")
-    return t.where(hit).select("id")
+    return rollups.searched(V.tables(s, d), "#1", ["p_name", "p_brand", "p_type"]).select("id")
 
 
 @query("SELECT count(*) total, count(CASE WHEN status='cached' THEN 1 END) cached, count(CASE WHEN status='error' THEN 1 END) errors, CAST(coalesce(sum(CASE WHEN status='cached' THEN size_bytes END),0) AS BIGINT) bytes FROM tables")
@@ -380,7 +388,7 @@ def unanalyzed_batches(s, d):
     return workqueue.batches(a.join(a.where("id % 4 = 0").select("id"), "id", "left_anti"), "dep")
 
 
-@query(f"SELECT id, CAST(risk AS BIGINT) risk FROM ({_RISK}) ORDER BY risk DESC, id LIMIT 100")
+@query(f"SELECT id, CAST(risk AS DOUBLE) risk FROM ({_RISK}) ORDER BY risk DESC, id LIMIT 100")
 def risk_review_queue(s, d):
     return rollups.page(_risk(s, d), [F.desc("risk"), "id"], 1, 100).select("id", "risk")
 
@@ -430,10 +438,11 @@ def report_top10(s, d):
     return rollups.cell_summary(V.cells(s, d)).orderBy(F.desc("top"), F.desc("sum_score"), "acta_id").limit(10).select("acta_id", "top", "sum_score")
 
 
-@query("SELECT event_id FROM events WHERE props IS NULL OR CAST(json_extract_string(props,'$.k') AS INTEGER)%2=0")
+@query("SELECT event_id FROM events WHERE json_extract_string(CASE WHEN event_id%3=0 THEN props ELSE '{}' END,'$.k') IS NULL")
 def vlm_pending(s, d):
-    k = F.get_json_object("props", "$.k")
-    return V.load(s, d, "events").where(k.isNull() | (k.cast("int") % 2 == 0)).select("event_id")
+    answers = F.when(F.col("event_id") % 3 == 0, F.col("props")).otherwise("{}")
+    return V.load(s, d, "events").where(F.get_json_object(answers, "$.k").isNull()).select("event_id")
+
 
 
 @query("SELECT event_id, CASE WHEN event_id%3=0 THEN true ELSE false END parse_error, CASE WHEN event_id%3=0 THEN 0 ELSE 1 END n FROM events")
@@ -557,18 +566,19 @@ def digit_bands(s, d):
     return V.load(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), (rules.thickness_band(F.col("l_quantity") / 100) * 10).cast("int").alias("band"))
 
 
-@query("SELECT p_partkey id, concat_ws(',', CASE WHEN least(w,h)<800 THEN 'small' END, CASE WHEN floor(100*w/h)<55 OR floor(100*w/h)>85 THEN 'aspect' END, CASE WHEN m>230 THEN 'bright' END, CASE WHEN m<40 THEN 'dark' END) issues FROM (SELECT p_partkey, 600+p_partkey%700 w, 900+p_size*10 h, p_partkey%256 m FROM part)")
+@query("SELECT p_partkey id, concat_ws(',', CASE WHEN least(w,h)<800 THEN 'small' END, CASE WHEN 100*w<55*h OR 100*w>85*h THEN 'aspect' END, CASE WHEN m>230 THEN 'bright' END, CASE WHEN m<40 THEN 'dark' END) issues FROM (SELECT p_partkey, 600+p_partkey%700 w, 900+p_size*10 h, p_partkey%256 m FROM part)")
 def image_quality(s, d):
     k = F.col("p_partkey")
     return V.load(s, d, "part").select(k.alias("id"), F.array_join(records.image_issues(600 + k % 700, 900 + F.col("p_size") * 10, k % 256), ",").alias("issues"))
 
 
-@query("SELECT id, CASE WHEN id%11=0 THEN 'no_name' WHEN id%7=0 THEN 'extension' WHEN size_bytes=0 THEN 'empty' WHEN id%5=0 THEN 'content' END problem FROM tables")
+@query("SELECT id, CASE WHEN id%11=0 THEN 'no_name' WHEN id%7=0 THEN 'extension' WHEN size_bytes=0 THEN 'empty' WHEN id%13=0 THEN 'content_type' WHEN id%5=0 THEN CASE WHEN id%2=0 THEN 'pdf' ELSE 'content' END END problem FROM tables")
 def upload_validation(s, d):
     k = F.col("id")
     name = F.when(k % 11 == 0, "").when(k % 7 == 0, "a.gif").when(k % 2 == 0, "a.png").otherwise("b.JPG")
-    head = F.when(k % 5 == 0, "00000000").when(k % 2 == 0, "89504E47").otherwise("FFD8FFE0")
-    return V.tables(s, d).select("id", records.upload_problem(name, F.col("size_bytes"), head).alias("problem"))
+    kind = F.when(k % 13 == 0, "application/pdf").otherwise("image/JPEG")
+    head = F.when(k % 10 == 0, "255044462D312E37").when(k % 5 == 0, "89504E4700000000").when(k % 2 == 0, "89504E470D0A1A0A").otherwise("FFD8FFE000104A46")
+    return V.tables(s, d).select("id", records.upload_problem(name, F.col("size_bytes"), kind, head).alias("problem"))
 
 
 @query("SELECT id, size_bytes>=100 AND id%9<>0 valid, sha256('%PDF-'||CAST(id AS VARCHAR)) sha FROM tables")
@@ -706,11 +716,11 @@ def range_checks(s, d):
 # --- compositions and page geometry
 
 
-@query(f"SELECT r.id, CAST(risk AS BIGINT) risk, {_LEVEL} level, coalesce(n,0) findings FROM ({_RISK}) r LEFT JOIN (SELECT acta_id, count(*) n FROM found GROUP BY acta_id) f ON f.acta_id=r.id")
+@query(f"SELECT r.id, CAST(round(risk*100) AS BIGINT) risk, {_LEVEL} level, coalesce(n,0) findings FROM ({_RISK}) r LEFT JOIN (SELECT acta_id, count(*) n FROM found GROUP BY acta_id) f ON f.acta_id=r.id")
 def document_analysis(s, d):
     """The whole analysis of a sheet: rules, mathematics, signatures, risk and its findings, in one row."""
     n = rules.findings(V.actas(s, d)).groupBy(F.col("acta_id").alias("id")).agg(F.count("*").alias("findings"))
-    return _risk(s, d).select("id", "risk", "level").join(n, "id", "left").withColumn("findings", F.coalesce("findings", F.lit(0)))
+    return _risk(s, d).select("id", F.round(F.col("risk") * 100).cast("long").alias("risk"), "level").join(n, "id", "left").withColumn("findings", F.coalesce("findings", F.lit(0)))
 
 
 @query()

@@ -13,13 +13,13 @@ VIEWS_SQL = {
     "geo": "SELECT lpad(CAST(n_nationkey AS VARCHAR),2,'0') dep, n_name dep_name, r_name zone FROM nation JOIN region ON r_regionkey=n_regionkey",
     "lines": "SELECT l_orderkey, " + ", ".join(f"CAST(sum(CASE WHEN l_linenumber IN ({k}) THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS BIGINT) {n}" for n, k in (("c1", "1,6"), ("c2", "2,7"), ("blanco", "3"), ("nulos", "4"), ("no_marcados", "5"))) + " FROM lineitem GROUP BY l_orderkey",
     "base": "SELECT o_orderkey id, lpad(CAST(c_nationkey AS VARCHAR),2,'0') dep, lpad(CAST(o_custkey%100 AS VARCHAR),3,'0') muni, coalesce(c1,0) c1, coalesce(c2,0) c2, coalesce(blanco,0) blanco, coalesce(nulos,0) nulos, coalesce(no_marcados,0) no_marcados, o_orderstatus estado, o_orderpriority prio, o_orderdate creado_en FROM orders JOIN customer ON c_custkey=o_custkey LEFT JOIN lines ON l_orderkey=o_orderkey",
-    "actas": "SELECT id, dep, muni, dep||'-'||muni||'-'||CAST(id/4 AS BIGINT) mesa_key, c1,c2,blanco,nulos,no_marcados, c1+c2+blanco+nulos+no_marcados-(CASE WHEN id%11=0 THEN 5 WHEN id%11=1 THEN -3 ELSE 0 END) urna, c1+c2+blanco+nulos+no_marcados-(CASE WHEN id%11=0 THEN 5 WHEN id%11=1 THEN -3 ELSE 0 END)+id%4 e11, id%3 incinerados, 3+id%5 firmas, 1+least(id%7,1) paginas_total, 2 paginas_esperadas, id%13<>0 qr_ok, estado, prio, creado_en FROM base",
+    "actas": "SELECT id, dep, muni, dep||'-'||muni||'-'||CAST(id/4 AS BIGINT) mesa_key, c1,c2,blanco,nulos,no_marcados, c1+c2+blanco+nulos+no_marcados-(CASE WHEN id%11=0 THEN 5 WHEN id%11=1 THEN -3 ELSE 0 END) urna, c1+c2+blanco+nulos+no_marcados-(CASE WHEN id%11=0 THEN 5 WHEN id%11=1 THEN -3 ELSE 0 END)+id%4 e11, id%3 incinerados, 3+id%5 firmas, 1+least(id%7,1) paginas_total, 2 paginas_esperadas, id%13<>0 qr_ok, CASE WHEN id%13<>0 THEN '' ELSE 'X' END||dep||'-'||muni||'-'||CAST(id/4 AS BIGINT)||'-PRE-2026' qr_raw, estado, prio, creado_en FROM base",
 }
 VIEWS_SQL["actas"] = VIEWS_SQL["actas"].replace("CAST(id/4 AS BIGINT)", "CAST((id-id%4) AS VARCHAR)")
 VIEWS_SQL["flagged"] = "SELECT *, suma>urna excede, suma<>urna no_coincide, abs(e11-urna)>incinerados nivelacion, paginas_total<paginas_esperadas incompleta, firmas<6 firmas_bajas, NOT qr_ok qr_malo FROM (SELECT *, c1+c2+blanco+nulos+no_marcados suma FROM actas)"
-VIEWS_SQL["found"] = "SELECT acta_id*10+k id, acta_id, mesa_key, dep, creado_en, rule, score2, oficial, ciudadano, CASE WHEN score2>=2 THEN 'alta' ELSE 'media' END prioridad, CASE (acta_id*10+k)%4 WHEN 0 THEN 'abierta' WHEN 1 THEN 'en_revision' WHEN 2 THEN 'resuelta_anomala' ELSE 'resuelta_legitima' END estado, acta_id%5=0 congelada FROM (" + " UNION ALL ".join(
-    f"SELECT id acta_id, mesa_key, dep, creado_en, {k} k, '{n}' rule, {s} score2, CAST({a} AS BIGINT) oficial, CAST({b} AS BIGINT) ciudadano FROM flagged WHERE {f}"
-    for k, (n, s, a, b, f) in enumerate((("aritmetica_excede_total", "2", "urna", "suma", "excede"), ("aritmetica_no_coincide", "2", "urna", "suma", "no_coincide"), ("nivelacion_inconsistente", "2", "e11", "urna", "nivelacion"), ("paginas_incompletas", "2", "paginas_esperadas", "paginas_total", "incompleta"), ("firmas_insuficientes", "CASE WHEN firmas>=4 THEN 1 ELSE 2 END", "6", "firmas", "firmas_bajas"), ("qr_no_coincide", "2", "1", "0", "qr_malo")))
+VIEWS_SQL["found"] = "SELECT acta_id*10+k id, acta_id, mesa_key, dep, creado_en, rule, score2, oficial, ciudadano, CASE WHEN score2>=2 THEN 'alta' ELSE 'media' END prioridad, CASE (acta_id*10+k)%4 WHEN 0 THEN 'por_verificar' WHEN 1 THEN 'en_revision' WHEN 2 THEN 'verificado_anomalo' ELSE 'verificado_legitimo' END estado, acta_id%5=0 congelada FROM (" + " UNION ALL ".join(
+    f"SELECT id acta_id, mesa_key, dep, creado_en, {k} k, '{n}' rule, {s} score2, CAST({a} AS VARCHAR) oficial, CAST({b} AS VARCHAR) ciudadano FROM flagged WHERE {f}"
+    for k, (n, s, a, b, f) in enumerate((("aritmetica_excede_total", "2", "urna", "suma", "excede"), ("aritmetica_no_coincide", "2", "urna", "suma", "no_coincide"), ("nivelacion_inconsistente", "2", "e11", "urna", "nivelacion"), ("paginas_incompletas", "2", "paginas_esperadas", "paginas_total", "incompleta"), ("firmas_insuficientes", "CASE WHEN firmas>=4 THEN 1 ELSE 2 END", "6", "firmas", "firmas_bajas"), ("qr_metadata_mismatch", "2", "mesa_key||'-PRE-2026'", "qr_raw", "qr_malo")))
 ) + ")"
 VIEWS_SQL["evidence"] = "SELECT id*2+r id, mesa_key, CASE WHEN (id+r)%10=0 THEN NULL ELSE (id*7+r)%100 END confianza, CASE WHEN id%17=0 THEN 'rechazada_calidad' ELSE 'aceptada' END estado, creado_en, e11, urna, incinerados, c1+(id%9-4)*(r+1) c1, c2, CASE WHEN id%6=0 THEN NULL ELSE blanco END blanco, nulos+CASE WHEN id%8=0 THEN 30 ELSE 0 END nulos, no_marcados FROM actas, (SELECT 0 r UNION ALL SELECT 1) WHERE id%3=0"
 VIEWS_SQL["votes"] = "SELECT event_id vote_id, user_id%40 disc, user_id*7+event_id%5 voter, event_id%6<>(user_id%3) legit, ts, value FROM events"
@@ -46,13 +46,13 @@ def actas(spark, d):
     key, muni, dep = F.col("id"), zfill(F.col("o_custkey") % 100, 3), zfill(F.col("c_nationkey"), 2)
     rows = rows.select(F.col("o_orderkey").alias("id"), dep.alias("dep"), muni.alias("muni"), *[F.coalesce(v, F.lit(0)).alias(v) for v in votes], F.col("o_orderstatus").alias("estado"), F.col("o_orderpriority").alias("prio"), F.col("o_orderdate").alias("creado_en"))
     urna = sum((F.col(v) for v in votes[1:]), F.col("c1")) - F.when(key % 11 == 0, 5).when(key % 11 == 1, -3).otherwise(0)
-    return rows.withColumn("urna", urna).withColumns({"mesa_key": F.concat_ws("-", "dep", "muni", (key - key % 4).cast("string")), "e11": F.col("urna") + key % 4, "incinerados": key % 3, "firmas": 3 + key % 5, "paginas_total": 1 + F.least(key % 7, F.lit(1)), "paginas_esperadas": F.lit(2), "qr_ok": key % 13 != 0})
+    return rows.withColumn("urna", urna).withColumns({"mesa_key": F.concat_ws("-", "dep", "muni", (key - key % 4).cast("string")), "e11": F.col("urna") + key % 4, "incinerados": key % 3, "firmas": 3 + key % 5, "paginas_total": 1 + F.least(key % 7, F.lit(1)), "paginas_esperadas": F.lit(2), "qr_ok": key % 13 != 0}).withColumn("qr_raw", F.concat(F.when(F.col("qr_ok"), "").otherwise("X"), "mesa_key", F.lit("-PRE-2026")))
 
 
 def found(spark, d):
     rows = findings(actas(spark, d))
     k = F.col("id") % 4
-    state = F.when(k == 0, "abierta").when(k == 1, "en_revision").when(k == 2, "resuelta_anomala").otherwise("resuelta_legitima")
+    state = F.when(k == 0, "por_verificar").when(k == 1, "en_revision").when(k == 2, "verificado_anomalo").otherwise("verificado_legitimo")
     return rows.withColumns({"estado": state, "congelada": F.col("acta_id") % 5 == 0})
 
 

@@ -14,7 +14,7 @@ SHEETS = [(1, 198, 197, 1, 95, 85, 7, 8, 2, 6), (2, 312, 310, 2, 178, 150, 5, 3,
 
 
 def test_golden_findings(spark):
-    rows = spark.createDataFrame([(*r, 2, 2, True, "k", "01", None) for r in SHEETS], "id long, e11 int, urna int, incinerados int, c1 int, c2 int, blanco int, nulos int, no_marcados int, firmas int, paginas_total int, paginas_esperadas int, qr_ok boolean, mesa_key string, dep string, creado_en timestamp")
+    rows = spark.createDataFrame([(*r, 2, 2, True, "q", "k", "01", None) for r in SHEETS], "id long, e11 int, urna int, incinerados int, c1 int, c2 int, blanco int, nulos int, no_marcados int, firmas int, paginas_total int, paginas_esperadas int, qr_ok boolean, qr_raw string, mesa_key string, dep string, creado_en timestamp")
     found = {}
     for r in rules.findings(rows).collect():
         found.setdefault(r.acta_id, []).append((r.rule, r.score2, r.prioridad))
@@ -104,3 +104,24 @@ def test_otsu_and_distance():
     mask = np.zeros((7, 7), bool)
     mask[1:6, 1:6] = True
     assert vision.distance(mask).max() == 3 and vision.distance(mask).sum() == 16 + 8 * 2 + 3
+
+
+def test_golden_mathematics_consistency_and_verdict(spark):
+    """Thirteen candidates with 1,880 votes, 12 blank, 8 null, 23 unmarked."""
+    votes = [142, 289, 87, 56, 203, 178, 34, 167, 91, 45, 312, 198, 78]
+    rows = spark.createDataFrame([(votes, t) for t in (1923, 1922, 1900, 1800)] + [([-1, -2, 1000], 997)], "v array<long>, t long")
+    found = F.expr("0.9")
+    got = [r.x for r in rows.select(rules.math_rules(F.col("t"), F.col("v"), F.lit(12), F.lit(8), F.lit(23), found).alias("x")).collect()]
+    assert got == [[], ["SUM_MISMATCH"], ["SUM_MISMATCH"], ["SUM_MISMATCH", "UNDERVOTE"], ["SUM_MISMATCH", "NEGATIVE_VOTES", "NEGATIVE_VOTES", "EXCEEDS_3_DIGITS"]]
+    risk = lambda names, sig, ocr: spark.range(1).select(rules.risk_score(F.array(*map(F.lit, names)).cast("array<string>"), F.lit(sig), F.lit(ocr)).alias("x")).first().x
+    assert (risk(["SUM_MISMATCH", "UNDERVOTE"], 50, 0.9), risk(["NEGATIVE_SUMMARY"], 0, 1.0), risk([], 20, 0.5)) == (91.5, 5.0, 27.5)
+    state = lambda *v: spark.range(1).select(rules.consistency(F.array(*[F.lit(x).cast("long") for x in v])).alias("x")).first().x
+    assert [state(100, 100, 100), state(100, 95, 92), state(100, 50, 45), state(100, 50, 20), state(100, None, 3)] == ["ok", "ok", "ok", "inconsistent", "few_data"]
+    assert spark.range(1).select(rules.verdict(F.round(rules.verdict_points(F.lit(0.0), F.lit(0.4), F.lit(0.6999), F.lit(1), F.lit(5)), 4)).alias("x")).first().x == "SOSPECHOSA"
+    big = 10 * 1024 * 1024
+    cases = [("a.pdf", 9, "image/png", "25504446"), ("a.png", 0, "image/png", ""), ("a.png", big + 1, "image/png", ""), ("a.png", 9, "text/plain", ""), ("a.jpg", 9, "image/jpeg", "255044462D"), ("a.jpg", 9, "image/jpeg", "89504E4700000000"), ("a.jpg", 9, None, ""), ("a.JPG", big, "IMAGE/png", "89504E470D0A1A0A")]
+    rows = spark.createDataFrame(cases, "n string, s long, k string, h string")
+    want = ["extension", "empty", "too_large", "content_type", "pdf", "content", "content_type", None]
+    assert [r.x for r in rows.select(records.upload_problem(*map(F.col, "nskh")).alias("x")).collect()] == want
+    shapes = spark.createDataFrame([(850, 1000), (851, 1001), (8505, 10000), (549, 1000)], "w long, h long")
+    assert [r.x for r in shapes.select(F.array_contains(records.image_issues(F.col("w"), F.col("h"), F.lit(100)), "aspect").alias("x")).collect()] == [False, True, True, True]
