@@ -14,8 +14,9 @@ import pyarrow as pa
 
 from .common import KEPT, blocks, quiet_tokenizers, texts
 
-#: Entries of a worker's memo (about 250 bytes each); a full memo is emptied.
-MEMO_ENTRIES = 1_200_000
+#: Entries of a worker's memo (about 250 bytes each), in two halves: when the newer one is full, it becomes the older
+#: one and the older one goes, while chunks that are met again move to the newer one.
+MEMO_ENTRIES = 600_000
 #: Chunks of more characters are encoded without the memo.
 MEMO_CHARS = 48
 
@@ -35,6 +36,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.older: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.widths = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, k in vocab.items():
@@ -58,8 +60,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
+        if len(self.memo) > MEMO_ENTRIES // 2:
+            self.older, self.memo = self.memo, {}
         memo, heads, found, lacking = self.memo, [], [], []
         wanted: set[str] = set()
         for t in texts:
@@ -70,6 +72,9 @@ class Encoder:
             if None in ids:
                 wanted.update([p for p, x in zip(parts, ids, strict=True) if x is None])
                 lacking.append((parts, ids))
+        again = wanted & self.older.keys()
+        memo.update((p, self.older[p]) for p in again)
+        wanted -= again
         once: dict[str, bytes] = {}
         for parts, into in (([p for p in wanted if len(p) <= MEMO_CHARS], memo), ([p for p in wanted if len(p) > MEMO_CHARS], once)):
             for k in range(0, len(parts), 512):
