@@ -16,7 +16,7 @@ from .common import KEPT, blocks, quiet_tokenizers, texts
 
 #: Entries of a worker's memo (about 250 bytes each), in two halves: when the newer one is full, it becomes the older
 #: one and the older one goes, while chunks that are met again move to the newer one.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 1_200_000
 #: Chunks of more characters are encoded without the memo.
 MEMO_CHARS = 48
 
@@ -37,6 +37,7 @@ class Encoder:
 
         self.tokenizer, self.memo = Tokenizer.from_file(path), {}
         self.older: dict[str, bytes] = {}
+        self.entries = MEMO_ENTRIES
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.widths = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, k in vocab.items():
@@ -60,7 +61,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.memo) > MEMO_ENTRIES // 2:
+        if len(self.memo) > self.entries // 2:
             self.older, self.memo = self.memo, {}
         memo, heads, found, lacking = self.memo, [], [], []
         wanted: set[str] = set()
@@ -90,10 +91,11 @@ _encoders: dict[str, Encoder] = {}
 KEPT.append(_encoders.clear)
 
 
-def encoder(path: str) -> Encoder:
-    """This worker's encoder of that vocabulary."""
+def encoder(path: str, entries: int = MEMO_ENTRIES) -> Encoder:
+    """This worker's encoder of that vocabulary, with a memo of so many entries."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].entries = entries
     return _encoders[path]
 
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import task
-from .encode import default_tokenizer, encoder, text_slices
+from .encode import MEMO_ENTRIES, default_tokenizer, encoder, text_slices
 
 WINDOW = 2048
 END_ID = 1
@@ -143,8 +143,9 @@ def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Pieces of all documents with their sequence and offset; with_ids adds the ids themselves (little-endian binary)."""
+def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, memo: int = MEMO_ENTRIES) -> DataFrame:
+    """Pieces of all documents with their sequence and offset; with_ids adds the ids themselves (little-endian
+    binary); memo bounds the chunks whose ids a worker keeps, which changes its memory and time only."""
     path, end = tokenizer or default_tokenizer(), np.array([end_id], "<u4").tobytes()
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     schema = pa.schema([(n, pa.int64()) for n in names] + [("ids", pa.binary())] * with_ids)
@@ -155,7 +156,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             for a, b, some in text_slices(batch.column(1)):
-                for doc_id, ids in zip(doc_ids[a:b], encoder(path).encode(some), strict=True):
+                for doc_id, ids in zip(doc_ids[a:b], encoder(path, memo).encode(some), strict=True):
                     packer.add(doc_id, ids + end)
                 if rows := packer.take():
                     yield _batch(rows, schema)
