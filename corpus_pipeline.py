@@ -22,6 +22,8 @@ from tallylens.llm.language import UNKNOWN, fit, predict, training_counts
 from tallylens.llm.packing import pack
 from tallylens.llm.pii import redact
 
+#: Chunks whose ids a worker keeps while packing, as executors still hold what the stages before left.
+ENCODED = 400_000
 #: Keys of removed rows that may be broadcast (about 16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
 
@@ -72,7 +74,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows; a null text has its end id alone."""
-    return pack(docs)
+    return pack(docs, memo=ENCODED)
 
 
 STAGES = [("language", languages), ("near_duplicates", near_duplicates), ("decontamination", benchmark), ("pii", personal_data), ("packing", packing)]
