@@ -1,13 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Lexical transducer: a word is mapped to classes. Threat verbs, targets, negations and reported-speech verbs are
-the fixed lists below; insults are the fixed list and the stems learned from labels. Clause transducers: a
-clause (up to . ! ? ; or a line end) is read word by word by the composition of five small machines - insult and
-threat open a match, a target within REACH words of it raises its grade, a negation or a reporting verb before it
-lowers it - and the final state of the composition is the clause's pattern. A pattern's weight is the share of
-toxic labels among the training texts whose gravest pattern it is, smoothed; a text's score combines the weights
-of its matched clauses as independent evidence, so more matched clauses score higher and a text without one
-scores the share of toxic labels among such texts.
+the fixed lists below; insults are the fixed list and the stems learned from labels. Clause transducers: negation,
+reported speech and target are one machine each, whose state counts the words that its scope still covers and which
+marks the insults and threats in it. They are composed once into one machine that reads a clause (up to . ! ? ; or
+a line end) from the left; the target machine then reads what that wrote from the right, for targets that follow,
+and a last transducer turns marked words into patterns. The weight on a pattern's arc is the share of toxic labels
+among the training texts whose gravest pattern it is, smoothed; of the arcs of a clause the gravest counts, and a
+text's score combines its clauses as independent evidence, so more matched clauses score higher and a text without
+one scores the share of toxic labels among such texts.
 
 Learning: at most SAMPLE labelled training documents (those of the least hash of their id) are used, the one
 bound of the classifier. Stems are the 4, 5, 6 and 8 byte beginnings of words; Spark counts the toxic and the
@@ -165,28 +166,74 @@ def lexicon(stems: np.ndarray) -> list[tuple[str, np.ndarray]]:
     return [("I", np.unique(np.concatenate([stems, whole(INSULTS)]))), ("H", whole(THREATS)), ("T", whole(TARGETS)), ("N", whole(NEGATIONS)), ("R", whole(REPORTS))]
 
 
-# The composed transducer: (state, class) to state, with counters of the words since the last class of each kind.
-def clause_pattern(classes: list[tuple[int, str]]) -> str | None:
-    """The gravest pattern of one clause, from its classed words (position, class) in order: kind (insult, threat),
-    with +target within REACH, and negated or reported where such a word stands at most REACH words before it."""
-    best = None
-    for at, kind in classes:
-        if kind not in "IH":
-            continue
-        near = {k for p, k in classes if k == "T" and abs(p - at) <= REACH or k in "NR" and 0 < at - p <= REACH}
-        if kind == "H" and "T" not in near:
-            continue  # a threat needs a target
-        name = "negated" if "N" in near else "reported" if "R" in near else "insult" if kind == "I" else "threat"
-        name += "+target" if "T" in near else ""
-        if best is None or GRADES.index(name) < GRADES.index(best):
-            best = name
-    return best
+# Clause transducers. A machine is a list of states; a state maps the symbol it reads to (next state, symbol it writes).
+Machine = list[dict[str, tuple[int, str]]]
+
+#: Symbols: other words, classes, and insults and threats (I, H) with the marks n, r (negated, reported) and + (target).
+GRAVE = [kind + mark + target for kind in "IH" for mark in ("", "n", "r") for target in ("", "+")]
+TAPE = ["o", "T", "N", "R", *GRAVE]
+
+
+def scope(opens: str, mark: str, over: list[str]) -> Machine:
+    """Writes `mark` behind a symbol of `over` that stands at most REACH words after `opens`; everything else is copied.
+    The state is the number of words that the scope still covers."""
+    return [{s: (REACH if s == opens else max(left - 1, 0), s + mark if left and s in over else s) for s in TAPE} for left in range(REACH + 1)]
+
+
+def compose(first: Machine, second: Machine) -> Machine:
+    """One machine that writes what `second` writes on reading what `first` writes; states are the reachable pairs."""
+    pairs = [(0, 0)]
+    number, machine = {(0, 0): 0}, []
+    for a, b in pairs:
+        arcs = {}
+        for symbol, (a_next, between) in first[a].items():
+            b_next, out = second[b][between]
+            if (a_next, b_next) not in number:
+                number[a_next, b_next] = len(pairs)
+                pairs.append((a_next, b_next))
+            arcs[symbol] = (number[a_next, b_next], out)
+        machine.append(arcs)
+    return machine
+
+
+def idle(machine: Machine) -> list[list[int]]:
+    """The state that each state becomes after 0 to REACH other words, beyond which it stays."""
+    steps = [list(range(len(machine)))]
+    for _ in range(REACH):
+        steps.append([machine[state]["o"][0] for state in steps[-1]])
+    return steps
 
 
+#: Target before or after; and negation, then report, then target, as one machine.
+TARGETED = scope("T", "+", [s for s in GRAVE if not s.endswith("+")])
+FORWARD = compose(compose(scope("N", "n", ["I", "H"]), scope("R", "r", ["I", "H"])), TARGETED)
+TARGETED_IDLE, FORWARD_IDLE = idle(TARGETED), idle(FORWARD)
+#: What the last transducer writes for a marked word; a threat without a target is no match.
+ACCEPTED = {"I": "insult", "I+": "insult+target", "H+": "threat+target", "In": "negated", "In+": "negated+target", "Hn+": "negated+target", "Ir": "reported", "Ir+": "reported+target", "Hr+": "reported+target"}
 #: Patterns from the gravest.
 GRADES = ["insult+target", "insult", "threat+target", "reported+target", "reported", "negated+target", "negated"]
 
 
+def read(machine: Machine, steps: list[list[int]], words: list[tuple[int, str]]) -> list[str]:
+    """What the machine writes for the words (position, symbol) in their order, other words between them being left out."""
+    state, last, out = 0, None, []
+    for at, symbol in words:
+        if last is not None:
+            state = steps[min(abs(at - last) - 1, REACH)][state]
+        state, written = machine[state][symbol]
+        out.append(written)
+        last = at
+    return out
+
+
+def clause_pattern(classes: list[tuple[int, str]]) -> str | None:
+    """The gravest pattern of one clause, from its classed words (position, class) in order: FORWARD reads them from the
+    left, TARGETED what that wrote from the right. Linear in the words, however long the clause is."""
+    forward = read(FORWARD, FORWARD_IDLE, classes)
+    marked = read(TARGETED, TARGETED_IDLE, [(at, mark) for (at, _), mark in zip(classes[::-1], forward[::-1], strict=True)])
+    return min((ACCEPTED[m] for m in marked if m in ACCEPTED), key=GRADES.index, default=None)
+
+
 def patterns(docs: DataFrame, words: list[tuple[str, np.ndarray]], keep: list[str]) -> DataFrame:
     """keep columns (first column: the text) and the number of matched clauses of each pattern, as an array."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields) + ", found array<int>"
@@ -219,7 +266,7 @@ def patterns(docs: DataFrame, words: list[tuple[str, np.ndarray]], keep: list[st
                     hi = np.searchsorted(rows, g[0], side="right")
                     lo, hi = lo + np.searchsorted(clause[lo:hi], g[1]), lo + np.searchsorted(clause[lo:hi], g[1], side="right")
                     at = np.flatnonzero(kind[lo:hi])
-                    name = _windowed([(int(p), chr(kind[lo + p])) for p in at])
+                    name = clause_pattern([(int(p), chr(kind[lo + p])) for p in at])
                     if name:
                         found[a + int(g[0])][GRADES.index(name)] += 1
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in keep), pa.array(found, pa.list_(pa.int32()))], names=[*keep, "found"])
@@ -227,14 +274,6 @@ def patterns(docs: DataFrame, words: list[tuple[str, np.ndarray]], keep: list[st
     return docs.mapInArrow(run, schema)
 
 
-def _windowed(classes: list[tuple[int, str]], size: int = 64) -> str | None:
-    """clause_pattern over overlapping windows, so that a clause of many thousand words stays linear."""
-    if len(classes) <= size:
-        return clause_pattern(classes)
-    names = [clause_pattern(classes[k : k + size]) for k in range(0, len(classes), size - 2 * REACH - 2)]
-    return min((n for n in names if n), key=GRADES.index, default=None)
-
-
 def weights(rows: DataFrame) -> dict[str, float]:
     """Share of toxic labels by the gravest pattern of a labelled text, smoothed towards PRIOR."""
     first = F.coalesce(*[F.when(F.col("found")[k] > 0, F.lit(name)) for k, name in enumerate(GRADES)], F.lit("none"))

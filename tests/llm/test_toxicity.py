@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from tallylens.llm import toxicity as T
@@ -46,6 +48,36 @@ def test_grammar(spark, text, want):
     assert sorted(n for n, k in zip(T.GRADES, found, strict=True) for _ in range(k)) == sorted(want)
 
 
+def brute_pattern(classes):
+    """The gravest pattern by looking at every pair of words."""
+    names = []
+    for at, kind in classes:
+        if kind in "IH":
+            near = {k for p, k in classes if k == "T" and abs(p - at) <= T.REACH or k in "NR" and 0 < at - p <= T.REACH}
+            if kind == "I" or "T" in near:
+                name = "negated" if "N" in near else "reported" if "R" in near else "insult" if kind == "I" else "threat"
+                names.append(name + ("+target" if "T" in near else ""))
+    return min(names, key=T.GRADES.index, default=None)
+
+
+def test_composed_machine_equals_brute_force():
+    random.seed(3)
+    seen = set()
+    for k in range(4000):
+        words = random.choices("oIHTNR", [random.choice([1, 6, 20]), 2, 2, 2, 2, 2], k=random.randint(0, 200 if k % 50 == 0 else 16))
+        classes = [(at, c) for at, c in enumerate(words) if c != "o"]
+        assert T.clause_pattern(classes) == brute_pattern(classes), words
+        seen.add(T.clause_pattern(classes))
+    assert seen == {None, *T.GRADES}
+
+
+def test_negation_in_a_long_clause(spark):
+    text = "you " * 1000 + "not an idiot " + "you " * 1000
+    docs = spark.createDataFrame([(text, 1)], "text string, doc_id long")
+    found = T.patterns(docs, T.lexicon(stems("lowei")), ["doc_id"]).first().found
+    assert dict(zip(T.GRADES, found, strict=True)) == {g: int(g == "negated+target") for g in T.GRADES}
+
+
 def test_odd(spark, odd, empty):
     labels = spark.createDataFrame([(3, 1), (3, 0), (5, 0), (None, 1), (6, None)], "doc_id long, toxic int")
     rows = T.score_toxicity(odd, labels).collect()
