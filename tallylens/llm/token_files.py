@@ -9,10 +9,12 @@ File layout, in the published seekable format of zstandard (all numbers little-e
                     low 32 bits of XXH64 of the decompressed bytes; footer: frames u32, descriptor 0x80, magic 0x8F92EAB1
 A reader seeks to the footer, reads both tables and then only the frames of the documents it wants.
 
-Documents are range-partitioned by doc_id; each partition streams one file in ascending doc_id order (ties in
-the order of their texts), under a name of its attempt, and renames it when it is complete, so a task that is
-run again replaces a file by the same bytes. Defined results: a null text is empty and has its end id alone;
-null doc_ids come first; repeated rows are kept; an empty table gives no rows; other columns are ignored.
+Documents are range-partitioned by doc_id, the hash of the text and the place in the input, so neither rows without an
+id nor a repeated id make one task long; there are as many partitions as FILE_TEXT_BYTES asks for, the setting of shuffle
+partitions at least. Each partition streams one file in ascending doc_id order (ties by the hash of their texts), under
+a name of its attempt, and renames it when it is complete, so a task that is run again replaces a file by the same
+bytes. Defined results: a null text is empty and has its end id alone; null doc_ids come first; repeated rows are kept;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ END_ID = 2
 LEVEL = 1
 #: Ids of a frame at most; a longer document takes several frames.
 FRAME_IDS = 1 << 20
-#: Bytes of text that one file is planned for.
-FILE_TEXT_BYTES = 24 << 20
+#: Bytes of text that one file is planned for, at most; its tables stay small in the writer and the reader.
+FILE_TEXT_BYTES = 512 << 20
 
 _ENTRY, _FOOTER, _DOC = struct.Struct("<III"), struct.Struct("<IBI"), struct.Struct("<qBIQ")
 _INDEX_MAGIC, _SEEK_MAGIC, _FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -118,12 +120,14 @@ class FileReader:
         return b"".join(out)
 
 
-def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, parts: int | None = None) -> DataFrame:
-    """Write the files to `folder` (a URI that all executors reach) and return their list (FILE_SCHEMA), already run."""
+def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, parts: int | None = None, file_bytes: int = FILE_TEXT_BYTES) -> DataFrame:
+    """Write the files to `folder` (a URI that all executors reach) and return their list (FILE_SCHEMA), already run.
+    `parts` files, or where it is not given, as many as `file_bytes` of text each take."""
     path, end = tokenizer or default_tokenizer(), np.array([end_id], "<u4").tobytes()
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(text, '') text")
     if parts is None:
-        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes), 1)
     kinds = pa.schema([("part", pa.int32()), ("path", pa.string()), ("first_doc", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())])
 
     @task("encode")
@@ -146,7 +150,9 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_
             filesystem.move(temporary, final)
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((part, f"{folder}/part-{part:06d}.tzs", writer.first, writer.docs, writer.ids), kinds.types, strict=True)], schema=kinds)
 
-    dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), "mark", "place"]
+    placed = rows.withColumns({"mark": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    dealt = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     return settle(dealt.mapInArrow(run, FILE_SCHEMA), "token-files")
 
 

@@ -121,6 +121,22 @@ def test_files_round_trip(spark, odd, empty, sf_dir):
     assert encode_corpus(spark, empty).count() == 0
 
 
+def test_files_follow_text_bytes_and_split_ties(spark, tmp_path):
+    """More text makes more files, and rows of one id (or of none) are dealt over several of them, in order."""
+    docs = spark.createDataFrame([(None if k % 2 else 7, "same words" if k % 3 else f"other {k}") for k in range(4000)], "doc_id long, text string")
+    files = write_files(docs, f"file://{tmp_path}/t", file_bytes=2000).collect()
+    assert len(files) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(f.docs for f in files) == 4000 and max(f.docs for f in files) < 1000
+    got = sorted(encode_corpus(spark, docs, f"file://{tmp_path}/u", file_bytes=2000).collect(), key=lambda r: r.start)
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in got] == [None] * 2000 + [7] * 2000
+    want = sorted((r.doc_id or 0, zlib.crc32(ids_of(r.text, 2))) for r in docs.collect())
+    assert sorted((r.doc_id or 0, r.ids_crc32) for r in got) == want
+
+
 def test_reader_reads_wanted_frames_and_checks_them(spark, tmp_path, odd):
     files = write_files(odd, f"file://{tmp_path}/t", parts=1)
     assert {r.doc_id for r in read_documents(files, {5, 6}).collect()} == {5, 6}
