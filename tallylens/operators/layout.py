@@ -80,3 +80,14 @@ def rotation(lines: DataFrame, page: str) -> DataFrame:
 def crop(pixels: Column, y0: Column, y1: Column, x0: Column, x1: Column) -> Column:
     """Part of a 2-D pixel array, ends exclusive."""
     return F.transform(F.slice(pixels, y0 + 1, y1 - y0), lambda row: F.slice(row, x0 + 1, x1 - x0))
+
+
+# Regions of a sheet, and columns of its table of votes, as shares (x, y, width, height).
+REGIONS = {"encabezado": (0.00, 0.00, 0.95, 0.15), "tabla_votos": (0.05, 0.20, 0.90, 0.35), "totales": (0.05, 0.55, 0.90, 0.10), "zona_intermedia": (0.05, 0.65, 0.90, 0.10), "firmas": (0.05, 0.75, 0.90, 0.25)}
+COLUMNS = {"candidato": (0.02, 0.00, 0.50, 1.00), "partido": (0.52, 0.00, 0.25, 1.00), "votos": (0.65, 0.00, 0.35, 1.00)}
+
+
+def boxes(shares: dict[str, tuple[float, ...]], width: Column, height: Column) -> Column:
+    """Array of (name, x, y, w, h): the named shares of a page in whole pixels, cut off."""
+    pixels = lambda share, of: F.floor(F.lit(share) * of).cast("int")
+    return F.array(*[F.struct(F.lit(n).alias("name"), pixels(x, width).alias("x"), pixels(y, height).alias("y"), pixels(w, width).alias("w"), pixels(h, height).alias("h")) for n, (x, y, w, h) in shares.items()])

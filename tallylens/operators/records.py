@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,33 @@ def qr_state(payload: Column, key: Column) -> Column:
     return F.when(payload.isNull(), "missing").when(payload == key, "match").when(F.contains(payload, key), "match").otherwise("mismatch")
 
 
+# Symbol types that count as QR codes.
+QR_TYPES = ["QRCODE", "QR_CODE", "QRCODE_SCALE"]
+
+
+def normalised_box(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
+    """Box in shares of the page, six decimals; 0 on a page without size."""
+    share = lambda v, of: F.coalesce(F.round(F.try_divide(v, of), 6), F.lit(0.0))
+    return F.array(share(x, width), share(y, height), share(w, width), share(h, height))
+
+
+def qr_readings(symbols: DataFrame) -> DataFrame:
+    """One row for each sheet of symbols(sheet, page, place, kind, data, key), key being the sheet's expected one or null.
+
+    Of each page the first QR code by place is its payload. It matches if it holds the key; with no key (null or empty)
+    there is no verdict, and a page without a payload is a mismatch wherever a key, even an empty one, is given. The
+    sheet has the number of symbols, the first payload, the first page's match, the number of mismatching pages and
+    the first one's reason. Rows of kind null are pages without symbols."""
+    code = F.upper("kind").isin(QR_TYPES)
+    pages = symbols.groupBy("sheet", "page").agg(F.max("key").alias("key"), F.count("kind").alias("n"), F.min_by("data", F.when(code, F.struct("place", "data"))).alias("raw"))
+    none, empty = F.col("raw").isNull(), F.col("key") == ""
+    match = F.when(F.col("key").isNull() | (empty & ~none), F.lit(None).cast("boolean")).otherwise(~none & F.contains(F.coalesce("raw", F.lit("")), F.col("key")))
+    reason = F.when(none, F.concat(F.lit("sin QR, se esperaba "), "key")).otherwise(F.concat(F.lit("QR "), "raw", F.lit(" no coincide con "), "key"))
+    pages = pages.withColumn("match", match).withColumn("reason", F.when(~F.col("match"), reason))
+    first = lambda c, when: F.min_by(c, F.when(when, F.col("page")))
+    return pages.groupBy("sheet").agg(F.sum("n").alias("symbols"), first("raw", ~none).alias("raw"), F.min_by("match", "page").alias("match"), F.count_if(~F.col("match")).alias("mismatches"), first("reason", F.col("reason").isNotNull()).alias("reason"))
+
+
 def first_digit(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, "[0-9]", 0), F.lit("")).cast("int")
 
@@ -34,6 +61,55 @@ def answer_fields(raw: Column) -> Column:
     return F.struct(F.coalesce(parsed["anomalies"], F.array().cast("array<string>")).alias("anomalies"), F.coalesce(parsed["confidence"], F.lit(0.0)).alias("confidence"), wrong.alias("parse_error"))
 
 
+ANSWER = "mesa_key string, resultados array<struct<cell_index int, anomalies array<string>, confidence double>>"
+
+
+def answer_findings(rows: DataFrame, raw: Column, *keep: str) -> DataFrame:
+    """Findings of models' answers: one for each cell with anomalies or a confidence of 0.5 or more. Overwriting is named
+    as such, anything else is an odd stroke; above 0.85 the priority is high. Answers that aren't JSON give none."""
+    cells = rows.select(*keep, F.from_json(raw, ANSWER).alias("answer")).select(*keep, "answer.mesa_key", F.explode("answer.resultados").alias("cell"))
+    names, sure = F.coalesce("cell.anomalies", F.array().cast("array<string>")), F.coalesce("cell.confidence", F.lit(0.0))
+    reason = F.when(F.size(names) > 0, F.array_join(names, ", ")).otherwise(F.concat(F.lit("VLM confidence: "), F.format_string("%.2f", sure)))
+    kind = F.when(F.contains(F.lower(reason), F.lit("tachón")), "tachon_sobreescritura").otherwise("trazo_anomalo")
+    return cells.where((F.size(names) > 0) | (sure >= 0.5)).select(
+        *keep, F.coalesce("mesa_key", F.lit("unknown")).alias("mesa_key"), F.concat(F.lit("celda_"), F.coalesce("cell.cell_index", F.lit(0))).alias("campo"), kind.alias("tipo"), sure.alias("score"), reason.alias("razon"), F.when(sure > 0.85, "alta").otherwise("media").alias("prioridad")
+    )
+
+
+def recognised(words: DataFrame, page: str, place: str) -> DataFrame:
+    """Text, mean confidence (two decimals, 0 without words) and number of the words(text, conf) of each page that are not
+    blank and whose confidence is over 30, in order of place."""
+    good = (F.col("conf") > 30) & (F.trim("text") != "")
+    row = F.when(good, F.struct(place, F.trim("text").alias("text")))
+    out = words.groupBy(page).agg(F.array_sort(F.collect_list(row)).alias("w"), F.round(F.coalesce(F.avg(F.when(good, F.col("conf"))), F.lit(0.0)), 2).alias("confidence"))
+    return out.select(page, F.array_join(F.col("w.text"), " ").alias("text"), "confidence", F.size("w").alias("words"))
+
+
+# Header keywords in the order in which a line is tried; the last three need a colon.
+HEADER = ["DEPARTAMENTO", "MUNICIPIO", "ZONA", "PUESTO", "MESA"]
+
+
+def header_fields(lines: Column) -> Column:
+    """Header fields of a page's lines: what follows the last colon of the last line with the keyword, or for the first two
+    the line itself where it has none; empty where there is no such line."""
+
+    def holds(k: int, line: Column) -> Column:
+        word = F.contains(F.upper(line), F.lit(HEADER[k]))
+        return word if k < 2 else word & F.contains(line, F.lit(":"))
+
+    def field(k: int) -> Column:
+        def mine(line: Column) -> Column:
+            out = holds(k, line)
+            for earlier in range(k):
+                out = out & ~holds(earlier, line)
+            return out
+
+        line = F.try_element_at(F.filter(lines, mine), F.lit(-1))
+        return F.coalesce(F.when(F.contains(line, F.lit(":")), after_colon(line)).otherwise(line), F.lit("")).alias(HEADER[k].lower())
+
+    return F.struct(*[field(k) for k in range(len(HEADER))])
+
+
 # Content types that uploads may have.
 TYPES = ["image/jpeg", "image/jpg", "image/png", "application/octet-stream"]
 

@@ -109,6 +109,47 @@ def risk_score(rules: Column, signature: Column, ocr: Column, weights: dict[str,
     return F.round(F.least(whole + signature + F.greatest(F.lit(0.0), (1 - ocr) * 15), F.lit(100.0)), 2)
 
 
+def visual_anomalies(lines: Column, ink: Column, state: Column) -> Column:
+    """Scores of a sheet's anomalies: over 15 long strokes (their number / 25, 1 at most), under 2 % ink in the signature
+    zone (0.9), and by its state of consistency few data (0.8) or an inconsistent sum (0.95)."""
+    return F.array_compact(F.array(F.when(lines > 15, F.least(lines / 25, F.lit(1.0))), F.when(ink < 0.02, 0.9), F.when(state == "few_data", 0.8).when(state == "inconsistent", 0.95)))
+
+
+def sheet_score(scores: Column) -> Column:
+    """(score, verdict) of a sheet: its gravest anomaly and 0.1 for each, 1 at most; the verdict is of the score before
+    rounding to two decimals."""
+    score = F.least(F.coalesce(F.array_max(scores), F.lit(0.0)) + 0.1 * F.size(scores), F.lit(1.0))
+    return F.struct(F.round(score, 2).alias("score"), F.when(score > 0.7, "FRAUDE").when(score > 0.3, "SOSPECHOSO").otherwise("LIMPIO").alias("verdict"))
+
+
+def score_findings(scores: DataFrame, actas: DataFrame, least: float = 0.6, high: float = 0.85) -> DataFrame:
+    """Findings of scored cells(mesa_key, campo, grosor, separador, tinta) whose blend reaches least and whose mesa has a
+    sheet in actas(mesa_key, id); of several sheets the last by id counts."""
+    last = actas.groupBy("mesa_key").agg(F.max("id").alias("acta_id"))
+    rows = scores.withColumn("score", 0.3 * F.col("grosor") + 0.4 * F.col("separador") + 0.3 * F.col("tinta")).where(F.col("score") >= least)
+    reason = F.format_string("Capa1: grosor=%.2f, separador=%.2f, tinta=%.2f", "grosor", "separador", "tinta")
+    return rows.join(last, "mesa_key").select("acta_id", "mesa_key", "campo", "score", reason.alias("razon"), F.when(F.col("score") >= high, "alta").otherwise("media").alias("prioridad"))
+
+
+# Upper densities of ink, the digit read below each, and its confidence; above the last, 8 at 0.60.
+DIGITS = [(0.065, 1, 0.75), (0.105, 7, 0.78), (0.148, 4, 0.80), (0.195, 0, 0.82), (0.235, 6, 0.80), (0.285, 9, 0.78), (0.315, 5, 0.75), (0.350, 2, 0.72), (0.390, 3, 0.68)]
+
+
+def slot_digit(density: Column) -> Column:
+    """(digit, confidence) of a digit slot; under a density of 0.02 there is no digit, and under 0.10 less confidence."""
+    row = lambda digit, sure: F.struct(F.lit(digit).cast("int").alias("digit"), F.round(sure * F.least(density / 0.10, F.lit(1.0)), 4).alias("confidence"))
+    out = F.when(F.coalesce(density, F.lit(0.0)) < 0.02, row(None, 0.0))
+    for below, digit, sure in DIGITS:
+        out = out.when(density < below, row(digit, sure))
+    return out.otherwise(row(8, 0.60))
+
+
+def slots_confidence(slots: Column) -> Column:
+    """Mean confidence of a row's slots; one without a digit counts as 0, no slots give 0."""
+    whole = F.aggregate(slots, F.lit(0.0), lambda acc, s: acc + F.when(s["digit"].isNotNull(), s["confidence"]).otherwise(0.0))
+    return F.coalesce(F.try_divide(whole, F.size(slots)), F.lit(0.0))
+
+
 def ink_state(density: Column) -> Column:
     return F.when(density >= 0.15, "PRESENT").when(density >= 0.05, "INDETERMINATE").otherwise("EMPTY")
 

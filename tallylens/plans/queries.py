@@ -263,6 +263,18 @@ def consensus_summary(s, d):
     return one.join(V.votes(s, d).agg(F.count("*").alias("votos"), F.countDistinct("voter").alias("votantes")), F.lit(True))
 
 
+_WEIGHED = "SELECT disc, count(*) FILTER (WHERE live AND legit) confirma, count(*) FILTER (WHERE live AND NOT legit) rechaza, round(coalesce(sum(w) FILTER (WHERE live AND legit),0),2) peso_confirma, round(coalesce(sum(w) FILTER (WHERE live AND NOT legit),0),2) peso_rechaza FROM (SELECT disc, legit, vote_id%7<>0 live, (50+vote_id%150)/100.0::DOUBLE w FROM votes) GROUP BY disc"
+_DECIDED = f"SELECT *, confirma+rechaza n, CASE WHEN confirma+rechaza>=6 AND confirma::DOUBLE/(confirma+rechaza)>=0.8::DOUBLE THEN 'verificado_legitimo' WHEN confirma+rechaza>=6 AND rechaza::DOUBLE/(confirma+rechaza)>=0.8::DOUBLE THEN 'verificado_anomalo' END estado FROM ({_WEIGHED})"
+
+
+@query(f"SELECT disc, confirma, rechaza, peso_confirma, peso_rechaza, n, estado, CASE estado WHEN 'verificado_legitimo' THEN 'Consenso legítimo: '||confirma||'/'||n||' ≥ 80%' WHEN 'verificado_anomalo' THEN 'Consenso anómalo: '||rechaza||'/'||n||' ≥ 80%' ELSE '' END razon FROM ({_DECIDED})")
+def consensus_weighed(s, d):
+    """Annulled votes left out, weights summed, thresholds from a configuration without the second."""
+    config = s.createDataFrame([("umbral_min_votos", "6"), ("umbral_consenso_pct", "")], "clave string, valor string")
+    k = F.col("vote_id")
+    return consensus.weighed(V.votes(s, d).withColumns({"anulado": k % 7 == 0, "peso": (50 + k % 150) / 100}), config)
+
+
 @query("SELECT vote_id, legit FROM votes WHERE disc=3")
 def discrepancy_status(s, d):
     return V.votes(s, d).where("disc = 3").orderBy(F.desc("ts"), F.desc("vote_id")).select("vote_id", "legit")
@@ -445,10 +457,17 @@ def vlm_pending(s, d):
 
 
 
-@query("SELECT event_id, CASE WHEN event_id%3=0 THEN true ELSE false END parse_error, CASE WHEN event_id%3=0 THEN 0 ELSE 1 END n FROM events")
+_ANSWER = "SELECT event_id, event_id%100/100.0::DOUBLE c, CASE event_id%4 WHEN 0 THEN 'Tachón, borrón' WHEN 1 THEN 'mancha' END names FROM events WHERE event_id%3<>0"
+
+
+@query(f"SELECT event_id, 'm'||event_id mesa_key, 'celda_'||event_id%10 campo, CASE WHEN event_id%4=0 THEN 'tachon_sobreescritura' ELSE 'trazo_anomalo' END tipo, c score, coalesce(names, 'VLM confidence: '||printf('%.2f',c)) razon, CASE WHEN c>0.85::DOUBLE THEN 'alta' ELSE 'media' END prioridad FROM ({_ANSWER}) WHERE names IS NOT NULL OR c>=0.5::DOUBLE")
 def vlm_findings(s, d):
-    raw = F.when(F.col("event_id") % 3 == 0, F.lit("no json")).otherwise(F.lit('```json\n{"anomalies": ["tachón"], "confidence": 0.9}\n```'))
-    return V.load(s, d, "events").select("event_id", records.answer_fields(raw).alias("x")).select("event_id", "x.parse_error", F.size("x.anomalies").alias("n"))
+    """Answers of one cell each, every third no JSON."""
+    k = F.col("event_id")
+    names = F.when(k % 4 == 0, F.array(F.lit("Tachón"), F.lit("borrón"))).when(k % 4 == 1, F.array(F.lit("mancha"))).otherwise(F.array().cast("array<string>"))
+    cell = F.struct((k % 10).alias("cell_index"), names.alias("anomalies"), (k % 100 / 100).alias("confidence"))
+    raw = F.when(k % 3 == 0, "no json").otherwise(F.to_json(F.struct(F.concat(F.lit("m"), k).alias("mesa_key"), F.array(cell).alias("resultados"))))
+    return records.answer_findings(V.load(s, d, "events"), raw, "event_id")
 
 
 @query("SELECT acta_id, idx, score, x FROM (SELECT *, row_number() OVER (PARTITION BY acta_id ORDER BY score DESC, idx, x) r FROM (SELECT DISTINCT * FROM cells)) WHERE r<=5")
@@ -556,14 +575,69 @@ def ocr_digits(s, d):
     return V.load(s, d, "documents").select("doc_id", records.first_digit(F.col("text")).alias("digit"))
 
 
-@query("SELECT doc_id, CAST(len(list_filter(string_split(text,chr(10)), lambda x: trim(x)<>'')) AS INTEGER) lines FROM documents")
+@query("SELECT page, coalesce(string_agg(CASE WHEN conf>30 THEN text END, ' ' ORDER BY id),'') text, coalesce(round(avg(CASE WHEN conf>30 THEN conf END),2),0) confidence, CAST(count(CASE WHEN conf>30 THEN 1 END) AS INTEGER) words FROM det GROUP BY page")
 def ocr_words(s, d):
+    return records.recognised(V.det(s, d), "page", "id")
+
+
+@query("SELECT doc_id, CAST(len(list_filter(string_split(text,chr(10)), lambda x: trim(x)<>'')) AS INTEGER) lines FROM documents")
+def ocr_lines(s, d):
     return V.load(s, d, "documents").select("doc_id", records.non_empty_lines(F.col("text")).alias("lines"))
 
 
-@query("SELECT l_orderkey id, l_linenumber n, CASE WHEN l_quantity<2 THEN 0 WHEN l_quantity<8 THEN 2 WHEN l_quantity<20 THEN 5 ELSE 10 END band FROM lineitem")
+@query("SELECT id, 'a '||dep departamento, CASE WHEN id%3=0 THEN 'municipio '||muni ELSE '' END municipio, CASE WHEN id%2=0 THEN 'z'||id%9 ELSE '' END zona, CASE WHEN id%2=0 THEN '' ELSE 'p'||id%9 END puesto, mesa_key mesa FROM actas")
+def ocr_header(s, d):
+    """Header lines with a repeated keyword, one without a colon, and two keywords in a line."""
+    k = F.col("id")
+    lines = F.array(F.lit("Departamento: x"), F.concat(F.lit("DEPARTAMENTO zona: a "), "dep"), F.when(k % 3 == 0, F.concat(F.lit("municipio "), "muni")).otherwise(""), F.when(k % 2 == 0, F.concat(F.lit("Zona : z"), k % 9)).otherwise(F.concat(F.lit("PUESTO: p"), k % 9)), F.lit("mesa sin dato"), F.concat(F.lit("Mesa: n: "), "mesa_key"))
+    return V.actas(s, d).select("id", records.header_fields(lines).alias("x")).select("id", "x.*")
+
+
+_DIGIT = "CASE WHEN {x}<0.02::DOUBLE THEN NULL " + " ".join(f"WHEN {{x}}<{a}::DOUBLE THEN {{{k}}}" for k, (a, _, _) in enumerate(rules.DIGITS)) + " ELSE {9} END"
+_SLOT = _DIGIT.format(*[n for _, n, _ in rules.DIGITS], 8, x="x"), _DIGIT.format(*[f"round({c}::DOUBLE*least(x/0.10::DOUBLE,1),4)" for *_, c in rules.DIGITS], "round(0.6::DOUBLE*least(x/0.10::DOUBLE,1),4)", x="x")
+
+
+@query(f"SELECT acta_id, idx, place, {_SLOT[0]} digit, coalesce({_SLOT[1]},0) confidence FROM (SELECT acta_id, idx, x place, score/200.0::DOUBLE x FROM cells)")
 def digit_bands(s, d):
-    return V.load(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), (rules.thickness_band(F.col("l_quantity") / 100) * 10).cast("int").alias("band"))
+    slot = rules.slot_digit(F.col("score") / 200)
+    return V.cells(s, d).select("acta_id", "idx", F.col("x").alias("place"), slot.alias("slot")).select("acta_id", "idx", "place", "slot.digit", "slot.confidence")
+
+
+@query(f"SELECT id, CAST(sum(coalesce(({_SLOT[0]}),0)*w) AS BIGINT) votos, CAST(round(sum(coalesce(({_SLOT[1]}),0))*10000/3) AS BIGINT) confianza FROM (SELECT id, 100 w, (c1%45)/100.0::DOUBLE x FROM actas UNION ALL SELECT id, 10, (c2%45)/100.0::DOUBLE FROM actas UNION ALL SELECT id, 1, (blanco%45)/100.0::DOUBLE FROM actas) GROUP BY id")
+def digit_slots(s, d):
+    """Three slots to a number of votes, and the mean confidence in ten-thousandths."""
+    slots = F.array(*[rules.slot_digit(F.col(c) % 45 / 100) for c in ("c1", "c2", "blanco")])
+    rows = V.actas(s, d).select("id", slots.alias("slots"))
+    return rows.select("id", rules.digit_votes(F.col("slots.digit")).alias("votos"), F.round(rules.slots_confidence(F.col("slots")) * 10000).cast("long").alias("confianza"))
+
+
+_SHEET = "SELECT id, CASE WHEN len(a)=0 THEN 0::DOUBLE ELSE least(list_max(a)+0.1::DOUBLE*len(a),1) END p FROM (SELECT id, list_filter([CASE WHEN id%40>15 THEN least(id%40/25::DOUBLE,1) END, CASE WHEN id%50/1000::DOUBLE<0.02::DOUBLE THEN 0.9::DOUBLE END, CASE WHEN id%4=1 THEN 0.8::DOUBLE WHEN id%4=2 THEN 0.95::DOUBLE END], lambda v: v IS NOT NULL) a FROM actas)"
+
+
+@query(f"SELECT id, round(p,2) score, CASE WHEN p>0.7::DOUBLE THEN 'FRAUDE' WHEN p>0.3::DOUBLE THEN 'SOSPECHOSO' ELSE 'LIMPIO' END verdict FROM ({_SHEET})")
+def sheet_verdict(s, d):
+    k = F.col("id")
+    state = F.when(k % 4 == 1, "few_data").when(k % 4 == 2, "inconsistent").otherwise("ok")
+    return V.actas(s, d).select("id", rules.sheet_score(rules.visual_anomalies(k % 40, k % 50 / 1000, state)).alias("x")).select("id", "x.*")
+
+
+_BLEND = "SELECT mesa_key, campo, g, p, q, 0.3::DOUBLE*g+0.4::DOUBLE*p+0.3::DOUBLE*q score FROM (SELECT mesa_key, 'c'||id campo, c1%101/100.0::DOUBLE g, (c2*7)%101/100.0::DOUBLE p, (id*31)%101/100.0::DOUBLE q FROM actas)"
+
+
+@query(f"SELECT acta_id, b.mesa_key, campo, score, 'Capa1: grosor='||printf('%.2f',g)||', separador='||printf('%.2f',p)||', tinta='||printf('%.2f',q) razon, CASE WHEN score>=0.85::DOUBLE THEN 'alta' ELSE 'media' END prioridad FROM ({_BLEND}) b JOIN (SELECT mesa_key, max(id) acta_id FROM actas WHERE id%6<>0 GROUP BY mesa_key) a ON a.mesa_key=b.mesa_key WHERE score>=0.6::DOUBLE")
+def capa1_findings(s, d):
+    """Scored cells to findings; some mesas have no sheet."""
+    a, k = V.actas(s, d), F.col("id")
+    scores = a.select("mesa_key", F.concat(F.lit("c"), k).alias("campo"), (F.col("c1") % 101 / 100).alias("grosor"), (F.col("c2") * 7 % 101 / 100).alias("separador"), (k * 31 % 101 / 100).alias("tinta"))
+    return rules.score_findings(scores, a.where("id % 6 <> 0"))
+
+
+@query("SELECT a.id, coalesce(n,0) n, coalesce(scores,'') scores FROM actas a LEFT JOIN (SELECT acta_id, count(*) n, string_agg(CAST(idx AS VARCHAR)||':'||CAST(score AS VARCHAR), ',' ORDER BY idx, score) scores FROM cells GROUP BY acta_id) c ON c.acta_id=a.id")
+def acta_cells(s, d):
+    """Every sheet with its cells and their number, none where it has none."""
+    cells = V.cells(s, d).groupBy("acta_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("idx", "score"))).alias("c"))
+    text = F.array_join(F.transform("c", lambda c: F.concat(c["idx"], F.lit(":"), c["score"])), ",")
+    return V.actas(s, d).select("id").join(cells.withColumnRenamed("acta_id", "id"), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(text, F.lit("")).alias("scores"))
 
 
 @query("SELECT p_partkey id, concat_ws(',', CASE WHEN least(w,h)<800 THEN 'small' END, CASE WHEN 100*w<55*h OR 100*w>85*h THEN 'aspect' END, CASE WHEN m>230 THEN 'bright' END, CASE WHEN m<40 THEN 'dark' END) issues FROM (SELECT p_partkey, 600+p_partkey%700 w, 900+p_size*10 h, p_partkey%256 m FROM part)")
@@ -639,10 +713,20 @@ def universe_flatten(s, d):
     return flatten_universe(raw).select("dep", "muni", "expected_name")
 
 
-@query("SELECT user_id acta, CAST(sum(event_id%3) AS BIGINT) codes, min(CASE WHEN event_id%4=0 THEN event_id END) first_qr, bool_or(event_id%5=1) mismatch FROM events GROUP BY user_id")
+_SYMBOL = "SELECT l_orderkey sheet, l_linenumber%2 page, CAST(l_linenumber AS BIGINT)*1000000000+l_partkey*1000+l_suppkey%1000 place, CASE l_linenumber%3 WHEN 0 THEN 'EAN13' WHEN 1 THEN 'QRCODE' ELSE 'qr_code' END kind, CASE WHEN l_partkey%4=0 THEN 'Z'||l_partkey ELSE 'E'||l_orderkey||'-PRE' END AS data, CASE l_orderkey%5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'E'||l_orderkey END AS key FROM lineitem"
+_PAGE = f"SELECT sheet, page, max(key) AS key, count(*) n, arg_min(data, place) FILTER (WHERE kind<>'EAN13') raw FROM ({_SYMBOL}) GROUP BY sheet, page"
+_MATCH = f"SELECT *, CASE WHEN key IS NULL OR (key='' AND raw IS NOT NULL) THEN NULL WHEN raw IS NULL THEN false ELSE contains(raw,key) END m FROM ({_PAGE})"
+_REASON = f"SELECT *, CASE WHEN NOT m THEN CASE WHEN raw IS NULL THEN 'sin QR, se esperaba '||key ELSE 'QR '||raw||' no coincide con '||key END END r FROM ({_MATCH})"
+
+
+@query(f"SELECT sheet, CAST(sum(n) AS BIGINT) symbols, (list(raw ORDER BY page) FILTER (WHERE raw IS NOT NULL))[1] raw, (list(m ORDER BY page))[1] AS match, count(CASE WHEN NOT m THEN 1 END) mismatches, (list(r ORDER BY page) FILTER (WHERE r IS NOT NULL))[1] reason FROM ({_REASON}) GROUP BY sheet")
 def qr_pages(s, d):
-    k = F.col("event_id")
-    return V.load(s, d, "events").groupBy(F.col("user_id").alias("acta")).agg(F.sum(k % 3).alias("codes"), F.min(F.when(k % 4 == 0, k)).alias("first_qr"), F.bool_or(k % 5 == 1).alias("mismatch"))
+    k, n, p = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
+    kind = F.when(n % 3 == 0, "EAN13").when(n % 3 == 1, "QRCODE").otherwise("qr_code")
+    data = F.when(p % 4 == 0, F.concat(F.lit("Z"), p)).otherwise(F.concat(F.lit("E"), k, F.lit("-PRE")))
+    key = F.when(k % 5 == 1, "").when(k % 5 > 1, F.concat(F.lit("E"), k))
+    place = n.cast("long") * 1000000000 + p * 1000 + F.col("l_suppkey") % 1000
+    return records.qr_readings(V.load(s, d, "lineitem").select(k.alias("sheet"), (n % 2).alias("page"), place.alias("place"), kind.alias("kind"), data.alias("data"), key.alias("key")))
 
 
 @query("SELECT page, id, CASE WHEN r<=5 AND conf>20 THEN true ELSE false END sent FROM (SELECT page, id, conf, row_number() OVER (PARTITION BY page ORDER BY conf DESC, id) r FROM det)")
@@ -653,11 +737,14 @@ def vlm_top_then_filter(s, d):
     return V.det(s, d).withColumn("r", rank).select("page", "id", ((F.col("r") <= 5) & (F.col("conf") > 20)).alias("sent"))
 
 
-@query("SELECT vec_id, label, CASE WHEN label=0 THEN 'header' WHEN label=1 THEN 'table' WHEN label=2 THEN 'signatures' ELSE 'other' END region, CAST(floor(label*0.125*3609) AS INTEGER) x FROM embeddings")
+_BOXES = " UNION ALL ".join(f"SELECT id, '{n}' region, " + ", ".join(f"CAST(floor({v}::DOUBLE*{side}) AS INTEGER) {c}" for c, v, side in zip("xywh", box, ("w0", "h0") * 2, strict=True)) + " FROM (SELECT p_partkey id, 800+p_partkey%3000 w0, 1000+p_size*37 h0 FROM part)" for n, box in (layout.REGIONS | layout.COLUMNS).items())
+
+
+@query(_BOXES)
 def layout_regions(s, d):
-    k = F.col("label")
-    name = F.when(k == 0, "header").when(k == 1, "table").when(k == 2, "signatures").otherwise("other")
-    return V.load(s, d, "embeddings").select("vec_id", "label", name.alias("region"), F.floor(k * 0.125 * 3609).cast("int").alias("x"))
+    """Regions and columns of pages of many sizes."""
+    page = V.load(s, d, "part").select(F.col("p_partkey").alias("id"), F.inline(layout.boxes(layout.REGIONS | layout.COLUMNS, 800 + F.col("p_partkey") % 3000, 1000 + F.col("p_size") * 37)))
+    return page.withColumnRenamed("name", "region")
 
 
 @query("SELECT dep, list_aggregate(list_sort(list(DISTINCT estado)),'string_agg',',') estados FROM actas GROUP BY dep")

@@ -125,3 +125,25 @@ def test_golden_mathematics_consistency_and_verdict(spark):
     assert [r.x for r in rows.select(records.upload_problem(*map(F.col, "nskh")).alias("x")).collect()] == want
     shapes = spark.createDataFrame([(850, 1000), (851, 1001), (8505, 10000), (549, 1000)], "w long, h long")
     assert [r.x for r in shapes.select(F.array_contains(records.image_issues(F.col("w"), F.col("h"), F.lit(100)), "aspect").alias("x")).collect()] == [False, True, True, True]
+
+
+def test_annulled_votes_bar_their_voter_and_do_not_count(spark):
+    rows = [(1, v, v != 3, v == 2, t) for t, v in enumerate([1, 2, 2, 3, 4, 5, 6])]
+    votes = spark.createDataFrame(rows, "disc long, voter long, legit boolean, anulado boolean, ts long").withColumns({"vote_id": F.col("ts"), "peso": F.lit(0.5)})
+    assert [r.fate for r in consensus.judged(votes).orderBy("ts").collect()] == ["accepted", "annulled", "duplicate", "accepted", "accepted", "accepted", "accepted"]
+    config = spark.createDataFrame([("umbral_min_votos", "x")], "clave string, valor string")
+    r = consensus.weighed(votes.where("ts <> 2"), config).first()
+    assert (r.confirma, r.rechaza, r.peso_confirma, r.estado, r.razon) == (4, 1, 2.0, "verificado_legitimo", "Consenso legítimo: 4/5 ≥ 80%")
+
+
+def test_codes_words_answers_and_scores(spark):
+    symbols = [(1, 0, 1, "EAN13", "1", "K"), (1, 0, 2, "qrcode", "a-K-b", "K"), (1, 1, 1, "QRCODE", "other", "K"), (2, 0, 1, "QRCODE", "x", ""), (3, 0, 0, None, None, "K"), (4, 0, 0, None, None, None)]
+    got = {r.sheet: (r.symbols, r.raw, r.match, r.mismatches) for r in records.qr_readings(spark.createDataFrame(symbols, "sheet long, page int, place int, kind string, data string, key string")).collect()}
+    assert got == {1: (3, "a-K-b", True, 1), 2: (1, "x", None, 0), 3: (0, None, False, 1), 4: (0, None, None, 0)}
+    answer = '{"mesa_key": "m", "resultados": [{"cell_index": 2, "anomalies": [], "confidence": 0.49}, {"anomalies": ["TACHÓN"], "confidence": 0.1}, {"cell_index": 3, "confidence": 0.9}]}'
+    rows = spark.createDataFrame([(1, answer), (2, "no json"), (3, None)], "id long, raw string")
+    assert [tuple(r) for r in records.answer_findings(rows, F.col("raw"), "id").collect()] == [(1, "m", "celda_0", "tachon_sobreescritura", 0.1, "TACHÓN", "media"), (1, "m", "celda_3", "trazo_anomalo", 0.9, "VLM confidence: 0.90", "alta")]
+    score = lambda *v: F.struct(rules.sheet_score(F.array(*[F.lit(x) for x in v]).cast("array<double>")).alias("x"))
+    r = spark.range(1).select(score().alias("a"), score(0.8).alias("b"), score(0.9, 0.95).alias("c"), rules.slot_digit(F.lit(0.05)).alias("d"), rules.slot_digit(F.lit(0.01)).alias("e"), rules.slot_digit(F.lit(0.4)).alias("f")).first()
+    assert [tuple(r[k].x) for k in "abc"] == [(0.0, "LIMPIO"), (0.9, "FRAUDE"), (1.0, "FRAUDE")]
+    assert [tuple(r[k]) for k in "def"] == [(1, 0.375), (None, 0.0), (8, 0.6)]
