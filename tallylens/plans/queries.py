@@ -669,12 +669,13 @@ def constraint_violations(s, d):
     return n(mutate.duplicates(a, ["mesa_key"]), "duplicate").union(n(mutate.outside(a, "estado", ["O", "F"]), "domain")).union(n(mutate.orphans(V.load(s, d, "orders").select("o_custkey"), parent, "o_custkey"), "orphan"))
 
 
-# --- pixels (NumPy features of 8 x 8 cells made from vectors; no SQL form)
+# --- pixels (NumPy features of 24 x 24 cells made from vectors; no SQL form)
 
 
-def _pixel_cells(s, d):
-    pixels = F.transform("embedding", lambda x: F.least(F.greatest((x * 400 + 128).cast("int"), F.lit(0)), F.lit(255)))
-    return V.load(s, d, "embeddings").select("vec_id", pixels.alias("pixels"))
+def _pixel_cells(s, d, side=24):
+    """Cells of 8 x 8 values, each as several pixels where side is over 8."""
+    gray = F.transform("embedding", lambda x: F.least(F.greatest((x * 400 + 128).cast("int"), F.lit(0)), F.lit(255)))
+    return V.load(s, d, "embeddings").select("vec_id", (gray if side == 8 else vision.resize(side)(gray)).alias("pixels"))
 
 
 @query()
@@ -684,15 +685,21 @@ def img_ink_features(s, d):
 
 @query()
 def img_capa1_scores(s, d):
-    return vision.scored_cells(_pixel_cells(s, d), F.col("pixels")).select("vec_id", "score_ink", "score_density", "score_thickness", "score")
+    return vision.scored_cells(_pixel_cells(s, d), F.col("pixels")).select("vec_id", "score_ink", "score_separator", "score_density", "score")
+
+
+@query()
+def img_upload_scores(s, d):
+    """Stroke, separator and dark share of a cell, blended 0.3 / 0.4 / 0.3."""
+    rows = _pixel_cells(s, d).select("vec_id", vision.upload_scores("pixels").alias("f")).select("vec_id", "f.*")
+    return rows.withColumn("score", rules.blend(F.col("stroke"), F.col("separator"), F.col("dark")))
 
 
 @query()
 def img_double_stroke(s, d):
-    """Additive score of ink, thickness and spread, up to 1; flagged from 0.5 on."""
-    f = _pixel_cells(s, d).select("vec_id", vision.ink_features("pixels").alias("f"))
-    score = F.when(F.col("f.ink") > 0.4, 0.3).otherwise(0.0) + F.when(F.col("f.thickness") > 3, 0.3).otherwise(0.0) + F.when(F.col("f.density_std") > 50, 0.4).otherwise(0.0)
-    return f.select("vec_id", F.least(score, F.lit(1.0)).alias("score"), (score >= 0.5).alias("flag"))
+    """Features of overwriting; flagged from a score of 0.5 on."""
+    rows = _pixel_cells(s, d).select("vec_id", vision.double_strokes("pixels").alias("f")).select("vec_id", "f.*")
+    return rows.withColumn("flag", F.col("score") >= 0.5).withColumn("score", F.least("score", F.lit(1.0)))
 
 
 @query()
@@ -818,7 +825,7 @@ def page_rotation(s, d):
 
 @query()
 def img_resized(s, d):
-    return _pixel_cells(s, d).select("vec_id", F.array_join(vision.resize(4)("pixels").cast("array<string>"), " ").alias("pixels"))
+    return _pixel_cells(s, d, 8).select("vec_id", F.array_join(vision.resize(4)("pixels").cast("array<string>"), " ").alias("pixels"))
 
 
 @query("SELECT vec_id, CAST(embedding[10]>0 AS INTEGER) a, CAST(embedding[20]>0 AS INTEGER) b FROM embeddings")

@@ -101,9 +101,56 @@ def test_documents_source(spark, tmp_path):
 
 def test_otsu_and_distance():
     assert vision.otsu(np.array([10] * 8 + [200] * 8)) == 10
-    mask = np.zeros((7, 7), bool)
-    mask[1:6, 1:6] = True
-    assert vision.distance(mask).max() == 3 and vision.distance(mask).sum() == 16 + 8 * 2 + 3
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        mask = rng.random((9, 12)) < 0.85
+        zeros = np.argwhere(~mask)
+        want = [[0 if not mask[y, x] else np.sqrt(((zeros - (y, x)) ** 2).sum(1).min()) for x in range(12)] for y in range(9)]
+        assert np.allclose(vision.distance(mask), want)
+    assert np.isinf(vision.distance(np.ones((3, 3), bool))).all()
+
+
+def shape(*cells, size=(12, 12)):
+    out = np.zeros(size, bool)
+    for y, x in cells:
+        out[y, x] = True
+    return out
+
+
+def test_outlines_of_known_shapes():
+    block = [(y, x) for y in range(2, 7) for x in range(3, 7)]
+    root = np.sqrt(2)
+    assert vision.outlines(shape(*block)) == [(12.0, 14.0, 3, 2, 4, 5)]
+    assert vision.outlines(shape(*[c for c in block if c not in [(3, 4), (4, 5)]])) == [(12.0, 14.0, 3, 2, 4, 5)]  # holes are filled
+    assert vision.outlines(shape((1, 1))) == [(0.0, 0.0, 1, 1, 1, 1)]
+    assert vision.outlines(shape((1, 1), (1, 2), (1, 3))) == [(0.0, 4.0, 1, 1, 3, 1)]  # a line is walked twice
+    assert vision.outlines(shape((1, 1), (2, 2), (3, 3))) == [(0.0, 4 * root, 1, 1, 3, 3)]
+    diamond = vision.outlines(shape((1, 2), (2, 1), (2, 3), (3, 2)))  # closed by corners
+    assert len(diamond) == 1 and np.allclose(diamond[0], (2, 4 * root, 1, 1, 3, 3))
+    assert [o[2:] for o in vision.outlines(shape((0, 0), (0, 5), (9, 3)))] == [(0, 0, 1, 1), (5, 0, 1, 1), (3, 9, 1, 1)]
+    assert vision.outlines(shape()) == []
+
+
+def test_scores_of_cells():
+    white = np.full((30, 30), 255)
+    y, x = np.mgrid[:30, :30]
+    disk = np.where((y - 14) ** 2 + (x - 14) ** 2 <= 64, 0, 255)
+    blot = white.copy()
+    blot[2:6, 1:29] = 0
+    blot[6:20, 1:4] = 0
+    assert [vision.separator(c) for c in (white, disk, blot)] == [0.0, 0.8, 0.0]
+    (area, *_), = vision.outlines(disk == 0)
+    assert vision.separator_by_area(disk) == min(1.0, (area - 150) / 200) and vision.separator_by_area(white) == 0.0
+    assert vision.stroke_score(white) == 0.0 and vision.stroke_score(np.where(x == 9, 0, 255)) == 0.0
+    wide = np.where(x < 28, 0, 255)
+    assert vision.stroke_score(wide) == 1.0 and vision.upload_features(wide)["dark"] == 1.0
+    assert vision.features(np.full((9, 9), 3))["density_std"] == 0.0 and vision.features(disk)["density_std"] > 20
+    assert vision.eroded(np.ones((5, 5), bool), 4).all() and vision.eroded(x[:6, :6] > 1, 4).sum() == 12
+    two = np.full((40, 40), 255)
+    two[2:12, 2:22], two[20:38, 8:16] = 0, 0
+    got = vision.double_stroke(two)
+    assert (got["width_mean"], got["width_max"], got["overlaps"]) == (14.0, 20.0, 1.0) and got["score"] >= 0.45
+    assert vision.double_stroke(np.where((x == 3) & (y < 9), 0, 255))["score"] == 0.0
 
 
 def test_golden_mathematics_consistency_and_verdict(spark):
