@@ -12,10 +12,10 @@ def nearest(left: DataFrame, right: DataFrame, page: str, within: int) -> DataFr
     the upper on a tie, null without any. Rows meet in bands of `within`, so only neighbours are compared."""
     band = lambda y: F.floor(y / within).cast("long")
     near = left.withColumn("_b", F.explode(F.array(band(F.col("y")) - 1, band(F.col("y")), band(F.col("y")) + 1)))
-    met = near.join(right.withColumn("_b", band(F.col("ry"))), [page, "_b"]).withColumn("dist", F.abs(F.col("y") - F.col("ry"))).where(F.col("dist") < within)
-    rank = F.row_number().over(W.partitionBy(page, "lid").orderBy("dist", "ry", "rid"))
-    best = met.withColumn("_rn", rank).where("_rn = 1").select(page, "lid", "rid", "dist")
-    return left.join(best, [page, "lid"], "left")
+    met = near.join(right.withColumn("_b", band(F.col("ry"))), [page, "_b"], "left").withColumn("_d", F.abs(F.col("y") - F.col("ry")))
+    best = F.min(F.when(F.col("_d") < within, F.struct(F.col("_d").alias("dist"), "ry", "rid")))
+    rest = [F.first(c).alias(c) for c in left.columns if c not in (page, "lid")]
+    return met.groupBy(page, "lid").agg(*rest, best.alias("_m")).select(*left.columns, "_m.rid", "_m.dist")
 
 
 def first_in_band(rows: DataFrame, page: str, hit: Column, y: int, tolerance: int) -> DataFrame:
@@ -24,6 +24,21 @@ def first_in_band(rows: DataFrame, page: str, hit: Column, y: int, tolerance: in
     return kept.withColumn("_rn", F.row_number().over(W.partitionBy(page).orderBy("id"))).where("_rn = 1").drop("_rn")
 
 
+def first_keyword(rows: DataFrame, page: str, keywords: list[str]) -> DataFrame:
+    """The first detection of each page, in order of id, that holds any of the keywords, in any case."""
+    hit = F.exists(F.array(*[F.lit(k.upper()) for k in keywords]), lambda k: F.contains(F.upper("text"), k))
+    return rows.where(hit).groupBy(page).agg(F.min_by(F.struct(*[c for c in rows.columns if c != page]), "id").alias("_r")).select(page, "_r.*")
+
+
+def digit_regions(found: DataFrame, column: Column, width: Column, header: Column, end: Column, page_width: Column, page_height: Column, least: float = 0.3) -> DataFrame:
+    """Detections that were read in a column of a page and hold a digit, from a confidence on, in page coordinates. The
+    column begins 30 pixels before its left edge and under its header, within the page."""
+    inside = found.where((F.col("conf") >= least) & F.col("text").rlike("[0-9]"))
+    x0, y0 = F.greatest(column - 30, F.lit(0)), F.greatest(header, F.lit(0))
+    room = (F.least(page_width, column + width + 50) > x0) & (F.least(page_height, end) > y0)
+    return inside.where(room).withColumns({"x": F.col("x") + x0, "y": F.col("y") + y0})
+
+
 def ladder(candidates: list[DataFrame], page: str) -> DataFrame:
     """The first of several answers for each page; prio tells which."""
     every = None
@@ -34,26 +49,36 @@ def ladder(candidates: list[DataFrame], page: str) -> DataFrame:
 
 
 def anchored_clusters(rows: DataFrame, page: str, tolerance: int) -> DataFrame:
-    """Greedy rows of a page from the top: a detection joins while it is within `tolerance` of the row's first.
-    A fold over the page's sorted detections (a page holds at most some hundred)."""
-    start = F.struct(F.lit(None).cast("long").alias("y0"), F.lit(-1).alias("k"), F.array().cast("array<struct<id:long,k:int>>").alias("out"))
+    """Greedy rows of a page from the top: a detection joins while it is within `tolerance` of the row's first. One row
+    for each: its number, the detection of greatest confidence (the upper, then the one of least id, on a tie) and
+    all texts from the top. A fold over the page's sorted detections (a page holds at most some hundred)."""
+    found = "struct<y:bigint,id:bigint,x:bigint,w:bigint,conf:double,text:string>"
+    cluster = f"struct<y0:bigint,best:{found},texts:array<string>>"
+    start = F.struct(F.lit(None).cast(cluster).alias("open"), F.array().cast(f"array<{cluster}>").alias("out"))
+
+    def closed(acc: Column) -> Column:
+        return F.when(acc["open"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["open"])))
 
-    def step(acc, r):
-        new = acc["y0"].isNull() | (F.abs(r["y"] - acc["y0"]) > tolerance)
-        k = F.when(new, acc["k"] + 1).otherwise(acc["k"])
-        return F.struct(F.when(new, r["y"]).otherwise(acc["y0"]).alias("y0"), k.alias("k"), F.concat(acc["out"], F.array(F.struct(r["id"].alias("id"), k.alias("k")))).alias("out"))
+    def step(acc: Column, r: Column) -> Column:
+        joins = F.coalesce(r["y"] - acc["open"]["y0"] <= tolerance, F.lit(False))
+        better = r["conf"] > acc["open"]["best"]["conf"]
+        wider = F.struct(acc["open"]["y0"].alias("y0"), F.when(better, r).otherwise(acc["open"]["best"]).alias("best"), F.concat(acc["open"]["texts"], F.array(r["text"])).alias("texts"))
+        fresh = F.struct(r["y"].alias("y0"), r.alias("best"), F.array(r["text"]).alias("texts"))
+        return F.struct(F.when(joins, wider).otherwise(fresh).alias("open"), F.when(joins, acc["out"]).otherwise(closed(acc)).alias("out"))
 
-    pages = rows.groupBy(page).agg(F.array_sort(F.collect_list(F.struct(F.col("y").cast("long").alias("y"), F.col("id").cast("long").alias("id")))).alias("rows"))
-    return pages.select(page, F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("r")).select(page, "r.id", F.col("r.k").alias("cluster"))
+    one = F.struct(*[F.col(c).cast(t).alias(c) for c, t in (("y", "long"), ("id", "long"), ("x", "long"), ("w", "long"), ("conf", "double"), ("text", "string"))])
+    pages = rows.groupBy(page).agg(F.array_sort(F.collect_list(one)).alias("rows"))
+    folded = pages.select(page, F.posexplode(F.aggregate("rows", start, step, closed)).alias("cluster", "c"))
+    return folded.select(page, "cluster", "c.best.id", "c.best.y", "c.best.x", "c.best.w", "c.best.text", "c.best.conf", F.col("c.texts").alias("all_texts"))
 
 
 def segments(rows: DataFrame, page: str, flag: Column, gap: int, least: int) -> DataFrame:
-    """Runs of flagged positions `i` of a page, joined over gaps up to `gap`, of at least `least` length."""
+    """Runs of flagged positions `i` of a page, joined over gaps up to `gap`, whose ends are at least `least` apart."""
     on = rows.where(flag)
     order = W.partitionBy(page).orderBy("i")
     new = F.when(F.col("i") - F.lag("i").over(order) <= gap, 0).otherwise(1)
     runs = on.withColumn("_new", new).withColumn("seg", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return runs.groupBy(page, "seg").agg(F.min("i").alias("first"), F.max("i").alias("last")).where(F.col("last") - F.col("first") + 1 >= least)
+    return runs.groupBy(page, "seg").agg(F.min("i").alias("first"), F.max("i").alias("last")).where(F.col("last") - F.col("first") >= least)
 
 
 def neighbour_overlaps(rows: DataFrame, page: str) -> DataFrame:
@@ -70,10 +95,12 @@ def padded_box(x: Column, y: Column, w: Column, h: Column, pad: int, width: Colu
 
 
 def rotation(lines: DataFrame, page: str) -> DataFrame:
-    """Median angle in degrees of the near-horizontal lines (dx, dy) of each page, to two places; 0 under five lines."""
+    """Median angle in degrees of the nearly level lines (dx, dy) of each page, to two places, and their number. Level are
+    those of |dx| over 50 and |dy| under half of it, by under 3 degrees; a page of under five lines of any kind has 0."""
     angle = F.degrees(F.atan2("dy", "dx"))
-    near = lines.withColumn("angle", F.when(F.abs(angle) < 3, angle))
-    middle = F.when(F.count("angle") < 5, 0.0).otherwise(F.round(F.median("angle"), 2))
+    level = (F.abs("dx") > 50) & (2 * F.abs("dy") < F.abs("dx")) & (F.abs(angle) < 3)
+    near = lines.withColumn("angle", F.when(level, angle))
+    middle = F.when((F.count("*") < 5) | (F.count("angle") == 0), 0.0).otherwise(F.round(F.median("angle"), 2))
     return near.groupBy(page).agg(middle.alias("angle"), F.count("angle").alias("lines"))
 
 

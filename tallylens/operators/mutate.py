@@ -6,9 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_old_if_null: tuple[str, ...] = ()) -> DataFrame:
+def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row for each key, the greatest by `order` and then by its other columns: a group-by that keeps a single row."""
+    rest = [c for c in df.columns if c not in keys]
+    kept = F.max(F.struct(*order, *[c for c in rest if c not in order]))
+    return df.groupBy(*keys).agg(kept.alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_old_if_null: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
     """Rows of new replace those of old with the same keys; named columns keep the old value where the new is null.
-    op tells inserted, updated and kept rows apart."""
+    op tells inserted, updated and kept rows apart. Of several new rows of a key the latest by `order` counts (without an
+    order the greatest), so none is doubled; columns that only serve the order are left out."""
+    new = latest_by(new, keys, list(order))
     values = [c for c in old.columns if c not in keys]
     a = old.select(*keys, *[F.col(c).alias(f"o_{c}") for c in values], F.lit(1).alias("_o"))
     b = new.select(*keys, *[F.col(c).alias(f"n_{c}") for c in values], F.lit(1).alias("_n"))
@@ -23,9 +32,10 @@ def insert_missing(old: DataFrame, defaults: DataFrame, keys: list[str]) -> Data
     return old.unionByName(defaults.join(old, keys, "left_anti"))
 
 
-def override(rows: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:
-    """Latest human value over the computed one."""
-    return rows.join(changes.select(key, F.col(column).alias("_new")), key, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
+def override(rows: DataFrame, changes: DataFrame, key: str, column: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """Latest human value over the computed one; the latest by `order` where there are several."""
+    one = latest_by(changes.select(key, column, *order), [key], list(order))
+    return rows.join(one.select(key, F.col(column).alias("_new")), key, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,8 +37,44 @@ def qr_readings(symbols: DataFrame) -> DataFrame:
     return pages.groupBy("sheet").agg(F.sum("n").alias("symbols"), first("raw", ~none).alias("raw"), F.min_by("match", "page").alias("match"), F.count_if(~F.col("match")).alias("mismatches"), first("reason", F.col("reason").isNotNull()).alias("reason"))
 
 
-def first_digit(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, "[0-9]", 0), F.lit("")).cast("int")
+def first_integer(text: Column) -> Column:
+    """The first run of digits as a number; null without one, or beyond 64 bits."""
+    return F.nullif(F.regexp_extract(text, "[0-9]+", 0), F.lit("")).try_cast("long")
+
+
+def zone_votes(found: DataFrame, page: str, width: Column, height: Column, corner: tuple[float, float] = (0.50, 0.20)) -> DataFrame:
+    """Numbers of detections(x, y, w, h, text, conf) that were read in a zone of a page, in page coordinates, with their
+    place from the top (ties by x, then text); a text without digits has no number."""
+    at = found.select(page, (F.col("x") + F.floor(width * corner[0])).alias("x"), (F.col("y") + F.floor(height * corner[1])).alias("y"), "w", "h", "text", first_integer(F.col("text")).alias("number"), F.round("conf", 2).alias("confidence"))
+    return at.withColumn("place", F.row_number().over(Window.partitionBy(page).orderBy("y", "x", "text")))
+
+
+def detections(read: DataFrame, least: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Reader answers (corners array of four (x, y) from the upper left, text, conf) over a confidence as boxes x, y, w, h
+    of whole pixels, with trimmed texts and confidence to two places."""
+    upper, lower = F.col("corners")[0], F.col("corners")[2]
+    whole = lambda c: c.cast("long")
+    return read.where(F.col("conf") > least).select(*keep, whole(upper[0]).alias("x"), whole(upper[1]).alias("y"), whole(lower[0] - upper[0]).alias("w"), whole(lower[1] - upper[1]).alias("h"), F.trim("text").alias("text"), F.round("conf", 2).alias("conf"))
+
+
+def token_fields(words: Column) -> Column:
+    """Header fields of a page's words, in order: the last word that holds DEPARTAMENTO or MUNICIPIO, or begins with ZONA,
+    PUESTO or MESA; a word counts for the first of these only. Empty where there is none."""
+    bare = lambda w: F.upper(F.trim(w))
+
+    def holds(k: int, w: Column) -> Column:
+        return F.contains(bare(w), F.lit(HEADER[k])) if k < 2 else F.startswith(bare(w), F.lit(HEADER[k]))
+
+    def field(k: int) -> Column:
+        def mine(w: Column) -> Column:
+            out = holds(k, w)
+            for earlier in range(k):
+                out = out & ~holds(earlier, w)
+            return out
+
+        return F.coalesce(F.try_element_at(F.filter(words, mine), F.lit(-1)), F.lit("")).alias(HEADER[k].lower())
+
+    return F.struct(*[field(k) for k in range(len(HEADER))])
 
 
 def all_digits(text: Column) -> Column:

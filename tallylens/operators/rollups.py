@@ -70,8 +70,31 @@ def confusion(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
     hit = F.col("score") >= F.col("t")
     sums = grid.groupBy("t").agg(*[F.sum(F.when(c, F.col(v)).otherwise(0)).alias(n) for n, c, v in (("tp", hit, "p"), ("fp", hit, "n"), ("fn", ~hit, "p"), ("tn", ~hit, "n"))])
     f1 = F.when(2 * F.col("tp") + F.col("fp") + F.col("fn") > 0, F.floor(20000 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))).otherwise(0)
-    return sums.withColumn("f1", f1.cast("long"))
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    return sums.withColumns({"f1": f1.cast("long"), "precision": share(tp, tp + fp), "recall": share(tp, tp + fn), "accuracy": share(tp + tn, tp + fp + fn + tn)})
 
 
-def flag_array(**flags: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in flags.items()]))
+def best_threshold(grid: DataFrame) -> DataFrame:
+    """The first threshold of the greatest f1 over 0; none if no threshold has any."""
+    return grid.where("f1 > 0").agg(F.max_by(F.struct("t", "f1", "precision", "recall", "accuracy"), F.struct("f1", -F.col("t"))).alias("x")).where("x IS NOT NULL").select("x.*")
+
+
+def labelled_scores(scores: DataFrame, labels: DataFrame, file: str = "filename") -> DataFrame:
+    """Scores with the label of their file, whose name is taken without '.pdf'; files without a label are left out."""
+    return scores.withColumn("_f", F.replace(file, F.lit(".pdf"), F.lit(""))).join(labels.select(F.col(file).alias("_f"), "label"), "_f").drop("_f")
+
+
+def grains(df: DataFrame, keys: list[str], measures: list[Column]) -> DataFrame:
+    """The measures by every subset of the keys in one pass; grain tells the subset (a bit for each key that is summed over,
+    the first key's the highest), so a null key isn't taken for a sum."""
+    return df.cube(*keys).agg(F.grouping_id().alias("grain"), *measures)
+
+
+def sheet_report(cells: DataFrame, key: str, firsts: int, gravest: int) -> DataFrame:
+    """Of each sheet its number of cells, mean and greatest score, the first `firsts` cells by idx and the `gravest` by score,
+    in one group-by (a sheet holds at most some hundred cells)."""
+    listed = lambda row: F.array_sort(F.collect_list(row))
+    rows = cells.groupBy(key).agg(F.count("*").alias("cells"), F.avg("score").alias("mean"), F.max("score").alias("top"), listed(F.struct("idx", "score")).alias("a"), listed(F.struct((-F.col("score")).alias("s"), "idx")).alias("b"))
+    joined = lambda c, n: F.array_join(F.slice(F.col(f"{c}.idx"), 1, n).cast("array<string>"), ",")
+    return rows.select(key, "cells", "mean", "top", joined("a", firsts).alias("firsts"), joined("b", gravest).alias("gravest"))

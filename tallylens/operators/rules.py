@@ -83,22 +83,49 @@ def risk_level(risk: Column) -> Column:
     return F.when(risk >= 80, "CRITICAL").when(risk >= 50, "HIGH").when(risk >= 20, "MEDIUM").otherwise("LOW")
 
 
-def math_rules(total: Column, candidates: Column, blank: Column, null: Column, unmarked: Column, ocr: Column, registered: Column | None = None, low_ocr: float = 0.6) -> Column:
-    """Names of the violated mathematical rules, in order, of an array of the candidates' votes; a candidate's rule is
-    named once for each candidate that violates it."""
+def math_anomalies(total: Column, candidates: Column, blank: Column, null: Column, unmarked: Column, ocr: Column, registered: Column | None = None, low_ocr: float = 0.6, first_page: int = 7) -> Column:
+    """Violated mathematical rules, in order, of an array of the candidates' votes (candidate 1 first): (rule, severity,
+    message, confidence, page, details). A sum that is null counts as 0, as does a missing summary; a candidate's rules
+    come once for each candidate that violates them, on the page where it stands."""
     zero = F.lit(0).cast("long")
-    parts = F.aggregate(candidates, zero, lambda acc, v: acc + v)
-    each = lambda name, bad: F.transform(F.filter(candidates, bad), lambda v: F.lit(name))
-    one = lambda name, bad: F.when(bad, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+    total, blank, null, unmarked = (F.coalesce(c.cast("long"), zero) for c in (total, blank, null, unmarked))
+    votes = F.transform(candidates, lambda v: F.coalesce(v.cast("long"), zero))
+    parts = F.aggregate(votes, zero, lambda acc, v: acc + v)
+    computed = parts + blank + null + unmarked
+
+    def row(rule: str, severity: str, message: Column, confidence: float, page: Column, **details: Column) -> Column:
+        given = F.create_map(*[x for name, c in details.items() for x in (F.lit(name), c.cast("long"))]) if details else F.create_map().cast("map<string,bigint>")
+        return F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), message.alias("message"), F.lit(confidence).alias("confidence"), page.cast("int").alias("page"), given.alias("details"))
+
+    def one(bad: Column, found: Column) -> Column:
+        return F.when(bad, F.array(found)).otherwise(F.array().cast(MATH_ANOMALIES))
+
+    def each(bad, found) -> Column:
+        numbered = F.transform(votes, lambda v, i: F.struct((i + 1).alias("n"), v.alias("v")))
+        return F.transform(F.filter(numbered, lambda c: bad(c["v"])), lambda c: found(c["n"], c["v"]))
+
+    page_of = lambda n: F.when(n <= first_page, 1).otherwise(2)
+    two = F.lit(2)
     rules = [
-        one("SUM_MISMATCH", parts + blank + null + unmarked != total),
-        each("NEGATIVE_VOTES", lambda v: v < 0),
-        one("NEGATIVE_SUMMARY", F.least(blank, null, unmarked) < 0),
-        each("EXCEEDS_3_DIGITS", lambda v: v > 999),
+        one(total != computed, row("SUM_MISMATCH", "CRITICAL", F.format_string("Total declared (%d) != computed (%d), diff=%d", total, computed, F.abs(total - computed)), 0.95, two, declared_total=total, computed_total=computed)),
+        each(lambda v: v < 0, lambda n, v: row("NEGATIVE_VOTES", "CRITICAL", F.format_string("Candidate %d has negative votes: %d", n, v), 1.0, page_of(n), candidate=n, votes=v)),
+        one(F.least(blank, null, unmarked) < 0, row("NEGATIVE_SUMMARY", "CRITICAL", F.format_string("Negative summary: blank=%d, null=%d, unmarked=%d", blank, null, unmarked), 1.0, two)),
+        each(lambda v: v > 999, lambda n, v: row("EXCEEDS_3_DIGITS", "HIGH", F.format_string("Candidate %d has %d votes (exceeds 999)", n, v), 0.9, page_of(n), candidate=n, votes=v)),
     ]
     if registered is not None:
-        rules.append(one("OVERVOTE", total > registered))
-    return F.concat(*rules, one("UNDERVOTE", (total > 0) & (parts > total)), one("LOW_OCR_CONFIDENCE", ocr < low_ocr))
+        limit = registered.cast("long")
+        rules.append(one(F.coalesce((limit != 0) & (total > limit), F.lit(False)), row("OVERVOTE", "CRITICAL", F.format_string("Total votes (%d) exceeds registered voters (%d)", total, F.coalesce(limit, zero)), 0.95, two, total=total, registered=limit)))
+    rules.append(one((total > 0) & (parts > total), row("UNDERVOTE", "MEDIUM", F.format_string("Candidate sum (%d) > total (%d)", parts, total), 0.8, two, candidate_sum=parts, total=total)))
+    rules.append(one(F.coalesce(ocr < low_ocr, F.lit(False)), row("LOW_OCR_CONFIDENCE", "MEDIUM", F.format_string("Low OCR confidence: %.1f%%", F.coalesce(ocr.cast("double"), F.lit(0.0)) * 100), 1.0, F.lit(1))))
+    return F.concat(*rules)
+
+
+MATH_ANOMALIES = "array<struct<rule:string,severity:string,message:string,confidence:double,page:int,details:map<string,bigint>>>"
+
+
+def math_rules(*sums: Column, **options) -> Column:
+    """Names of the violated mathematical rules, in order."""
+    return F.transform(math_anomalies(*sums, **options), lambda a: a["rule"])
 
 
 def risk_score(rules: Column, signature: Column, ocr: Column, weights: dict[str, int] | None = None, default: int = 5) -> Column:
@@ -109,6 +136,20 @@ def risk_score(rules: Column, signature: Column, ocr: Column, weights: dict[str,
     return F.round(F.least(whole + signature + F.greatest(F.lit(0.0), (1 - ocr) * 15), F.lit(100.0)), 2)
 
 
+def risk_breakdown(rules: Column, status: Column, signature: Column, ocr: Column) -> Column:
+    """(score, level, signatures, mathematical, ocr_confidence, anomaly_count, anomaly_types) of a sheet: the parts of the
+    risk score to two places, and its anomalies as a sorted set, after the state of the signatures if not complete."""
+    table = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])
+    whole = F.least(F.aggregate(rules, F.lit(0), lambda acc, r: acc + F.coalesce(table[r], F.lit(5))), F.lit(40))
+    unsure = F.greatest(F.lit(0.0), (1 - ocr) * 15)
+    score, complete = risk_score(rules, signature, ocr), status == "COMPLETE"
+    first = F.when(complete, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("signature_"), F.lower(status))))
+    return F.struct(
+        score.alias("score"), risk_level(score).alias("level"), signature.cast("double").alias("signatures"), whole.cast("double").alias("mathematical"), F.round(unsure, 2).alias("ocr_confidence"),
+        (F.size(rules) + F.when(complete, 0).otherwise(1)).alias("anomaly_count"), F.concat(first, F.array_sort(F.array_distinct(rules))).alias("anomaly_types"),
+    )
+
+
 def visual_anomalies(lines: Column, ink: Column, state: Column) -> Column:
     """Scores of a sheet's anomalies: over 15 long strokes (their number / 25, 1 at most), under 2 % ink in the signature
     zone (0.9), and by its state of consistency few data (0.8) or an inconsistent sum (0.95)."""

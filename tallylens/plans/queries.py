@@ -9,21 +9,7 @@ from tallylens.operators import comparison, consensus, layout, mutate, records,
 from tallylens.sources import sinks
 
 from . import views as V
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-_WITH = "WITH " + ", ".join(f"{k} AS ({v})" for k, v in V.VIEWS_SQL.items()) + " "
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = _WITH + sql
-        return f
-
-    return add
-
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401 (read by the entry)
 
 long = lambda c: F.col(c).cast("long").alias(c)
 
@@ -128,17 +114,22 @@ def export_actas(s, d):
     return sinks.export_rows(rows, ["id", "mesa_key", "estado", "creado_en"], "creado_en")
 
 
-@query("SELECT id, least(CASE WHEN firmas<4 THEN 30 WHEN firmas>6 THEN 20 ELSE 0 END + CASE WHEN paginas_total<2 THEN 50 ELSE 0 END, 100) score FROM actas")
+@query("SELECT a.id, coalesce(n,0) cells, least(CASE WHEN coalesce(n,0)<4 THEN 30 WHEN n>12 THEN 20 ELSE 0 END + CASE WHEN paginas_total<2 THEN 50 ELSE 0 END, 100) score FROM actas a LEFT JOIN (SELECT acta_id, count(*)*(1+acta_id%3) n FROM cells GROUP BY acta_id) c ON c.acta_id=a.id")
 def arith_structure_check(s, d):
-    return V.actas(s, d).select("id", F.least(F.when(F.col("firmas") < 4, 30).when(F.col("firmas") > 6, 20).otherwise(0) + F.when(F.col("paginas_total") < 2, 50).otherwise(0), F.lit(100)).alias("score"))
+    """Structure of sheets by their number of cells, some counted several times, and of pages."""
+    n = V.cells(s, d).groupBy("acta_id").agg(F.count("*").alias("n")).select(F.col("acta_id").alias("id"), (F.col("n") * (1 + F.col("acta_id") % 3)).alias("cells"))
+    rows = V.actas(s, d).select("id", "paginas_total").join(n, "id", "left").withColumn("cells", F.coalesce("cells", F.lit(0)))
+    return rows.select("id", "cells", rules.structure_score(F.col("cells"), F.col("paginas_total")).alias("score"))
 
 
-_MATH = "SELECT id, concat_ws(',', CASE WHEN suma<>urna THEN 'SUM_MISMATCH' END, CASE WHEN c1-12<0 THEN 'NEGATIVE_VOTES' END, CASE WHEN c2*20>999 THEN 'EXCEEDS_3_DIGITS' END, CASE WHEN urna>e11-2 THEN 'OVERVOTE' END, CASE WHEN urna>0 AND c1-12+c2*20>urna THEN 'UNDERVOTE' END, CASE WHEN id%100<60 THEN 'LOW_OCR_CONFIDENCE' END) rules, suma<>urna a, c1-12<0 n, c2*20>999 x, urna>e11-2 v, urna>0 AND c1-12+c2*20>urna u, id%100<60 c, id%100 ocr, firmas FROM (SELECT *, suma-c1-c2+c1-12+c2*20 mate FROM flagged)"
-_MATH = _MATH.replace("suma<>urna", "mate<>urna")
+_MATH = "SELECT id, concat_ws(',', CASE WHEN suma<>urna THEN 'SUM_MISMATCH' END, CASE WHEN c1-12<0 THEN 'NEGATIVE_VOTES' END, CASE WHEN c2*20>999 THEN 'EXCEEDS_3_DIGITS' END, CASE WHEN e11<>2 AND urna>e11-2 THEN 'OVERVOTE' END, CASE WHEN urna>0 AND c1-12+c2*20>urna THEN 'UNDERVOTE' END, CASE WHEN id%100<60 THEN 'LOW_OCR_CONFIDENCE' END) rules, suma<>urna a, c1-12<0 n, c2*20>999 x, e11<>2 AND urna>e11-2 v, urna>0 AND c1-12+c2*20>urna u, id%100<60 c, id%100 ocr, firmas FROM (SELECT *, suma-c1-c2+c1-12+c2*20 mate FROM flagged)"
+_MATH = _MATH.replace("suma<>urna", "mate<>urna")  # sheets without a summary have sums of 0
+_MATH = _MATH.replace("FROM (SELECT *, suma-c1-c2+c1-12+c2*20 mate FROM flagged)", "FROM (SELECT id, e11, firmas, c1, c2, CASE WHEN id%17=0 THEN 0 ELSE urna END urna, c1-12+c2*20+CASE WHEN id%17=0 THEN 0 ELSE blanco+nulos+no_marcados END mate FROM flagged)")
 
 
 def _math(s, d):
     rows = rules.with_flags(V.actas(s, d))
+    rows = rows.withColumns({c: F.when(F.col("id") % 17 != 0, F.col(c)) for c in ("urna", "blanco", "nulos", "no_marcados")})  # no summary
     votes = F.array(F.col("c1") - 12, F.col("c2") * 20)  # so that single candidates are negative or beyond three digits
     return rows.withColumn("rules", rules.math_rules(F.col("urna"), votes, F.col("blanco"), F.col("nulos"), F.col("no_marcados"), F.col("id") % 100, F.col("e11") - 2, low_ocr=60))
 
@@ -213,6 +204,15 @@ def comparison_fields(s, d):
     return _compared(s, d).select("mesa_key", "campo", "oficial", "ciudadano", "diferencia", "discrepa")
 
 
+_REASONS = "'Diferencia de '||coalesce(abs(diferencia),0)||' voto(s) en '||CASE campo " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in comparison.LABELS.items()) + " END||'. Oficial='||coalesce(CAST(oficial AS VARCHAR),'None')||', Ciudadano='||coalesce(CAST(ciudadano AS VARCHAR),'None')"
+
+
+@query(f"SELECT mesa_key, campo campo_afectado, CAST(oficial AS VARCHAR) valor_oficial, CAST(ciudadano AS VARCHAR) valor_ciudadano, puntos score_capa0, {_REASONS} razon_flag, prioridad FROM ({_CMP}) WHERE discrepa")
+def comparison_findings(s, d):
+    """Findings of compared fields with their reasons."""
+    return comparison.discrepancy_rows(_compared(s, d)).drop("tipo_anomalia", "estado")
+
+
 @query(f"SELECT mesa_key, campo, diferencia, prioridad, puntos FROM ({_CMP}) WHERE discrepa")
 def comparison_discrepancies(s, d):
     return _compared(s, d).where("discrepa").select("mesa_key", "campo", "diferencia", "prioridad", "puntos")
@@ -422,7 +422,7 @@ def analysis_stats(s, d):
 
 # --- calibration and reports
 
-_GRID = "SELECT t, tp, fp, fn, tn, CAST(CASE WHEN 2*tp+fp+fn>0 THEN floor(20000*tp/(2*tp+fp+fn)) ELSE 0 END AS BIGINT) f1 FROM (SELECT t, CAST(sum(CASE WHEN score>=t AND bad THEN 1 ELSE 0 END) AS BIGINT) tp, CAST(sum(CASE WHEN score>=t AND NOT bad THEN 1 ELSE 0 END) AS BIGINT) fp, CAST(sum(CASE WHEN score<t AND bad THEN 1 ELSE 0 END) AS BIGINT) fn, CAST(sum(CASE WHEN score<t AND NOT bad THEN 1 ELSE 0 END) AS BIGINT) tn FROM (SELECT CAST(n_chars%97 AS BIGINT) score, quality=0 bad FROM labels l JOIN documents d ON d.doc_id=l.doc_id), (SELECT unnest(range(5,70)) t) GROUP BY t)"
+_GRID = "SELECT t, tp, fp, fn, tn, CAST(CASE WHEN 2*tp+fp+fn>0 THEN floor(20000*tp/(2*tp+fp+fn)) ELSE 0 END AS BIGINT) f1, CASE WHEN tp+fp>0 THEN tp::DOUBLE/(tp+fp) ELSE 0 END AS \"precision\", CASE WHEN tp+fn>0 THEN tp::DOUBLE/(tp+fn) ELSE 0 END AS recall, CASE WHEN tp+fp+fn+tn>0 THEN (tp+tn)::DOUBLE/(tp+fp+fn+tn) ELSE 0 END AS accuracy FROM (SELECT t, CAST(sum(CASE WHEN score>=t AND bad THEN 1 ELSE 0 END) AS BIGINT) tp, CAST(sum(CASE WHEN score>=t AND NOT bad THEN 1 ELSE 0 END) AS BIGINT) fp, CAST(sum(CASE WHEN score<t AND bad THEN 1 ELSE 0 END) AS BIGINT) fn, CAST(sum(CASE WHEN score<t AND NOT bad THEN 1 ELSE 0 END) AS BIGINT) tn FROM (SELECT CAST(n_chars%97 AS BIGINT) score, quality=0 bad FROM labels l JOIN documents d ON d.doc_id=l.doc_id), (SELECT unnest(range(5,70)) t) GROUP BY t)"
 
 
 def _grid(s, d):
@@ -519,7 +519,7 @@ def cell_derivation(s, d):
     return V.det(s, d).select("page", "id", box.alias("b")).select("page", "id", "b.*")
 
 
-@query("SELECT page, min(i) first, max(i) last FROM (SELECT *, sum(nw) OVER (PARTITION BY page ORDER BY i) seg FROM (SELECT *, CASE WHEN i-lag(i) OVER (PARTITION BY page ORDER BY i)<=2 THEN 0 ELSE 1 END nw FROM (SELECT user_id page, event_id i FROM events WHERE event_id%7<>0 AND event_id%3<>0))) GROUP BY page, seg HAVING max(i)-min(i)+1>=2")
+@query("SELECT page, min(i) first, max(i) last FROM (SELECT *, sum(nw) OVER (PARTITION BY page ORDER BY i) seg FROM (SELECT *, CASE WHEN i-lag(i) OVER (PARTITION BY page ORDER BY i)<=2 THEN 0 ELSE 1 END nw FROM (SELECT user_id page, event_id i FROM events WHERE event_id%7<>0 AND event_id%3<>0))) GROUP BY page, seg HAVING max(i)-min(i)>=2")
 def row_segments(s, d):
     rows = V.load(s, d, "events").select(F.col("user_id").alias("page"), F.col("event_id").alias("i"))
     return layout.segments(rows, "page", (F.col("i") % 7 != 0) & (F.col("i") % 3 != 0), 2, 2).select("page", "first", "last")
@@ -530,9 +530,14 @@ def contour_overlap(s, d):
     return layout.neighbour_overlaps(V.det(s, d), "page")
 
 
-@query()
+_TOP = "SELECT page, id, y, x, w, text, conf, row_number() OVER (PARTITION BY page ORDER BY y, id) rn FROM det"
+_FOLD = f"SELECT * FROM (WITH RECURSIVE top AS ({_TOP}), fold AS (SELECT page, id, rn, y y0, 0 AS \"cluster\" FROM top WHERE rn=1 UNION ALL SELECT t.page, t.id, t.rn, CASE WHEN t.y-f.y0<=60 THEN f.y0 ELSE t.y END, CASE WHEN t.y-f.y0<=60 THEN f.\"cluster\" ELSE f.\"cluster\"+1 END FROM fold f JOIN top t ON t.page=f.page AND t.rn=f.rn+1) SELECT t.*, f.\"cluster\" FROM top t JOIN fold f ON f.page=t.page AND f.rn=t.rn)"
+
+
+@query(f"SELECT page, CAST(\"cluster\" AS INTEGER) AS \"cluster\", b.id, b.y, b.x, b.w, b.text, b.conf::DOUBLE conf, texts all_texts FROM (SELECT page, \"cluster\", list({{'id':id,'y':y,'x':x,'w':w,'text':text,'conf':conf}} ORDER BY conf DESC, rn)[1] b, string_agg(text, '|' ORDER BY rn) texts FROM ({_FOLD}) GROUP BY page, \"cluster\")")
 def anchored_clusters(s, d):
-    return layout.anchored_clusters(V.det(s, d), "page", 60)
+    """Rows of detections with the best one and all texts of each."""
+    return layout.anchored_clusters(V.det(s, d), "page", 60).withColumn("all_texts", F.array_join("all_texts", "|"))
 
 
 # --- rates
@@ -570,9 +575,9 @@ def qr_match(s, d):
     return V.load(s, d, "events").select("event_id", records.qr_state(payload, key).alias("state"))
 
 
-@query("SELECT doc_id, CAST(nullif(regexp_extract(text,'[0-9]',0),'') AS INTEGER) digit FROM documents")
+@query("SELECT doc_id, TRY_CAST(nullif(regexp_extract(text,'[0-9]+',0),'') AS BIGINT) number FROM documents")
 def ocr_digits(s, d):
-    return V.load(s, d, "documents").select("doc_id", records.first_digit(F.col("text")).alias("digit"))
+    return V.load(s, d, "documents").select("doc_id", records.first_integer(F.col("text")).alias("number"))
 
 
 @query("SELECT page, coalesce(string_agg(CASE WHEN conf>30 THEN text END, ' ' ORDER BY id),'') text, coalesce(round(avg(CASE WHEN conf>30 THEN conf END),2),0) confidence, CAST(count(CASE WHEN conf>30 THEN 1 END) AS INTEGER) words FROM det GROUP BY page")
@@ -817,9 +822,13 @@ def document_analysis(s, d):
     return _risk(s, d).select("id", F.round(F.col("risk") * 100).cast("long").alias("risk"), "level").join(n, "id", "left").withColumn("findings", F.coalesce("findings", F.lit(0)))
 
 
-@query()
+_LEVEL_LINES = "SELECT page, CASE WHEN dx>50 AND 2*abs(dy)<dx AND abs(a)<3 THEN a END a FROM (SELECT *, degrees(atan2(dy::DOUBLE,dx::DOUBLE)) a FROM (SELECT page, CASE WHEN id%4=0 THEN w ELSE w*20 END dx, y%41-20 dy FROM det))"
+
+
+@query(f"SELECT page, CASE WHEN count(*)<5 OR count(a)=0 THEN 0 ELSE round(median(a),2) END angle, count(a) lines FROM ({_LEVEL_LINES}) GROUP BY page")
 def page_rotation(s, d):
-    lines = V.det(s, d).select("page", (F.col("w") * 20).alias("dx"), (F.col("y") % 41 - 20).alias("dy"))
+    """Rotation of pages by lines of which some are short or steep."""
+    lines = V.det(s, d).select("page", F.when(F.col("id") % 4 == 0, F.col("w")).otherwise(F.col("w") * 20).alias("dx"), (F.col("y") % 41 - 20).alias("dy"))
     return layout.rotation(lines, "page")
 
 
@@ -834,3 +843,6 @@ def img_region(s, d):
     grid = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.transform(F.slice("embedding", y * 8 + 1, F.lit(8)), lambda x: (x > 0).cast("int")))
     part = layout.crop(grid, F.lit(1), F.lit(3), F.lit(1), F.lit(4))
     return V.load(s, d, "embeddings").select("vec_id", part.alias("p")).select("vec_id", F.col("p")[0][0].alias("a"), F.col("p")[1][2].alias("b"))
+
+
+from . import intake_queries, page_queries, state_queries  # noqa: E402,F401 (they register their queries)

@@ -21,7 +21,23 @@ def flatten_universe(raw: DataFrame, column: str = "value") -> DataFrame:
     return rows.select(code("idDepartmentCode", 2).alias("dep"), code("municipalityCode", 3).alias("muni"), code("idZoneCode", 3).alias("zona"), code("standCode", 2).alias("puesto"), code("numberStand", 3).alias("mesa"), F.col("n.expectedName").alias("expected_name"), F.col("n.idTransmissionCode").alias("code"), F.col("n.idTransmissionCodeStatus").alias("status"))
 
 
+def read_universe(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Texts (value) of universe documents, one a line, and apart those that are no JSON object."""
+    lines = spark.read.text(path)
+    parsed = F.try_parse_json("value")
+    good = F.coalesce(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")), F.lit(False))
+    return lines.where(good), lines.where(~good)
+
+
 def documents(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
-    """Files of a folder with size, sha256 and a check of their head; content stays in the executors."""
+    """Files of a folder with size, sha256, a check of their head, and the error of those that can't be used (null if
+    none); content stays in the executors. File sources skip files without any byte, so these have no row."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), ((F.col("length") >= 100) & (F.substring("content", 1, 5) == F.lit(b"%PDF-"))).alias("valid"))
+    head = F.substring("content", 1, 5) == F.lit(b"%PDF-")
+    error = F.when(~head, "no PDF head").when(F.col("length") < 100, "under 100 bytes")
+    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), error.isNull().alias("valid"), error.alias("error"))
+
+
+def document_counts(docs: DataFrame) -> DataFrame:
+    """Numbers of good and bad files, and bytes of all."""
+    return docs.agg(F.count_if("valid").alias("good"), F.count_if(~F.col("valid")).alias("bad"), F.sum("size").alias("bytes"))
