@@ -18,7 +18,7 @@ from pyspark.sql.types import StructField, StructType
 from . import rules
 
 #: Pixels that are worked on together.
-BATCH_PIXELS = 1 << 25
+BATCH_PIXELS = 1 << 23
 
 # Shares of a page where the digits of votes stand, and the bands of its rows: candidates 1-7 on the first
 # page, 8-13 on the second, and the second page's four sums.
@@ -137,13 +137,14 @@ def page_votes(pages: DataFrame, names: dict[int, str] | None = None) -> DataFra
     n = F.when(F.col("page_number") == 2, len(BANDS[2])).otherwise(len(BANDS[1]))
     summary = F.struct(*[votes_of(read(F.try_element_at("_d", F.lit(len(BANDS[2]) + k + 1)))).alias(name) for k, name in enumerate(SUMMARY)])
     out = slots.withColumn("candidates", F.transform(F.slice("_d", 1, n), candidate))
-    whole = F.aggregate("candidates", F.lit(0.0), lambda acc, c: acc + c["density"])
-    share = F.try_divide(whole, F.size("candidates")) / FULL_DENSITY
+    # In ten-thousandths, as densities are, so that the mean has no rounding of its own.
+    whole = F.aggregate("candidates", F.lit(0).cast("long"), lambda acc, c: acc + F.round(c["density"] * 10_000).cast("long"))
+    share = F.round(F.try_divide(whole, F.size("candidates")) / FULL_DENSITY)
     error = F.when(~F.coalesce(F.col("page_number").isin(*BANDS), F.lit(False)), F.concat(F.lit("page_number must be 1 or 2, got "), F.coalesce(F.col("page_number").cast("string"), F.lit("none"))))
     return out.withColumns(
         {
             "summary": F.when(F.col("_d").isNotNull() & (F.col("page_number") == 2), summary),
-            "confidence": F.round(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)), 4),
+            "confidence": F.least(share, F.lit(10_000.0)) / 10_000,
             "error": error.otherwise(F.when(F.col("_d").isNull(), "pixels do not fit the size")),
         }
     ).drop("_d", "pixels")
@@ -156,31 +157,26 @@ def votes_of(slots: Column) -> Column:
 # --- rows by projection
 
 
-def ink_profile(pages: DataFrame, below: int = 180, name: str = "profile") -> DataFrame:
-    """Adds the number of dark pixels of each pixel row."""
-    return measured(pages, lambda array: (array < below).sum(2).tolist(), name, "array<int>")
-
-
-def islands(profile: Column, gap: int = 20) -> Column:
+def islands(profile: np.ndarray, gap: int = 20) -> list[tuple[int, int]]:
     """(first, last) of the stretches of a profile's places that are over half its mean, joined over gaps up to `gap`;
-    stretches whose ends are under `gap` apart are left out. A fold over the places."""
-    whole = F.aggregate(profile, F.lit(0).cast("long"), lambda acc, v: acc + v)
-    places = F.filter(F.transform(profile, lambda v, i: F.when(2 * v * F.size(profile) > whole, i)), lambda i: i.isNotNull())
-    none = F.lit(None).cast("int")
-    start = F.struct(none.alias("first"), none.alias("last"), F.array().cast("array<struct<first:int,last:int>>").alias("out"))
-    closed = lambda acc: F.when(acc["last"] - acc["first"] >= gap, F.concat(acc["out"], F.array(F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))).otherwise(acc["out"])
+    stretches whose ends are under `gap` apart are left out."""
+    places = np.flatnonzero(2 * len(profile) * profile > profile.sum())
+    if not len(places):
+        return []
+    new = np.flatnonzero(np.diff(places) > gap) + 1
+    first, last = places[np.append(0, new)], places[np.append(new, len(places)) - 1]
+    return [(int(a), int(b)) for a, b in zip(first, last, strict=True) if b - a >= gap]
 
-    def step(acc: Column, y: Column) -> Column:
-        new = acc["last"].isNull() | (y - acc["last"] > gap)
-        return F.struct(F.when(new, y).otherwise(acc["first"]).alias("first"), y.alias("last"), F.when(new, closed(acc)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(places, start, step, closed)
+def row_islands(pages: DataFrame, gap: int = 20, below: int = 180, name: str = "rows") -> DataFrame:
+    """Adds the islands of each page's profile of dark pixels."""
+    return measured(pages, lambda array: [[{"first": a, "last": b} for a, b in islands(p, gap)] for p in (array < below).sum(2)], name, "array<struct<first:int,last:int>>")
 
 
 def vote_cells(pages: DataFrame, gap: int = 20) -> DataFrame:
     """One row for each row of votes of table images: candidate_index, its box in pixels (x, y, w, h) and in shares of
     the image (nx, ny, nw, nh). Without any row found, eight rows of equal height."""
-    rows = ink_profile(pages).drop("pixels").withColumn("_rows", islands(F.col("profile"), gap)).drop("profile")
+    rows = row_islands(pages, gap, name="_rows").drop("pixels")
     each = F.floor(F.col("height") / FALLBACK_ROWS).cast("int")
     equal = F.transform(F.sequence(F.lit(0), F.lit(FALLBACK_ROWS - 1)), lambda i: F.struct((i * each).alias("first"), ((i + 1) * each).alias("last")))
     rows = rows.withColumn("_rows", F.when(F.size("_rows") == 0, equal).otherwise(F.col("_rows")))
@@ -195,44 +191,56 @@ def vote_cells(pages: DataFrame, gap: int = 20) -> DataFrame:
 # --- long strokes
 
 
-def _lying(mask: np.ndarray, least: int, gap: int, thick: float) -> list[tuple[int, int, int, int]]:
-    """Strokes of one page that are wider than high: runs of dark pixels, bridged over gaps, that touch from row to row."""
-    edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number in each one's component of n things, of which the pairs (a, b) belong together."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _lying(masks: np.ndarray, least: int, gap: int, thick: float) -> list[list[tuple[int, int, int, int]]]:
+    """Strokes of pages of one size that are wider than high: runs of dark pixels, bridged over gaps, that touch from row
+    to row. All pages' runs are linked at once; a row's number holds its page."""
+    n, h, w = masks.shape
+    edge = np.diff(np.pad(masks.reshape(-1, w), ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, x0 = np.nonzero(edge == 1)
     x1 = np.nonzero(edge == -1)[1] - 1
+    out: list[list[tuple[int, int, int, int]]] = [[] for _ in range(n)]
     if not len(row):
-        return []
-    new = np.append(True, (row[1:] != row[:-1]) | (x0[1:] - x1[:-1] - 1 > gap))
-    last = np.append(np.flatnonzero(new)[1:] - 1, len(row) - 1)
-    size = np.add.reduceat(x1 - x0 + 1, np.flatnonzero(new))
-    row, x0, x1 = row[new], x0[new], x1[last]
-    owner = list(range(len(row)))
-
-    def root(k: int) -> int:
-        while owner[k] != k:
-            owner[k] = k = owner[owner[k]]
-        return k
-
-    begins = np.searchsorted(row, np.arange(mask.shape[0] + 1))
-    for k in range(len(row)):  # runs of the next row that touch this one, within the gap
-        a, b = begins[row[k] + 1] if row[k] + 1 < len(begins) else len(row), begins[row[k] + 2] if row[k] + 2 < len(begins) else len(row)
-        for j in range(a + int(np.searchsorted(x1[a:b], x0[k] - 1 - gap)), b):
-            if x0[j] > x1[k] + 1 + gap:
-                break
-            owner[root(j)] = root(k)
-    roots = np.array([root(k) for k in range(len(row))])
-    found = []
-    for r in np.unique(roots[x1 - x0 >= 0]):
-        mine = roots == r
-        left, right = int(x0[mine].min()), int(x1[mine].max())
-        wide = right - left + 1
-        if wide < least or size[mine].sum() > thick * wide:
-            continue
-        at = lambda x: float(row[mine][(x0[mine] <= x) & (x1[mine] >= x)].mean())
-        y_left, y_right = at(left), at(right)
-        if abs(y_right - y_left) <= right - left:
-            found.append((left, round(y_left), right, round(y_right)))
-    return found
+        return out
+    new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (x0[1:] - x1[:-1] - 1 > gap)))
+    size = np.add.reduceat(x1 - x0 + 1, new)
+    row, x0, x1 = row[new], x0[new], x1[np.append(new[1:], len(row)) - 1]
+    row += row // h  # an empty row between pages
+    span = w + 2 * gap + 4
+    first = np.searchsorted(row * span + x1, (row + 1) * span + np.maximum(x0 - 1 - gap, 0))
+    stop = np.searchsorted(row * span + x0, (row + 1) * span + np.minimum(x1 + 1 + gap, w), side="right")
+    count = np.maximum(stop - first, 0)
+    upper = np.repeat(np.arange(len(row)), count)
+    label = _components(len(row), upper, np.arange(len(upper)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count))
+    owners, label = np.unique(label, return_inverse=True)
+    left, right = np.full(len(owners), w), np.full(len(owners), -1)
+    np.minimum.at(left, label, x0)
+    np.maximum.at(right, label, x1)
+    wide = right - left + 1
+    good = (wide >= least) & (np.bincount(label, size) <= thick * wide)
+
+    def height(at: np.ndarray) -> np.ndarray:
+        here = (x0 <= at[label]) & (x1 >= at[label])
+        return np.bincount(label[here], row[here], len(owners)) / np.maximum(np.bincount(label[here], minlength=len(owners)), 1)
+
+    y0, y1 = height(left), height(right)
+    for k in np.flatnonzero(good & (abs(y1 - y0) <= right - left)):
+        page = int(row[owners[k]]) // (h + 1)
+        out[page].append((int(left[k]), round(y0[k]) - page * (h + 1), int(right[k]), round(y1[k]) - page * (h + 1)))
+    return out
 
 
 def strokes(pages: DataFrame, below: int = 128, least: int = 200, gap: int = 10, thick: float = 12.0, name: str = "strokes") -> DataFrame:
@@ -241,12 +249,9 @@ def strokes(pages: DataFrame, below: int = 128, least: int = 200, gap: int = 10,
     Found by runs of pixels that touch from row to row, so a slanted line is one stroke."""
 
     def measure(array: np.ndarray) -> list:
-        out = []
-        for page in array < below:
-            lying = _lying(page, least, gap, thick)
-            standing = [(y1, x1, y2, x2) for x1, y1, x2, y2 in _lying(page.T, least, gap, thick) if x2 - x1 > abs(y2 - y1)]
-            out.append([dict(zip(("x1", "y1", "x2", "y2"), s, strict=True)) for s in lying + standing])
-        return out
+        dark = array < below
+        standing = [[(y1, x1, y2, x2) for x1, y1, x2, y2 in page if x2 - x1 > abs(y2 - y1)] for page in _lying(dark.transpose(0, 2, 1), least, gap, thick)]
+        return [[dict(zip(("x1", "y1", "x2", "y2"), s, strict=True)) for s in [*a, *b]] for a, b in zip(_lying(dark, least, gap, thick), standing, strict=True)]
 
     return measured(pages, measure, name, "array<struct<x1:int,y1:int,x2:int,y2:int>>")
 

@@ -44,6 +44,7 @@ def _page(df, drawer, size):
             out.append(page.tobytes())
         return pd.Series(out)
 
+    df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)  # few rows, much work for each
     return df.withColumns({"height": F.lit(size[0]), "width": F.lit(size[1]), "pixels": draw("page_number", "v")}).drop("v")
 
 
