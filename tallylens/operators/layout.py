@@ -49,8 +49,21 @@ def ladder(candidates: list[DataFrame], page: str) -> DataFrame:
 
 
 def anchored_clusters(rows: DataFrame, page: str, tolerance: int) -> DataFrame:
-    """Greedy rows of a page from the top: a detection joins while it is within `tolerance` of the row's first. One row
-    for each: its number, the detection of greatest confidence (the upper, then the one of least id, on a tie) and
+    """Greedy rows of a page from the top: a detection joins while it is within `tolerance` of the row's first.
+    A fold over the page's sorted detections (a page holds at most some hundred)."""
+    start = F.struct(F.lit(None).cast("long").alias("y0"), F.lit(-1).alias("k"), F.array().cast("array<struct<id:long,k:int>>").alias("out"))
+
+    def step(acc, r):
+        new = acc["y0"].isNull() | (F.abs(r["y"] - acc["y0"]) > tolerance)
+        k = F.when(new, acc["k"] + 1).otherwise(acc["k"])
+        return F.struct(F.when(new, r["y"]).otherwise(acc["y0"]).alias("y0"), k.alias("k"), F.concat(acc["out"], F.array(F.struct(r["id"].alias("id"), k.alias("k")))).alias("out"))
+
+    pages = rows.groupBy(page).agg(F.array_sort(F.collect_list(F.struct(F.col("y").cast("long").alias("y"), F.col("id").cast("long").alias("id")))).alias("rows"))
+    return pages.select(page, F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("r")).select(page, "r.id", F.col("r.k").alias("cluster"))
+
+
+def cluster_rows(rows: DataFrame, page: str, tolerance: int) -> DataFrame:
+    """The clusters themselves, one row for each: its number, the detection of greatest confidence (the upper, then the one of least id, on a tie) and
     all texts from the top. A fold over the page's sorted detections (a page holds at most some hundred)."""
     found = "struct<y:bigint,id:bigint,x:bigint,w:bigint,conf:double,text:string>"
     cluster = f"struct<y0:bigint,best:{found},texts:array<string>>"

@@ -28,6 +28,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_old_if_null: tu
     return both.select(*keys, *[pick(c).alias(c) for c in values], op.alias("op"))
 
 
+def upsert_totals(after: DataFrame) -> DataFrame:
+    """Rows in all, inserted and updated, of what upsert() gave: the audit row of a refresh."""
+    return after.agg(F.count("*").alias("total"), F.count_if(F.col("op") == "inserted").alias("inserted"), F.count_if(F.col("op") == "updated").alias("updated"))
+
+
 def insert_missing(old: DataFrame, defaults: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(defaults.join(old, keys, "left_anti"))
 

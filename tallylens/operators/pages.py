@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
-from . import rules
+from . import rules, vision
+from .runs import components, links, row_runs
 
 #: Pixels that are worked on together.
 BATCH_PIXELS = 1 << 23
@@ -191,40 +192,18 @@ def vote_cells(pages: DataFrame, gap: int = 20) -> DataFrame:
 # --- long strokes
 
 
-def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least number in each one's component of n things, of which the pairs (a, b) belong together."""
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], least)
-        np.minimum.at(new, label[b], least)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _lying(masks: np.ndarray, least: int, gap: int, thick: float) -> list[list[tuple[int, int, int, int]]]:
     """Strokes of pages of one size that are wider than high: runs of dark pixels, bridged over gaps, that touch from row
     to row. All pages' runs are linked at once; a row's number holds its page."""
     n, h, w = masks.shape
-    edge = np.diff(np.pad(masks.reshape(-1, w), ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    row, x0 = np.nonzero(edge == 1)
-    x1 = np.nonzero(edge == -1)[1] - 1
+    row, x0, x1 = row_runs(masks)
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in range(n)]
     if not len(row):
         return out
     new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (x0[1:] - x1[:-1] - 1 > gap)))
     size = np.add.reduceat(x1 - x0 + 1, new)
     row, x0, x1 = row[new], x0[new], x1[np.append(new[1:], len(row)) - 1]
-    row += row // h  # an empty row between pages
-    span = w + 2 * gap + 4
-    first = np.searchsorted(row * span + x1, (row + 1) * span + np.maximum(x0 - 1 - gap, 0))
-    stop = np.searchsorted(row * span + x0, (row + 1) * span + np.minimum(x1 + 1 + gap, w), side="right")
-    count = np.maximum(stop - first, 0)
-    upper = np.repeat(np.arange(len(row)), count)
-    label = _components(len(row), upper, np.arange(len(upper)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count))
+    label = components(len(row), *links(row, x0, x1, gap + 1))
     owners, label = np.unique(label, return_inverse=True)
     left, right = np.full(len(owners), w), np.full(len(owners), -1)
     np.minimum.at(left, label, x0)
@@ -267,6 +246,30 @@ def rotation_of(strokes: Column) -> Column:
     return F.when((F.size(strokes) < 5) | (n == 0), 0.0).otherwise(F.round(middle, 2))
 
 
+# Boxes of signatures as shares (x, y, width, height) of the third page.
+SIGNATURES = [(0.15, 0.62, 0.22, 0.10), (0.40, 0.62, 0.22, 0.10), (0.65, 0.62, 0.22, 0.10)]
+
+
+def signature_ink(pages: DataFrame, name: str = "densities") -> DataFrame:
+    """Adds the share of ink in each signature box, by the Otsu threshold of the whole page, to four places."""
+
+    def measure(array: np.ndarray) -> list:
+        n, h, w = array.shape
+        ink = array <= vision.otsu_levels(array.reshape(n, -1))[:, None, None]
+        parts = [ink[:, int(y * h) : int((y + b) * h), int(x * w) : int((x + a) * w)] for x, y, a, b in SIGNATURES]
+        return np.stack([p.mean((1, 2)) if p.size else np.zeros(n) for p in parts], 1).round(4).tolist()
+
+    return measured(pages, measure, name, "array<double>")
+
+
+def render_zoom(width: Column, height: Column, dpi: float = 300, most: float = 150.0) -> Column:
+    """Zoom of a page of width x height points so that it has `dpi` dots an inch, less where it would have over `most`
+    million pixels; no limit if that is 0."""
+    zoom = dpi / 72
+    million = width * zoom * (height * zoom) / 1e6
+    return F.when((F.lit(most) > 0) & (million > most), zoom * F.sqrt(most / million)).otherwise(zoom)
+
+
 def ink_share(pages: DataFrame, top: float, below: int = 100, name: str = "ink") -> DataFrame:
     """Adds the share of dark pixels from a share of the height on; null where nothing is left below it."""
 
@@ -277,6 +280,45 @@ def ink_share(pages: DataFrame, top: float, below: int = 100, name: str = "ink")
     return measured(pages, measure, name, "double")
 
 
+# --- fixed cells
+
+# Cells (x, y, width, height) of the votes on the first two pages, of pages of 3630 x 10900 pixels.
+CELLS = {
+    1: {"votos_candidato_1": (1300, 6700, 800, 300), "votos_candidato_2": (2700, 6700, 800, 300)},
+    2: {"votos_blanco": (1300, 7100, 800, 300), "votos_nulos": (2700, 7100, 800, 300), "votos_no_marcados": (1900, 7500, 800, 300)},
+}
+
+
+def cut_out(box: tuple[int, int, int, int], height: int, width: int) -> tuple[slice, slice]:
+    """Rows and columns of a box (x, y, w, h) within a page; none where it lies beyond."""
+    x, y, w, h = box
+    x0, y0 = max(0, min(x, width)), max(0, min(y, height))
+    return slice(y0, min(height, y0 + h)), slice(x0, min(width, x0 + w))
+
+
+def cell_scores(pages: DataFrame, cells: dict[int, dict[str, tuple[int, int, int, int]]] | None = None) -> DataFrame:
+    """One row for each fixed cell of each page: campo, grosor, separador, tinta and their blend 0.3 / 0.4 / 0.3; a cell
+    beyond the page scores 0. Pages without fixed cells give none."""
+    known = cells or CELLS
+    names = ("stroke", "separator", "dark")
+
+    def measure(array: np.ndarray, numbers: list) -> list:
+        out: list = [[] for _ in numbers]
+        for number, boxes in known.items():
+            mine = [k for k, x in enumerate(numbers) if x == number]
+            for field, box in boxes.items() if mine else ():
+                part = array[(mine, *cut_out(box, *array.shape[1:]))]
+                found = vision.upload_features_of(part.astype(np.int64)) if part.size else dict.fromkeys(names, np.zeros(len(mine)))
+                for i, k in enumerate(mine):
+                    out[k].append({"campo": field} | {n: float(found[n][i]) for n in names})
+        return out
+
+    scored = measured(pages, measure, "_c", "array<struct<campo:string,stroke:double,separator:double,dark:double>>", "page_number")
+    keep = [c for c in pages.columns if c != "pixels"]
+    rows = scored.select(*keep, F.explode("_c").alias("_c")).select(*keep, "_c.campo", F.col("_c.stroke").alias("grosor"), F.col("_c.separator").alias("separador"), F.col("_c.dark").alias("tinta"))
+    return rows.withColumn("score", 0.3 * F.col("grosor") + 0.4 * F.col("separador") + 0.3 * F.col("tinta"))
+
+
 # --- rotation and size
 
 

@@ -42,6 +42,15 @@ def first_integer(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, "[0-9]+", 0), F.lit("")).try_cast("long")
 
 
+def slot_reading(lines: Column) -> Column:
+    """(digit, confidence) of a slot's read lines (text, conf) in order: the first digit of the last line that has one, and
+    the greatest confidence of the lines that have one; no digit and 0 without any or where reading failed (null)."""
+    first = lambda t: F.regexp_extract(t, "[0-9]", 0)
+    read = F.filter(lines, lambda x: first(x["text"]) != "")
+    digit = F.nullif(first(F.try_element_at(read, F.lit(-1))["text"]), F.lit("")).cast("int")
+    return F.struct(digit.alias("digit"), F.coalesce(F.array_max(F.transform(read, lambda x: x["conf"])), F.lit(0.0)).alias("confidence"))
+
+
 def zone_votes(found: DataFrame, page: str, width: Column, height: Column, corner: tuple[float, float] = (0.50, 0.20)) -> DataFrame:
     """Numbers of detections(x, y, w, h, text, conf) that were read in a zone of a page, in page coordinates, with their
     place from the top (ties by x, then text); a text without digits has no number."""

@@ -99,6 +99,23 @@ def first_success(attempts: DataFrame, key: str, least: int = 10_000) -> DataFra
     return attempts.groupBy(key).agg(F.min_by(F.struct("place", "url", "size"), F.when(good, F.col("place"))).alias("_f"), F.count("*").alias("attempts")).select(key, "_f.*", "attempts")
 
 
+def stored_files(tables: DataFrame, files: DataFrame) -> DataFrame:
+    """Tables(id, sha256) with a stored file of their hash (the first path of several) and the error of those without one."""
+    one = files.groupBy("sha256").agg(F.min("path").alias("path"))
+    rows = tables.join(one, "sha256", "left")
+    lack = F.when(F.col("sha256").isNull(), F.concat(F.lit("No PDF available for table "), F.col("id"))).when(F.col("path").isNull(), F.concat(F.lit("PDF not in acquisition storage: sha256="), "sha256"))
+    return rows.withColumn("error", lack)
+
+
+def parents_updated(sheets: DataFrame, flagged: DataFrame, layer: int = 0) -> DataFrame:
+    """Sheets with the totals and flags of flagged(id, ...), and the highest layer that they went through."""
+    new = [c for c in flagged.columns if c != "id"]
+    both = sheets.join(flagged.select("id", *[F.col(c).alias(f"_{c}") for c in new]), "id", "left")
+    hit = F.col(f"_{new[0]}").isNotNull()
+    out = both.withColumns({c: F.coalesce(f"_{c}", *([c] if c in sheets.columns else [])) for c in new})
+    return out.withColumn("capa_maxima", F.when(hit, F.greatest(F.coalesce("capa_maxima", F.lit(layer)), F.lit(layer))).otherwise(F.col("capa_maxima"))).drop(*[f"_{c}" for c in new])
+
+
 # --- copies with new ids
 
 

@@ -36,10 +36,9 @@ def expected_qr(mesa_key: Column, suffix: str = "-PRE-2026") -> Column:
     return F.concat(mesa_key, F.lit(suffix))
 
 
-def findings(actas: DataFrame, priority_policy: str = "score") -> DataFrame:
-    """One row per violated rule: id, acta_id, mesa_key, rule, score2 (twice the score), oficial and ciudadano (as text), prioridad.
-
-    priority_policy 'score' gives alta from score 1.0 on; 'excede' gives it to the excess rule alone."""
+def with_findings(actas: DataFrame) -> DataFrame:
+    """Adds the flags and `findings`, an array of the violated rules: k, rule, score2 (twice the score), oficial and
+    ciudadano (as text). Sums over sheets or mesas need no row for each finding."""
     rows = with_flags(actas)
 
     def one(k: int, name: str, flag: Column, score2: Column, official: Column, other: Column) -> Column:
@@ -56,7 +55,14 @@ def findings(actas: DataFrame, priority_policy: str = "score") -> DataFrame:
             one(5, "qr_metadata_mismatch", F.col("qr_malo"), two, expected_qr(F.col("mesa_key")), F.col("qr_raw")),
         )
     )
-    out = rows.select("id", "mesa_key", "dep", "creado_en", F.explode(rules).alias("f"))
+    return rows.withColumn("findings", rules)
+
+
+def findings(actas: DataFrame, priority_policy: str = "score") -> DataFrame:
+    """One row per violated rule: id, acta_id, mesa_key, rule, score2 (twice the score), oficial and ciudadano (as text), prioridad.
+
+    priority_policy 'score' gives alta from score 1.0 on; 'excede' gives it to the excess rule alone."""
+    out = with_findings(actas).select("id", "mesa_key", "dep", "creado_en", F.explode("findings").alias("f"))
     high = F.col("f.score2") >= 2 if priority_policy == "score" else F.col("f.rule") == "aritmetica_excede_total"
     return out.select((F.col("id") * 10 + F.col("f.k")).alias("id"), F.col("id").alias("acta_id"), "mesa_key", "dep", "creado_en", "f.rule", "f.score2", "f.oficial", "f.ciudadano", F.when(high, "alta").otherwise("media").alias("prioridad"))
 
@@ -195,6 +201,37 @@ def ink_state(density: Column) -> Column:
     return F.when(density >= 0.15, "PRESENT").when(density >= 0.05, "INDETERMINATE").otherwise("EMPTY")
 
 
+# The risk of a box's state, in ascending order.
+BOX_RISKS = {"PRESENT": "LOW", "INDETERMINATE": "MEDIUM", "EMPTY": "CRITICAL"}
+
+
+def signature_result(densities: Column) -> Column:
+    """(states, found, status, max_risk, confidence) of the shares of ink of a sheet's boxes: the state of each, the number
+    of those present, and by it the whole; the gravest risk of a box, and found / 3."""
+    states = F.transform(densities, ink_state)
+    count = lambda v: F.size(F.filter(states, lambda x: x == v))
+    found = count("PRESENT")
+    status = F.when(found == 3, "COMPLETE").when(found >= 1, "INCOMPLETE").otherwise("EMPTY")
+    risk = F.when(count("EMPTY") > 0, BOX_RISKS["EMPTY"]).when(count("INDETERMINATE") > 0, BOX_RISKS["INDETERMINATE"]).otherwise(BOX_RISKS["PRESENT"])
+    return F.struct(states.alias("states"), found.alias("found"), status.alias("status"), risk.alias("max_risk"), F.round(found / 3, 4).alias("confidence"))
+
+
+def percent(score: Column) -> Column:
+    """Whole per cent of a score of 0 to 1, halves up."""
+    return F.floor(score * 100 + 0.5).cast("int")
+
+
+def out_of_range(**checks: Column) -> Column:
+    """Names of the checks that fail, in order; a null value passes."""
+    return F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in checks.items()]))
+
+
+def vote_ranges(score: Column, weight: Column, comment: Column, tolerance: Column, workers: Column, slots: Column) -> Column:
+    """Requests beyond the allowed ranges: scores 0-1, weights 0-5, comments of 500 characters, tolerance 0-100, workers 1-10,
+    slots 1-100."""
+    return out_of_range(score=score.between(0, 1), peso=weight.between(0, 5), comentario=F.length(comment) <= 500, tolerancia=tolerance.between(0, 100), workers=workers.between(1, 10), slots=slots.between(1, 100))
+
+
 def signature_summary(states: Column) -> Column:
     """(found, status, risk) of an array of box states."""
     count = lambda s: F.size(F.filter(states, lambda x: x == s))
@@ -219,8 +256,8 @@ def thickness_band(ink: Column) -> Column:
 
 
 def blend(thick: Column, shape: Column, ink: Column) -> Column:
-    """Upload blend 0.3 / 0.4 / 0.3 within 0 and 1."""
-    return clamp(0.3 * thick + 0.4 * shape + 0.3 * ink)
+    """Upload blend 0.3 / 0.4 / 0.3 within 0 and 1, to four places."""
+    return F.round(clamp(0.3 * thick + 0.4 * shape + 0.3 * ink), 4)
 
 
 def digit_votes(slots: Column) -> Column:

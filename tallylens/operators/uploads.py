@@ -22,7 +22,7 @@ def anonymous_voter(ip_hash: Column, *parts: Column) -> Column:
 
 
 def per_cent(share: Column, places: int = 1) -> Column:
-    return F.format_string(f"%.{places}f%%", share.cast("double") * 100)
+    return F.when(share.isNotNull(), F.format_string(f"%.{places}f%%", share.cast("double") * 100))
 
 
 def image_url(content: Column, most: int = 100) -> Column:
@@ -47,7 +47,7 @@ def evidence_rows(uploads: DataFrame, stored: bool = True) -> DataFrame:
 def gated(uploads: DataFrame, gate: float = GATE) -> DataFrame:
     """Whether an upload's score is over the gate (a score just at it is not), and why."""
     over = F.coalesce(F.col("score") > gate, F.lit(False))
-    low = F.concat(F.lit("score_global="), F.coalesce(F.format_string("%.2f", F.col("score").cast("double")), F.lit("none")), F.lit(f" ≤ umbral {gate}"))
+    low = F.concat(F.lit("score_global="), F.when(F.col("score").isNull(), "none").otherwise(F.format_string("%.2f", F.col("score").cast("double"))), F.lit(f" ≤ umbral {gate}"))
     slot = stable_uuid(F.lit("slot"), F.col("upload_id"))
     queued = F.concat(F.lit("Encolado en cola_procesamiento slot="), F.substring(slot, 1, 8), F.lit("... para Capa 2 (VLM)"))
     return uploads.withColumns({"enqueued": over, "slot_id": F.when(over, slot), "reason": F.when(over, queued).otherwise(low)})

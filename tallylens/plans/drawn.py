@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tallylens.operators.pages import BANDS, SUMMARY, slot_boxes
+from tallylens.operators.pages import BANDS, SIGNATURES, SUMMARY, slot_boxes
 
 from . import views as V
 
@@ -92,3 +92,37 @@ def _lines(page, number, v):
 def line_pages(s, d):
     """A page of up to 19 long lines and some ink at its end for each supplier."""
     return _page(sums(s, d).withColumn("page_number", F.lit(1)), _lines, LINE_PAGE)
+
+
+CELL_PAGE = (90, 120)
+#: Cells of small pages: two on the first, one on the second, which reaches beyond the page, and one that lies beyond it.
+CELL_BOXES = {1: {"votos_candidato_1": (5, 5, 40, 40), "votos_candidato_2": (60, 5, 40, 40)}, 2: {"votos_blanco": (90, 60, 40, 40), "votos_nulos": (200, 0, 40, 40)}}
+
+
+def _blocks(page, number, v):
+    for k, (x, y, w, h) in enumerate(CELL_BOXES[number].values()):
+        side = int(v[2 * number + k]) % 30
+        page[y : y + side, x : x + side] = INK
+
+
+def cell_pages(s, d):
+    """Two small pages for each supplier with a square of ink in each fixed cell."""
+    return _page(sums(s, d).withColumn("page_number", F.explode(F.array(F.lit(1), F.lit(2)))), _blocks, CELL_PAGE)
+
+
+SIGN_PAGE = (200, 160)
+
+
+def _signed(page, number, v):
+    h, w = page.shape
+    for k, (x, y, a, b) in enumerate(SIGNATURES):
+        box = page[int(y * h) : int((y + b) * h), int(x * w) : int((x + a) * w)]
+        flat = np.full(box.size, PAPER, np.uint8)
+        flat[: int(v[k]) % 200] = INK
+        box[:] = flat.reshape(box.shape)
+    page[0, 0] = INK  # some ink on each page
+
+
+def sign_pages(s, d):
+    """A third page for each supplier with some ink in each signature box."""
+    return _page(sums(s, d).withColumn("page_number", F.lit(3)), _signed, SIGN_PAGE)

@@ -47,12 +47,12 @@ _SUMMARY = """SELECT dep, dep_name, total_mesas, mesas_con_evidencia, total_disc
 
 @query(_SUMMARY)
 def resumen_departamento(s, d):
-    return rollups.department_summary(V.actas(s, d), V.geo(s, d), V.found(s, d), V.evidence(s, d))
+    return rollups.department_summary_of(V.sheets(s, d), V.geo(s, d))
 
 
 @query("SELECT id, mesa_key, dep FROM flagged f WHERE NOT excede AND NOT no_coincide AND NOT qr_malo AND NOT EXISTS (SELECT 1 FROM found x WHERE x.mesa_key=f.mesa_key AND x.estado IN ('por_verificar','verificado_anomalo'))")
 def mesas_legitimas(s, d):
-    return rollups.clean_mesas(rules.with_flags(V.actas(s, d)), V.found(s, d)).select("id", "mesa_key", "dep")
+    return rollups.clean_sheets(V.sheets(s, d)).select("id", "mesa_key", "dep")
 
 
 @query("SELECT dep, dep_name, zone FROM geo")
@@ -535,9 +535,14 @@ _FOLD = f"SELECT * FROM (WITH RECURSIVE top AS ({_TOP}), fold AS (SELECT page, i
 
 
 @query(f"SELECT page, CAST(\"cluster\" AS INTEGER) AS \"cluster\", b.id, b.y, b.x, b.w, b.text, b.conf::DOUBLE conf, texts all_texts FROM (SELECT page, \"cluster\", list({{'id':id,'y':y,'x':x,'w':w,'text':text,'conf':conf}} ORDER BY conf DESC, rn)[1] b, string_agg(text, '|' ORDER BY rn) texts FROM ({_FOLD}) GROUP BY page, \"cluster\")")
-def anchored_clusters(s, d):
+def cluster_rows(s, d):
     """Rows of detections with the best one and all texts of each."""
-    return layout.anchored_clusters(V.det(s, d), "page", 60).withColumn("all_texts", F.array_join("all_texts", "|"))
+    return layout.cluster_rows(V.det(s, d), "page", 60).withColumn("all_texts", F.array_join("all_texts", "|"))
+
+
+@query(f"SELECT page, id, CAST(\"cluster\" AS INTEGER) AS \"cluster\" FROM ({_FOLD})")
+def anchored_clusters(s, d):
+    return layout.anchored_clusters(V.det(s, d), "page", 60)
 
 
 # --- rates
@@ -845,4 +850,4 @@ def img_region(s, d):
     return V.load(s, d, "embeddings").select("vec_id", part.alias("p")).select("vec_id", F.col("p")[0][0].alias("a"), F.col("p")[1][2].alias("b"))
 
 
-from . import intake_queries, page_queries, state_queries  # noqa: E402,F401 (they register their queries)
+from . import intake_queries, listing_queries, page_queries, state_queries  # noqa: E402,F401 (they register their queries)

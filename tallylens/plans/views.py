@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallylens.functions.text import zfill
-from tallylens.operators.rules import findings
+from tallylens.operators.rules import findings, with_findings
 
 #: The same views in SQL; each is a WITH entry, in order.
 VIEWS_SQL = {
@@ -49,11 +49,20 @@ def actas(spark, d):
     return rows.withColumn("urna", urna).withColumns({"mesa_key": F.concat_ws("-", "dep", "muni", (key - key % 4).cast("string")), "e11": F.col("urna") + key % 4, "incinerados": key % 3, "firmas": 3 + key % 5, "paginas_total": 1 + F.least(key % 7, F.lit(1)), "paginas_esperadas": F.lit(2), "qr_ok": key % 13 != 0}).withColumn("qr_raw", F.concat(F.when(F.col("qr_ok"), "").otherwise("X"), "mesa_key", F.lit("-PRE-2026")))
 
 
+def _state(finding):
+    k = finding % 4
+    return F.when(k == 0, "por_verificar").when(k == 1, "en_revision").when(k == 2, "verificado_anomalo").otherwise("verificado_legitimo")
+
+
 def found(spark, d):
     rows = findings(actas(spark, d))
-    k = F.col("id") % 4
-    state = F.when(k == 0, "por_verificar").when(k == 1, "en_revision").when(k == 2, "verificado_anomalo").otherwise("verificado_legitimo")
-    return rows.withColumns({"estado": state, "congelada": F.col("acta_id") % 5 == 0})
+    return rows.withColumns({"estado": _state(F.col("id")), "congelada": F.col("acta_id") % 5 == 0})
+
+
+def sheets(spark, d):
+    """Sheets with flags, the states of their findings (found) and whether they have evidence, from one pass."""
+    rows = with_findings(actas(spark, d))
+    return rows.withColumns({"estados": F.transform("findings", lambda f: _state(F.col("id") * 10 + f["k"])), "con": F.col("id") % 3 == 0})
 
 
 def evidence(spark, d):

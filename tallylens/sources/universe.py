@@ -21,6 +21,12 @@ def flatten_universe(raw: DataFrame, column: str = "value") -> DataFrame:
     return rows.select(code("idDepartmentCode", 2).alias("dep"), code("municipalityCode", 3).alias("muni"), code("idZoneCode", 3).alias("zona"), code("standCode", 2).alias("puesto"), code("numberStand", 3).alias("mesa"), F.col("n.expectedName").alias("expected_name"), F.col("n.idTransmissionCode").alias("code"), F.col("n.idTransmissionCodeStatus").alias("status"))
 
 
+def list_size(raw: DataFrame, key: str = "transmissioncodes", column: str = "value") -> DataFrame:
+    """Adds the number of entries of the list under a key of each document; 0 where it isn't there."""
+    listed = F.try_variant_get(F.try_parse_json(column), f"$.{key}", "array<variant>")
+    return raw.withColumn("entries", F.coalesce(F.size(listed), F.lit(0)))
+
+
 def read_universe(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Texts (value) of universe documents, one a line, and apart those that are no JSON object."""
     lines = spark.read.text(path)

@@ -142,3 +142,14 @@ def test_grains(spark):
     rows = spark.createDataFrame([("a", None, 1), ("a", "x", 2), ("b", "x", 4)], "p string, q string, n int")
     got = plain(rollups.grains(rows, ["p", "q"], [F.sum("n").alias("n")]))
     assert (("a", None, 0, 1) in got) and (("a", None, 1, 3) in got) and ((None, "x", 2, 6) in got) and ((None, None, 3, 7) in got) and len(got) == 8
+
+
+def test_summaries_of_sheets_equal_those_of_tables(spark, sf_dir):
+    """Findings as arrays on sheets give what findings, evidence and sheets in tables give."""
+    from tallylens.operators import rules
+    from tallylens.plans import views as V
+
+    a, b = rollups.department_summary(V.actas(spark, sf_dir), V.geo(spark, sf_dir), V.found(spark, sf_dir), V.evidence(spark, sf_dir)), rollups.department_summary_of(V.sheets(spark, sf_dir), V.geo(spark, sf_dir))
+    assert plain(a) == plain(b.select(a.columns))
+    a = rollups.clean_mesas(rules.with_flags(V.actas(spark, sf_dir)), V.found(spark, sf_dir)).select("id")
+    assert plain(a) == plain(rollups.clean_sheets(V.sheets(spark, sf_dir)).select("id"))
