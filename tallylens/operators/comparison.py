@@ -49,6 +49,13 @@ def summaries(fields: DataFrame) -> DataFrame:
     return fields.groupBy("mesa_key").agg(F.count("*").alias("comparados"), F.count_if("discrepa").alias("discrepancias"), F.coalesce(F.max(F.when(F.col("discrepa"), F.col("puntos"))), F.lit(0)).alias("peor"))
 
 
+def batch_totals(keys: DataFrame, fields: DataFrame) -> DataFrame:
+    """Mesas of keys(mesa_key), those with discrepancies, and discrepancies in all; a mesa that can't be compared has none."""
+    bad = fields.where("discrepa").groupBy("mesa_key").agg(F.count("*").alias("_n"))
+    rows = keys.select("mesa_key").distinct().join(bad, "mesa_key", "left")
+    return rows.agg(F.count("*").alias("total_mesas"), F.count("_n").alias("mesas_con_discrepancia"), F.coalesce(F.sum("_n"), F.lit(0)).alias("total_discrepancias"))
+
+
 def statuses(keys: DataFrame, official: DataFrame, evidence: DataFrame) -> DataFrame:
     """Why a mesa can or can't be compared."""
     have = official.select("mesa_key", F.lit(1).alias("o")).distinct()

@@ -20,6 +20,21 @@ def normalised_box(x: Column, y: Column, w: Column, h: Column, width: Column, he
     return F.array(share(x, width), share(y, height), share(w, width), share(h, height))
 
 
+def _qr_pages(symbols: DataFrame) -> DataFrame:
+    code = F.upper("kind").isin(QR_TYPES)
+    pages = symbols.groupBy("sheet", "page").agg(F.max("key").alias("key"), F.count("kind").alias("n"), F.min_by("data", F.when(code, F.struct("place", "data"))).alias("raw"))
+    none, empty = F.col("raw").isNull(), F.col("key") == ""
+    match = F.when(F.col("key").isNull() | (empty & ~none), F.lit(None).cast("boolean")).otherwise(~none & F.contains(F.coalesce("raw", F.lit("")), F.col("key")))
+    reason = F.when(none, F.concat(F.lit("sin QR, se esperaba "), "key")).otherwise(F.concat(F.lit("QR "), "raw", F.lit(" no coincide con "), "key"))
+    pages = pages.withColumn("match", match).withColumn("reason", F.when(~F.col("match"), reason))
+    return pages
+
+
+def qr_findings(symbols: DataFrame) -> DataFrame:
+    """One finding for each page of symbols() whose payload doesn't hold the key: the expected value, what was read, why."""
+    return _qr_pages(symbols).where(~F.col("match")).select("sheet", "page", F.lit("qr_metadata_mismatch").alias("tipo_anomalia"), F.col("key").alias("valor_oficial"), F.col("raw").alias("valor_ciudadano"), F.col("reason").alias("razon_flag"), F.lit(1.0).alias("score_capa0"), F.lit("alta").alias("prioridad"))
+
+
 def qr_readings(symbols: DataFrame) -> DataFrame:
     """One row for each sheet of symbols(sheet, page, place, kind, data, key), key being the sheet's expected one or null.
 
@@ -27,12 +42,8 @@ def qr_readings(symbols: DataFrame) -> DataFrame:
     there is no verdict, and a page without a payload is a mismatch wherever a key, even an empty one, is given. The
     sheet has the number of symbols, the first payload, the first page's match, the number of mismatching pages and
     the first one's reason. Rows of kind null are pages without symbols."""
-    code = F.upper("kind").isin(QR_TYPES)
-    pages = symbols.groupBy("sheet", "page").agg(F.max("key").alias("key"), F.count("kind").alias("n"), F.min_by("data", F.when(code, F.struct("place", "data"))).alias("raw"))
-    none, empty = F.col("raw").isNull(), F.col("key") == ""
-    match = F.when(F.col("key").isNull() | (empty & ~none), F.lit(None).cast("boolean")).otherwise(~none & F.contains(F.coalesce("raw", F.lit("")), F.col("key")))
-    reason = F.when(none, F.concat(F.lit("sin QR, se esperaba "), "key")).otherwise(F.concat(F.lit("QR "), "raw", F.lit(" no coincide con "), "key"))
-    pages = pages.withColumn("match", match).withColumn("reason", F.when(~F.col("match"), reason))
+    pages = _qr_pages(symbols)
+    none = F.col("raw").isNull()
     first = lambda c, when: F.min_by(c, F.when(when, F.col("page")))
     return pages.groupBy("sheet").agg(F.sum("n").alias("symbols"), first("raw", ~none).alias("raw"), F.min_by("match", "page").alias("match"), F.count_if(~F.col("match")).alias("mismatches"), first("reason", F.col("reason").isNotNull()).alias("reason"))
 

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .mutate import insert_missing
+
 # Configuration keys that may be set; the gate of uploads to the second layer (over it, not from it on).
 KEYS = ["umbral_min_votos", "umbral_consenso_pct", "capa1_score_revision", "capa1_score_prioridad_alta"]
 GATE = 0.6
+# What the configuration begins with.
+DEFAULTS = {"umbral_min_votos": "5", "umbral_consenso_pct": "0.80", "capa1_score_revision": "0.60", "capa1_score_prioridad_alta": "0.85"}
 
 
 def stable_uuid(*parts: Column) -> Column:
@@ -68,6 +72,12 @@ def settings(old: DataFrame, changes: DataFrame, keys: list[str] | None = None)
     return after, changes.where(~known).withColumn("reason", F.lit("Clave no permitida"))
 
 
+def with_defaults(config: DataFrame) -> DataFrame:
+    """The configuration with the default of each key that isn't there; what is set stays."""
+    first = config.sparkSession.createDataFrame(list(DEFAULTS.items()), "clave string, valor string")
+    return insert_missing(config.select("clave", "valor"), first, ["clave"])
+
+
 def setting_values(config: DataFrame, wanted: DataFrame) -> DataFrame:
     """The value of each wanted key (clave), empty where it isn't set."""
     return wanted.join(config.select("clave", "valor"), "clave", "left").withColumn("valor", F.coalesce("valor", F.lit("")))

@@ -22,6 +22,28 @@ def transition(ok: Column, attempts: Column, most: int = 3) -> Column:
     return F.when(ok, "completado").when(attempts + 1 >= most, "error").otherwise("pendiente")
 
 
+def after_attempt(queue: DataFrame, outcomes: DataFrame, longest: int = 500) -> DataFrame:
+    """The queue (id, estado, worker_id, tomado_en, intentos, max_intentos, ultimo_error) after outcomes(id, ok, error): a
+    success is done; a failure counts an attempt and is an error at the slot's own number of attempts (3 without one), else
+    it waits again without a worker. Errors are cut. Slots without an outcome stay."""
+    rows = queue.join(outcomes.select("id", F.col("ok").alias("_ok"), F.col("error").alias("_e")), "id", "left")
+    failed = F.coalesce(~F.col("_ok"), F.lit(False))
+    most = F.coalesce("max_intentos", F.lit(3))
+    tried = F.coalesce("intentos", F.lit(0)) + failed.cast("int")
+    again = failed & (tried < most)
+    state = F.when(F.col("_ok").isNull(), F.col("estado")).when(F.col("_ok"), "completado").when(again, "pendiente").otherwise("error")
+    out = {"estado": state, "intentos": tried, "ultimo_error": F.when(failed, F.substring("_e", 1, longest)).otherwise(F.col("ultimo_error"))}
+    out |= {c: F.when(~again, F.col(c)) for c in ("worker_id", "tomado_en")}
+    return rows.withColumns(out).drop("_ok", "_e")
+
+
+def dead_letter_rows(queue: DataFrame, failed_at: Column) -> DataFrame:
+    """Payloads of the slots that failed for good: all their columns as JSON, with the error and the time."""
+    rows = queue.where("estado = 'error'")
+    payload = F.struct(*[c for c in queue.columns if c != "ultimo_error"], F.col("ultimo_error").alias("error_message"), failed_at.cast("string").alias("failed_at"))
+    return rows.select("id", F.to_json(payload).alias("payload"))
+
+
 def backoff(attempt: Column, base: int = 60, cap: int = 600) -> Column:
     """Doubling delay up to a cap."""
     return F.least(F.lit(cap), base * F.pow(F.lit(2), F.least(attempt, F.lit(20))).cast("int"))

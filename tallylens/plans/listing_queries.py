@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallylens.operators import mutate, records, results, rollups, rules
+from tallylens.operators import comparison, mutate, records, results, rollups, rules, uploads, workqueue
 from tallylens.sources import universe
 
 from . import views as V
+from .queries import _CMP, _SYMBOL, _symbols
 from .registry import query
 
 
@@ -155,3 +156,47 @@ def slot_readings(s, d):
 @query("SELECT acta_id, idx, max(CAST(floor(score/100.0::DOUBLE*100+0.5::DOUBLE) AS INTEGER)) pct FROM cells GROUP BY acta_id, idx")
 def score_percent(s, d):
     return V.cells(s, d).groupBy("acta_id", "idx").agg(F.max(rules.percent(F.col("score") / 100)).alias("pct"))
+
+
+@query(f"SELECT count(*) total_mesas, count(n) mesas_con_discrepancia, CAST(coalesce(sum(n),0) AS BIGINT) total_discrepancias FROM (SELECT DISTINCT mesa_key FROM evidence WHERE estado<>'rechazada_calidad') k LEFT JOIN (SELECT mesa_key, count(*) n FROM ({_CMP}) WHERE discrepa GROUP BY mesa_key) c ON c.mesa_key=k.mesa_key")
+def comparison_totals(s, d):
+    """Mesas with evidence, those with discrepancies, and all discrepancies."""
+    evidence = V.evidence(s, d)
+    return comparison.batch_totals(evidence.where("estado <> 'rechazada_calidad'"), comparison.compared(V.actas(s, d), evidence, 2))
+
+
+_TRIED = "SELECT id, CASE id%4 WHEN 0 THEN 'completado' WHEN 1 THEN CASE WHEN id%3+1<coalesce(m,3) THEN 'pendiente' ELSE 'error' END ELSE 'tomado' END estado, CASE WHEN id%4=1 AND id%3+1<coalesce(m,3) THEN NULL ELSE 'w'||id%5 END worker_id, CAST(id%3+CASE WHEN id%4=1 THEN 1 ELSE 0 END AS BIGINT) intentos, CASE WHEN id%4=1 THEN substr(repeat('fallo '||id||' ',60),1,500) END ultimo_error FROM (SELECT id, CASE WHEN id%7>0 THEN id%5+1 END m FROM actas)"
+
+
+def _tried(s, d):
+    k = F.col("id")
+    queue = V.actas(s, d).select("id", F.lit("tomado").alias("estado"), F.concat(F.lit("w"), k % 5).alias("worker_id"), F.col("creado_en").alias("tomado_en"), (k % 3).alias("intentos"), F.when(k % 7 > 0, k % 5 + 1).alias("max_intentos"), F.lit(None).cast("string").alias("ultimo_error"))
+    outcomes = V.actas(s, d).where("id % 4 < 2").select("id", (k % 4 == 0).alias("ok"), F.repeat(F.concat(F.lit("fallo "), k, F.lit(" ")), F.lit(60)).alias("error"))
+    return workqueue.after_attempt(queue, outcomes)
+
+
+@query(_TRIED)
+def queue_attempts(s, d):
+    """Slots after an attempt, by each one's own number of attempts."""
+    return _tried(s, d).select("id", "estado", "worker_id", "intentos", "ultimo_error")
+
+
+@query(f"SELECT id, substr(ultimo_error,1,20) error, '2024-02-01' failed_at FROM ({_TRIED}) WHERE estado='error'")
+def dead_letter_payloads(s, d):
+    rows = workqueue.dead_letter_rows(_tried(s, d), F.lit("2024-02-01"))
+    field = lambda name: F.get_json_object("payload", f"$.{name}")
+    return rows.select(field("id").cast("long").alias("id"), F.substring(field("error_message"), 1, 20).alias("error"), field("failed_at").alias("failed_at"))
+
+
+@query(f"SELECT sheet, CAST(page AS INTEGER) page, key valor_oficial, raw valor_ciudadano, CASE WHEN raw IS NULL THEN 'sin QR, se esperaba '||key ELSE 'QR '||raw||' no coincide con '||key END razon_flag FROM (SELECT sheet, page, max(key) AS key, arg_min(data, place) FILTER (WHERE kind<>'EAN13') raw FROM ({_SYMBOL}) GROUP BY sheet, page) WHERE key IS NOT NULL AND (raw IS NULL OR (key<>'' AND NOT contains(raw,key)))")
+def qr_mismatches(s, d):
+    """A finding for each page whose code doesn't hold the key."""
+    return records.qr_findings(_symbols(s, d)).select("sheet", F.col("page").cast("int").alias("page"), "valor_oficial", "valor_ciudadano", "razon_flag")
+
+
+@query("SELECT 'region_'||r_regionkey clave, r_name valor FROM region UNION ALL SELECT 'umbral_min_votos', CAST(count(*) AS VARCHAR) FROM nation UNION ALL SELECT * FROM (VALUES ('umbral_consenso_pct','0.80'),('capa1_score_revision','0.60'),('capa1_score_prioridad_alta','0.85')) t(clave,valor)")
+def settings_with_defaults(s, d):
+    """Defaults for the keys that aren't set."""
+    mine = V.load(s, d, "region").select(F.concat(F.lit("region_"), "r_regionkey").alias("clave"), F.col("r_name").alias("valor"))
+    least = V.load(s, d, "nation").agg(F.count("*").cast("string").alias("valor")).select(F.lit("umbral_min_votos").alias("clave"), "valor")
+    return uploads.with_defaults(mine.unionByName(least))

@@ -736,14 +736,18 @@ _MATCH = f"SELECT *, CASE WHEN key IS NULL OR (key='' AND raw IS NOT NULL) THEN
 _REASON = f"SELECT *, CASE WHEN NOT m THEN CASE WHEN raw IS NULL THEN 'sin QR, se esperaba '||key ELSE 'QR '||raw||' no coincide con '||key END END r FROM ({_MATCH})"
 
 
-@query(f"SELECT sheet, CAST(sum(n) AS BIGINT) symbols, (list(raw ORDER BY page) FILTER (WHERE raw IS NOT NULL))[1] raw, (list(m ORDER BY page))[1] AS match, count(CASE WHEN NOT m THEN 1 END) mismatches, (list(r ORDER BY page) FILTER (WHERE r IS NOT NULL))[1] reason FROM ({_REASON}) GROUP BY sheet")
-def qr_pages(s, d):
+def _symbols(s, d):
     k, n, p = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
     kind = F.when(n % 3 == 0, "EAN13").when(n % 3 == 1, "QRCODE").otherwise("qr_code")
     data = F.when(p % 4 == 0, F.concat(F.lit("Z"), p)).otherwise(F.concat(F.lit("E"), k, F.lit("-PRE")))
     key = F.when(k % 5 == 1, "").when(k % 5 > 1, F.concat(F.lit("E"), k))
     place = n.cast("long") * 1000000000 + p * 1000 + F.col("l_suppkey") % 1000
-    return records.qr_readings(V.load(s, d, "lineitem").select(k.alias("sheet"), (n % 2).alias("page"), place.alias("place"), kind.alias("kind"), data.alias("data"), key.alias("key")))
+    return V.load(s, d, "lineitem").select(k.alias("sheet"), (n % 2).alias("page"), place.alias("place"), kind.alias("kind"), data.alias("data"), key.alias("key"))
+
+
+@query(f"SELECT sheet, CAST(sum(n) AS BIGINT) symbols, (list(raw ORDER BY page) FILTER (WHERE raw IS NOT NULL))[1] raw, (list(m ORDER BY page))[1] AS match, count(CASE WHEN NOT m THEN 1 END) mismatches, (list(r ORDER BY page) FILTER (WHERE r IS NOT NULL))[1] reason FROM ({_REASON}) GROUP BY sheet")
+def qr_pages(s, d):
+    return records.qr_readings(_symbols(s, d))
 
 
 @query("SELECT page, id, CASE WHEN r<=5 AND conf>20 THEN true ELSE false END sent FROM (SELECT page, id, conf, row_number() OVER (PARTITION BY page ORDER BY conf DESC, id) r FROM det)")
