@@ -89,10 +89,10 @@ def risk_level(risk: Column) -> Column:
     return F.when(risk >= 80, "CRITICAL").when(risk >= 50, "HIGH").when(risk >= 20, "MEDIUM").otherwise("LOW")
 
 
-def math_anomalies(total: Column, candidates: Column, blank: Column, null: Column, unmarked: Column, ocr: Column, registered: Column | None = None, low_ocr: float = 0.6, first_page: int = 7) -> Column:
+def math_anomalies(total: Column, candidates: Column, blank: Column, null: Column, unmarked: Column, ocr: Column, registered: Column | None = None, low_ocr: float = 0.6, first_page: int = 7, names: bool = False) -> Column:
     """Violated mathematical rules, in order, of an array of the candidates' votes (candidate 1 first): (rule, severity,
     message, confidence, page, details). A sum that is null counts as 0, as does a missing summary; a candidate's rules
-    come once for each candidate that violates them, on the page where it stands."""
+    come once for each candidate that violates them, on the page where it stands. With `names` the rules' names alone."""
     zero = F.lit(0).cast("long")
     total, blank, null, unmarked = (F.coalesce(c.cast("long"), zero) for c in (total, blank, null, unmarked))
     votes = F.transform(candidates, lambda v: F.coalesce(v.cast("long"), zero))
@@ -100,11 +100,13 @@ def math_anomalies(total: Column, candidates: Column, blank: Column, null: Colum
     computed = parts + blank + null + unmarked
 
     def row(rule: str, severity: str, message: Column, confidence: float, page: Column, **details: Column) -> Column:
+        if names:
+            return F.lit(rule)
         given = F.create_map(*[x for name, c in details.items() for x in (F.lit(name), c.cast("long"))]) if details else F.create_map().cast("map<string,bigint>")
         return F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), message.alias("message"), F.lit(confidence).alias("confidence"), page.cast("int").alias("page"), given.alias("details"))
 
     def one(bad: Column, found: Column) -> Column:
-        return F.when(bad, F.array(found)).otherwise(F.array().cast(MATH_ANOMALIES))
+        return F.when(bad, F.array(found)).otherwise(F.array().cast("array<string>" if names else MATH_ANOMALIES))
 
     def each(bad, found) -> Column:
         numbered = F.transform(votes, lambda v, i: F.struct((i + 1).alias("n"), v.alias("v")))
@@ -131,7 +133,7 @@ MATH_ANOMALIES = "array<struct<rule:string,severity:string,message:string,confid
 
 def math_rules(*sums: Column, **options) -> Column:
     """Names of the violated mathematical rules, in order."""
-    return F.transform(math_anomalies(*sums, **options), lambda a: a["rule"])
+    return math_anomalies(*sums, **options, names=True)
 
 
 def risk_score(rules: Column, signature: Column, ocr: Column, weights: dict[str, int] | None = None, default: int = 5) -> Column:
