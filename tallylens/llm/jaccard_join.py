@@ -13,7 +13,8 @@
 5. Rest. Lists whose members, expanded to classes, are not yet in one component go on: lists up to SMALL classes
    (or all, if they cost at most REST tests a class) are tested for all pairs of different components, larger ones
    with some members against all, which then leave the list: as many as REST tests a class allow, PIVOTS at least.
-   A pair whose entries both know one of their first PREVIOUS tokens before it is left to that token's list.
+   A pair whose entries both know one of their first PREVIOUS tokens before it is left to that token's list, and one
+   that could not reach the threshold if this token were its first common one to the list of an earlier token.
    This ends when every list is in one component or all its pairs were tested: no link between two components is
    missed, while members of one component need not meet.
 
@@ -291,12 +292,14 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int,
     return settle(both.where(enough).select("a", "b"), "join-links")
 
 
-def _possible(percent: int):
-    """Sizes n1, n2, places p1, p2 of a common token and the sketches leave room for the threshold."""
+def _possible(percent: int, first: bool):
+    """Sizes n1, n2, places p1, p2 of a common token and the sketches leave room for the threshold; with `first`, if the
+    sets have nothing in common before this token, which holds in the list of a pair's first common token."""
     n1, n2, p1, p2 = (F.col(c) for c in ("n1", "n2", "p1", "p2"))
     need = (n1 + n2) * percent / (100 + percent)
     differ = sum((F.bit_count(F.col(f"f{k}1").bitwiseXOR(F.col(f"f{k}2"))) for k in range(1, SKETCH)), F.bit_count(F.col("f01").bitwiseXOR(F.col("f02"))))
-    sizes = (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) + F.least(p1, p2) >= need - 1e-6)
+    before = F.lit(0) if first else F.least(p1, p2)
+    sizes = (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) + before >= need - 1e-6)
     return sizes & (differ <= n1 + n2 - 2 * F.ceil(need - 1e-6))
 
 
@@ -315,11 +318,12 @@ def _open(entries: DataFrame) -> DataFrame:
     return entries.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token", "c", "lo")
 
 
-def _met(one: DataFrame, two: DataFrame, condition, percent: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of entries in one list and in different components that may reach the threshold."""
-    first = one.select("token", F.col("id").alias("a"), F.col("component").alias("c1"), *[F.col(c).alias(f"{c}1") for c in _COLUMNS], *[c for c in ("left", "lead") if c in one.columns])
-    second = two.select("token", F.col("id").alias("b"), F.col("component").alias("c2"), *[F.col(c).alias(f"{c}2") for c in _COLUMNS])
-    pairs = first.join(second, "token").where((F.col("c1") != F.col("c2")) & condition).where(_possible(percent))
+def _met(one: DataFrame, two: DataFrame, condition, percent: int, first: bool) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of entries in one list and in different components that may reach the threshold; with
+    `first`, only those whose first common token may be the list's."""
+    left = one.select("token", F.col("id").alias("a"), F.col("component").alias("c1"), *[F.col(c).alias(f"{c}1") for c in _COLUMNS], *[c for c in ("left", "lead") if c in one.columns])
+    right = two.select("token", F.col("id").alias("b"), F.col("component").alias("c2"), *[F.col(c).alias(f"{c}2") for c in _COLUMNS])
+    pairs = left.join(right, "token").where((F.col("c1") != F.col("c2")) & condition).where(_possible(percent, first))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -344,7 +348,7 @@ def _joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
     heads = classes.join(members.select("cid"), "cid", "left_anti") if members.limit(1).count() else classes
     state = _entries(heads, None)
     state = settle(state.join(_open(state), "token"), "join-lists")
-    star = _met(state.where("id = lo"), state, F.lit(True), percent)
+    star = _met(state.where("id = lo"), state, F.lit(True), percent, False)
     checked = settle(star.union(members.select(F.least("gid", "cid"), F.greatest("gid", "cid"))).distinct(), "join-pairs")
     links = _verified(checked, rows, classes, width, percent)
     components = connected_components(links)
@@ -363,7 +367,7 @@ def _joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
         state = state.withColumns({"left": F.lit(cost <= REST * total) | (F.col("c") <= SMALL), "lead": lead})
         # pairs that share an earlier known token meet in its list
         once = ((F.col("a") < F.col("b")) | ~F.col("left")) & ~F.arrays_overlap("prev1", "prev2")
-        pairs = _met(state.where("left or lead"), state, once, percent)
+        pairs = _met(state.where("left or lead"), state, once, percent, True)
         pairs = settle(pairs.join(checked, ["a", "b"], "left_anti"), "join-pairs")
         if pairs.limit(1).count():
             found = _verified(pairs, rows, classes, width, percent)
