@@ -23,6 +23,7 @@ no rows; words of any length are read whole.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -44,8 +45,6 @@ REPORTS = "said says say told claimed claims reported reports wrote quoted accor
 SAMPLE = 24_000
 #: Toxic documents that a stem must explain anew, at least; and the share of toxic among its documents.
 SUPPORT, PURITY = 3, 0.9
-#: Learned stems, at most; the greedy cover ends long before.
-STEMS = 4096
 #: Words between an insult or threat and its target, negation or reporting verb.
 REACH = 6
 PRIOR = {"insult": 0.9, "threat": 0.8, "negated": 0.5, "reported": 0.5, "none": 0.02}
@@ -120,7 +119,8 @@ def _stem_rows(rows: DataFrame) -> DataFrame:
 
 
 def learn_stems(rows: DataFrame) -> np.ndarray:
-    """Sorted keys of the learned stems. rows is bounded by SAMPLE, and so is what the cover reads on the driver."""
+    """Sorted keys of the learned stems. rows is bounded by SAMPLE, and so is what the cover reads on the driver; as each
+    stem explains SUPPORT toxic documents anew, there are at most SAMPLE / SUPPORT."""
     pure = _stem_rows(rows).where((F.col("t") >= SUPPORT) & (F.col("t") >= PURITY * (F.col("t") + F.col("c")))).select("key", "t", "c").toArrow()
     if not pure.num_rows:
         return np.zeros(0, np.uint64)
@@ -148,7 +148,7 @@ def learn_stems(rows: DataFrame) -> np.ndarray:
     chosen, covered = [], set()
     for key in sorted(holders, key=lambda k: (-(len(holders[k]) - 4 * clean[k]), k)):
         fresh = holders[key] - covered
-        if len(fresh) >= SUPPORT and len(chosen) < STEMS and (len(fresh) >= 0.2 * len(holders[key]) or len(fresh) >= 25):
+        if len(fresh) >= SUPPORT and (len(fresh) >= 0.2 * len(holders[key]) or len(fresh) >= 25):
             chosen.append(key)
             covered |= fresh
     return np.sort(np.array(chosen, np.int64).view(np.uint64)) if chosen else np.zeros(0, np.uint64)
@@ -292,11 +292,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int
     weight = weights(patterns(train.select("text", "doc_id", F.col("toxic").cast("int").alias("toxic")), words, ["doc_id", "toxic"]))
     found = patterns(docs.select("text", F.col("doc_id").cast("long").alias("doc_id")), words, ["doc_id"])
     matched = sum((F.col("found")[k] for k in range(len(GRADES))), F.lit(0))
-    # the gravest clause counts fully, the others as far as they exceed what a text without any match has
-    miss = F.lit(1.0)
-    for k, name in enumerate(GRADES):
-        miss = miss * F.pow(F.lit(max(1e-3, 1 - weight[name])), F.least(F.col("found")[k], F.lit(8)))
-    score = F.when(matched == 0, F.lit(float(weight["none"]))).otherwise(1 - miss)
+    # a text is clean if no clause makes it toxic; smoothing keeps every weight below 1, so all clauses count in logs
+    clean = sum((F.col("found")[k] * F.lit(math.log1p(-weight[name])) for k, name in enumerate(GRADES)), F.lit(0.0))
+    score = F.when(matched == 0, F.lit(float(weight["none"]))).otherwise(-F.expm1(clean))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
     pattern = F.coalesce(*[F.when(F.col("found")[k] > 0, F.lit(name)) for k, name in enumerate(GRADES)], F.lit("none"))
     return found.select("doc_id", (fold("doc_id", parts) == held).alias("held_out"), score.alias("score"), (score >= CUT).cast("int").alias("predicted"), pattern.alias("pattern"))

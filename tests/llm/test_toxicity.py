@@ -78,6 +78,26 @@ def test_negation_in_a_long_clause(spark):
     assert dict(zip(T.GRADES, found, strict=True)) == {g: int(g == "negated+target") for g in T.GRADES}
 
 
+def test_every_clause_counts(spark):
+    """The score by its definition, for texts of up to 40 matched clauses, which no bound cuts off."""
+    base = [(k, "you are an idiot" if k % 2 else "a fine day") for k in range(60)]
+    docs = [*base, *((100 + n, "She was not an idiot. " * n + "A fine day.") for n in range(41))]
+    labels = [(k, k % 2) for k in range(60)] + [(100 + n, int(n % 4 == 0)) for n in range(41)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    train = T.labelled(docs, labels, 3, 1).where("text is not null")
+    words = T.lexicon(T.learn_stems(train))
+    weight = T.weights(T.patterns(train.select("text", "doc_id", "toxic"), words, ["doc_id", "toxic"]))
+    found = {r.doc_id: r.found for r in T.patterns(docs.select("text", "doc_id"), words, ["doc_id"]).collect()}
+    got = {r.doc_id: r.score for r in T.score_toxicity(docs, labels).collect()}
+    for i, counts in found.items():
+        clean = 1.0
+        for name, n in zip(T.GRADES, counts, strict=True):
+            clean *= (1 - weight[name]) ** n
+        assert abs(got[i] - (1 - clean if sum(counts) else weight["none"])) < 1e-12
+    assert max(map(sum, found.values())) == 40 and got[108] < got[109] < got[120] <= 1
+
+
 def test_odd(spark, odd, empty):
     labels = spark.createDataFrame([(3, 1), (3, 0), (5, 0), (None, 1), (6, None)], "doc_id long, toxic int")
     rows = T.score_toxicity(odd, labels).collect()
