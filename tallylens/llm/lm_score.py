@@ -35,8 +35,6 @@ from pyspark.sql import functions as F
 from .common import WHITE, blocks, fold, lowered, mixed, run_hashes, runs, settle, task, texts
 
 ORDER = 5
-#: Grams that pruned() keeps unless told otherwise; the scores use all grams.
-NODES = 4_000_000
 MARK = 0xFF
 #: Groups of contexts, and the grams that a task holds before it sends their counts.
 CHUNKS, HELD = 256, 3_000_000
@@ -128,44 +126,6 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return settle(docs.select("text").mapInArrow(count, schema).repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "chunk").mapInArrow(add, schema), "lm-grams")
 
 
-def pruned(grams: DataFrame, nodes: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of the most frequent grams, at most `nodes`: a small model to hand on. No score uses it."""
-    nodes = nodes or NODES
-    levels = 1 << 16
-
-    @task("lm")
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(levels, np.int64)
-        for batch in batches:
-            for n in batch.column(0).to_pylist():
-                total += np.bincount(np.minimum(np.frombuffer(n, "<i8"), levels - 1), minlength=levels)
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["level", "n"])
-
-    seen = grams.select("counts").mapInArrow(histogram, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()  # `levels` rows
-    least, kept = levels, 0
-    for r in sorted(seen, key=lambda r: -r["level"]):
-        if kept + r["n"] > nodes:
-            break
-        kept, least = kept + r["n"], r["level"]
-
-    @task("lm")
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, counts = [], []
-            for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = np.frombuffer(n, "<i8")
-                keys.append(np.frombuffer(k, "<u8")[n >= least].tobytes())
-                counts.append(n[n >= least].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["keys", "counts"])
-
-    rows = grams.select("keys", "counts").mapInArrow(cut, "keys binary, counts binary").collect()  # `nodes` grams
-    keys = np.frombuffer(b"".join(r["keys"] for r in rows), "<u8")
-    counts = np.frombuffer(b"".join(r["counts"] for r in rows), "<i8")
-    order = np.argsort(keys)
-    return keys[order], np.minimum(counts[order], (1 << 40))
-
-
 def pair_counts(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted pairs of bytes and their counts, 65,536 at most."""
 

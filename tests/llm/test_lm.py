@@ -85,16 +85,6 @@ def test_probabilities_of_a_context_add_up():
         assert abs(total - 1) < 1e-9
 
 
-def test_pruning_keeps_the_most_frequent(spark, monkeypatch):
-    docs = spark.createDataFrame([(k, "aaaa bbbb" if k % 2 else "aaaa cccc dddd") for k in range(9)], "doc_id long, text string")
-    grams = L.gram_counts(docs)
-    keys, counts = L.pruned(grams)
-    few, n = L.pruned(grams, 6)
-    assert len(few) <= 6 and set(few) <= set(keys) and n.min() >= np.sort(counts)[-len(few)]
-    monkeypatch.setattr(L, "NODES", 6)
-    assert L.score_documents(docs).count() == 9
-
-
 def test_odd(spark, odd, empty, monkeypatch):
     monkeypatch.setattr(L, "SLAB_BYTES", 10)
     rows = L.score_documents(odd).collect()
@@ -106,7 +96,6 @@ def test_odd(spark, odd, empty, monkeypatch):
 
 
 def test_rare_grams_count_in_any_number(spark, monkeypatch):
-    monkeypatch.setattr(L, "NODES", 6)
     monkeypatch.setattr(L, "HELD", 20)
     rows = [(k, f"w{k} the {k * 7919 % 1000} house é{k}" if k % 5 else "the house") for k in range(40)]
     got = {r.doc_id: r.score for r in L.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
