@@ -7,10 +7,11 @@ and summed by Spark over all training rows. The model is one matrix of log proba
 
 Prediction: each word of a document comes from one language, with a likelihood from its n-grams. Expectation-
 maximisation estimates the proportions of all languages; then the sets of the k largest, k = 1, 2, ..., are
-compared by the log likelihood of their own proportions less a penalty of log(words) for each further language
+compared by the log likelihood of their own proportions less a penalty of 2 log(words) for each further language
 (an unsupported language costs more than it explains). The prediction is the language of the largest proportion
-in the chosen set; its proportion is the score (1 where one language is chosen). Sets of up to four languages are all
-tried, larger ones as long as the penalised likelihood of a document grows.
+in the chosen set; its proportion is the score (1 where one language is chosen). Sets of every size are tried, until
+the penalty alone outweighs what any larger set could explain (the likelihood is concave in the proportions, so its
+tangent at the estimate bounds it).
 
 Defined results: `und` with score 0 for null texts and texts without a letter, and where no language was learned;
 ties go to the language first in order; an empty table gives no rows; other columns are never inputs.
@@ -93,43 +94,51 @@ def fit(counts: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, np.log(n) - np.log(total).astype(np.float32)
 
 
+def _sums(x: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of x over each of n documents, whose words stand in order."""
+    out = np.zeros((n, *x.shape[1:]))
+    has = np.unique(rows)
+    if len(has):
+        out[has] = np.add.reduceat(x, np.searchsorted(rows, has), axis=0)
+    return out
+
+
+def _em(like: np.ndarray, rows: np.ndarray, weight: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions after so many steps from `weight`, and the log likelihood of every document."""
+    m = np.maximum(np.bincount(rows, minlength=len(weight)), 1)[:, None]
+    for _ in range(steps):
+        share = like * weight[rows]
+        share /= np.maximum(share.sum(1, keepdims=True), 1e-300)
+        weight = _sums(share, rows, len(weight)) / m
+    return weight, _sums(np.log(np.maximum((like * weight[rows]).sum(1), 1e-300)), rows, len(weight))
+
+
 def infer(words: np.ndarray, rows: np.ndarray, n: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """words: log likelihoods (words x languages), rows: their documents in order. Returns for each of n documents
     the proportions within the chosen set (0 outside), its size, and the best language."""
     k = words.shape[1]
-    top = words.max(1, keepdims=True)
-    like = np.exp(words - top)
-    cuts = np.searchsorted(rows, np.arange(n))
+    like = np.exp(words - words.max(1, keepdims=True))
     m = np.bincount(rows, minlength=n)
-    has = np.flatnonzero(m)
-    weight = np.full((n, k), 1.0 / k)
-
-    def sums(x: np.ndarray) -> np.ndarray:
-        out = np.zeros((n, *x.shape[1:]))
-        if len(has):
-            out[has] = np.add.reduceat(x, cuts[has], axis=0)
-        return out
-
-    def em(weight: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-        for _ in range(steps):
-            share = like * weight[rows]
-            share /= np.maximum(share.sum(1, keepdims=True), 1e-300)
-            weight = sums(share) / np.maximum(m, 1)[:, None]
-        return weight, sums(np.log(np.maximum((like * weight[rows]).sum(1), 1e-300)))
-
-    weight, _ = em(weight, rounds)
+    weight, value = _em(like, rows, np.full((n, k), 1.0 / k), rounds)
+    mix = np.maximum((like * weight[rows]).sum(1), 1e-300)
+    most = value + np.maximum(_sums(like / mix[:, None], rows, n).max(1, initial=0) - m, 0)  # above any likelihood
     order = np.argsort(-weight, axis=1, kind="stable")
+    cost = PENALTY * np.log(np.maximum(m, 2))
     best, gain, size = np.zeros((n, k)), np.full(n, -np.inf), np.zeros(n, np.int64)
     for s in range(1, k + 1):
-        chosen = np.zeros((n, k))
-        np.put_along_axis(chosen, order[:, :s], np.maximum(np.take_along_axis(weight, order[:, :s], 1), 1e-9), 1)
-        chosen /= chosen.sum(1, keepdims=True)
-        chosen, value = em(chosen, 3 if s > 1 else 0)
-        value = value - PENALTY * (s - 1) * np.log(np.maximum(m, 2))
-        better = value > gain if s <= 4 else (value > gain) & (size == s - 1)
-        if s > 4 and not better.any():
+        left = np.flatnonzero(gain < most - cost * (s - 1) + 1e-6)  # whose best set may still be of this size or larger
+        if not len(left):
             break
-        best[better], gain[better], size[better] = chosen[better], value[better], s
+        at = np.full(n, -1)
+        at[left] = np.arange(len(left))
+        own = at[rows] >= 0
+        chosen, top = np.zeros((len(left), k)), order[left, :s]
+        np.put_along_axis(chosen, top, np.maximum(np.take_along_axis(weight[left], top, 1), 1e-9), 1)
+        chosen /= chosen.sum(1, keepdims=True)
+        chosen, value = _em(like[own], at[rows[own]], chosen, 3 if s > 1 else 0)
+        value -= cost[left] * (s - 1)
+        better = value > gain[left]
+        best[left[better]], gain[left[better]], size[left[better]] = chosen[better], value[better], s
     return best, size, best.argmax(1)
 
 

@@ -49,3 +49,37 @@ def test_all_labels_are_learned_and_large_sets_are_found(spark):
     like[np.arange(600), np.arange(600) % 6] = 0.0
     mix, size, _ = L.infer(like, np.zeros(600, np.int64), 1)
     assert size[0] == 6 and np.allclose(mix, 1 / 6)
+
+
+def test_sets_of_every_size_are_compared():
+    """As a plain search over all sizes without any stop, also where a size gains nothing but a larger one does."""
+    rng = np.random.default_rng(8)
+    words, rows, jumps = [], [], 0
+    for doc in range(120):
+        k, m = rng.integers(1, 8), rng.integers(1, 90)
+        x = rng.normal(-4, 1.5, (m, 7))
+        x[np.arange(m), rng.integers(0, k, m)] += rng.choice([1.5, 3, 9])
+        words.append(x)
+        rows += [doc] * m
+    mix, size, best = L.infer(np.concatenate(words), np.array(rows), 121)
+    assert size[120] == 1
+    for doc, x in enumerate(words):
+        like = np.exp(x - x.max(1, keepdims=True))
+
+        def em(w, steps):
+            for _ in range(steps):
+                share = like * w
+                w = (share / share.sum(1, keepdims=True)).mean(0)
+            return w
+
+        w = em(np.full(7, 1 / 7), L.ROUNDS)
+        order, values, sets = np.argsort(-w, kind="stable"), [], []
+        for s in range(1, 8):
+            own = np.zeros(7)
+            own[order[:s]] = w[order[:s]]
+            sets.append(em(own / own.sum(), 3 if s > 1 else 0))
+            values.append(np.log((like * sets[-1]).sum(1)).sum() - L.PENALTY * (s - 1) * np.log(max(len(x), 2)))
+        want = int(np.argmax(values))
+        jumps += want >= 4 or any(b <= a for a, b in zip(values[:want], values[1 : want + 1]))
+        assert size[doc] == want + 1 and np.allclose(mix[doc], sets[want])
+    assert jumps
