@@ -2,11 +2,11 @@
 
 Words (letters, digits and bytes from 0x80) become typed placeholders where they are numbers (any digit in them),
 units (a fixed list) or names (capitalised and not first in a sentence); the others are lower-cased. Windows of
-WINDOW words of every item, with at least LITERAL literal words, are hashed; shorter items of MIN_WORDS words or
-more are one window of their own length, and so are longer items none of whose windows has LITERAL literal words,
+WINDOW words of every item, with at least LITERAL literal words, are hashed; shorter items
+are one window of their own length, and so are longer items none of whose windows has LITERAL literal words,
 if the whole has them. A capitalised first word of an item is tried as a literal and as a name. Windows of the plain
 lower-cased words, with no condition, are hashed in the same pass, as an exact copy may stand in other letter case or
-hold few literal words. A bitmap of at most BITS bits over the window hashes is broadcast and
+hold few literal words; an item of one word only is thus in every document with this word. A bitmap of at most BITS bits over the window hashes is broadcast and
 the documents' windows are tested against it where they are read, so that only hits with their slot values are
 shuffled to the exact hash join with the items' windows.
 
@@ -16,8 +16,8 @@ stretch, equal values of the item stand for equal values of the document. A run
 re-parameterised question, one with equal values an exact passage; so are plain words, if they are the whole item or
 no template run counts.
 
-Defined results: one row per contaminated document and item; null and empty texts and items, and items under
-MIN_WORDS words, match nothing; repeated documents or items are reported for each distinct (doc_id, item_id);
+Defined results: one row per contaminated document and item; null and empty texts and items, and those
+without a word, match nothing; repeated documents or items are reported for each distinct (doc_id, item_id);
 null ids are reported as null; an empty table on either side gives no rows; other columns are ignored.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import blocks, lowered, mixed, row_ends, run_hashes, runs, settle, task, texts
 
-WINDOW, MIN_WORDS, LITERAL, RUN = 8, 5, 4, 4
+WINDOW, LITERAL, RUN = 8, 4, 4
 BITS = 1 << 27
 
 # Units of measure and money.
@@ -75,8 +75,9 @@ def canonical(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return template, np.where(number | unit | name, value | np.uint64(1), np.uint64(0)), rows, value, capital & first & ~number & ~unit
 
 
-def windows(template: np.ndarray, slot: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the first word, hash) of the windows of `size` words within a row that have LITERAL literal words."""
+def windows(template: np.ndarray, slot: np.ndarray | None, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first word, hash) of the windows of `size` words within a row that have LITERAL literal words, or with
+    plain words (no slots) of all."""
     room = len(template) - size + 1
     if room <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -84,8 +85,10 @@ def windows(template: np.ndarray, slot: np.ndarray, rows: np.ndarray, size: int)
     for k in range(size):
         h = (h ^ template[k : k + room]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    literal = np.concatenate([[0], np.cumsum(slot == 0)])
-    good = (rows[:room] == rows[size - 1 :]) & (literal[size:] - literal[:room] >= LITERAL)
+    good = rows[:room] == rows[size - 1 :]
+    if slot is not None:
+        literal = np.concatenate([[0], np.cumsum(slot == 0)])
+        good &= literal[size:] - literal[:room] >= LITERAL
     at = np.flatnonzero(good)
     return at, mixed(h[at])
 
@@ -120,9 +123,9 @@ def item_windows(items: DataFrame) -> DataFrame:
                 maybe[np.setdiff1d(np.arange(len(rows)), head)] = False  # an item's first word alone
                 named, held = np.where(maybe, _NAME, template), np.where(maybe, value | np.uint64(1), slot)
                 found = np.zeros(b - a, bool)
-                for size in range(MIN_WORDS, WINDOW + 1):
+                for size in range(1, WINDOW + 1):
                     for t, v in ((template, slot), (named, held), (value, None)):
-                        at, h = windows(t, np.zeros_like(slot) if v is None else v, rows, size)
+                        at, h = windows(t, v, rows, size)
                         own = words[rows[at]]
                         fit = own >= WINDOW if size == WINDOW else own == size
                         if t is named:
@@ -162,9 +165,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         for batch in batches:
             for a, b, raw, offs in blocks(*texts(batch.column(1))):
                 template, slot, rows, value, _ = canonical(raw, offs)
-                none = np.zeros_like(slot)
                 for size in sizes:
-                    at, h = windows(template, slot, rows, size) if size > 0 else windows(value, none, rows, -size)
+                    at, h = windows(template, slot, rows, size) if size > 0 else windows(value, None, rows, -size)
                     low = h & np.uint64(bits - 1)
                     hit = (bitmap[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                     if hit.any():

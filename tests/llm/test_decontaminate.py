@@ -29,7 +29,10 @@ def test_inconsistent_slots_are_refused(spark):
 def test_short_items_and_odd_rows(spark, odd, empty):
     items = [(1, "one two three"), (2, "the quick brown fox jumps"), (None, QUESTION), (4, None), (5, "")]
     docs = [(1, "one two three"), (2, "see the quick brown fox jumps over"), (None, QUESTION), (2, "see the quick brown fox jumps over")]
-    assert found(spark, docs, items) == {(2, 2, "exact"), (None, None, "exact")}
+    assert found(spark, docs, items) == {(1, 1, "exact"), (2, 2, "exact"), (None, None, "exact")}
+    tiny = [(1, "Zürich"), (2, "7 km"), (3, "to be free"), (4, "be free or not"), (5, "?!")]
+    docs = [(1, "In zürich, 7 KM away"), (2, "to be or not free"), (3, "TO BE FREE OR NOT"), (4, "8 km"), (5, "free to be")]
+    assert found(spark, docs, tiny) == {(1, 1, "exact"), (1, 2, "exact"), (3, 3, "exact"), (3, 4, "exact")}
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as h", "2 as size", "'x' as slots")
     assert D.contaminated(odd, bench).count() == 0
     assert D.contaminated(empty, bench).count() == 0
