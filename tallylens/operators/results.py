@@ -92,11 +92,13 @@ def downloaded(tables: DataFrame, files: DataFrame, log: DataFrame) -> tuple[Dat
     return new.drop("_n", "_f", "_e"), files.unionByName(came.join(files, ["table_id", "sha256"], "left_anti"))
 
 
-def first_success(attempts: DataFrame, key: str, least: int = 10_000) -> DataFrame:
+def first_success(attempts: DataFrame, key: str, least: int = 10_000, **lowest: Column) -> DataFrame:
     """Of each key's attempts(place, url, status, size) the first that came with status 200 and more than `least` bytes;
-    nulls, and the number of attempts, where none did."""
+    nulls, and the number of attempts, where none did. Further columns are the lowest of an expression over all such
+    attempts."""
     good = (F.col("status") == 200) & (F.col("size") > least)
-    return attempts.groupBy(key).agg(F.min_by(F.struct("place", "url", "size"), F.when(good, F.col("place"))).alias("_f"), F.count("*").alias("attempts")).select(key, "_f.*", "attempts")
+    more = [F.min(F.when(good, c)).alias(n) for n, c in lowest.items()]
+    return attempts.groupBy(key).agg(F.min_by(F.struct("place", "url", "size"), F.when(good, F.col("place"))).alias("_f"), F.count("*").alias("attempts"), *more).select(key, "_f.*", "attempts", *lowest)
 
 
 def stored_files(tables: DataFrame, files: DataFrame) -> DataFrame:
