@@ -160,3 +160,31 @@ def test_math_anomalies(spark):
     assert [a[0] for a in got[6]] == ["EXCEEDS_3_DIGITS"]
     message = df.where("k = 3").select(F.transform(x, lambda a: a["message"])).first()[0]
     assert message == ["Total declared (1800) != computed (1923), diff=123", "Total votes (1800) exceeds registered voters (1700)", "Candidate sum (1880) > total (1800)", "Low OCR confidence: 59.0%"]
+
+
+def _noting_memory(page, number, v):
+    """A drawer that writes the worker's resident pages of memory into the page."""
+    with open("/proc/self/statm") as f:
+        page[0, :8] = np.frombuffer(np.int64(f.read().split()[1]).tobytes(), np.uint8)
+
+
+def test_drawing_holds_few_pages(spark):
+    """2,500 pages of 120,000 bytes in one task: 300 MB, of which it holds some at a time."""
+    rows = spark.range(2500 * spark.sparkContext.defaultParallelism).select(F.lit(1).alias("page_number"), F.array(F.lit(0).cast("long")).alias("v"))
+    memory = drawn._page(rows, _noting_memory, drawn.VOTE_PAGE).select(F.spark_partition_id().alias("task"), F.substring("pixels", 1, 8).alias("m"))
+    held: dict = {}
+    for r in memory.collect():
+        held.setdefault(r.task, []).append(int(np.frombuffer(bytes(r.m), np.int64)[0]) * 4096)
+    assert max(max(m) - min(m) for m in held.values()) < 100e6
+
+
+def test_parts_of_batches():
+    """Slices of few bytes; a large page is alone, nulls and empty batches are kept."""
+    import pyarrow as pa
+
+    half, most = b"x" * (pages.BATCH_PIXELS // 2), b"y" * (pages.BATCH_PIXELS + 1)
+    for values in ([half, half, half], [most, None, half, most, None], [], [None]):
+        batch = pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], names=["pixels"])
+        got = list(pages.parts(batch, 0))
+        assert [v for part in got for v in part["pixels"].to_pylist()] == values
+        assert all(part.num_rows == 1 or sum(len(v or b"") for v in part["pixels"].to_pylist()) <= pages.BATCH_PIXELS for part in got)
