@@ -188,3 +188,11 @@ def test_parts_of_batches():
         got = list(pages.parts(batch, 0))
         assert [v for part in got for v in part["pixels"].to_pylist()] == values
         assert all(part.num_rows == 1 or sum(len(v or b"") for v in part["pixels"].to_pylist()) <= pages.BATCH_PIXELS for part in got)
+
+
+def test_cells_are_measured_some_at_a_time(spark):
+    """A batch of 5,000 cells of 24 x 24 pixels: the measure gets under 500 at a time, and every cell has its answer."""
+    counted = vision.of_cells(lambda cells: {"n": np.full(len(cells), float(len(cells))), "first": cells[:, 0, 0].astype(float)}, ("n", "first"))
+    rows = spark.range(0, 5000, 1, 1).select("id", F.array_repeat((F.col("id") % 256).cast("int"), 64).alias("gray")).select("id", counted(vision.resize(24)("gray")).alias("f")).collect()
+    assert len(rows) == 5000 and max(r.f.n for r in rows) < 500
+    assert all(r.f.first == r.id % 256 for r in rows)
