@@ -50,7 +50,7 @@ class Encoder:
         """Ids of chunks that each begin with a space: encoded as one text, cut where the chunks' bytes end."""
         if not parts:
             return []
-        ids = np.array(self.tokenizer.encode("".join(parts), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(parts)], add_special_tokens=False)[0].ids, "<u4")  # without offsets
         ends = np.cumsum(self.widths[ids])
         cuts = np.cumsum([len(p.encode()) for p in parts])
         at = np.searchsorted(ends, cuts)
@@ -71,8 +71,9 @@ class Encoder:
             ids = list(map(memo.get, parts))  # one look-up for each chunk
             found.append(ids)
             if None in ids:
-                wanted.update([p for p, x in zip(parts, ids, strict=True) if x is None])
-                lacking.append((parts, ids))
+                at = [k for k, x in enumerate(ids) if x is None]
+                wanted.update([parts[k] for k in at])
+                lacking.append((parts, ids, at))
         again = wanted & self.older.keys()
         memo.update((p, self.older[p]) for p in again)
         wanted -= again
@@ -80,8 +81,9 @@ class Encoder:
         for parts, into in (([p for p in wanted if len(p) <= MEMO_CHARS], memo), ([p for p in wanted if len(p) > MEMO_CHARS], once)):
             for k in range(0, len(parts), 512):
                 into.update(zip(parts[k : k + 512], self._ids([" " + p for p in parts[k : k + 512]]), strict=True))
-        for parts, ids in lacking:
-            ids[:] = [x if x is not None else once[p] if len(p) > MEMO_CHARS else memo[p] for p, x in zip(parts, ids, strict=True)]
+        for parts, ids, at in lacking:
+            for k in at:
+                ids[k] = memo[p] if len(p := parts[k]) <= MEMO_CHARS else once[p]
         return [(self._one(head) if head else b"") + b"".join(ids) for head, ids in zip(heads, found, strict=True)]
 
 
