@@ -40,7 +40,9 @@ def children(rows: DataFrame, batch: str) -> DataFrame:
 
 def failures(expected: DataFrame, done: DataFrame, batch: str) -> DataFrame:
     """Failure rows, as of parents(), for the expected sheets (table_id) that have no analysis of any kind."""
-    missing = expected.select("table_id").distinct().join(done.select("table_id"), "table_id", "left_anti")
+    # One aggregation by id, so that no task sorts both sides of a join; a null id is never done.
+    both = expected.select("table_id", F.lit(False).alias("_done")).unionAll(done.select("table_id", F.col("table_id").isNotNull().alias("_done")).where("_done"))
+    missing = both.groupBy("table_id").agg(F.bool_or("_done").alias("_done"), F.bool_or(~F.col("_done")).alias("_due")).where("_due AND NOT _done")
     fixed = {"pdf_sha256": F.lit("ERROR"), "risk_score": F.lit(100.0), "risk_level": F.lit("CRITICAL"), "anomaly_count": F.lit(1), "math_valid": F.lit(False)}
     return missing.select(*[fixed.get(f.name, analysis_id(F.col("table_id"), batch) if f.name == "analysis_id" else F.col("table_id") if f.name == "table_id" else F.lit(None)).cast(f.dataType).alias(f.name) for f in done.schema if f.name != "batch"])
 

@@ -39,3 +39,15 @@ def test_first_download_of_large_files(same):
 def test_nearest_vote_row_of_shared_ids(same):
     """Detections that share an id, at other places or at the same one."""
     same("nearest_vote_row", "lineitem", "SELECT * FROM t UNION ALL SELECT * REPLACE (l_suppkey + 3 AS l_suppkey) FROM t WHERE l_orderkey % 2 = 0 UNION ALL SELECT * REPLACE (l_quantity + 1 AS l_quantity) FROM t WHERE l_orderkey % 3 = 0")
+
+
+def test_failures_by_one_aggregation(spark):
+    """Repeated ids fail once, a null id is never done, an analysis of an unexpected sheet is none; and no side is sorted."""
+    from pyspark.sql import functions as F
+    from tallylens.operators import results
+
+    expected = spark.createDataFrame([(1,), (2,), (2,), (3,), (None,)], "table_id long")
+    done = spark.createDataFrame([(1,), (1,), (None,), (9,)], "table_id long").withColumn("risk_score", F.lit(1.0))
+    missing = results.failures(expected, done, "b")
+    assert "LeftAnti" not in missing._jdf.queryExecution().toString()
+    assert Counter(tuple(r) for r in missing.collect()) == Counter([(2, 100.0), (3, 100.0), (None, 100.0)])
