@@ -10,7 +10,10 @@
 4. Pairs. In a group, each member pairs with the first; in each list, each group pairs with the list's first. The
    join makes a row only if sizes, the places of the token and short sketches allow the threshold. Pairs whose long
    sketches allow it too are verified on whole sets, which are read again for the classes in pairs only.
-5. Rest. Lists whose members, expanded to classes, are not yet in one component go on: lists up to SMALL classes
+5. Sifts. In lists of over SMALL classes that are not in one component, few members, then more (SIFTS), meet those of
+   other components, and components are found anew after each turn. A large group of near copies, of which any two may
+   be just under the threshold, so becomes one component by a few pairs for each member, not by all pairs.
+6. Rest. Lists whose members, expanded to classes, are not yet in one component go on: lists up to SMALL classes
    (or all, if they cost at most REST tests a class) are tested for all pairs of different components, larger ones
    with some members against all, which then leave the list: as many as REST tests a class allow, PIVOTS at least.
    A pair whose entries both know one of their first PREVIOUS tokens before it is left to that token's list, and one
@@ -51,6 +54,8 @@ SMALL = 48
 #: Tests for each class in one round over the rest of all lists, and members of a large list that each round takes at least.
 REST = 256
 PIVOTS = 8
+#: Members of a large list that each sift takes at most, on the average; each meets its list once.
+SIFTS = (8, 64)
 #: Bits of the bitmaps that say which documents are read again and which tokens are kept; false hits are joined away.
 BITMAP = 1 << 27
 #: Class keys that may be broadcast (8 bytes each).
@@ -313,6 +318,12 @@ def _entries(classes: DataFrame, components: DataFrame | None) -> DataFrame:
     return each.select("token", F.col("cid").alias("id"), "component", "n", F.col("places")[F.col("k")].alias("p"), F.slice("tokens", 1, F.least("k", F.lit(PREVIOUS))).alias("prev"), *_COLUMNS[3:])
 
 
+def _renamed(entries: DataFrame, components: DataFrame) -> DataFrame:
+    """entries with the components as they are now."""
+    named = entries.drop("component", "c", "lo").join(components.select("id", F.col("component").alias("now")), "id", "left")
+    return named.withColumn("component", F.coalesce("now", "id")).drop("now")
+
+
 def _open(entries: DataFrame) -> DataFrame:
     """token, number of classes and least component of the lists that are not in one component."""
     return entries.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token", "c", "lo")
@@ -327,6 +338,11 @@ def _met(one: DataFrame, two: DataFrame, condition, percent: int, first: bool) -
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _merged(components: DataFrame, found: DataFrame) -> DataFrame:
+    """The components with the links found since."""
+    return connected_components(components.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(found))
+
+
 def jaccard_classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id, cid (the class of equal sets), component (its key) and mark (the hash of the text)
     of every document."""
@@ -353,6 +369,24 @@ def _joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
     links = _verified(checked, rows, classes, width, percent)
     components = connected_components(links)
 
+    # large lists: some members against those of other components, so that the rest has few components to part
+    state = None
+    for turn, some in enumerate(SIFTS):
+        state = _entries(classes, components) if state is None else _renamed(state, components)
+        state = settle(state.join(_open(state).where(F.col("c") > SMALL), "token"), "join-sift")
+        if not state.limit(1).count():
+            break
+        # powers of two, so that lists of about one size share their members taken
+        every = F.pow(F.lit(2.0), F.greatest(F.ceil(F.log2(F.col("c") / some)), F.lit(0))).cast("long")
+        taken = state.where(F.pmod(F.xxhash64("id", F.lit(-1 - turn)), every) == 0)
+        pairs = _met(taken, state, ~F.arrays_overlap("prev1", "prev2"), percent, True)
+        pairs = settle(pairs.join(checked, ["a", "b"], "left_anti"), "join-pairs")
+        if pairs.limit(1).count():
+            found = _verified(pairs, rows, classes, width, percent)
+            checked = checked.union(pairs)
+            if found.limit(1).count():
+                components = _merged(components, found)
+
     # the rest: lists of all classes that are not in one component
     turn, whole = 0, None
     while True:
@@ -372,9 +406,8 @@ def _joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
         if pairs.limit(1).count():
             found = _verified(pairs, rows, classes, width, percent)
             checked = checked.union(pairs)
-            links = links.union(found)
             if found.limit(1).count():
-                components = connected_components(links)
+                components = _merged(components, found)
         whole = settle(state.where("not (left or lead)").select("token", "id"), "join-left")
         if not whole.limit(1).count():
             break

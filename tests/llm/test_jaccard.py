@@ -133,3 +133,20 @@ def test_oracle(spark):
     want = sorted(con.execute(ORACLE_SQL["op4_jaccard_join"]).fetchall())
     got = QUERIES["op4_jaccard_join"](spark, sf)
     assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == want
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Copies of which about half of all pairs reach the threshold become one component by some pairs for each copy."""
+    random.seed(3)
+    base = [f"{random.getrandbits(24):x}" for _ in range(150)]
+    rows = []
+    for k in range(600):
+        text = base[:]
+        for at in random.sample(range(5, 145), 1 + (k % 3 > 0) + (k % 12 == 5)):
+            text[at] = f"{random.getrandbits(24):x}"
+        rows.append((k, " ".join(text)))
+    tested, near = [], J._near
+    monkeypatch.setattr(J, "_near", lambda pairs, *rest: tested.append(pairs.count()) or near(pairs, *rest))
+    got = result(J.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80))
+    assert got == brute(rows, 5, 80)
+    assert sum(tested) <= 16 * len(rows), tested
