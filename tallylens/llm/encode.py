@@ -20,6 +20,9 @@ MEMO_ENTRIES = 1_200_000
 #: Chunks of more characters are encoded without the memo.
 MEMO_CHARS = 48
 
+#: Marks that end a chunk; after a letter they are a piece of their own, so " word." is " word" and ".".
+MARKS = ".,;:!?"
+
 _ODD_SPACE = re.compile(r" (?=\s)| $")
 _CHUNK = re.compile(r" (?=\S)")
 
@@ -42,6 +45,19 @@ class Encoder:
         self.widths = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, k in vocab.items():
             self.widths[k] = len(token)  # byte-level: one character stands for each byte
+        self.tails: dict[str, bytes] = {}
+        self.parted = self._parts_marks()
+
+    def _parts_marks(self) -> bool:
+        """Whether this tokenizer parts marks from the letter before them, and no added token holds one."""
+        if self.tokenizer.pre_tokenizer is None or any(m in t.content for t in self.tokenizer.get_added_tokens_decoder().values() for m in MARKS):
+            return False
+        return all(self.tokenizer.pre_tokenizer.pre_tokenize_str(f" ab{m}")[-1][1] == (3, 3 + len(m)) for m in (*MARKS, MARKS, "..."))
+
+    def _bare(self, part: str) -> str:
+        """The chunk without its marks at the end, if a letter of ASCII is before them, or nothing."""
+        bare = part.rstrip(MARKS) if part[-1:] in MARKS else ""
+        return bare if bare and bare[-1].isascii() and bare[-1].isalpha() else ""
 
     def _one(self, part: str) -> bytes:
         return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
@@ -77,10 +93,21 @@ class Encoder:
         again = wanted & self.older.keys()
         memo.update((p, self.older[p]) for p in again)
         wanted -= again
+        marked: list[tuple[str, str]] = []
+        if self.parted:
+            marked = [(p, bare) for p in wanted if len(p) <= MEMO_CHARS and (bare := self._bare(p)) and (bare in memo or bare in wanted)]
+            wanted.difference_update([p for p, _ in marked])
         once: dict[str, bytes] = {}
         for parts, into in (([p for p in wanted if len(p) <= MEMO_CHARS], memo), ([p for p in wanted if len(p) > MEMO_CHARS], once)):
             for k in range(0, len(parts), 512):
                 into.update(zip(parts[k : k + 512], self._ids([" " + p for p in parts[k : k + 512]]), strict=True))
+        for p, bare in marked:  # a bare chunk ends with a letter, so none of them is marked itself
+            tail = p[len(bare) :]
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails.clear()
+                self.tails[tail] = self._one(tail)
+            memo[p] = memo[bare] + self.tails[tail]
         for parts, ids, at in lacking:
             for k in at:
                 ids[k] = memo[p] if len(p := parts[k]) <= MEMO_CHARS else once[p]

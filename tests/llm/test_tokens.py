@@ -163,3 +163,17 @@ def test_reader_reads_wanted_frames_and_checks_them(spark, tmp_path, odd):
     reader.frames[0] = (size, doc[4][0][1], check ^ 1)
     with pytest.raises(ValueError):
         reader.read((*doc[:4], [(size, doc[4][0][1], check ^ 1)]))
+
+
+def test_marked_chunks_come_from_bare_ones(monkeypatch):
+    """Chunks with marks at their end take the ids of the bare chunk, and texts have the ids of the plain tokenizer."""
+    from tallylens.llm.encode import Encoder, default_tokenizer
+
+    coder, asked = Encoder(default_tokenizer()), []
+    plain = coder._ids
+    monkeypatch.setattr(coder, "_ids", lambda parts: asked.extend(parts) or plain(parts))
+    texts = ["a wordly wordly. wordly?! wordly... it's it's. né né. x1 x1. .. a.b a.b. don't, <|endoftext|> <|endoftext|>. wordly'. é.. Wordly;", "b wordly!"]
+    got = coder.encode(texts) + coder.encode(texts)
+    want = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts] * 2
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    assert " wordly" in asked and not {" wordly.", " wordly?!", " wordly!"} & set(asked)
