@@ -196,3 +196,56 @@ def test_cells_are_measured_some_at_a_time(spark):
     rows = spark.range(0, 5000, 1, 1).select("id", F.array_repeat((F.col("id") % 256).cast("int"), 64).alias("gray")).select("id", counted(vision.resize(24)("gray")).alias("f")).collect()
     assert len(rows) == 5000 and max(r.f.n for r in rows) < 500
     assert all(r.f.first == r.id % 256 for r in rows)
+
+
+def plain_cubic(page, y, x):
+    """One place's value from 16 pixels by the kernel's two polynomials."""
+
+    def weight(d, a=-0.75):
+        d = abs(d)
+        return (a + 2) * d**3 - (a + 3) * d**2 + 1 if d <= 1 else a * d**3 - 5 * a * d**2 + 8 * a * d - 4 * a if d < 2 else 0.0
+
+    y0, x0 = int(np.floor(y)), int(np.floor(x))
+    at = lambda k, n: min(max(k, 0), n - 1)
+    total = sum(weight(y - i) * weight(x - j) * float(page[at(i, page.shape[0]), at(j, page.shape[1])]) for i in range(y0 - 1, y0 + 3) for j in range(x0 - 1, x0 + 3))
+    return min(max(total, 0), 255)
+
+
+@pytest.mark.parametrize("size", [(9, 7), (1, 5), (2, 1)])
+def test_cubic_equals_plain(size):
+    """Places in and beyond a page, and on its pixels."""
+    rng = np.random.default_rng(11)
+    gray = rng.integers(0, 256, size).astype(np.uint8)
+    y, x = rng.uniform(-4, size[0] + 4, (20, 20)), rng.uniform(-4, size[1] + 4, (20, 20))
+    want = np.array([[plain_cubic(gray, b, a) for b, a in zip(*row, strict=True)] for row in zip(y, x, strict=True)])
+    assert abs(pages.cubic(gray, y, x) - want).max() < 0.501
+    assert (pages.cubic(gray, *np.mgrid[: size[0], : size[1]].astype(float)) == gray).all()
+
+
+def test_turned_in_strips(monkeypatch):
+    gray = np.random.default_rng(12).integers(0, 256, (60, 40)).astype(np.uint8)
+    whole = pages.turned(gray, 1.7)
+    monkeypatch.setattr(pages, "BATCH_PIXELS", 900)
+    assert (pages.turned(gray, 1.7) == whole).all()
+
+
+@pytest.mark.parametrize("degrees", [-1.9, -0.5, -0.3, 0.25, 0.3, 0.5, 0.7])
+def test_deskew_keeps_thin_lines(spark, degrees):
+    """Lines of one pixel are all found again after the page was turned back by their own rotation."""
+    gray = np.where(lines_page(np.tan(np.radians(degrees)), thick=1) < 128, drawn.INK, drawn.PAPER).astype(np.uint8)
+    rows = pages.strokes(spark.createDataFrame([page(gray)], SCHEMA)).withColumn("angle", pages.rotation_of(F.col("strokes"))).drop("strokes")
+    left = pages.strokes(pages.deskewed(rows)).withColumn("rest", pages.rotation_of(F.col("strokes"))).first()
+    assert abs(left.angle - degrees) < 0.2
+    assert len(left.strokes) == 8 and abs(left.rest) < 0.3
+
+
+def test_page_deskewed_query(spark, sf_dir):
+    """The angle is the page's own, not its number's; every line is left, level."""
+    from tallylens.plans.queries import QUERIES
+
+    drew = {r.sheet: r.v for r in drawn.sums(spark, sf_dir).collect()}
+    rows = QUERIES["page_deskewed"](spark, sf_dir).collect()
+    assert len(rows) == len(drew) and any(r.angle for r in rows)
+    for r in rows:
+        skew = np.degrees(np.arctan((drew[r.sheet][1] % drawn.SKEWS - drawn.SKEWS // 2) / drawn.SKEW_STEP)) if r.lines >= 5 else 0.0
+        assert r.lines == drew[r.sheet][0] % drawn.LINES and abs(r.angle - skew) < 0.15 and r.rest == 0
