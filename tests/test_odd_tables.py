@@ -72,3 +72,16 @@ def test_ocr_words(spark, tmp_path, rows):
     got = Counter(tuple(r) for r in df.select("page", "text", "confidence", "words").collect())
     want = Counter(con.sql(f"SELECT page, text, confidence, words FROM ({ORACLE_SQL['ocr_words']})").fetchall())
     assert want and got == want
+
+
+def test_row_segments(spark, tmp_path):
+    """Two neighbours are a segment and one position is none; a segment's ends are the least apart, as in the reference."""
+    from tallylens.operators import layout
+
+    positions = {1: [10, 11], 2: [13, 17], 3: [22, 23, 25, 26], 4: [20], 5: [31, 32, 40, 41, 43]}
+    rows = spark.createDataFrame([(page, i) for page, found in positions.items() for i in found], "user_id long, event_id long")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    got = {tuple(r) for r in QUERIES["row_segments"](spark, str(tmp_path)).select("page", "first", "last").collect()}
+    assert got == {(1, 10, 11), (3, 22, 26), (5, 31, 32), (5, 40, 43)}
+    page = rows.toDF("page", "i")
+    assert {r["first"] for least in (2, 3) for r in layout.segments(page, "page", page.i > 0, 2, least).collect()} == {22, 40}
